@@ -53,3 +53,8 @@ def with_graph(items: DataFrame, demand: DataFrame, n_top: int = 3) -> DataFrame
     top = co.top_neighbours(pairs, n_top)
     return out.join(top, "item", "left").withColumn(
         "top_cooccurring", F.coalesce("top_cooccurring", F.lit("")))
+
+
+def analysed_items(demand: DataFrame, coverage: DataFrame, focal: str, n_top: int = 3) -> DataFrame:
+    """The full per-item analysis: scores plus graph columns (input of the cards)."""
+    return with_graph(scored_items(demand, coverage, focal), demand, n_top)

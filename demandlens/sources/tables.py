@@ -28,6 +28,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 FOCAL_PROVIDER = "brand#1"
+# item_type values (return flags) named as the three trajectories; R is "upcoming"
+TRAJECTORY_NAMES = {"A": "Traditional", "N": "Transitional", "R": "Upcoming"}
+UPCOMING_TYPE = "R"
 COVERAGE_MAX_SIZE = 12
 
 
