@@ -141,3 +141,13 @@ def question_intents(spark, sf):
     q = _questions(spark, sf)
     return q.select("conv_id", "turn", tx.expand_query("text").alias("expanded"),
                     tx.intent_of("text").alias("intent"))
+
+
+@register("fuzzy_matches")
+def fuzzy_matches(spark, sf):
+    """Best token-sort match (score ≥ 88) of every normalised coverage item among
+    the demanded items.  Rows-only check here; tests compare with brute force."""
+    from demandlens.operators import resolve as rv
+
+    cov_items = coverage_normalised(spark, sf).select("item")
+    return rv.best_matches(cov_items, demand(spark, sf).select("item"), "item")
