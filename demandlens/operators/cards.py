@@ -187,3 +187,12 @@ def card_inventory(cards: DataFrame) -> DataFrame:
 def duplicate_ids(cards: DataFrame) -> DataFrame:
     """S5 check: ids used by more than one card (a vector store rejects them)."""
     return cards.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
+def publish_cards(cards: DataFrame, path: str) -> None:
+    """Rebuild the card collection: fail on duplicate ids, then overwrite the
+    dataset partitioned by type (a type filter then prunes partitions)."""
+    dup = duplicate_ids(cards).limit(20).collect()   # at most 20 offending ids reach the driver
+    if dup:
+        raise ValueError(f"duplicate card ids: {[r['id'] for r in dup]}")
+    cards.write.mode("overwrite").partitionBy("type").parquet(path)

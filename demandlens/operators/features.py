@@ -170,3 +170,9 @@ def feature_table(demand: DataFrame, coverage: DataFrame, focal: str,
          .join(type_transitions(cube), "item", "left"))
     f = coverage_flags(f, coverage, focal)
     return f.withColumn("in_transition", F.col("transition").isNotNull().cast("int"))
+
+
+def one_hot(df: DataFrame, col: str, categories: list[str], prefix: str | None = None) -> DataFrame:
+    """One boolean column per declared category (fixed width, independent of the data)."""
+    p = prefix or col
+    return df.select("*", *[(F.col(col) == F.lit(c)).alias(f"{p}_{c}") for c in categories])

@@ -12,6 +12,7 @@ from demandlens.plans import sqlbase as S
 from demandlens.plans.common import FOCAL, coverage, demand
 from demandlens.plans.q_scoring import PAIRS, SCORED
 from demandlens.plans.registry import register
+from demandlens.session import materialize
 from demandlens.sources import tables
 
 FOCAL_UP = FOCAL.upper()
@@ -56,8 +57,10 @@ ITEM_TEXT = ("'Skill: ' || item || '. Trajectory: ' || tname || '. Status: ' ||
 
 
 def _analysed(spark, sf):
+    """The analysed item table, written once to the checkpoint folder: every card
+    branch reads the same small table instead of re-running the graph plan."""
     d = demand(spark, sf)
-    return an.analysed_items(d, coverage(spark, sf), FOCAL), d
+    return materialize(an.analysed_items(d, coverage(spark, sf), FOCAL)), d
 
 
 def _item_cards(spark, sf):
@@ -180,3 +183,17 @@ SELECT type, count(*) AS n_cards FROM cards GROUP BY type""")
 def card_inventory(spark, sf):
     """Cards per type in the whole collection."""
     return cd.card_inventory(all_cards(spark, sf))
+
+
+@register("context_assembly")
+def context_assembly(spark, sf):
+    """V8 + V9 + D9 + C8 + C9: retrieval context and prompt for every user question of the
+    conversation log, over the whole card collection (hashed word vectors; callers
+    without a role count as students).  Rows-only check: one row per question."""
+    from demandlens.operators import retrieval as rt
+
+    cards = rt.hashed_embedding(all_cards(spark, sf), "text")
+    conv = tables.table(spark, sf, "conversations").where(F.col("role") == "user")
+    qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"),
+                     F.lit(None).cast("string").alias("role"), F.col("text").alias("question"))
+    return rt.assemble_context(qs, cards)

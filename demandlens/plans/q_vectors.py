@@ -99,3 +99,13 @@ def vector_search(spark, sf):
     h = vx.hybrid_rerank(hits.withColumnRenamed("vec_id", "id"), priority=None)
     return h.select("query_id", "id", F.col("rank").cast("int"), r6("distance"), "hybrid_score",
                     F.col("hybrid_rank").cast("int"))
+
+
+@register("vector_clusters")
+def vector_clusters(spark, sf):
+    """V6 + V7: k-means (k = 8, best of 10 seeds) on unit vectors; size and first six
+    members of each cluster.  Rows-only check (labels are arbitrary)."""
+    e = _emb(spark, sf)
+    labelled, _ = vx.kmeans_clusters(e, "embedding", k=8, seed=42, restarts=10)
+    sizes = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_members"))
+    return sizes.join(vx.cluster_representatives(labelled, "vec_id"), "cluster")
