@@ -80,21 +80,26 @@ def prompt_batch(chunks: DataFrame, items: DataFrame, focal: str,
 
 
 def dictionary_mentions(pages: DataFrame, dictionary: DataFrame, col: str = "item",
-                        max_words: int = 4) -> DataFrame:
+                        lengths: list[int] | None = None) -> DataFrame:
     """M4: which dictionary entries occur in each page as whole token sequences.
 
-    Each page emits its 1..max_words-grams of lower-case word tokens; an
-    equi-join against the dictionary keeps the hits (no substring cross join).
-    Entries longer than ``max_words`` tokens are never found; pick the bound
-    from the dictionary (``max_tokens(dictionary)``).
+    Each page emits only the n-grams whose length n some entry has (``lengths``;
+    read from the dictionary when not given: a handful of distinct numbers),
+    and an equi-join against the dictionary keeps the hits (no substring
+    cross join, no pair explosion).
     """
+    d = (dictionary.select(canonical(col).alias("_g")).where(F.col("_g").isNotNull())
+         .withColumn("_g", F.array_join(F.split("_g", r"\s+"), " ")).distinct())
+    if lengths is None:
+        lengths = sorted(r[0] for r in d.select(F.size(F.split("_g", " "))).distinct().collect())
     toks = F.regexp_extract_all(F.lower("text"), F.lit(r"[\w.+#/-]+"), 0)
     # project the tokens once: an expression used inside a lambda is re-evaluated per element
     tk = pages.select("doc_id", "page_no", toks.alias("_t"))
     t = F.col("_t")
-    grams = [t] + [_grams_of(t, n) for n in range(2, max_words + 1)]
-    cand = tk.select("doc_id", "page_no", F.explode(F.concat(*grams)).alias("_g"))
-    d = dictionary.select(canonical(col).alias("_g")).where(F.col("_g").isNotNull()).distinct()
+    grams = [t if n == 1 else _grams_of(t, n) for n in lengths if n >= 1]
+    if not grams:
+        return pages.select("doc_id", "page_no", F.lit(None).cast("string").alias("item")).limit(0)
+    cand = tk.select("doc_id", "page_no", F.explode(F.concat(*grams) if len(grams) > 1 else grams[0]).alias("_g"))
     return cand.join(d, "_g").select("doc_id", "page_no", F.col("_g").alias("item")).distinct()
 
 

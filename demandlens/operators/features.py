@@ -176,3 +176,75 @@ def one_hot(df: DataFrame, col: str, categories: list[str], prefix: str | None =
     """One boolean column per declared category (fixed width, independent of the data)."""
     p = prefix or col
     return df.select("*", *[(F.col(col) == F.lit(c)).alias(f"{p}_{c}") for c in categories])
+
+
+CP_SCHEMA = "item string, change_year int"
+
+
+def _rbf_cost_table(y):
+    import numpy as np
+
+    d = (y[:, None] - y[None, :]) ** 2
+    off = d[np.triu_indices(len(y), 1)]
+    med = float(np.median(off)) if off.size else 0.0
+    gamma = 1.0 / med if med != 0 else 1.0
+    gram = np.exp(-gamma * d)
+    n = len(y)
+    # cost[a, b] of segment y[a:b]: trace - sum / length
+    csum = gram.cumsum(0).cumsum(1)
+
+    def block(a, b):
+        s = csum[b - 1, b - 1]
+        if a > 0:
+            s = s - csum[a - 1, b - 1] - csum[b - 1, a - 1] + csum[a - 1, a - 1]
+        return s
+    cost = np.full((n + 1, n + 1), np.inf)
+    for a in range(n):
+        for b in range(a + 1, n + 1):
+            cost[a, b] = (b - a) - block(a, b) / (b - a)
+    return cost
+
+
+def _change_points(lo: int, hi: int, penalty: float, min_size: int, jump: int):
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = hi - lo + 1
+        y = np.zeros(n)
+        for yr, c in zip(pdf["year"], pdf["cnt"]):
+            y[int(yr) - lo] += float(c)
+        cost = _rbf_cost_table(y)
+        # optimal partitioning (the optimum PELT reaches), admissible ends on the jump grid
+        ends = [t for t in range(1, n + 1) if t % jump == 0 or t == n]
+        best = {0: (0.0, [])}
+        for t in ends:
+            cand = []
+            for s, (v, path) in best.items():
+                if t - s >= min_size:
+                    cand.append((v + cost[s, t] + penalty, s, path))
+            if cand:
+                v, s, path = min(cand, key=lambda x: (x[0], x[1]))
+                best[t] = (v, path + [t])
+        bk = best.get(n, (0.0, [n]))[1]
+        first = bk[0] if bk else n
+        year = lo + first - 1 if first < n else None
+        if year is None:                      # fallback: T6 on the zero-filled series
+            pos = y[y > 0]
+            med = float(np.median(pos)) if pos.size else 0.0
+            idx = [i for i, c in enumerate(y) if c >= med and c > 0]
+            year = lo + idx[0] if idx else lo
+        return pd.DataFrame({"item": [pdf["item"].iloc[0]], "change_year": [int(year)]})
+    return run
+
+
+def change_point_years(cube: DataFrame, lo: int, hi: int, penalty: float = 1.0,
+                       min_size: int = 2, jump: int = 1) -> DataFrame:
+    """T7 (opt-in): year before the first change point of each item's zero-filled yearly
+    series (RBF kernel cost, median-heuristic bandwidth, penalty per break), else T6.
+
+    One group per item holding its present years only (at most hi - lo + 1 rows);
+    ``lo``/``hi`` are the log's first and last year (two numbers read once).
+    """
+    yearly = yearly_counts(cube)
+    return yearly.groupBy("item").applyInPandas(_change_points(lo, hi, penalty, min_size, jump), CP_SCHEMA)

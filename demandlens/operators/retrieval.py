@@ -58,20 +58,26 @@ def assemble_context(questions: DataFrame, cards: DataFrame, role_col: str = "ro
     ``cards`` has (id, type, text, priority_score, embedding); ``questions``
     has (question_id, role, question[, query_vec]).
     """
-    spark = questions.sparkSession
     role_map = F.create_map(*[F.lit(x) for kv in ROLE_OF_CALLER.items() for x in kv])
     q = questions.withColumn("_role", F.coalesce(F.element_at(role_map, F.lower(F.col(role_col))),
                                                  F.lit(DEFAULT_ROLE)))
     q = q.withColumn("_expanded", tx.expand_query(q_text))
     if "query_vec" not in q.columns:
         q = hashed_embedding(q, "_expanded", "query_vec")
-    quotas = quota_table(spark)
-    qt = q.join(F.broadcast(quotas), q["_role"] == quotas["role"]).select(
-        F.col(q_id).alias("_qid"), "type", "quota", "type_order", "query_vec",
-        F.concat_ws("|", F.col(q_id).cast("string"), "type").alias("_key"))
+    # the quota table is a map literal: each question explodes its role's (type, quota, order) list
+    qmap = F.create_map(*[x for role, qs in QUOTAS.items() for x in (
+        F.lit(role), F.array(*[F.struct(F.lit(t).alias("type"), F.lit(n).alias("quota"),
+                                         F.lit(i).alias("type_order")) for i, (t, n) in enumerate(qs)]))])
+    qt = (q.select(F.col(q_id).alias("_qid"), "query_vec",
+                   F.explode(F.element_at(qmap, F.col("_role"))).alias("_q"))
+          .select("_qid", "query_vec", "_q.type", "_q.quota", "_q.type_order")
+          .withColumn("_key", F.concat_ws("|", F.col("_qid").cast("string"), "type")))
     k = max(n for qs in QUOTAS.values() for _, n in qs)
+    # only card types some quota names are scored (a static filter: the quota table is fixed)
+    wanted = sorted({t for qs in QUOTAS.values() for t, _ in qs})
+    cards = cards.where(F.col("type").isin(*wanted))
     hits = vx.search(qt.select("_key", "type", "query_vec"), cards, k, q_id="_key", c_id="id",
-                     c_vec="embedding", type_col="type", n_cards=n_cards)
+                     c_vec="embedding", type_col="type", n_cards=n_cards, prune_types=False)
     meta = cards.select("id", "text", "priority_score")
     h = hits.join(meta, "id").join(qt.select("_key", "_qid", "quota", "type_order"), "_key")
     h = vx.hybrid_rerank(h, q_id="_key", priority="priority_score")

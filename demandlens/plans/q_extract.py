@@ -86,5 +86,5 @@ grams AS (
 SELECT g.doc_id, g.page_no, d.item FROM grams g JOIN dict d ON d.item = g.g""")
 def dictionary_mentions(spark, sf):
     """M4: demanded items found as whole token sequences in the kept pages."""
-    return ex.dictionary_mentions(_pages(spark, sf), demand(spark, sf), "item", max_words=4) \
+    return ex.dictionary_mentions(_pages(spark, sf), demand(spark, sf), "item") \
         .select("doc_id", F.col("page_no").cast("int"), "item")

@@ -150,3 +150,12 @@ def trend_by_trajectory(spark, sf):
     f = features(spark, sf)
     return f.groupBy("trajectory").agg(*[F.round(F.avg(c), 3).alias(c) for c in
                                          ("freq", "trend_slope", "velocity", "volatility")])
+
+
+@register("change_point_years")
+def change_point_years(spark, sf):
+    """T7 (opt-in): change-point year per item (RBF cost, penalty 1, min size 2, jump 1),
+    T6 fallback.  Rows-only check: no SQL twin of the kernel segmentation."""
+    cube = fe.demand_cube(demand(spark, sf))
+    b = cube.agg(F.min("year").alias("lo"), F.max("year").alias("hi")).first()  # two numbers
+    return fe.change_point_years(cube, int(b["lo"]), int(b["hi"]))
