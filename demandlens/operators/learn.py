@@ -195,3 +195,110 @@ def feature_importance(model, features: list[str], text_prefixes: tuple[str, ...
     imp = model.featureImportances.toArray().tolist()
     rows = sorted(zip(features, imp), key=lambda x: (-x[1], x[0]))
     return [(f, float(v), bool(text_prefixes) and f.startswith(text_prefixes)) for f, v in rows]
+
+
+def evaluate_model(model, test: DataFrame, features: list[str], label: str = "label") -> dict:
+    """Test-split AUC (L15) and the best threshold of the sweep (L11, L12) of one fitted model."""
+    p = positive_probability(model, test, features)
+    b = best_threshold(threshold_sweep(p, "prob", label)).first()
+    return {"auc": roc_auc(p, "prob", label), "best_threshold": b["threshold"], "best_f1": b["f1"]}
+
+
+def compare_models(train: DataFrame, test: DataFrame, feature_sets: dict[str, list[str]],
+                   label: str = "label", seed: int = SEED) -> DataFrame:
+    """One forest per feature set, evaluated on the same test split.
+
+    The table has one row per feature set (a handful): name, AUC, best
+    threshold and F1, the share of importance carried by the features that
+    are not in the first set, and the top feature."""
+    spark = train.sparkSession
+    names = list(feature_sets)
+    base = set(feature_sets[names[0]])
+    rows = []
+    for name in names:
+        feats = feature_sets[name]
+        m = fit_forest(train, feats, label, seed)
+        ev = evaluate_model(m, test, feats, label)
+        imp = feature_importance(m, feats)
+        extra = sum(v for f, v, _ in imp if f not in base)
+        rows.append((name, len(feats), float(ev["auc"]), float(ev["best_threshold"]), float(ev["best_f1"]),
+                     float(extra), imp[0][0]))
+    return spark.createDataFrame(rows, "feature_set string, n_features int, auc double, best_threshold double, "
+                                       "best_f1 double, added_importance double, top_feature string")
+
+
+def hash_rank(df: DataFrame, h: str, buckets: int) -> DataFrame:
+    """0-based global rank of rows by the number ``h`` in [0, 1) (ties by ``_rid``).
+
+    Rows fall into ``buckets`` equal ranges of h.  The per-bucket counts (at
+    most ``buckets`` numbers; callers pick about sqrt(n) buckets) are read
+    once and turned into offsets; the offset table is broadcast (its size is
+    that bound), and a window partitioned by bucket ranks inside each bucket
+    (about n / buckets rows).  No window spans the whole table.
+    """
+    from itertools import accumulate
+
+    from pyspark.sql import Window
+
+    b = F.least(F.floor(F.col(h) * buckets), F.lit(buckets - 1)).cast("int")
+    x = df.withColumn("_bk", b)
+    counts = sorted((r["_bk"], r["_c"]) for r in
+                    x.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c")).collect())
+    starts = [0] + list(accumulate(c for _, c in counts))[:-1]
+    offs = df.sparkSession.createDataFrame([(bk, o) for (bk, _), o in zip(counts, starts)],
+                                           "_bk int, _off long")
+    w = Window.partitionBy("_bk").orderBy(h, "_rid")
+    return (x.join(F.broadcast(offs), "_bk")
+            .withColumn("_rank", F.col("_off") + F.row_number().over(w) - 1).drop("_bk", "_off"))
+
+
+def smote(df: DataFrame, key: str, features: list[str], label: str = "label", k: int = 3,
+          seed: int = SEED, block_rows: int = 4096) -> DataFrame:
+    """Oversample the minority class to the majority size (SMOTE).
+
+    Each synthetic row takes a minority row x (row i gets ⌊need/n⌋ rows, the
+    first need mod n rows in hash order one more), one of x's k nearest
+    minority neighbours z (Euclidean, blocked exact search) chosen by hash,
+    and u ∈ [0, 1) from a hash: x + u·(z − x).  Returns the input rows plus
+    the synthetic ones (key ``<key>#s<j>``, ``synthetic`` = 1).  With k or
+    fewer minority rows nothing is added (the caller falls back to weights).
+    """
+    import math
+
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
+        return df.withColumn("synthetic", F.lit(0))
+    minority = min(counts, key=lambda c: (counts[c], c))
+    n_min, n_maj = counts[minority], max(counts.values())
+    need = n_maj - n_min
+    base = df.withColumn("synthetic", F.lit(0))
+    if need == 0 or n_min <= k:
+        return base
+    mino = df.where(F.col(label) == minority).select(
+        F.col(key).cast("string").alias("_id"),
+        F.array(*[F.col(c).cast("double") for c in features]).alias("_v"))
+    nb = max(1, math.ceil(n_min / block_rows))
+    from demandlens.operators.vectors import blocked_topk
+
+    knn = blocked_topk(mino, mino, k, nb, nb, exclude_self=True, metric="euclidean")
+    nbrs = knn.groupBy(F.col("lid").alias("_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "rid"))), lambda x: x["rid"]).alias("_nb"))
+    q, r = divmod(need, n_min)
+    ranked = hash_rank(mino.withColumn("_rid", F.col("_id"))
+                       .withColumn("_h", hash_unit(F.col("_id"), seed)), "_h", max(1, math.isqrt(n_min)))
+    copies = F.lit(q) + (F.col("_rank") < r).cast("int")
+    syn = (ranked.join(nbrs, "_id")
+           .withColumn("_j", F.explode(F.sequence(F.lit(1), copies)))
+           .where(copies > 0))
+    tag = F.concat_ws("#", "_id", F.col("_j").cast("string"))
+    pick = F.element_at("_nb", (F.pmod(F.xxhash64(tag, F.lit(seed)), F.size("_nb")) + 1).cast("int"))
+    syn = syn.withColumn("_z", pick).withColumn("_u", hash_unit(tag, seed + 1))
+    zv = mino.select(F.col("_id").alias("_z"), F.col("_v").alias("_zv"))
+    syn = syn.join(zv, "_z")
+    cols = {c: F.col("_v")[i] + F.col("_u") * (F.col("_zv")[i] - F.col("_v")[i]) for i, c in enumerate(features)}
+    out = syn.select(F.concat(F.col("_id"), F.lit("#s"), F.col("_j").cast("string")).alias(key),
+                     *[v.alias(c) for c, v in cols.items()], F.lit(minority).alias(label),
+                     F.lit(1).alias("synthetic"))
+    return base.select(key, *features, label, "synthetic").unionByName(
+        out.select(*[F.col(c).cast(base.schema[c].dataType) if c in (key, label) else F.col(c)
+                     for c in [key, *features, label]], "synthetic"))

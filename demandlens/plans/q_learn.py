@@ -146,3 +146,53 @@ def oof_probabilities(spark, sf):
     """Out-of-fold P(gap) of every item from five forests (rows-only check)."""
     p = ln.out_of_fold(_training_table(spark, sf), "item", ln.BASE_FEATURES)
     return p.select("item", "fold", "label", "prob")
+
+
+def _with_text_features(spark, sf, items):
+    """Item table + rarity (X1, X2) + gap distance of hashed name vectors to the covered centroid (V3)."""
+    from demandlens.operators import text as tx
+    from demandlens.operators import vectors as vx
+    from demandlens.operators.retrieval import hashed_embedding
+
+    rar = tx.tfidf_rarity(items.select("item"), "item", "item", 2)
+    emb = hashed_embedding(items.select("item", "is_covered"), "item", "embedding", dim=64)
+    gd = vx.gap_distance(emb, F.col("is_covered") == 1).select("item", "gap_distance")
+    return items.join(rar, "item").join(gd, "item")
+
+
+TEXT_FEATURES = ["rarity", "gap_distance"]
+
+
+@register("model_comparison")
+def model_comparison(spark, sf):
+    """L6 + L15 + L16 + L17: forest on the 10 base features vs base + text features,
+    both evaluated on the same hash test split (rows-only: one row per feature set)."""
+    items = materialize(_with_text_features(spark, sf, _labelled(spark, sf)))
+    f = ln.stratified_split(items, "item")
+    return ln.compare_models(f.where(F.col("is_test") == 0), f.where(F.col("is_test") == 1),
+                             {"base": ln.BASE_FEATURES, "base_text": ln.BASE_FEATURES + TEXT_FEATURES})
+
+
+@register("text_priority")
+def text_priority(spark, sf):
+    """K5: .60 priority + .25 scaled gap distance + .15 scaled rarity per uncovered item
+    (hashed name vectors stand in for sentence embeddings; rows-only check)."""
+    from demandlens.plans import analytics as an
+    from demandlens.plans.common import coverage, demand
+    from demandlens.plans.common import FOCAL
+
+    scored = an.scored_items(demand(spark, sf), coverage(spark, sf), FOCAL)
+    t = sc.text_priority(_with_text_features(spark, sf, scored))
+    return sc.rank_gaps(t, "text_priority").select("item", "priority_score", "rarity", "gap_distance",
+                                                    "text_priority")
+
+
+@register("smote_balance", S.with_(SCORED[1:]) + """
+SELECT label, CAST((SELECT max(c) FROM (SELECT count(*) AS c FROM lab GROUP BY label)) AS BIGINT) AS n_rows
+FROM lab GROUP BY label""")
+def smote_balance(spark, sf):
+    """Rows per class after SMOTE on the 10 base features (k = 3): both classes
+    reach the majority size."""
+    t = _training_table(spark, sf)
+    bal = ln.smote(t.select("item", "label", *ln.BASE_FEATURES), "item", ln.BASE_FEATURES, "label", k=3)
+    return bal.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -138,8 +138,6 @@ def test_session_tail_and_short_query(spark):
 
 
 def _brute_ratio(a, b):
-    from difflib import SequenceMatcher  # noqa: F401  (not used: LCS by DP below)
-
     a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
     m = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
@@ -217,3 +215,68 @@ def test_search_with_type_filter(spark):
     q = spark.createDataFrame([("q", "t1", [1.0, 0.05])], "query_id string, type string, query_vec array<float>")
     hits = vx.search(q, cards, 1, type_col="type").collect()
     assert [(h["query_id"], h["id"]) for h in hits] == [("q", "a")]
+
+
+def test_republish_replaces_only_focal_provider(spark):
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="dl-republish-") + "/catalogue"
+    old = spark.createDataFrame([("p1", 3, "c", "a"), ("p2", 4, "c", "b"), ("focal", 5, "c", "old")],
+                                "provider string, semester int, course string, item string")
+    old.write.partitionBy("provider").parquet(path)
+    new = spark.createDataFrame([("focal", 6, "c", "new1"), ("focal", 7, "c", "new2")],
+                                "provider string, semester int, course string, item string")
+    ex.republish(old, new, path, "focal")
+    got = sorted((r["provider"], r["item"]) for r in spark.read.parquet(path).collect())
+    assert got == [("focal", "new1"), ("focal", "new2"), ("p1", "a"), ("p2", "b")]
+
+
+def test_publish_cards_rejects_duplicate_ids(spark):
+    import tempfile
+
+    from demandlens.operators import cards as cd
+
+    cards = spark.createDataFrame([("skill_a_b", "skill_card", "x", 0.1), ("skill_a_b", "skill_card", "y", 0.2),
+                                   ("gap", "gap_summary", "z", None)],
+                                  "id string, type string, text string, priority_score double")
+    with pytest.raises(ValueError, match="skill_a_b"):
+        cd.publish_cards(cards, tempfile.mkdtemp(prefix="dl-cards-") + "/c")
+    ok = cards.where(F.col("text") != "y")
+    path = tempfile.mkdtemp(prefix="dl-cards-") + "/c"
+    cd.publish_cards(ok, path)
+    assert spark.read.parquet(path).where(F.col("type") == "gap_summary").count() == 1
+
+
+def test_change_point_falls_back_to_threshold_rule(spark):
+    rows = [("c", y, "r", "x", "T", 0) for y, n in [(2021, 1), (2022, 1), (2023, 9), (2024, 9), (2025, 9)]
+            for _ in range(n)]
+    d = spark.createDataFrame(rows, DEMAND_COLS)
+    cp = fe.change_point_years(fe.demand_cube(d), 2021, 2025).collect()[0]
+    # a clear level shift after 2022: the first segment ends in 2022
+    assert cp["change_year"] == 2022
+
+
+def test_smote_balances_and_stays_on_segments(spark):
+    from demandlens.operators import learn as ln
+
+    rng = np.random.default_rng(2)
+    rows = [(f"m{i}", 1, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(7, 2)))]
+    rows += [(f"M{i}", 0, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(3, 1, size=(30, 2)))]
+    df = spark.createDataFrame(rows, "id string, label int, a double, b double")
+    out = ln.smote(df, "id", ["a", "b"], "label", k=3)
+    counts = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
+    assert counts == {0: 30, 1: 30}
+    mins = np.array([[r[2], r[3]] for r in rows if r[1] == 1])
+    for r in out.where("synthetic = 1").collect():
+        p = np.array([r["a"], r["b"]])
+        # the point lies on a segment between its base row and another minority row
+        base = mins[int(r["id"].split("#")[0][1:])]
+        ok = False
+        for z in mins:
+            d = z - base
+            if np.allclose(d, 0):
+                continue
+            u = np.dot(p - base, d) / np.dot(d, d)
+            if -1e-9 <= u <= 1 + 1e-9 and np.allclose(base + u * d, p):
+                ok = True
+        assert ok
