@@ -101,6 +101,136 @@ def answer_reuse(log: DataFrame, ttl_seconds: int = ANSWER_TTL_SECONDS,
             .groupBy("_bucket").applyInPandas(_fold(ttl_us), REUSE_SCHEMA))
 
 
+SUMMARY_SCHEMA = ("_pid int, key string, head_t array<long>, head_out array<long>, "
+                  "n long, last_t long")
+STATE_SCHEMA = "_pid int, key string, a_in long"
+
+
+def _segment_fold(t, ttl_us: int, a_in):
+    """Fold one key segment given the incoming entry time ``a_in`` (µs or None)."""
+    n = len(t)
+    if a_in is None:
+        k = 0
+    else:
+        k = int(np.searchsorted(t, a_in + ttl_us, side="right"))
+    hit = np.ones(n, dtype=bool)
+    entry = np.full(n, a_in if a_in is not None else 0, dtype=np.int64)
+    if k < n:
+        h, e = fold_anchors(t[k:], ttl_us)
+        hit[k:], entry[k:] = h, e
+    return hit, entry
+
+
+def _out_entries(t, ttl_us: int):
+    """out[s] = the entry time after folding t[s:] when t[s] is a miss (reverse DP)."""
+    n = len(t)
+    nxt = np.searchsorted(t, t + ttl_us, side="right")
+    out = np.empty(n, dtype=np.int64)
+    for s in range(n - 1, -1, -1):
+        out[s] = t[s] if nxt[s] >= n else out[nxt[s]]
+    return out
+
+
+def _segments(pdf: pd.DataFrame):
+    keys = pdf["key"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(pdf) else np.array([], int)
+    return starts, np.r_[starts[1:], len(pdf)]
+
+
+def _summaries(ttl_us: int):
+    def run(batches):
+        pdf = pd.concat(list(batches), ignore_index=True)
+        if pdf.empty:
+            return
+        pdf = pdf.sort_values(["key", "t", "event_id"], kind="mergesort").reset_index(drop=True)
+        starts, ends = _segments(pdf)
+        t_all = pdf["t"].to_numpy()
+        pid = int(pdf["_pid"].iloc[0])
+        # only the first and the last key of a partition can continue in a neighbour
+        for a, b in {(starts[0], ends[0]), (starts[-1], ends[-1])}:
+            t = t_all[a:b]
+            head = int(np.searchsorted(t, t[0] + ttl_us, side="right"))
+            upto = min(len(t), head + 1)   # the head plus the first event after it
+            out = _out_entries(t, ttl_us)
+            yield pd.DataFrame({"_pid": [pid], "key": [pdf["key"].iloc[a]],
+                                "head_t": [t[:upto].tolist()], "head_out": [out[:upto].tolist()],
+                                "n": [len(t)], "last_t": [int(t[-1])]})
+    return run
+
+
+def _chain(ttl_us: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pid")
+        a = None
+        rows = []
+        for pid, key, ht, ho, n in zip(pdf["_pid"], pdf["key"], pdf["head_t"], pdf["head_out"], pdf["n"]):
+            rows.append((int(pid), key, a))
+            ht = np.asarray(ht, dtype=np.int64)
+            ho = np.asarray(ho, dtype=np.int64)
+            if a is None:
+                a = int(ho[0])
+            else:
+                s = int(np.searchsorted(ht, a + ttl_us, side="right"))
+                if s < n:
+                    a = int(ho[s])
+        return pd.DataFrame(rows, columns=["_pid", "key", "a_in"]).astype({"a_in": "Int64"})
+    return run
+
+
+def _apply_states(ttl_us: int):
+    def run(batches):
+        pdf = pd.concat(list(batches), ignore_index=True)
+        if pdf.empty:
+            return
+        pdf = pdf.sort_values(["key", "t", "event_id"], kind="mergesort").reset_index(drop=True)
+        starts, ends = _segments(pdf)
+        t_all = pdf["t"].to_numpy()
+        a_all = pdf["a_in"].to_numpy()
+        hit = np.zeros(len(pdf), dtype=bool)
+        entry = np.zeros(len(pdf), dtype=np.int64)
+        for a, b in zip(starts, ends):
+            a_in = a_all[a]
+            a_in = None if pd.isna(a_in) else int(a_in)
+            h, e = _segment_fold(t_all[a:b], ttl_us, a_in)
+            hit[a:b], entry[a:b] = h, e
+        out = pdf[["key", "event_id", "ts"]].copy()
+        out["hit"] = hit
+        out["entry_ts"] = pd.to_datetime(entry * 1000)
+        yield out
+    return run
+
+
+def answer_reuse_ranged(log: DataFrame, ttl_seconds: int = ANSWER_TTL_SECONDS,
+                        partitions: int | None = None) -> DataFrame:
+    """H1 without any per-key group: the log is range-partitioned on (key, time),
+    so a key holding a large share of all events spreads over many partitions.
+
+    1. range-partition + sort, tag rows with their partition id, checkpoint
+       (both passes must see the same partitions; also cuts the lineage);
+    2. pass 1 summarises only the first and last key segment of each
+       partition (the only ones that may continue in a neighbour): the times
+       within TTL of the segment start and the entry time each restart leads to;
+    3. per key, the segment summaries (at most two per partition) are chained
+       to give each segment its incoming entry time;
+    4. pass 2 folds every partition with those incoming states, broadcast as a
+       table bounded by two rows per partition.
+    """
+    from demandlens.session import materialize
+
+    spark = log.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ttl_us = int(ttl_seconds) * 1_000_000
+    ts = F.col("ts").cast("timestamp")
+    x = (log.select("key", "event_id", ts.alias("ts"), F.unix_micros(ts).alias("t"))
+         .repartitionByRange(n, "key", "t", "event_id").sortWithinPartitions("key", "t", "event_id")
+         .withColumn("_pid", F.spark_partition_id()))
+    x = materialize(x)
+    summ = x.mapInPandas(_summaries(ttl_us), SUMMARY_SCHEMA)
+    states = summ.groupBy("key").applyInPandas(_chain(ttl_us), STATE_SCHEMA)
+    j = x.join(F.broadcast(states), ["_pid", "key"], "left")
+    return j.mapInPandas(_apply_states(ttl_us), REUSE_SCHEMA)
+
+
 def answer_reuse_stream(stream: DataFrame, ttl_seconds: int = ANSWER_TTL_SECONDS,
                         watermark: str = "1 hour") -> DataFrame:
     """H1 on a stream: keyed state holds the entry time; events arrive in

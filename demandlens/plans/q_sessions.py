@@ -61,7 +61,7 @@ fold(key, rn, event_id, ts, hit, entry_ts) AS (
 SELECT key, event_id, hit, entry_ts FROM fold""")
 def answer_reuse(spark, sf):
     """H1: per question, whether an answer cached at most 2 days earlier is reused."""
-    r = se.answer_reuse(question_log(spark, sf), TTL_SECONDS)
+    r = se.answer_reuse_ranged(question_log(spark, sf), TTL_SECONDS)
     return r.select("key", "event_id", "hit", "entry_ts")
 
 
@@ -82,6 +82,6 @@ SELECT split_part(key, ':', 2) AS event_type, count(*) AS n_questions,
        count(*) FILTER (WHERE hit) AS n_hits FROM fold GROUP BY ALL""")
 def reuse_rate(spark, sf):
     """H1 + A10: questions and cache hits per question type."""
-    r = se.answer_reuse(question_log(spark, sf), TTL_SECONDS)
+    r = se.answer_reuse_ranged(question_log(spark, sf), TTL_SECONDS)
     return (r.groupBy(F.split("key", ":").getItem(1).alias("event_type"))
             .agg(F.count(F.lit(1)).alias("n_questions"), F.count_if("hit").alias("n_hits")))

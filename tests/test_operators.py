@@ -280,3 +280,21 @@ def test_smote_balances_and_stays_on_segments(spark):
             if -1e-9 <= u <= 1 + 1e-9 and np.allclose(base + u * d, p):
                 ok = True
         assert ok
+
+
+def test_ranged_answer_reuse_equals_per_key_fold(spark):
+    rnd = random.Random(5)
+    t0 = dt.datetime(2024, 1, 1)
+    rows, eid = [], 0
+    for key, n in (("hot", 400), ("b", 30), ("c", 25), ("d", 3)):
+        t = 0
+        for _ in range(n):
+            t += rnd.choice([1, 30, 200, 599, 600, 601, 1500])
+            rows.append((key, eid, t0 + dt.timedelta(seconds=t)))
+            eid += 1
+    df = spark.createDataFrame(rows, "key string, event_id long, ts timestamp")
+    want = {r["event_id"]: (r["hit"], r["entry_ts"]) for r in se.answer_reuse(df, 600).collect()}
+    # 16 range partitions: the hot key spans many of them
+    got = {r["event_id"]: (r["hit"], r["entry_ts"])
+           for r in se.answer_reuse_ranged(df, 600, partitions=16).collect()}
+    assert got == want
