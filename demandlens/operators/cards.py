@@ -196,3 +196,38 @@ def publish_cards(cards: DataFrame, path: str) -> None:
     if dup:
         raise ValueError(f"duplicate card ids: {[r['id'] for r in dup]}")
     cards.write.mode("overwrite").partitionBy("type").parquet(path)
+
+
+def enrich_item_cards(cards: DataFrame, extras: DataFrame) -> DataFrame:
+    """Append keyword, neighbour, theme and text-priority sentences to item cards.
+
+    ``extras`` is keyed by ``item`` and may carry any of ``keywords``,
+    ``neighbours``, ``theme``, ``text_priority``; missing or empty values add
+    nothing (a theme of 'unknown' neither).
+    """
+    e = extras.select("item", *[F.col(c).alias("_" + c) for c in
+                                ("keywords", "neighbours", "theme", "text_priority") if c in extras.columns])
+
+    def part(c: str, sentence) -> Column | None:
+        return sentence if "_" + c in e.columns else None
+
+    parts = [
+        part("keywords", F.when(F.coalesce(F.col("_keywords"), F.lit("")) != "",
+                                F.concat(F.lit("Keywords: "), F.col("_keywords"), F.lit("."))))
+        if "_keywords" in e.columns else None,
+        part("neighbours", F.when(F.coalesce(F.col("_neighbours"), F.lit("")) != "",
+                                  F.concat(F.lit("Semantically similar skills: "), F.col("_neighbours"), F.lit("."))))
+        if "_neighbours" in e.columns else None,
+        part("theme", F.when(~F.coalesce(F.col("_theme"), F.lit("")).isin("", "unknown"),
+                             F.concat(F.lit("Skill cluster theme: "), F.col("_theme"), F.lit("."))))
+        if "_theme" in e.columns else None,
+        part("text_priority", F.when(F.col("_text_priority") > 0,
+                                     F.concat(F.lit("NLP-weighted gap priority: "), fmt("_text_priority", 3),
+                                              F.lit("."))))
+        if "_text_priority" in e.columns else None,
+    ]
+    parts = [p for p in parts if p is not None]
+    extra = F.concat_ws(" ", *parts) if parts else F.lit("")
+    j = cards.join(e, "item", "left")
+    return j.withColumn("text", F.when(extra != "", F.concat(F.col("text"), F.lit(" "), extra))
+                        .otherwise(F.col("text"))).select(*cards.columns)

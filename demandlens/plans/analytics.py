@@ -29,7 +29,8 @@ def scored_items(demand: DataFrame, coverage: DataFrame, focal: str,
     f = fe.feature_table(demand, coverage, focal, cube=cube)
     lo, hi = fe.year_bounds(cube)
     ncomp = cube.select(F.count_distinct("company")).scalar()
-    f = sc.demand_score(f).withColumn("n_companies", ncomp)
+    f = (sc.demand_score(f).withColumn("n_companies", ncomp)
+         .withColumn("year_lo", lo).withColumn("year_hi", hi))
     if prob is None:
         f = f.withColumn("gap_prob", F.col("demand_score"))
     else:

@@ -63,9 +63,15 @@ def _analysed(spark, sf):
     return materialize(an.analysed_items(d, coverage(spark, sf), FOCAL)), d
 
 
+def _table_values(items):
+    """Company count and year bounds, read from the checkpointed item table (not the log)."""
+    return (items.select(F.max("n_companies")).scalar(), items.select(F.min("year_lo")).scalar(),
+            items.select(F.max("year_hi")).scalar())
+
+
 def _item_cards(spark, sf):
     items, d = _analysed(spark, sf)
-    ncomp = d.select(F.count_distinct("company")).scalar()
+    ncomp, _, _ = _table_values(items)
     return cd.item_cards(items, FOCAL, ncomp, provider_count(coverage(spark, sf)), NAMES), items, d
 
 
@@ -154,19 +160,15 @@ SELECT 'gap_summary_{FOCAL}' AS id, 'gap_summary' AS type,
 @register("gap_summary_card", S.with_(ANALYSED[1:]) + GAP_SQL)
 def gap_summary_card(spark, sf):
     """The one gap summary card."""
-    items, d = _analysed(spark, sf)
-    cube = fe.demand_cube(d)
-    lo, hi = fe.year_bounds(cube)
-    ncomp = cube.select(F.count_distinct("company")).scalar()
+    items, _ = _analysed(spark, sf)
+    ncomp, lo, hi = _table_values(items)
     return cd.gap_summary_card(items, FOCAL, ncomp, lo, hi)
 
 
 def all_cards(spark, sf):
     """Every card of the collection (C1-C5), from one analysed item table."""
-    c, items, d = _item_cards(spark, sf)
-    cube = fe.demand_cube(d)
-    lo, hi = fe.year_bounds(cube)
-    ncomp = cube.select(F.count_distinct("company")).scalar()
+    c, items, _ = _item_cards(spark, sf)
+    ncomp, lo, hi = _table_values(items)
     return cd.all_cards(c, cd.trajectory_cards(items, FOCAL, NAMES), cd.watch_card(items, FOCAL, NAMES),
                         cd.coverage_cards(coverage(spark, sf)),
                         cd.gap_summary_card(items, FOCAL, ncomp, lo, hi))
@@ -197,3 +199,33 @@ def context_assembly(spark, sf):
     qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"),
                      F.lit(None).cast("string").alias("role"), F.col("text").alias("question"))
     return rt.assemble_context(qs, cards)
+
+
+from demandlens.plans.q_text import _KW_SQL as _KW_SQL_ANALYSED  # noqa: E402
+
+ITEM_TEXT_A = ITEM_TEXT
+
+
+@register("enriched_item_cards", S.with_(ANALYSED[1:]) + f""",
+kw AS (SELECT item, {_KW_SQL_ANALYSED} AS keywords FROM analysed),
+tok AS (SELECT trajectory, unnest(string_split(k, ', ')) AS tok FROM
+          (SELECT trajectory, {_KW_SQL_ANALYSED} AS k FROM analysed)),
+cnt AS (SELECT trajectory, tok, count(*) AS n FROM tok WHERE tok <> '' GROUP BY ALL),
+th AS (SELECT trajectory, string_agg(tok, ' / ' ORDER BY r) AS theme FROM (
+         SELECT *, row_number() OVER (PARTITION BY trajectory ORDER BY n DESC, tok) AS r FROM cnt)
+       WHERE r <= 4 GROUP BY trajectory)
+SELECT 'skill_' || replace(replace(a.item, ' ', '_'), '/', '_') AS id,
+       {ITEM_TEXT_A} || ' ' || concat_ws(' ',
+           CASE WHEN coalesce(kw.keywords, '') <> '' THEN 'Keywords: ' || kw.keywords || '.' END,
+           CASE WHEN coalesce(th.theme, '') NOT IN ('', 'unknown') THEN 'Skill cluster theme: ' || th.theme || '.' END)
+       AS text
+FROM analysed a JOIN kw USING (item) LEFT JOIN th ON th.trajectory = a.trajectory""")
+def enriched_item_cards(spark, sf):
+    """Item cards with their keywords (P7) and the theme of their trajectory group."""
+    from demandlens.operators import text as tx
+
+    c, items, _ = _item_cards(spark, sf)
+    kw = items.select("item", "trajectory", tx.keywords("item").alias("keywords"))
+    themes = tx.top_tokens(kw, "trajectory", "keywords", 4)
+    extras = kw.join(themes, "trajectory", "left").select("item", "keywords", "theme")
+    return cd.enrich_item_cards(c, extras).select("id", "text")
