@@ -3,7 +3,7 @@
 H2 and H3 are window / expression operators.  H1 is a sequential fold per
 cache key (an entry is written at a miss and is not refreshed by hits), so it
 runs as a grouped Arrow UDF over each key's time-ordered events; the
-streaming twin keeps the same per-key state with ``transformWithStateInPandas``.
+streaming twins live in ``demandlens.streaming``.
 """
 
 from __future__ import annotations
@@ -229,51 +229,3 @@ def answer_reuse_ranged(log: DataFrame, ttl_seconds: int = ANSWER_TTL_SECONDS,
     states = summ.groupBy("key").applyInPandas(_chain(ttl_us), STATE_SCHEMA)
     j = x.join(F.broadcast(states), ["_pid", "key"], "left")
     return j.mapInPandas(_apply_states(ttl_us), REUSE_SCHEMA)
-
-
-def answer_reuse_stream(stream: DataFrame, ttl_seconds: int = ANSWER_TTL_SECONDS,
-                        watermark: str = "1 hour") -> DataFrame:
-    """H1 on a stream: keyed state holds the entry time; events arrive in
-    micro-batches and are folded in event-time order within each batch.
-
-    Events later than the watermark are dropped by Spark before the state
-    update, which is the streaming definition of "late".
-    """
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-    from pyspark.sql.types import (BooleanType, LongType, StringType, StructField, StructType,
-                                   TimestampType)
-
-    ttl_us = int(ttl_seconds) * 1_000_000
-    out_schema = StructType([StructField("key", StringType()), StructField("event_id", LongType()),
-                             StructField("ts", TimestampType()), StructField("hit", BooleanType()),
-                             StructField("entry_ts", TimestampType())])
-
-    class Reuse(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.entry = handle.getValueState("entry", StructType([StructField("t", LongType())]))
-
-        def handleInputRows(self, key, rows, timerValues):
-            pdf = pd.concat(list(rows), ignore_index=True)
-            pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-            anchor = self.entry.get()[0] if self.entry.exists() else None
-            t = pdf["ts"].astype("int64").to_numpy() // 1000
-            # events still covered by the carried entry are hits; the rest fold as in batch
-            k = int(np.searchsorted(t, anchor + ttl_us, side="right")) if anchor is not None else 0
-            hits = np.ones(len(t), dtype=bool)
-            entry = np.full(len(t), anchor if anchor is not None else 0, dtype=np.int64)
-            if k < len(t):
-                h, e = fold_anchors(t[k:], ttl_us)
-                hits[k:], entry[k:] = h, e
-                anchor = int(e[-1])
-            self.entry.update((anchor,))
-            out = pdf[["key", "event_id", "ts"]].copy()
-            out["hit"] = hits
-            out["entry_ts"] = pd.to_datetime(pd.Series(entry, index=out.index) * 1000)
-            yield out
-
-        def close(self) -> None:
-            pass
-
-    return (stream.withWatermark("ts", watermark)
-            .groupBy("key")
-            .transformWithStateInPandas(Reuse(), out_schema, "append", "EventTime"))

@@ -52,3 +52,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
+
+
+def read_text_files(spark: SparkSession, folder: str, glob: str = "*.txt",
+                    recursive: bool = False) -> DataFrame:
+    """S3: every file of a folder that matches ``glob``, as (doc_id, path, text), UTF-8.
+
+    Spark lists and reads the files in parallel (``binaryFile``).  The order of
+    the original (files sorted by name) is the ``path`` column itself: later
+    steps order by it, nothing is ranked over the whole listing.
+    """
+    raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+           .option("recursiveFileLookup", str(recursive).lower()).load(folder))
+    return raw.select(F.xxhash64("path").alias("doc_id"), "path",
+                      F.decode(F.col("content"), "UTF-8").alias("text"))

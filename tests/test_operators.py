@@ -320,3 +320,19 @@ def test_csv_sources_declared_schema_and_cleaning(spark):
     out = os.path.join(d, "out")
     files.write_table(files.read_coverage_csv(spark, os.path.join(d, "cov.csv")), out, "csv")
     assert spark.read.option("header", True).csv(out).count() == 2
+
+
+def test_text_files_become_pages(spark):
+    import os
+    import tempfile
+
+    from demandlens.sources import files
+
+    d = tempfile.mkdtemp(prefix="dl-txt-")
+    for name, body in (("b.txt", "y" * 120 + "\nshort"), ("a.txt", "x" * 150), ("skip.md", "z" * 200)):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(body)
+    docs = files.read_text_files(spark, d)
+    assert sorted(os.path.basename(r["path"]) for r in docs.collect()) == ["a.txt", "b.txt"]
+    pages = ex.kept_pages(ex.document_pages(docs.select("doc_id", "text")))
+    assert pages.count() == 2

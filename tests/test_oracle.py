@@ -1,8 +1,10 @@
-"""Every registered query against its DuckDB oracle on the smallest test tables."""
+"""Every registered query against its DuckDB oracle on the smallest test tables,
+and the shape of its physical plan (one build per query)."""
 
 import pytest
 
 from tests.oracle_harness import compare, duck
+from tests.plan_checks import MODEL_QUERIES, assert_plan_shape
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,10 +21,13 @@ def con():
 
 
 @pytest.mark.parametrize("name", _names())
-def test_query_matches_oracle(spark, con, name):
+def test_query_matches_oracle_and_plan(spark, con, name):
     import __spark_entry__ as E
 
-    info = compare(spark, con, name, E.queries()[name], E.oracle_sql().get(name), SF)
+    df = E.queries()[name](spark, SF)
+    if name not in MODEL_QUERIES:
+        assert_plan_shape(name, df)
+    info = compare(spark, con, name, lambda s, sf: df, E.oracle_sql().get(name), SF)
     assert info["ok"] is not False, info
 
 
