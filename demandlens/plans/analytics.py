@@ -25,7 +25,8 @@ def scored_items(demand: DataFrame, coverage: DataFrame, focal: str,
     one struct scalar subquery over that small table instead of a re-run of
     the feature plan per statistic.
     """
-    cube = fe.cached_cube(demand)
+    # the cube is the only log-sized step: write it once, every feature branch reads it
+    cube = materialize(fe.demand_cube(demand)) if checkpoint else fe.cached_cube(demand)
     f = fe.feature_table(demand, coverage, focal, cube=cube)
     lo, hi = fe.year_bounds(cube)
     ncomp = cube.select(F.count_distinct("company")).scalar()
@@ -38,7 +39,6 @@ def scored_items(demand: DataFrame, coverage: DataFrame, focal: str,
     f = sc.lag_index(f, hi, lo)
     if checkpoint:
         f = materialize(f)
-        cube.unpersist()
     st = sc.score_stats(f)
     f = sc.weak_label(f, threshold=st["q_demand_score"])
     f = sc.watch_list(f, F.col("n_companies"), upcoming_type, median=st["median_volatility"])
