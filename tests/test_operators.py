@@ -336,3 +336,30 @@ def test_text_files_become_pages(spark):
     assert sorted(os.path.basename(r["path"]) for r in docs.collect()) == ["a.txt", "b.txt"]
     pages = ex.kept_pages(ex.document_pages(docs.select("doc_id", "text")))
     assert pages.count() == 2
+
+
+def test_dead_letter_split_and_overlay(spark):
+    chunks = spark.createDataFrame([(1, 0, ex.PAGE_BREAK.join(["p one", "p two", "p three"]))],
+                                   "doc_id long, chunk_no int, text string")
+    parts = ex.split_chunks(chunks).orderBy("part_no").collect()
+    assert [p["text"] for p in parts] == ["p one", "p two", "p three"]
+    rows = spark.createDataFrame([("c", "a", 1)], "course string, item string, semester int")
+    manual = spark.createDataFrame([("c", "a", 1), ("c", "b", 2)], "course string, item string, semester int")
+    assert sorted(tuple(r) for r in ex.overlay(rows, manual).collect()) == [("c", "a", 1), ("c", "b", 2)]
+
+
+def test_boosted_trees_and_forest_probabilities(spark):
+    from demandlens.operators import learn as ln
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 2))
+    rows = [(f"i{i}", int(x[i, 0] + 0.3 * x[i, 1] > 0.4), float(x[i, 0]), float(x[i, 1])) for i in range(80)]
+    df = spark.createDataFrame(rows, "item string, label int, a double, b double")
+    gbt = ln.fit_gbt(df, ["a", "b"], maxIter=5)
+    rf = ln.fit_forest(df, ["a", "b"], numTrees=10)
+    for m in (gbt, rf):
+        p = ln.positive_probability(m, df, ["a", "b"])
+        assert p.count() == 80
+        assert ln.roc_auc(p, "prob") > 0.75
+    imp = ln.feature_importance(rf, ["a", "b"])
+    assert imp[0][0] == "a"
