@@ -163,7 +163,12 @@ def feature_table(demand: DataFrame, coverage: DataFrame, focal: str,
     """
     from demandlens.operators.coverage import coverage_flags
 
-    cube = cube if cube is not None else cached_cube(demand)
+    if cube is None:
+        # every branch below reads the cube: write it once (a persisted cube would stay
+        # pinned in executor memory after the query; the written one is cleaned up)
+        from demandlens.session import materialize
+
+        cube = materialize(demand_cube(demand))
     f = (item_trends(cube)
          .join(company_spread(cube), "item")
          .join(trajectory(cube), "item", "left")

@@ -27,6 +27,15 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.coverage_catalogue(spark, sf_dir)
 
 
+def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The demand cube written once to the checkpoint folder (for queries that read it
+    in several branches: each branch then scans a small table, not the joined log)."""
+    from demandlens.operators.features import demand_cube
+    from demandlens.session import materialize
+
+    return materialize(demand_cube(demand(spark, sf_dir)))
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from demandlens.operators.features import feature_table
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demandlens.operators import cards as cd
-from demandlens.operators import features as fe
 from demandlens.operators.coverage import provider_count
 from demandlens.plans import analytics as an
 from demandlens.plans import sqlbase as S
 from demandlens.plans.common import FOCAL, coverage, demand
 from demandlens.plans.q_scoring import PAIRS, SCORED
+from demandlens.plans.q_text import _KW_SQL as KW_SQL
 from demandlens.plans.registry import register
 from demandlens.session import materialize
 from demandlens.sources import tables
@@ -201,21 +201,16 @@ def context_assembly(spark, sf):
     return rt.assemble_context(qs, cards)
 
 
-from demandlens.plans.q_text import _KW_SQL as _KW_SQL_ANALYSED  # noqa: E402
-
-ITEM_TEXT_A = ITEM_TEXT
-
-
 @register("enriched_item_cards", S.with_(ANALYSED[1:]) + f""",
-kw AS (SELECT item, {_KW_SQL_ANALYSED} AS keywords FROM analysed),
+kw AS (SELECT item, {KW_SQL} AS keywords FROM analysed),
 tok AS (SELECT trajectory, unnest(string_split(k, ', ')) AS tok FROM
-          (SELECT trajectory, {_KW_SQL_ANALYSED} AS k FROM analysed)),
+          (SELECT trajectory, {KW_SQL} AS k FROM analysed)),
 cnt AS (SELECT trajectory, tok, count(*) AS n FROM tok WHERE tok <> '' GROUP BY ALL),
 th AS (SELECT trajectory, string_agg(tok, ' / ' ORDER BY r) AS theme FROM (
          SELECT *, row_number() OVER (PARTITION BY trajectory ORDER BY n DESC, tok) AS r FROM cnt)
        WHERE r <= 4 GROUP BY trajectory)
 SELECT 'skill_' || replace(replace(a.item, ' ', '_'), '/', '_') AS id,
-       {ITEM_TEXT_A} || ' ' || concat_ws(' ',
+       {ITEM_TEXT} || ' ' || concat_ws(' ',
            CASE WHEN coalesce(kw.keywords, '') <> '' THEN 'Keywords: ' || kw.keywords || '.' END,
            CASE WHEN coalesce(th.theme, '') NOT IN ('', 'unknown') THEN 'Skill cluster theme: ' || th.theme || '.' END)
        AS text

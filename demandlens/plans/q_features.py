@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from demandlens.operators import coverage as cov
 from demandlens.operators import features as fe
 from demandlens.plans import sqlbase as S
-from demandlens.plans.common import (FEATURE_COLS, FOCAL, coverage, demand, features, r6,
-                                     sql_typed, typed)
+from demandlens.plans.common import FEATURE_COLS, FOCAL, coverage, demand, features, r6  # noqa: F401
+from demandlens.plans.common import cube as cube_of
+from demandlens.plans.common import sql_typed, typed
 from demandlens.plans.registry import register
 
 # --- step 1: minimum slice -------------------------------------------------
@@ -101,7 +102,7 @@ def focal_gap_summary(spark, sf):
 SELECT item, transition, CAST(threshold_year AS INTEGER) AS threshold_year
 FROM features WHERE transition IS NOT NULL""")
 def type_transitions(spark, sf):
-    cube = fe.demand_cube(demand(spark, sf))
+    cube = cube_of(spark, sf)
     tr = fe.type_transitions(cube).where(F.col("transition").isNotNull())
     th = fe.item_trends(cube).select("item", F.col("threshold_year").cast("int"))
     return tr.join(th, "item", "left")
@@ -136,7 +137,7 @@ SELECT CAST(threshold_year AS INTEGER) AS threshold_year, count(*) AS n_items
 FROM features GROUP BY threshold_year""")
 def threshold_years(spark, sf):
     """Distribution of threshold years."""
-    t = fe.item_trends(fe.demand_cube(demand(spark, sf)))
+    t = fe.item_trends(cube_of(spark, sf))
     return t.groupBy(F.col("threshold_year").cast("int").alias("threshold_year")).agg(
         F.count(F.lit(1)).alias("n_items"))
 
@@ -156,6 +157,6 @@ def trend_by_trajectory(spark, sf):
 def change_point_years(spark, sf):
     """T7 (opt-in): change-point year per item (RBF cost, penalty 1, min size 2, jump 1),
     T6 fallback.  Rows-only check: no SQL twin of the kernel segmentation."""
-    cube = fe.demand_cube(demand(spark, sf))
+    cube = cube_of(spark, sf)
     b = cube.agg(F.min("year").alias("lo"), F.max("year").alias("hi")).first()  # two numbers
     return fe.change_point_years(cube, int(b["lo"]), int(b["hi"]))
