@@ -3,8 +3,10 @@
 All work runs on one compact aggregate of the demand log, the *cube*
 ``(item, year, company, item_type) -> n``.  The cube is built with a
 partial (map-side) aggregation, so a hot item costs one row per task before
-the shuffle; every feature below reads the cube, and Spark reuses its
-exchange wherever the same cube feeds several branches of one plan.
+the shuffle.  Every feature below reads the cube; the branches prune it
+differently, so Spark would not reuse one exchange for all of them, and
+``feature_table`` therefore writes the cube once (checkpoint) and lets every
+branch scan that small table.
 
 Global scalars (first/last year, number of companies) are scalar subqueries
 over small aggregates, never collected on the driver.
