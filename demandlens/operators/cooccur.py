@@ -38,6 +38,15 @@ def pair_counts(baskets: DataFrame, tile_size: int = 512, max_tiles: int = 64) -
     return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("co_count"))
 
 
+def pair_table(demand: DataFrame, basket: str = "basket") -> DataFrame:
+    """G1 written once to the checkpoint folder, for plans that read the pairs
+    several times (both edge directions, neighbours, propagation): without it
+    each reference re-runs the demand join and the basket self-join."""
+    from demandlens.session import materialize
+
+    return materialize(pair_counts(basket_items(demand, basket)))
+
+
 def undirected_edges(pairs: DataFrame) -> DataFrame:
     """Both directions of every edge: (item, neighbour, weight)."""
     a = pairs.select(F.col("item_a").alias("item"), F.col("item_b").alias("neighbour"),

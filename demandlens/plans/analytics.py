@@ -49,7 +49,7 @@ def scored_items(demand: DataFrame, coverage: DataFrame, focal: str,
 
 def with_graph(items: DataFrame, demand: DataFrame, n_top: int = 3) -> DataFrame:
     """Add propagated gap weight (G3) and top co-occurring items."""
-    pairs = co.pair_counts(co.basket_items(demand))
+    pairs = co.pair_table(demand)
     out = co.propagate_gaps(items, pairs)
     top = co.top_neighbours(pairs, n_top)
     return out.join(top, "item", "left").withColumn(

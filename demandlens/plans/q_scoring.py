@@ -165,7 +165,7 @@ SELECT (SELECT count(DISTINCT item) FROM edges) AS n_nodes, (SELECT count(*) FRO
        (SELECT count(*) FROM pairs WHERE co_count = 1) AS n_weight_one""")
 def graph_summary(spark, sf):
     """Nodes, edges, heaviest edge, edges of weight one."""
-    return co.graph_summary(co.pair_counts(co.basket_items(demand(spark, sf))))
+    return co.graph_summary(co.pair_table(demand(spark, sf)))
 
 
 @register("top_cooccurring", S.with_(PAIRS[1:]) + """
@@ -174,7 +174,7 @@ SELECT item, string_agg(neighbour, ', ' ORDER BY r) AS top_cooccurring FROM (
   FROM edges) WHERE r <= 3 GROUP BY item""")
 def top_cooccurring(spark, sf):
     """Three heaviest neighbours per item."""
-    return co.top_neighbours(co.pair_counts(co.basket_items(demand(spark, sf))), 3)
+    return co.top_neighbours(co.pair_table(demand(spark, sf)), 3)
 
 
 @register("gap_propagation", S.with_(SCORED[1:] + "," + PAIRS[1:].replace("demand AS (", "demand2 AS (", 1)
@@ -188,5 +188,5 @@ def gap_propagation(spark, sf):
     """One-step spread of gap probability to co-occurring items."""
     d = demand(spark, sf)
     f = an.scored_items(d, coverage(spark, sf), FOCAL)
-    out = co.propagate_gaps(f, co.pair_counts(co.basket_items(d)))
+    out = co.propagate_gaps(f, co.pair_table(d))
     return out.select("item", "propagated_gap")
