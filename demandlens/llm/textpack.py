@@ -99,7 +99,8 @@ class Words:
         self.end = np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.start, offs)  # words of row r: bounds[r]..bounds[r+1]
         self.row = np.repeat(np.arange(len(offs) - 1), np.diff(self.bounds))
-        self.hash = range_hash(prefix(b), self.start, self.end)
+        self.prefix = prefix(b)
+        self.hash = range_hash(self.prefix, self.start, self.end)
 
 
 def prefix(b: np.ndarray) -> np.ndarray:
