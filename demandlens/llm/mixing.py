@@ -76,7 +76,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     return copies.withColumn("shuffle_key", key).repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
 
 
-def oracle(docs: str = "documents", alpha: float = 0.5, seed: int = 17, columns: str = "d.*") -> str:
+def oracle(docs: str = "documents", alpha: float = 0.5, seed: int = 17) -> str:
     """DuckDB SQL for mix_sources() with default weights."""
     return f"""
 WITH w AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {alpha}) AS w FROM {docs} GROUP BY source),
@@ -86,4 +86,4 @@ c AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PART
 u AS (SELECT d.*, ('0x' || substr(md5('{seed}:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, {DIGITS}))::BIGINT / {float(16 ** DIGITS)!r} AS _u FROM {docs} d),
 e AS (SELECT u.*, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.cdf <= u._u) AS _n FROM u),
 x AS (SELECT e.*, unnest(generate_series(1, _n)) AS copy_no FROM e)
-SELECT {columns}, CAST(d.copy_no AS INTEGER) AS copy_no, md5('order{seed}:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || d.copy_no) AS shuffle_key FROM x d"""
+SELECT d.* EXCLUDE (_u, _n, copy_no), CAST(d.copy_no AS INTEGER) AS copy_no, md5('order{seed}:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || d.copy_no) AS shuffle_key FROM x d"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import mixing, pii, toxicity
+from demandlens.llm import decontam, mixing, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,12 @@ def op1_toxicity(spark, sf_dir):
         (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "rejected")
 
 
+@query(decontam.oracle())
+def op2_decontamination(spark, sf_dir):
+    """Verified overlaps of documents with benchmark items."""
+    return decontam.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query(mixing.oracle())
 def op9_poisson_mixing(spark, sf_dir):
     """Documents replicated to source weights of rows ** 0.5, globally shuffled."""
