@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import decontam, mixing, pii, toxicity
+from demandlens.llm import decontam, jaccard, mixing, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,12 @@ def op2_decontamination(spark, sf_dir):
     return decontam.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op5_ngram_jaccard(spark, sf_dir):
+    """Components of documents linked by 4-word shingle sets at a Jaccard index of 0.85."""
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 @query(mixing.oracle())
 def op9_poisson_mixing(spark, sf_dir):
     """Documents replicated to source weights of rows ** 0.5, globally shuffled."""
