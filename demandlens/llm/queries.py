@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import decontam, jaccard, mixing, pii, toxicity
+from demandlens.llm import decontam, embed_dedup, jaccard, mixing, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,6 +48,12 @@ def op5_ngram_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+@query(embed_dedup.oracle())
+def op6_embedding_dedup(spark, sf_dir):
+    """Near-duplicate vectors of one label at a cosine of 0.93."""
+    return embed_dedup.embedding_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 @query(mixing.oracle())
 def op9_poisson_mixing(spark, sf_dir):
     """Documents replicated to source weights of rows ** 0.5, globally shuffled."""
