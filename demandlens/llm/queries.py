@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import chat_format, decontam, embed_dedup, jaccard, mixing, pii, toxicity
+from demandlens.llm import chat_format, decontam, embed_dedup, jaccard, lm_score, mixing, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,6 +64,14 @@ def op6_embedding_dedup(spark, sf_dir):
     return embed_dedup.embedding_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+@query(lm_score.oracle())
+def op8_lm_scoring(spark, sf_dir):
+    """Trigram stupid-backoff score of every document under all others."""
+    scored = lm_score.lm_scores(read(spark, sf_dir, "documents"), order=3)
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"),
+                         F.round("mean_log_score", 4).alias("mean_log_score"))
+
+
 @query(mixing.oracle())
 def op9_poisson_mixing(spark, sf_dir):
     """Documents replicated to source weights of rows ** 0.5, globally shuffled."""
