@@ -280,3 +280,22 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
     out = found.unionAll(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("c")))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(back("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), back("c").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+             max_broadcast_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """The rows of docs (all columns) that are the smallest id of their component; of rows that
+    repeat an id and text one stays.  Rows without words and rows with a null id always stay."""
+    found = staged(jaccard_components(docs, shingle, percent, id_col, text_col), "components")
+    gone = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    again = staged(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "again")
+
+    def sized(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= max_broadcast_ids else ids
+
+    kept = docs.join(sized(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    if again.isEmpty():
+        return kept
+    again = sized(again)
+    once = kept.join(again, F.col(id_col) == F.col("_again"), "left_anti")
+    return once.unionAll(kept.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col, text_col]))
