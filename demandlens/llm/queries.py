@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import chat_format, decontam, embed_dedup, jaccard, lm_score, mixing, pii, toxicity
+from demandlens.llm import chat_format, decontam, embed_dedup, fm_dedup, jaccard, lm_score, mixing, pii, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,12 @@ def op2_decontamination(spark, sf_dir):
     return decontam.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op3_suffix_dedup(spark, sf_dir):
+    """Bytes of every document that repeat a 100-byte string, removed."""
+    return suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents")).drop("kept")
+
+
 @query()
 def op4_chat_format(spark, sf_dir):
     """Digests of all conversations and one with control strings, read back from the packed tree."""
@@ -64,6 +70,12 @@ def op6_embedding_dedup(spark, sf_dir):
     return embed_dedup.embedding_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+@query()
+def op7_substring_dedup(spark, sf_dir):
+    """Words of every document that repeat a window of 20 words, removed."""
+    return fm_dedup.remove_repeated_words(read(spark, sf_dir, "documents")).drop("kept")
+
+
 @query(lm_score.oracle())
 def op8_lm_scoring(spark, sf_dir):
     """Trigram stupid-backoff score of every document under all others."""
