@@ -223,6 +223,9 @@ def removed_spans(docs: DataFrame, length: int, k: int, words: bool, solve: Solv
         where = np.cumsum(size) - size
         # Anchors stay together; batches of anchors hold a bounded number of symbols.
         by = np.lexsort((off, tie, doc, anchor))
+        twin = np.zeros(len(by), bool)  # repeated rows send one place several times
+        twin[1:] = np.all([c[by][1:] == c[by][:-1] for c in (anchor, doc, tie, off)], axis=0)
+        by = by[~twin]
         total = np.cumsum(size[by])
         edge = np.append(np.flatnonzero(anchor[by][1:] != anchor[by][:-1]) + 1, len(by))
         at = 0
