@@ -10,10 +10,14 @@ linked sets share at least one.  Two groups more than needed (and one in 16) let
 out its empty parts; where it has more of them than that, it keeps them.
 
 Work in steps: identical sets are one class from the start (by size and 128 hash bits);
-signatures are dealt by hash in packed Arrow rows; a bucket's members are first compared with its smallest
-member only; components are formed; then only members of one bucket that are still in
-different components are compared.  So a group of n near copies costs n comparisons, and no
-link between components is lost.
+signatures are dealt by hash in packed Arrow rows.  First, a bucket's members are compared with
+one hub only, the member that is in the most buckets; components are formed.  Then members of
+one bucket that are still in different components are compared, first each with its nearest of every other
+component, and after new components are formed, all that are left.  A pair is a candidate only if the
+parity sketches of the two sets allow it: a sketch is the set hashed into bits by exclusive or, and two
+sketches differ in no more bits than the sets differ in features, so no link is lost.
+Sketches are compared inside tasks, in tiles of a bucket, and only surviving pairs become rows; their
+sets are then intersected.
 
 Edge cases: a null or empty text or one without words has an empty set and links with nothing;
 texts with fewer words than a shingle are one feature; very long texts are used whole; rows
@@ -38,6 +42,9 @@ from demandlens.llm.stage import components, partitions, staged
 U64 = np.uint64
 NO_ID = -(1 << 63)
 MAX_BROADCAST_IDS = 1_000_000
+SKETCH_BITS = 512   # of sets with up to 2 * SKETCH_BITS features, doubled with the size beyond
+TILE = 2048         # members of a bucket that are compared in one task with as many others
+BLOCK_PAIRS = 200_000
 
 
 def bands(max_size: int, percent: int) -> list[tuple[int, int]]:
@@ -63,6 +70,19 @@ def scheme(top: int, percent: int) -> tuple[int, int, int, int]:
     return need + spare, 2, 1, spare
 
 
+def sketch_level(n: int) -> int:
+    return max(0, int(n) - 1).bit_length() - (2 * SKETCH_BITS).bit_length() + 1 if n > 2 * SKETCH_BITS else 0
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, longer ones folded to ``size`` bytes."""
+    out = np.empty((len(sketches), size // 8), U64)
+    for i, x in enumerate(sketches):
+        w = np.frombuffer(x, U64)
+        out[i] = np.bitwise_xor.reduce(w.reshape(-1, size // 8), axis=0)
+    return out
+
+
 class Sets:
     """Distinct shingle hashes of the rows of a chunk, sorted by row and hash."""
 
@@ -91,6 +111,16 @@ class Sets:
     def _sums(x):
         return np.concatenate([np.zeros(1, U64), np.cumsum(x, dtype=U64)])
 
+    def sketches(self) -> list[bytes]:
+        """Parity sketch of every row."""
+        level = np.array([sketch_level(n) for n in self.size])
+        bits = SKETCH_BITS << level
+        at = np.cumsum(bits) - bits
+        flip = at[self.row] + (tp.mix(self.hash ^ U64(0xA0761D6478BD642F)) & (bits[self.row] - 1).astype(U64)).astype(np.int64)
+        odd = np.bincount(flip, minlength=int(bits.sum())) & 1
+        packed = np.packbits(odd.astype(np.uint8))
+        return [packed[a // 8:(a + b) // 8].tobytes() for a, b in zip(at, bits)]
+
     def signatures(self, pick: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """(signature, row) of the picked rows."""
         if not len(pick):
@@ -152,20 +182,19 @@ class Sets:
 
 
 def _classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, k1, k2) of every row."""
+    """(doc_id, n, k1, k2, sketch) of every row."""
     def run(batches):
         for b in batches:
             for lo, hi, buf, offs in tp.chunks(b.column(1)):
                 s = Sets(buf, offs, n)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(s.size), *(pa.array(k.view(np.int64)) for k in s.key)],
-                    ["doc_id", "n", "k1", "k2"])
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint")
+                    [b.column(0).slice(lo, hi - lo), pa.array(s.size), *(pa.array(k.view(np.int64)) for k in s.key),
+                     pa.array(s.sketches(), pa.binary())], ["doc_id", "n", "k1", "k2", "sketch"])
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sketch binary")
 
 
 def _buckets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(bucket, k1, n, hub): members of every signature that several sets have; hub is the
-    smallest member."""
+    """(bucket, k1): members of every signature that several sets have."""
     count = partitions(docs.sparkSession)
     deal = U64(2 * count)
 
@@ -182,17 +211,15 @@ def _buckets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 used = np.flatnonzero(np.diff(cut))
                 pack = lambda a: pa.array([a[cut[p]:cut[p + 1]].tobytes() for p in used], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(used.astype(np.int32)), pack(sig), pack(s.key[0][row]), pack(s.size[row].astype(np.int32))],
-                    ["part", "sig", "k1", "n"])
+                    [pa.array(used.astype(np.int32)), pack(sig), pack(s.key[0][row])], ["part", "sig", "k1"])
 
     def meet(batches):
-        got = [(np.frombuffer(r[1].as_py(), U64), np.frombuffer(r[2].as_py(), np.int64), np.frombuffer(r[3].as_py(), np.int32))
-               for b in batches for r in zip(*b.columns)]
+        got = [(np.frombuffer(r[1].as_py(), U64), np.frombuffer(r[2].as_py(), np.int64)) for b in batches for r in zip(*b.columns)]
         if not got:
             return
-        sig, k1, size = (np.concatenate(x) for x in zip(*got))
+        sig, k1 = (np.concatenate(x) for x in zip(*got))
         order = np.argsort(sig, kind="stable")
-        sig, k1, size = sig[order], k1[order], size[order]
+        sig, k1 = sig[order], k1[order]
         start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         many = np.diff(np.append(start, len(sig))) > 1
         low, high = np.minimum.reduceat(k1, start), np.maximum.reduceat(k1, start)
@@ -205,11 +232,88 @@ def _buckets(docs: DataFrame, n: int, percent: int) -> DataFrame:
         at = at[new]
         for i in range(0, len(at), 100_000):
             x = at[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[x].view(np.int64)), pa.array(k1[x]), pa.array(size[x].astype(np.int64)),
-                                              pa.array(low[group[x]])], ["bucket", "k1", "n", "hub"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[x].view(np.int64)), pa.array(k1[x])], ["bucket", "k1"])
+
+    packed = docs.select("text").mapInArrow(emit, "part int, sig binary, k1 binary")
+    return packed.repartition(count, "part").mapInArrow(meet, "bucket bigint, k1 bigint")
+
 
-    packed = docs.select("text").mapInArrow(emit, "part int, sig binary, k1 binary, n binary")
-    return packed.repartition(count, "part").mapInArrow(meet, "bucket bigint, k1 bigint, n bigint, hub bigint")
+def _allowed(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n and m whose sketches differ in ``apart`` bits can be linked."""
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (apart <= (n + m) * (100 - percent) // (100 + percent))
+
+
+def _sketched(pairs: DataFrame, name: DataFrame, percent: int) -> DataFrame:
+    """Pairs (k1, k) of set keys as pairs (a, b) of representatives that their sketches allow."""
+    def run(batches):
+        for b in batches:
+            n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
+            x, y = b.column(3).to_pylist(), b.column(5).to_pylist()
+            ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            for i in np.flatnonzero(ok):
+                size = min(len(x[i]), len(y[i]))
+                u, v = folded([x[i], y[i]], size)
+                ok[i] = _allowed(n[i], m[i], np.bitwise_count(u ^ v).sum(dtype=np.int64), percent)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    other = name.select(F.col("k1").alias("k"), F.col("rep").alias("other"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    both = (pairs.join(name, "k1").join(other, "k").filter("rep <> other")
+            .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"), "n", F.col("sketch").alias("x"), "m", "y"))
+    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _across(members: DataFrame, name: DataFrame, groups: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of representatives that share a bucket but no component and that their sketches
+    allow; with nearest only each one's nearest in every other component."""
+    label = name.join(groups, F.col("rep") == F.col("id"), "left").select("k1", "rep", "n", "sketch", F.coalesce("component", "rep").alias("c"))
+    label = staged(label, "label")
+    seen = members.join(label.select("k1", "rep", "c"), "k1")
+    open_ = staged(seen.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"))
+                   .filter("lo <> hi").select("bucket", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "open")
+    block = F.pmod(F.xxhash64("k1"), "blocks").cast("int")
+    tiles = (members.join(open_, "bucket").withColumn("block", block)
+             .select("bucket", "k1", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+             .select("k1", "block", F.concat_ws(":", "bucket", F.least("block", "with"), F.greatest("block", "with")).alias("tile"),
+                     (F.col("block") != F.col("with")).alias("cross")))
+    rows = tiles.join(label, "k1").select("tile", "cross", "block", "rep", "n", "c", "sketch")
+
+    def compare(batches):
+        got = list(batches)
+        if not got or not sum(b.num_rows for b in got):
+            return
+        t = pa.Table.from_batches(got)
+        tile, cross, block, rep_, n, c = (t.column(i).to_numpy() for i in range(6))
+        sketch = t.column(6)
+        code = np.unique(tile, return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        cuts = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
+            x = order[lo:hi]
+            if len(x) < 2 or (c[x] == c[x[0]]).all():
+                continue
+            cells = [s.as_py() for s in sketch.take(pa.array(x))]
+            bits = folded(cells, min(map(len, cells)))
+            out = [[], [], []]
+            step = max(1, BLOCK_PAIRS // (len(x) * bits.shape[1]))
+            for i0 in range(0, len(x), step):
+                left = slice(i0, i0 + step)
+                apart = np.bitwise_count(bits[left, None] ^ bits[None, i0:]).sum(axis=2, dtype=np.int64)
+                ok = _allowed(n[x][left, None], n[x][None, i0:], apart, percent) & (c[x][left, None] != c[x][None, i0:])
+                if cross[x[0]]:
+                    ok &= block[x][left, None] != block[x][None, i0:]
+                i, j = np.nonzero(np.triu(ok, 1))
+                for o, v in zip(out, (i + i0, j + i0, apart[i, j])):
+                    o.append(v)
+            i, j, apart = (np.concatenate(o) for o in out)
+            if nearest:
+                best = np.lexsort((apart, c[x][j], i))
+                i, j = i[best], j[best]
+                first = np.append(True, (i[1:] != i[:-1]) | (c[x][j][1:] != c[x][j][:-1])) if len(i) else np.zeros(0, bool)
+                i, j = i[first], j[first]
+            a, b_ = rep_[x][i], rep_[x][j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b_)), pa.array(np.maximum(a, b_))], ["a", "b"])
+
+    return rows.repartition(2 * partitions(members.sparkSession), "tile").mapInArrow(compare, "a bigint, b bigint").filter("a <> b").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -249,33 +353,21 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     rows = staged(_classes(docs, shingle), "classes")
     full = rows.filter("n > 0")
-    reps = staged(full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
+    name = staged(full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "reps")
     members = staged(_buckets(docs, shingle, percent), "buckets")
-    compatible = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    name = reps.select("k1", "rep", "n")
-
-    def named(pairs: DataFrame) -> DataFrame:
-        """Pairs of set keys as pairs of representatives, with different sets and sizes that fit."""
-        return (pairs.join(name, "k1").join(name.select(F.col("k1").alias("k"), F.col("rep").alias("other"), F.col("n").alias("m")), "k")
-                .filter((F.col("rep") != F.col("other")) & compatible)
-                .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
-
-    first = staged(named(members.filter("k1 <> hub").select("k1", F.col("hub").alias("k")).distinct()), "pairs")
-    links = staged(_verified(docs, first, shingle, percent), "links")
-    groups = staged(components(links), "groups")
-    # Set key -> component so far; then the buckets that still hold several components.
-    label = name.join(groups, F.col("rep") == F.col("id"), "left").select("k1", F.coalesce("component", "rep").alias("c"))
-    label = staged(label.groupBy("k1").agg(F.min("c").alias("c")), "label")
-    seen = staged(members.select("bucket", "k1", "n").join(label, "k1"), "seen")
-    open_ = seen.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = staged(seen.join(staged(open_, "open"), "bucket"), "rest")
-    other = rest.select("bucket", F.col("k1").alias("k"), F.col("n").alias("m"), F.col("c").alias("d"))
-    second = rest.join(other, "bucket").filter((F.col("c") < F.col("d")) & compatible).select("k1", "k").distinct()
-    second = staged(named(second).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = staged(_verified(docs, second, shingle, percent), "links")
-    # Identical sets under several ids link to their representative; then all ids get labels.
-    final = staged(components(links.unionAll(more)), "groups")
-    keyed = full.join(reps, ["n", "k1", "k2"])
+    degree = members.groupBy("k1").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = staged(members.join(degree, "k1"), "degrees")
+    hubs = staged(ranked.groupBy("bucket").agg(F.max(F.struct("degree", "k1")).alias("hub")).select("bucket", F.col("hub.k1").alias("k")), "hubs")
+    first = members.join(hubs, "bucket").filter("k1 <> k").select("k1", "k").distinct()
+    tested = staged(_sketched(first, name, percent), "pairs")
+    links = staged(_verified(docs, tested, shingle, percent), "links")
+    final = staged(components(links), "groups")
+    for nearest in (True, False):
+        more = staged(_across(members, name, final, percent, nearest).join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionAll(staged(_verified(docs, more, shingle, percent), "links"))
+        tested = tested.unionAll(more)
+        final = staged(components(links), "groups")
+    keyed = full.drop("sketch").join(name.drop("sketch"), ["n", "k1", "k2"])
     found = keyed.join(final, F.col("rep") == F.col("id"), "left").select("doc_id", "n", F.coalesce("component", "rep").alias("c"))
     out = found.unionAll(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("c")))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
