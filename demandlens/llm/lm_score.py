@@ -14,10 +14,12 @@ and non-ASCII characters.
 
 To keep the shuffle small, n-grams travel packed: documents are dealt into chunks of about
 ``chunk_bytes`` by a hash of id and text; a chunk sends each part of the table the sorted
-hashes of its distinct n-grams with their counts, as one row with byte-packed differences; the
-part adds the counts up and answers each row with corpus counts in the same order; the chunk's
-texts meet the answers in a cogroup by chunk.  A frequent n-gram is one entry for each chunk.
-Hashes have 56 bits: in a corpus of N n-grams about N / 2**56 of them share a count.
+hashes of its distinct n-grams with their counts, as one row with byte-packed differences (of
+the counts only those above 1); the part adds the counts up and answers each row with what the other
+chunks have, in the same order; the chunk's texts (dealt out once, compressed) meet the answers
+in a cogroup by chunk.  A frequent n-gram is one entry for each chunk.  Hashes have 20 bits more than
+the number of n-grams needs, so at any size about one n-gram in a million shares its count with
+another (64 bits at most).
 
 Edge cases: null or empty texts and texts without words have 0 words and score 0; very long
 texts are scored whole (a chunk then holds one of them); repeated rows are documents of their
@@ -35,10 +37,14 @@ from demandlens.llm import textpack as tp
 from demandlens.llm.stage import partitions
 
 U64 = np.uint64
-HASH_BITS = 56
+SPARE_BITS = 20
 CHUNK_BYTES = 8 << 20
 
 
+def hash_bits(n: int) -> int:
+    return min(64, max(40, SPARE_BITS + n.bit_length()))
+
+
 def pack(a: np.ndarray) -> tuple[int, bytes]:
     """(bytes per value, values cut to that many low bytes)."""
     width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
@@ -52,51 +58,72 @@ def unpack(width: int, data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def pack_sparse(a: np.ndarray) -> list[tuple[int, bytes]]:
+    """Non-zero values with the distances between them."""
+    at = np.flatnonzero(a)
+    return [pack(np.diff(at, prepend=0)), pack(a[at])]
+
+
+def unpack_sparse(cells: list[tuple[int, bytes]], n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    out[np.cumsum(unpack(*cells[0]).astype(np.int64))] = unpack(*cells[1])
+    return out
+
+
 class Grams:
-    """n-grams of a chunk's texts, order by order: hash, text and position of the last word."""
+    """n-grams of a chunk's texts, order by order: hash and position of the last word."""
 
-    def __init__(self, col: pa.Array, order: int):
+    def __init__(self, col: pa.Array, order: int, bits: int):
         data, offs = tp.buffers(col)
         w = tp.Words(data[offs[0]:offs[-1]], offs - offs[0], tp.letter_table())
-        self.words = np.diff(w.bounds)
-        self.begin = w.bounds[:-1]
+        self.words, self.row = np.diff(w.bounds), w.row
         pre = tp.sequence_prefix(w.hash)
         self.at, self.hash = [], []
         for n in range(1, order + 1):
             at = tp.segment_ranges(w.bounds[:-1], np.maximum(self.words - n + 1, 0))
             self.at.append(at + n - 1)
-            self.hash.append(tp.range_hash(pre, at, at + n) >> U64(64 - HASH_BITS))
-        self.row = w.row
-        self.distinct, inverse, self.count = np.unique(np.concatenate(self.hash), return_inverse=True, return_counts=True)
-        cuts = np.cumsum([0, *map(len, self.hash)])
-        self.inverse = [inverse[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def parts(self, number: int) -> np.ndarray:
-        """Bounds of the table's parts in the sorted distinct hashes."""
-        part = (self.distinct >> U64(HASH_BITS - 32)) * U64(number) >> U64(32)
-        return np.searchsorted(part, np.arange(number + 1).astype(U64))
-
-
-def score_chunk(g: Grams, total: np.ndarray, n_total: int, alpha: float) -> np.ndarray:
-    """Sum of log scores per text; total: corpus counts of g.distinct."""
-    size = len(g.distinct)
-    counts = []
-    for at, inv in zip(g.at, g.inverse):  # corpus count less the text's own
-        key = g.row[at] * size + inv
-        _, back, own = np.unique(key, return_inverse=True, return_counts=True)
-        counts.append(total[inv].astype(np.float64) - own[back])
-    others = np.maximum(n_total - g.words, 1)[g.row].astype(np.float64)
-    best = np.log(np.maximum(counts[0], 0.5) / others)
-    for n in range(1, len(counts)):
-        # count of the history h of an n-gram that ends at word i: the n-gram of one order
-        # less that ends at word i - 1
-        last = g.at[n]
+            self.hash.append(tp.range_hash(pre, at, at + n) >> U64(64 - bits))
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes of all orders and their counts."""
+        h = np.concatenate(self.hash)
+        h.sort()
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        return h[first], np.diff(np.append(first, len(h)))
+
+
+def part_bounds(distinct: np.ndarray, number: int, bits: int) -> np.ndarray:
+    """Bounds of the table's parts in sorted hashes."""
+    part = (distinct >> U64(bits - 32)) * U64(number) >> U64(32)
+    return np.searchsorted(part, np.arange(number + 1).astype(U64))
+
+
+def score_chunk(g: Grams, distinct: np.ndarray, total: np.ndarray, n_total: int, alpha: float) -> np.ndarray:
+    """Sum of log scores per text; total: corpus counts of the distinct hashes."""
+    def others(n: int) -> np.ndarray:  # corpus count less the text's own, per n-gram of this order
+        at = np.searchsorted(distinct, g.hash[n])
+        key = g.row[g.at[n]] * len(distinct) + at
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        own = np.empty(len(key), np.int64)
+        own[order] = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key))))
+        return (total[at] - own).astype(np.float64)
+
+    if not len(g.row):
+        return np.zeros(len(g.words))
+    lower = others(0)
+    best = np.log(np.maximum(lower, 0.5) / np.maximum(n_total - g.words, 1)[g.row])
+    for n in range(1, len(g.hash)):
+        if not len(g.hash[n]):
+            break
+        # the history of an n-gram that ends at word i is the n-gram of one order less that ends at i - 1
+        last, counts = g.at[n], others(n)
         history = np.zeros(len(g.row))
-        history[g.at[n - 1]] = counts[n - 1]
-        seen = counts[n] > 0
+        history[g.at[n - 1]] = lower
         with np.errstate(divide="ignore", invalid="ignore"):
-            own = np.log(counts[n]) - np.log(history[last - 1])
-        best[last] = np.where(seen, own, best[last] + np.log(alpha))
+            own = np.log(counts) - np.log(history[last - 1])
+        best[last] = np.where(counts > 0, own, best[last] + np.log(alpha))
+        lower = counts
     return np.bincount(g.row, best, len(g.words))
 
 
@@ -114,46 +141,73 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str =
     whole = rows.select("text").mapInArrow(measure, "n bigint, size bigint").agg(F.sum("n"), F.sum("size")).first()
     n_total, size = whole[0] or 0, whole[1] or 0
     chunks = max(1, -(-size // chunk_bytes))
-    number = 2 * partitions(docs.sparkSession)
+    number, bits = 2 * partitions(docs.sparkSession), hash_bits(order * n_total)
     keyed = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
 
+    def deal(batches):
+        for b in batches:
+            chunk = b.column(2).to_numpy()
+            by = np.argsort(chunk, kind="stable")
+            cut = np.flatnonzero(np.append(True, chunk[by][1:] != chunk[by][:-1])) if len(by) else []
+            out = []
+            for lo, hi in zip(cut, np.append(cut[1:], len(by))):
+                sink = pa.BufferOutputStream()
+                own = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["doc_id", "text"]).take(pa.array(by[lo:hi]))
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(own)
+                out.append((int(chunk[by[lo]]), sink.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())],
+                                             ["chunk", "rows"])
+
+    def texts(table: pa.Table) -> pa.Table:
+        return pa.concat_tables(pa.ipc.open_stream(d.as_py()).read_all() for d in table["rows"]).combine_chunks()
+
+    def column(table: pa.Table) -> pa.Array:
+        col = table["text"].cast(pa.large_string()).combine_chunks()
+        return col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+
     def send(table: pa.Table) -> pa.Table:
-        g = Grams(table["text"].combine_chunks(), order)
-        cut, out = g.parts(number), []
+        h, c = Grams(column(texts(table)), order, bits).distinct()
+        cut, out = part_bounds(h, number, bits), []
         for p in np.flatnonzero(np.diff(cut)):
-            h = g.distinct[cut[p]:cut[p + 1]]
-            hw, hb = pack(np.diff(h, prepend=h[:1] * U64(0)))
-            cw, cb = pack(g.count[cut[p]:cut[p + 1]])
-            out.append((int(p), table["chunk"][0].as_py(), hw, hb, cw, cb))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
-        cols = list(zip(*out)) if out else [[]] * 6
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["part", "chunk", "hw", "grams", "cw", "counts"])
+            x = h[cut[p]:cut[p + 1]]
+            cells = [pack(np.diff(x, prepend=U64(0))), *pack_sparse(c[cut[p]:cut[p + 1]] - 1)]
+            out.append((int(p), table["chunk"][0].as_py(), [w for w, _ in cells], [d for _, d in cells]))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()))
+        cols = list(zip(*out)) if out else [[]] * 4
+        return pa.table([pa.array(x, k) for x, k in zip(cols, kinds)], ["part", "chunk", "widths", "cells"])
 
     def add_up(table: pa.Table) -> pa.Table:
         part, chunk = table["part"][0].as_py(), table["chunk"].to_pylist()
-        h = [np.cumsum(unpack(w, x), dtype=U64) for w, x in zip(table["hw"].to_pylist(), table["grams"].to_pylist())]
-        c = [unpack(w, x) for w, x in zip(table["cw"].to_pylist(), table["counts"].to_pylist())]
-        keys, inverse = np.unique(np.concatenate(h), return_inverse=True)
-        total = np.zeros(len(keys), np.int64)
-        np.add.at(total, inverse, np.concatenate(c).astype(np.int64))
-        answer = total[inverse]
+        cells = [list(zip(w, d)) for w, d in zip(table["widths"].to_pylist(), table["cells"].to_pylist())]
+        h = [np.cumsum(unpack(*x[0]), dtype=U64) for x in cells]
+        c = [1 + unpack_sparse(x[1:], len(y)) for x, y in zip(cells, h)]
+        every, counts = np.concatenate(h), np.concatenate(c)
+        by = np.argsort(every, kind="stable")
+        first = np.flatnonzero(np.append(True, every[by][1:] != every[by][:-1]))
+        total = np.add.reduceat(counts[by], first)
+        answer = np.empty(len(every), np.int64)
+        answer[by] = np.repeat(total, np.diff(np.append(first, len(every))))
         cuts = np.cumsum([0, *map(len, h)])
-        packed = [pack(answer[a:b]) for a, b in zip(cuts, cuts[1:])]
+        packed = [pack((answer - counts)[a:b]) for a, b in zip(cuts, cuts[1:])]  # what the other chunks have
         return pa.table([pa.array(chunk, pa.int64()), pa.array([part] * len(chunk), pa.int64()),
                          pa.array([w for w, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())],
                         ["chunk", "part", "width", "totals"])
 
-    def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        g = Grams(texts["text"].combine_chunks(), order)
+    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
+        own = texts(table)
+        g = Grams(column(own), order, bits)
+        distinct, counts = g.distinct()
         a = answers.sort_by("part")
-        total = [unpack(w, x) for w, x in zip(a["width"].to_pylist(), a["totals"].to_pylist())]
-        total = np.concatenate(total) if total else np.zeros(0, U64)
-        s = score_chunk(g, total, n_total, alpha)
-        return pa.table([texts["doc_id"], pa.array(g.words.astype(np.int64)), pa.array(s)], ["doc_id", "n_words", "log_score"])
+        others = [unpack(w, x) for w, x in zip(a["width"].to_pylist(), a["totals"].to_pylist())]
+        total = counts + np.concatenate(others).astype(np.int64) if others else counts
+        s = score_chunk(g, distinct, total, n_total, alpha)
+        return pa.table([own["doc_id"], pa.array(g.words.astype(np.int64)), pa.array(s)], ["doc_id", "n_words", "log_score"])
 
-    sent = keyed.groupBy("chunk").applyInArrow(send, "part bigint, chunk bigint, hw int, grams binary, cw int, counts binary")
+    dealt = keyed.mapInArrow(deal, "chunk bigint, rows binary")
+    sent = dealt.groupBy("chunk").applyInArrow(send, "part bigint, chunk bigint, widths array<int>, cells array<binary>")
     answers = sent.groupBy("part").applyInArrow(add_up, "chunk bigint, part bigint, width int, totals binary")
-    scored = (keyed.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    scored = (dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
               .applyInArrow(finish, f"doc_id {kind}, n_words bigint, log_score double"))
     return scored.withColumn("mean_log_score", F.coalesce(F.try_divide("log_score", "n_words"), F.lit(0.0)))
 

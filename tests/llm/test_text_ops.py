@@ -256,6 +256,8 @@ def test_lm_pack_round_trip():
     for a in ([], [0], [255, 256, 0], [1 << 55, 3]):
         x = np.array(a, np.uint64)
         assert lm_score.unpack(*lm_score.pack(x)).tolist() == a
+    for a in ([], [0], [0, 0, 7, 0, 300], [5]):
+        assert lm_score.unpack_sparse(lm_score.pack_sparse(np.array(a, np.int64)), len(a)).tolist() == a
 
 
 # 9 mixing
