@@ -52,9 +52,9 @@ def labelled(spark):
                 w.insert(rng.randint(0, len(w)), rng.choice(["Nasty", "vile!", "stemword" + rng.choice(["er", "ing", "es"])]))
         rows.append((i, " ".join(w), ("en", "de")[i % 2], "zzz"))
         labels.append((i, int(bad), "x"))
-    rows += [(1000, None, None, ""), (1001, "", "en", ""), (1002, "?! ...", "fr", ""), (1003, "nasty " * 20000, "en", ""), rows[0], (None, "vile nasty", "en", "")]
+    rows += [(3000, None, None, ""), (3001, "", "en", ""), (3002, "?! ...", "fr", ""), (3003, "nasty " * 20000, "en", ""), rows[0], (None, "vile nasty", "en", "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
-    return docs, spark.createDataFrame(labels + [(2000, None, "")], "doc_id long, toxic int, text string")
+    return docs, spark.createDataFrame(labels + [(4000, None, "")], "doc_id long, toxic int, text string")
 
 
 def test_toxicity_held_out(labelled):
@@ -69,7 +69,7 @@ def test_toxicity_held_out(labelled):
     assert len(held) > 150 and auc > 0.97
     assert set(model.thresholds) == {"de", "en"}
     assert all(0 <= r["score"] <= 1 for r in out.values())
-    assert out[1000]["score"] == out[1001]["score"] == out[1002]["score"] < 0.3 < out[1003]["score"]
+    assert out[3000]["score"] == out[3001]["score"] == out[3002]["score"] < 0.3 < out[3003]["score"]
     assert docs.count() == toxicity.score(docs, model).count()
     kept = toxicity.reject_toxic(docs, labels)
     assert kept.columns == docs.columns
