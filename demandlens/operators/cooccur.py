@@ -23,10 +23,14 @@ def basket_items(demand: DataFrame, basket: str = "basket") -> DataFrame:
             .where(F.col("item").isNotNull()).distinct())
 
 
-def pair_counts(baskets: DataFrame, tile_size: int = 512, max_tiles: int = 64) -> DataFrame:
-    """G1: (item_a, item_b, co_count) with item_a < item_b."""
+def pair_counts(baskets: DataFrame, tile_size: int = 512) -> DataFrame:
+    """G1: (item_a, item_b, co_count) with item_a < item_b.
+
+    ``tile_size`` is the number of items per tile, so a join key makes at most about
+    tile_size² pairs whatever the size of the basket.
+    """
     sizes = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("_k"))
-    tiles = F.least(F.lit(max_tiles), F.greatest(F.lit(1), F.ceil(F.col("_k") / F.lit(tile_size)))).cast("int")
+    tiles = F.ceil(F.col("_k") / F.lit(tile_size)).cast("int")
     bi = (baskets.join(sizes.select("basket", tiles.alias("_t")), "basket")
           .withColumn("_tile", F.pmod(F.xxhash64("item"), F.col("_t")).cast("int"))
           .withColumn("_all", F.sequence(F.lit(0), F.col("_t") - 1)))

@@ -7,6 +7,8 @@ by (document, chunk), whose groups hold at most ``chunk_size`` pages.
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,9 @@ from demandlens.operators.text import _grams_of, canonical
 MIN_PAGE_CHARS = 100
 CHUNK_SIZE = 3
 PAGE_BREAK = "\n\n--- PAGE BREAK ---\n\n"
-PROMPT_REF_ITEMS = 50
+FENCE_START, FENCE_END = r"^```[a-z]*\n?", r"```$"
 PROMPT_MAX_CHARS = 4000
+MAX_BROADCAST_TERMS = 500_000
 PROMPT_TEMPLATE = (
     "Extract all course-skill pairs from this syllabus text.\n\n"
     "For reference, examples of relevant technical skills include:\n"
@@ -27,6 +30,7 @@ PROMPT_TEMPLATE = (
     "Output ONLY a JSON array like:\n"
     '[{"institute":"%s","semester":5,"course":"Computer Networks","skill":"networking"}]'
 )
+SAFE_IN_PATHS = " !$&()+,-.;<>@_`|~"   # characters Spark leaves as they are in partition folders
 REPLY_KEYS = ("institute", "semester", "course", "skill")
 
 
@@ -60,22 +64,24 @@ def chunk_pages(pages: DataFrame, size: int = CHUNK_SIZE, sep: str = PAGE_BREAK)
                                  lambda x: x["text"]), sep).alias("text"))
 
 
-def reference_list(items: DataFrame, n: int = PROMPT_REF_ITEMS, col: str = "item"):
-    """The first ``n`` distinct items in sorted order, joined ', ' (scalar subquery).
-
-    A top-n (TakeOrdered) feeds the list, so at most n values are gathered.
-    """
-    first = items.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(n)
-    return first.agg(F.array_join(F.array_sort(F.collect_list(col)), ", ")).scalar()
+def prompt_parts(chunks: DataFrame, max_chars: int = PROMPT_MAX_CHARS) -> DataFrame:
+    """Chunks cut into consecutive parts of at most ``max_chars`` characters, numbered from 0
+    (an empty chunk has one empty part); the parts joined give the chunk."""
+    last = F.greatest(F.ceil(F.length("text") / max_chars).cast("int") - 1, F.lit(0))
+    parts = chunks.select("doc_id", "chunk_no", "text", F.explode(F.sequence(F.lit(0), last)).alias("part_no"))
+    return parts.withColumn("text", F.substring(F.col("text"), F.col("part_no") * max_chars + 1, F.lit(max_chars)))
 
 
 def prompt_batch(chunks: DataFrame, items: DataFrame, focal: str,
-                 max_chars: int = PROMPT_MAX_CHARS, n_ref: int = PROMPT_REF_ITEMS) -> DataFrame:
-    """One prompt per chunk: reference items + the chunk cut to ``max_chars``."""
-    ref = reference_list(items, n_ref)
-    return chunks.select(
-        "doc_id", "chunk_no",
-        F.format_string(PROMPT_TEMPLATE, ref, F.substring("text", 1, max_chars),
+                 max_chars: int = PROMPT_MAX_CHARS) -> DataFrame:
+    """One prompt per part of a chunk, with the dictionary items that the chunk mentions as
+    reference (all of them, sorted; an empty list when there are none)."""
+    hits = dictionary_mentions(chunks.select("doc_id", F.col("chunk_no").alias("page_no"), "text"), items)
+    ref = (hits.groupBy("doc_id", F.col("page_no").alias("chunk_no"))
+           .agg(F.array_join(F.array_sort(F.collect_set("item")), ", ").alias("_ref")))
+    return prompt_parts(chunks, max_chars).join(ref, ["doc_id", "chunk_no"], "left").select(
+        "doc_id", "chunk_no", "part_no",
+        F.format_string(PROMPT_TEMPLATE, F.coalesce("_ref", F.lit("")), F.col("text"),
                         F.lit(focal.upper())).alias("prompt"))
 
 
@@ -86,12 +92,16 @@ def dictionary_mentions(pages: DataFrame, dictionary: DataFrame, col: str = "ite
     Each page emits only the n-grams whose length n some entry has (``lengths``;
     read from the dictionary when not given: a handful of distinct numbers),
     and an equi-join against the dictionary keeps the hits (no substring
-    cross join, no pair explosion).
+    cross join, no pair explosion).  A dictionary of at most ``MAX_BROADCAST_TERMS``
+    entries (counted) is broadcast, so the n-grams aren't shuffled; a larger
+    one is joined by shuffle.
     """
     d = (dictionary.select(canonical(col).alias("_g")).where(F.col("_g").isNotNull())
          .withColumn("_g", F.array_join(F.split("_g", r"\s+"), " ")).distinct())
-    if lengths is None:
-        lengths = sorted(r[0] for r in d.select(F.size(F.split("_g", " "))).distinct().collect())
+    sizes = {r[0]: r[1] for r in d.groupBy(F.size(F.split("_g", " "))).count().collect()}  # a row for each length
+    lengths = sorted(sizes) if lengths is None else lengths
+    if sum(sizes.values()) <= MAX_BROADCAST_TERMS:
+        d = F.broadcast(d)
     toks = F.regexp_extract_all(F.lower("text"), F.lit(r"[\w.+#/-]+"), 0)
     # project the tokens once: an expression used inside a lambda is re-evaluated per element
     tk = pages.select("doc_id", "page_no", toks.alias("_t"))
@@ -103,10 +113,6 @@ def dictionary_mentions(pages: DataFrame, dictionary: DataFrame, col: str = "ite
     return cand.join(d, "_g").select("doc_id", "page_no", F.col("_g").alias("item")).distinct()
 
 
-def max_tokens(dictionary: DataFrame, col: str = "item"):
-    return dictionary.select(F.max(F.size(F.split(F.trim(col), r"\s+")))).scalar()
-
-
 REPLY_SCHEMA = "array<map<string,string>>"
 
 
@@ -116,10 +122,10 @@ def parse_replies(replies: DataFrame, focal: str, raw_col: str = "reply") -> Dat
     Code fences are stripped, the JSON array is parsed (a non-array or broken
     reply gives no rows), objects without all four keys are dropped, the
     provider is forced to ``focal``, the item is lower/trimmed, the course
-    trimmed, the semester an int when all digits else 0.
+    trimmed, the semester an int when all digits and in range, else 0.
     """
-    raw = F.regexp_replace(F.trim(F.col(raw_col)), r"^```[a-z]*\n?", "")
-    raw = F.trim(F.regexp_replace(raw, r"```$", ""))
+    raw = F.regexp_replace(F.trim(F.col(raw_col)), FENCE_START, "")
+    raw = F.trim(F.regexp_replace(raw, FENCE_END, ""))
     keep = [c for c in replies.columns if c != raw_col]
     parsed = replies.select(*keep, F.from_json(raw, REPLY_SCHEMA).alias("_arr"))
     obj = parsed.select(*keep, F.explode("_arr").alias("_o"))
@@ -131,7 +137,7 @@ def parse_replies(replies: DataFrame, focal: str, raw_col: str = "reply") -> Dat
     return obj.where(has_all).select(
         *keep,
         F.lit(focal).alias("provider"),
-        F.when(sem.rlike(r"^[0-9]+$"), sem.cast("int")).otherwise(F.lit(0)).alias("semester"),
+        F.coalesce(F.when(sem.rlike(r"^[0-9]+$"), sem.try_cast("int")), F.lit(0)).alias("semester"),
         F.trim(F.col("_o")["course"]).alias("course"),
         F.lower(F.trim(F.col("_o")["skill"])).alias("item"))
 
@@ -180,11 +186,15 @@ def overlay(rows: DataFrame, manual: DataFrame) -> DataFrame:
 def republish(catalogue: DataFrame, provider_rows: DataFrame, path: str, focal: str) -> None:
     """Replace one provider's rows, keep the others.
 
-    The catalogue is stored partitioned by provider; with dynamic partition
-    overwrite only the focal provider's folder is rewritten.
+    The catalogue is stored partitioned by provider.  Replacement rows overwrite just the focal
+    provider's folder; without any the folder is removed through Hadoop's file system.
     """
-    spark = provider_rows.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (provider_rows.where(F.col("provider") == focal)
-     .select(*[c for c in catalogue.columns if c != "provider"], "provider")
-     .write.mode("overwrite").partitionBy("provider").parquet(path))
+    rows = (provider_rows.where(F.col("provider") == focal)
+            .select(*[c for c in catalogue.columns if c != "provider"], "provider"))
+    if not rows.isEmpty():
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("provider").parquet(path))
+        return
+    sc = rows.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path, f"provider={quote(focal, safe=SAFE_IN_PATHS)}")
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)

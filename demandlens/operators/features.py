@@ -64,7 +64,7 @@ def item_trends(cube: DataFrame, threshold: bool = True) -> DataFrame:
     * n_years         number of present years
     * trend_slope     OLS slope of cnt on year over present years, 0 if < 2 years
     * velocity        mean first difference over present years = (last-first)/(n-1), 0 if < 2
-    * recency_weight  row-weighted mean of (year-lo)/(hi-lo), 0 when hi = lo
+    * recency_weight  Σ cnt·(year-lo) / (Σ cnt · (hi-lo)) in whole numbers with one division, 0 when hi = lo
     * volatility      sample std of the counts zero-filled over lo..hi, closed form
                       from Σcnt, Σcnt² and N = hi-lo+1 (no row expansion)
     * threshold_year  first year with cnt >= median of the positive counts (T6)
@@ -93,7 +93,7 @@ def item_trends(cube: DataFrame, threshold: bool = True) -> DataFrame:
            .withColumn("velocity", F.when(F.col("n_years") > 1,
                                           (F.col("_last") - F.col("_first")) / (F.col("n_years") - 1))
                        .otherwise(F.lit(0.0)))
-           .withColumn("recency_weight", F.when(hi > lo, (F.col("_sy") / s - lo) / (hi - lo))
+           .withColumn("recency_weight", F.when(hi > lo, (F.col("_sy") - lo * F.col("freq")) / (F.col("freq") * (hi - lo)))
                        .otherwise(F.lit(0.0)))
            .withColumn("volatility", F.when(n > 1, F.sqrt(
                F.greatest(F.lit(0.0), (n * F.col("_sq") - s * s) / (n * (n - 1))))))

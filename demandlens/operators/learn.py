@@ -37,19 +37,37 @@ def hash_unit(key: Column, seed: int = SEED) -> Column:
     return h.cast("long") / F.lit(4294967296.0)
 
 
-def stratified_split(df: DataFrame, key: str, label: str = "label", test_fraction: float = TEST_FRACTION,
-                     seed: int = SEED) -> DataFrame:
-    """L4: ``is_test`` = hash_unit(key) < fraction, evaluated inside every class.
+def class_rank(df: DataFrame, key: str, label: str = "label", seed: int = SEED, buckets: int = 1024) -> DataFrame:
+    """``_rank`` (from 0) and ``_n`` of every row inside its class, in the order of hash_unit(key).
 
-    The hash is independent of the label, so each class is split in the same
-    proportion in expectation; no sort, no window, no shuffle.
+    The class is cut into ``buckets`` ranges of the hash; a window ranks inside a range, and the
+    ranges' offsets come from their counts (classes x buckets rows).  No window holds a whole class.
     """
-    return df.withColumn("is_test", (hash_unit(F.col(key), seed) < test_fraction).cast("int"))
+    from pyspark.sql import Window
+
+    x = (df.withColumn("_h", hash_unit(F.col(key), seed))
+         .withColumn("_bk", F.least(F.floor(F.col("_h") * buckets), F.lit(buckets - 1)).cast("int")))
+    counts = x.groupBy(F.col(label).alias("_l"), F.col("_bk").alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy("_l").orderBy("_b")
+    offs = counts.select("_l", "_b", (F.sum("_c").over(w) - F.col("_c")).alias("_off"),
+                         F.sum("_c").over(Window.partitionBy("_l")).alias("_n"))
+    inside = Window.partitionBy(label, "_bk").orderBy("_h", key)
+    return (x.withColumn("_i", F.row_number().over(inside) - 1)
+            .join(offs, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_bk") == F.col("_b")))
+            .withColumn("_rank", F.col("_off") + F.col("_i")).drop("_h", "_bk", "_l", "_b", "_off", "_i"))
+
+
+def stratified_split(df: DataFrame, key: str, label: str = "label", test_fraction: float = TEST_FRACTION,
+                     seed: int = SEED) -> DataFrame:
+    """L4: ``is_test`` = the first test_fraction of every class in hash order."""
+    r = class_rank(df, key, label, seed)
+    return r.withColumn("is_test", (F.col("_rank") < F.col("_n") * test_fraction).cast("int")).drop("_rank", "_n")
 
 
-def fold_of(df: DataFrame, key: str, n_folds: int = N_FOLDS, seed: int = SEED) -> DataFrame:
-    """fold = floor(hash_unit(key) · n_folds)."""
-    return df.withColumn("fold", F.floor(hash_unit(F.col(key), seed) * n_folds).cast("int"))
+def fold_of(df: DataFrame, key: str, n_folds: int = N_FOLDS, seed: int = SEED, label: str = "label") -> DataFrame:
+    """fold = rank in hash order inside the class, modulo n_folds: classes spread evenly."""
+    r = class_rank(df, key, label, seed)
+    return r.withColumn("fold", (F.col("_rank") % n_folds).cast("int")).drop("_rank", "_n")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -257,11 +275,11 @@ def smote(df: DataFrame, key: str, features: list[str], label: str = "label", k:
     """Oversample the minority class to the majority size (SMOTE).
 
     Each synthetic row takes a minority row x (row i gets ⌊need/n⌋ rows, the
-    first need mod n rows in hash order one more), one of x's k nearest
+    first need mod n rows in hash order one more), one of x's min(k, n - 1) nearest
     minority neighbours z (Euclidean, blocked exact search) chosen by hash,
     and u ∈ [0, 1) from a hash: x + u·(z − x).  Returns the input rows plus
-    the synthetic ones (key ``<key>#s<j>``, ``synthetic`` = 1).  With k or
-    fewer minority rows nothing is added (the caller falls back to weights).
+    the synthetic ones (key ``<key>#s<j>``, ``synthetic`` = 1).  A single
+    minority row is its own neighbour, so its synthetic rows are copies.
     """
     import math
 
@@ -272,7 +290,7 @@ def smote(df: DataFrame, key: str, features: list[str], label: str = "label", k:
     n_min, n_maj = counts[minority], max(counts.values())
     need = n_maj - n_min
     base = df.withColumn("synthetic", F.lit(0))
-    if need == 0 or n_min <= k:
+    if need == 0:
         return base
     mino = df.where(F.col(label) == minority).select(
         F.col(key).cast("string").alias("_id"),
@@ -280,7 +298,7 @@ def smote(df: DataFrame, key: str, features: list[str], label: str = "label", k:
     nb = max(1, math.ceil(n_min / block_rows))
     from demandlens.operators.vectors import blocked_topk
 
-    knn = blocked_topk(mino, mino, k, nb, nb, exclude_self=True, metric="euclidean")
+    knn = blocked_topk(mino, mino, max(1, min(k, n_min - 1)), nb, nb, exclude_self=n_min > 1, metric="euclidean")
     nbrs = knn.groupBy(F.col("lid").alias("_id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "rid"))), lambda x: x["rid"]).alias("_nb"))
     q, r = divmod(need, n_min)

@@ -2,15 +2,16 @@
 
 Score: token-sort ratio = 100 · 2 · LCS(a', b') / (|a'| + |b'|) with a', b'
 the white-space tokens sorted and joined by one space (Indel similarity).
-A pair scoring ≥ c (default 88) has Indel distance d ≤ (1 − c/100)(l1 + l2),
-so the strings share at least max(l1, l2) − 1 − 2d character bigrams
-(each insertion breaks one bigram, each deletion two).  For a string of
-length l that is ≥ t(l) = ⌊l/2⌋ − 1 shared bigram occurrences against any
-admissible partner (c = 88), so indexing only its (l − 1) − t + 1 rarest
-bigram occurrences (prefix filtering under one global rarity order) still
-finds every pair: no cross join, no candidate cap, nothing missed.
-Strings of length ≤ 3 can only match exactly; an equi-join on the sorted
-string covers exact matches of any length.
+With e = 1 − c/100, a pair scoring ≥ c (default 88) has Indel distance
+d ≤ e(l1 + l2) and lengths within a factor c/(200 − c), and shares at least
+max(l1, l2) − 1 − 2d character bigrams (each insertion breaks one, each
+deletion two): t(l) = l(1 − 4e) − 1 for a string of length l and any partner.
+So its (l − 1) − t + 1 rarest bigram occurrences (prefix filtering under one
+global rarity order) find every pair of strings with t ≥ 1.  Pairs with a
+shorter string (every pair when e ≥ 1/4) are found by single characters, of
+which they share at least l·c/(200 − c): no cross join, no candidate cap,
+nothing missed at any cutoff.  Names that match exactly are taken out first,
+by an equi-join on the sorted string.
 
 Candidates are scored by an Arrow-batched pandas UDF (bit-parallel LCS);
 the best match per left name is one ``min_by`` aggregation (ties: the
@@ -65,41 +66,55 @@ def _ratio_udf(a, b) -> Column:
     return F.pandas_udf(_ratios, "double")(a, b)
 
 
-def _elements(names: DataFrame) -> DataFrame:
-    """(name, s, l, bigram, occ): every bigram occurrence of the sorted string."""
+def _bounds(cutoff: float) -> tuple[float, float, float]:
+    """(share of l that shared bigrams have, shortest length indexed by bigrams, length ratio)."""
+    slope = 4 * cutoff / 100 - 3
+    return slope, (2 / slope if slope > 0 else float("inf")), cutoff / (200 - cutoff)
+
+
+def _elements(names: DataFrame, size: int) -> DataFrame:
+    """(name, s, l, gram, occ): every occurrence of a piece of ``size`` characters."""
     pos = names.select("name", "s", F.length("s").alias("l"),
-                       F.explode(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1)))).alias("i"))
-    pos = pos.where(F.col("l") >= 2).withColumn("bigram", F.substring("s", F.col("i"), F.lit(2)))
-    w = Window.partitionBy("name", "bigram").orderBy("i")
+                       F.explode(F.sequence(F.lit(1), F.length("s") - size + 1)).alias("i"))
+    pos = pos.withColumn("gram", F.substring(F.col("s"), F.col("i"), F.lit(size)))
+    w = Window.partitionBy("name", "gram").orderBy("i")
     return pos.withColumn("occ", F.row_number().over(w)).drop("i")
 
 
-def _prefixes(elems: DataFrame, freq: DataFrame) -> DataFrame:
-    """Keep each name's (l − 1) − t(l) + 1 rarest bigram occurrences."""
-    e = elems.join(freq, ["bigram", "occ"])
-    t = F.greatest(F.lit(1), F.floor(F.col("l") / 2) - 1)
-    keep = (F.col("l") - 1) - t + 1
-    w = Window.partitionBy("name").orderBy("df", "bigram", "occ")
+def _prefixes(elems: DataFrame, freq: DataFrame, shared: Column, size: int) -> DataFrame:
+    """Keep each name's rarest occurrences, all but ``shared`` − 1."""
+    e = elems.join(freq, ["gram", "occ"])
+    keep = (F.col("l") - size + 1) - F.greatest(F.lit(1), shared) + 1
+    w = Window.partitionBy("name").orderBy("df", "gram", "occ")
     return (e.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep)
-            .select("name", "s", "l", "bigram", "occ"))
-
-
-def fuzzy_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Candidate pairs (lname, ls, rname, rs) by exact sorted string or shared prefix bigram."""
-    le, re_ = _elements(left), _elements(right)
-    freq = (le.select("bigram", "occ").unionByName(re_.select("bigram", "occ"))
-            .groupBy("bigram", "occ").agg(F.count(F.lit(1)).alias("df")))
-    lp, rp = _prefixes(le, freq), _prefixes(re_, freq)
-    ratio_ok = (F.least("ll", "rl") / F.greatest("ll", "rl")) >= F.lit(0.78)
-    by_gram = (lp.select(F.col("name").alias("lname"), F.col("s").alias("ls"), F.col("l").alias("ll"),
-                         "bigram", "occ")
-               .join(rp.select(F.col("name").alias("rname"), F.col("s").alias("rs"), F.col("l").alias("rl"),
-                               "bigram", "occ"), ["bigram", "occ"])
-               .where(ratio_ok).select("lname", "ls", "rname", "rs"))
-    exact = (left.select(F.col("name").alias("lname"), F.col("s").alias("ls"))
-             .join(right.select(F.col("name").alias("rname"), F.col("s").alias("rs")),
-                   F.col("ls") == F.col("rs")))
-    return by_gram.unionByName(exact).distinct()
+            .select("name", "s", "l", "gram", "occ"))
+
+
+def _sharing(left: DataFrame, right: DataFrame, size: int, shared: Column, ratio: float) -> DataFrame:
+    """Pairs that share a kept piece and whose lengths fit."""
+    le, re_ = _elements(left, size), _elements(right, size)
+    freq = (le.select("gram", "occ").unionByName(re_.select("gram", "occ"))
+            .groupBy("gram", "occ").agg(F.count(F.lit(1)).alias("df")))
+    lp, rp = _prefixes(le, freq, shared, size), _prefixes(re_, freq, shared, size)
+    fits = F.least("ll", "rl") >= F.greatest("ll", "rl") * F.lit(ratio) - 1e-9
+    return (lp.select(F.col("name").alias("lname"), F.col("s").alias("ls"), F.col("l").alias("ll"), "gram", "occ")
+            .join(rp.select(F.col("name").alias("rname"), F.col("s").alias("rs"), F.col("l").alias("rl"), "gram", "occ"),
+                  ["gram", "occ"])
+            .where(fits).select("lname", "ls", "rname", "rs"))
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
+    """Candidate pairs (lname, ls, rname, rs) that can score ``cutoff`` or more."""
+    slope, shortest, ratio = _bounds(cutoff)
+    n = F.length("s")
+    chars = F.ceil(F.col("l") * ratio - 1e-9)
+    short = n <= (shortest / ratio if shortest != float("inf") else 1 << 30)
+    out = _sharing(left.where(short & (n > 0)), right.where(short & (n > 0)), 1, chars, ratio)
+    if slope > 0:
+        grams = F.ceil(F.col("l") * slope - 1 - 1e-9)
+        long_ = n >= shortest
+        out = out.unionByName(_sharing(left.where(long_), right.where(long_), 2, grams, ratio))
+    return out.distinct()
 
 
 def best_matches(left_names: DataFrame, right_names: DataFrame, col: str = "item",
@@ -108,9 +123,13 @@ def best_matches(left_names: DataFrame, right_names: DataFrame, col: str = "item
     def prep(df):
         return (df.select(F.col(col).alias("name")).where(F.col("name").isNotNull()).distinct()
                 .withColumn("s", token_sort("name")))
-    cand = fuzzy_candidates(prep(left_names), prep(right_names))
+    left, right = prep(left_names), prep(right_names)
+    exact = (left.join(right.select(F.col("name").alias("rname"), F.col("s").alias("rs")), F.col("s") == F.col("rs"))
+             .select(F.col("name").alias("lname"), "rname", F.lit(100.0).alias("score")))
+    open_ = left.join(right.select("s"), "s", "left_anti").select("name", "s")
+    cand = fuzzy_candidates(open_, right, cutoff)
     scored = cand.withColumn("score", _ratio_udf("ls", "rs")).where(F.col("score") >= cutoff)
-    best = scored.groupBy("lname").agg(
+    best = scored.select("lname", "rname", "score").unionByName(exact).groupBy("lname").agg(
         F.min_by(F.struct("rname", "score"), F.struct(-F.col("score"), F.col("rname"))).alias("b"))
     return best.select(F.col("lname").alias(col), F.col("b.rname").alias("match"),
                        F.col("b.score").alias("score"))

@@ -3,8 +3,8 @@
 Every question gets, per card type in its role's quota table, the top
 ``quota`` cards of that type by cosine (blocked exact search, the type is
 part of the block key), re-ranked by the hybrid score; the lists are laid
-out in the quota order, de-duplicated on the first 80 characters of the
-card text (the earliest position wins), numbered and joined.
+out in the quota order, de-duplicated on the whole card text (the earliest
+position wins), numbered and joined.  A question without any card gets an empty context.
 
 Vectors: the library takes a vector column.  Where none is given, cards and
 questions are embedded here by feature hashing of their word tokens (a
@@ -13,9 +13,10 @@ stand-in for a sentence-embedding model, which this library does not run).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandlens.operators import cards as cd
 from demandlens.operators import text as tx
 from demandlens.operators import vectors as vx
 
@@ -26,7 +27,6 @@ QUOTAS = {
 }
 ROLE_OF_CALLER = {"admin": "staff", "staff": "staff", "student": "student"}
 DEFAULT_ROLE = "student"
-DEDUP_PREFIX_CHARS = 80
 PROMPT_TEMPLATE = ("Use the following retrieved curriculum intelligence data to answer the question.\n"
                    "Answer ONLY from this context. If something is not in the context, "
                    "say: Data not available.\n\n"
@@ -44,12 +44,6 @@ def hashed_embedding(df: DataFrame, text_col: str, out: str = "embedding", dim:
     return h.withColumn(out, vector_to_array("_tf", "float32")).drop("_tok", "_tf")
 
 
-def quota_table(spark: SparkSession) -> DataFrame:
-    """(role, type, quota, type_order): a fixed 7-row table."""
-    rows = [(role, t, q, i) for role, qs in QUOTAS.items() for i, (t, q) in enumerate(qs)]
-    return spark.createDataFrame(rows, "role string, type string, quota int, type_order int")
-
-
 def assemble_context(questions: DataFrame, cards: DataFrame, role_col: str = "role",
                      q_id: str = "question_id", q_text: str = "question",
                      n_cards: int | None = None) -> DataFrame:
@@ -80,17 +74,18 @@ def assemble_context(questions: DataFrame, cards: DataFrame, role_col: str = "ro
                      c_vec="embedding", type_col="type", n_cards=n_cards, prune_types=False)
     meta = cards.select("id", "text", "priority_score")
     h = hits.join(meta, "id").join(qt.select("_key", "_qid", "quota", "type_order"), "_key")
-    h = vx.hybrid_rerank(h, q_id="_key", priority="priority_score")
-    h = h.where(F.col("hybrid_rank") <= F.col("quota"))
-    # layout position: quota order, then hybrid rank; D9 keeps the earliest per 80-char prefix
-    h = h.withColumn("_pos", F.col("type_order") * 1000 + F.col("hybrid_rank"))
-    first = (h.groupBy("_qid", F.substring("text", 1, DEDUP_PREFIX_CHARS).alias("_prefix"))
+    # the quota picks by distance, the hybrid score orders inside it
+    h = vx.hybrid_rerank(h.where(F.col("rank") <= F.col("quota")), q_id="_key", priority="priority_score")
+    # layout position: quota order, then hybrid rank; D9 keeps the earliest of equal texts
+    h = h.withColumn("_pos", F.struct("type_order", "hybrid_rank"))
+    first = (h.groupBy("_qid", F.sha2("text", 256).alias("_text"))
              .agg(F.min_by(F.struct("_pos", "hybrid_score", "text"), "_pos").alias("c")))
     per_q = first.groupBy("_qid").agg(F.array_sort(F.collect_list("c")).alias("_l"))
     numbered = F.transform("_l", lambda c, i: F.format_string(
-        "[%d] (hybrid_score=%s) %s", i + 1, F.format_number(c["hybrid_score"], 3), c["text"]))
+        "[%d] (hybrid_score=%s) %s", i + 1, cd.fmt(c["hybrid_score"], 3), c["text"]))
     out = per_q.select(F.col("_qid").alias(q_id), F.size("_l").alias("n_chunks"),
                        F.array_join(numbered, "\n\n").alias("context"))
-    return out.join(questions.select(q_id, q_text), q_id).select(
-        q_id, "n_chunks", "context",
+    asked = questions.select(q_id, q_text).join(out, q_id, "left")
+    return asked.withColumn("context", F.coalesce("context", F.lit(""))).select(
+        q_id, F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "context",
         F.format_string(PROMPT_TEMPLATE, F.col("context"), F.col(q_text)).alias("prompt"))

@@ -48,7 +48,8 @@ def scored_items(demand: DataFrame, coverage: DataFrame, focal: str,
 
 
 def with_graph(items: DataFrame, demand: DataFrame, n_top: int = 3) -> DataFrame:
-    """Add propagated gap weight (G3) and top co-occurring items."""
+    """Add propagated gap weight (G3) and top co-occurring items (G4); of ``demand`` only
+    (basket, item) is read."""
     pairs = co.pair_table(demand)
     out = co.propagate_gaps(items, pairs)
     top = co.top_neighbours(pairs, n_top)
@@ -56,6 +57,8 @@ def with_graph(items: DataFrame, demand: DataFrame, n_top: int = 3) -> DataFrame
         "top_cooccurring", F.coalesce("top_cooccurring", F.lit("")))
 
 
-def analysed_items(demand: DataFrame, coverage: DataFrame, focal: str, n_top: int = 3) -> DataFrame:
-    """The full per-item analysis: scores plus graph columns (input of the cards)."""
-    return with_graph(scored_items(demand, coverage, focal), demand, n_top)
+def analysed_items(demand: DataFrame, coverage: DataFrame, focal: str, n_top: int = 3,
+                   baskets: DataFrame | None = None) -> DataFrame:
+    """The full per-item analysis: scores plus graph columns (input of the cards).  ``baskets``
+    (basket, item) spares the graph the joins of the whole demand log."""
+    return with_graph(scored_items(demand, coverage, focal), demand if baskets is None else baskets, n_top)

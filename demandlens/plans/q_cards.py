@@ -10,6 +10,7 @@ from demandlens.plans import analytics as an
 from demandlens.plans import sqlbase as S
 from demandlens.plans.common import FOCAL, coverage, demand
 from demandlens.plans.q_scoring import PAIRS, SCORED
+from demandlens.plans.q_text import PART_STOP_WORDS
 from demandlens.plans.q_text import _KW_SQL as KW_SQL
 from demandlens.plans.registry import register
 from demandlens.session import materialize
@@ -60,7 +61,7 @@ def _analysed(spark, sf):
     """The analysed item table, written once to the checkpoint folder: every card
     branch reads the same small table instead of re-running the graph plan."""
     d = demand(spark, sf)
-    return materialize(an.analysed_items(d, coverage(spark, sf), FOCAL)), d
+    return materialize(an.analysed_items(d, coverage(spark, sf), FOCAL, baskets=tables.demand_baskets(spark, sf))), d
 
 
 def _table_values(items):
@@ -190,14 +191,15 @@ def card_inventory(spark, sf):
 @register("context_assembly")
 def context_assembly(spark, sf):
     """V8 + V9 + D9 + C8 + C9: retrieval context and prompt for every user question of the
-    conversation log, over the whole card collection (hashed word vectors; callers
-    without a role count as students).  Rows-only check: one row per question."""
+    conversation log, over the whole card collection (hashed word vectors; who opens a
+    conversation asks as admin, later turns as student).  Rows-only check: one row per question."""
     from demandlens.operators import retrieval as rt
 
     cards = rt.hashed_embedding(all_cards(spark, sf), "text")
     conv = tables.table(spark, sf, "conversations").where(F.col("role") == "user")
     qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"),
-                     F.lit(None).cast("string").alias("role"), F.col("text").alias("question"))
+                     F.when(F.col("turn") == 0, "admin").otherwise("student").alias("role"),
+                     F.col("text").alias("question"))
     return rt.assemble_context(qs, cards)
 
 
@@ -220,7 +222,7 @@ def enriched_item_cards(spark, sf):
     from demandlens.operators import text as tx
 
     c, items, _ = _item_cards(spark, sf)
-    kw = items.select("item", "trajectory", tx.keywords("item").alias("keywords"))
+    kw = items.select("item", "trajectory", tx.keywords("item", PART_STOP_WORDS).alias("keywords"))
     themes = tx.top_tokens(kw, "trajectory", "keywords", 4)
     extras = kw.join(themes, "trajectory", "left").select("item", "keywords", "theme")
     return cd.enrich_item_cards(c, extras).select("id", "text")

@@ -10,7 +10,9 @@ from demandlens.plans import sqlbase as S
 from demandlens.plans.common import FEATURE_COLS, FOCAL, coverage, demand, features, r6  # noqa: F401
 from demandlens.plans.common import cube as cube_of
 from demandlens.plans.common import sql_typed, typed
+from demandlens.plans.q_text import NORMALISED, coverage_normalised
 from demandlens.plans.registry import register
+from demandlens.sources import tables
 
 # --- step 1: minimum slice -------------------------------------------------
 
@@ -50,19 +52,20 @@ _SETS = S.with_(S.DEMAND[1:], S.COVERAGE)
 @register("covered_items", _SETS + """
 SELECT DISTINCT item FROM demand WHERE item IN (SELECT item FROM coverage)""")
 def covered_items(spark, sf):
-    return cov.covered_items(demand(spark, sf), coverage(spark, sf))
+    return cov.covered_items(tables.demand_items(spark, sf), coverage(spark, sf))
 
 
 @register("gap_items", _SETS + """
 SELECT DISTINCT item FROM demand WHERE item NOT IN (SELECT item FROM coverage)""")
 def gap_items(spark, sf):
-    return cov.gap_items(demand(spark, sf), coverage(spark, sf))
+    return cov.gap_items(tables.demand_items(spark, sf), coverage(spark, sf))
 
 
-@register("extra_items", _SETS + """
-SELECT DISTINCT item FROM coverage WHERE item NOT IN (SELECT item FROM demand)""")
+@register("extra_items", S.with_(S.ITEMS[1:], NORMALISED) + """
+SELECT DISTINCT item FROM normalised WHERE item NOT IN (SELECT item FROM items)""")
 def extra_items(spark, sf):
-    return cov.extra_items(demand(spark, sf), coverage(spark, sf))
+    """D3: normalised coverage names that nobody demands."""
+    return cov.extra_items(tables.demand_items(spark, sf), coverage_normalised(spark, sf))
 
 
 @register("coverage_summary", _SETS + """,
@@ -75,7 +78,7 @@ SELECT (SELECT count(*) FROM d) AS demand_items,
        round((SELECT count(*) FROM d WHERE item NOT IN (SELECT item FROM c)) * 100.0
              / (SELECT count(*) FROM d), 1)::DOUBLE AS gap_pct""")
 def coverage_summary(spark, sf):
-    return cov.coverage_summary(demand(spark, sf), coverage(spark, sf))
+    return cov.coverage_summary(tables.demand_items(spark, sf), coverage(spark, sf))
 
 
 @register("provider_item_counts", S.with_(S.COVERAGE[1:]) + """

@@ -24,23 +24,28 @@ def _training_table(spark, sf):
     return materialize(_labelled(spark, sf))
 
 
+def _ranked_sql() -> str:
+    return (f"(SELECT item, label, row_number() OVER (PARTITION BY label ORDER BY {_hash_sql('item')}, item) - 1 AS r, "
+            "count(*) OVER (PARTITION BY label) AS n FROM lab)")
+
+
 def _hash_sql(key: str) -> str:
     return f"(CAST(('0x' || substr(md5({key} || ':{ln.SEED}'), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
 @register("label_split", S.with_(SCORED[1:]) + f"""
-SELECT item, label, CAST({_hash_sql('item')} < {ln.TEST_FRACTION} AS INTEGER) AS is_test FROM lab""")
+SELECT item, label, CAST(r < n * {ln.TEST_FRACTION} AS INTEGER) AS is_test FROM {_ranked_sql()}""")
 def label_split(spark, sf):
-    """L4: seeded hash split (25 % test) of the labelled items."""
-    return ln.stratified_split(_labelled(spark, sf), "item").select("item", "label", "is_test")
+    """L4: seeded hash split (25 % test of each class) of the labelled items."""
+    return ln.stratified_split(_training_table(spark, sf), "item").select("item", "label", "is_test")
 
 
 @register("fold_assignment", S.with_(SCORED[1:]) + f"""
-SELECT label, CAST(floor({_hash_sql('item')} * {ln.N_FOLDS}) AS INTEGER) AS fold, count(*) AS n_items
-FROM lab GROUP BY ALL""")
+SELECT label, CAST(r % {ln.N_FOLDS} AS INTEGER) AS fold, count(*) AS n_items
+FROM {_ranked_sql()} GROUP BY ALL""")
 def fold_assignment(spark, sf):
     """Items per (label, fold) of the seeded 5-fold assignment."""
-    f = ln.fold_of(_labelled(spark, sf), "item")
+    f = ln.fold_of(_training_table(spark, sf), "item")
     return f.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n_items"))
 
 
@@ -79,7 +84,7 @@ sweep AS (
 
 
 def _scored_for_eval(spark, sf):
-    f = _labelled(spark, sf)
+    f = _training_table(spark, sf)  # the sweep reads it for every threshold and statistic
     return min_max_scale(f, ["demand_score"], suffix="__s").withColumnRenamed("demand_score__s", "score")
 
 

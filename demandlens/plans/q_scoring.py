@@ -10,6 +10,7 @@ from demandlens.plans import analytics as an
 from demandlens.plans import sqlbase as S
 from demandlens.plans.common import FOCAL, coverage, demand, features, r6, sql_typed, typed
 from demandlens.plans.registry import register
+from demandlens.sources import tables
 
 SCORED = S.FEATURES + """,
 ds AS (
@@ -156,7 +157,7 @@ edges AS (
 @register("cooccurrence_pairs", S.with_(PAIRS[1:]) + "SELECT item_a, item_b, co_count FROM pairs")
 def cooccurrence_pairs(spark, sf):
     """G1: basket = order; pairs of distinct items a < b with the number of baskets."""
-    return co.pair_counts(co.basket_items(demand(spark, sf)))
+    return co.pair_counts(co.basket_items(tables.demand_baskets(spark, sf)))
 
 
 @register("graph_summary", S.with_(PAIRS[1:]) + """
@@ -165,7 +166,7 @@ SELECT (SELECT count(DISTINCT item) FROM edges) AS n_nodes, (SELECT count(*) FRO
        (SELECT count(*) FROM pairs WHERE co_count = 1) AS n_weight_one""")
 def graph_summary(spark, sf):
     """Nodes, edges, heaviest edge, edges of weight one."""
-    return co.graph_summary(co.pair_table(demand(spark, sf)))
+    return co.graph_summary(co.pair_table(tables.demand_baskets(spark, sf)))
 
 
 @register("top_cooccurring", S.with_(PAIRS[1:]) + """
@@ -174,7 +175,7 @@ SELECT item, string_agg(neighbour, ', ' ORDER BY r) AS top_cooccurring FROM (
   FROM edges) WHERE r <= 3 GROUP BY item""")
 def top_cooccurring(spark, sf):
     """Three heaviest neighbours per item."""
-    return co.top_neighbours(co.pair_table(demand(spark, sf)), 3)
+    return co.top_neighbours(co.pair_table(tables.demand_baskets(spark, sf)), 3)
 
 
 @register("gap_propagation", S.with_(SCORED[1:] + "," + PAIRS[1:].replace("demand AS (", "demand2 AS (", 1)
@@ -188,5 +189,5 @@ def gap_propagation(spark, sf):
     """One-step spread of gap probability to co-occurring items."""
     d = demand(spark, sf)
     f = an.scored_items(d, coverage(spark, sf), FOCAL)
-    out = co.propagate_gaps(f, co.pair_table(d))
+    out = co.propagate_gaps(f, co.pair_table(tables.demand_baskets(spark, sf)))
     return out.select("item", "propagated_gap")

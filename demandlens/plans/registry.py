@@ -28,10 +28,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from demandlens.plans import q_features, q_scoring  # noqa: F401
-    for mod in ("q_text", "q_vectors", "q_learn", "q_extract", "q_sessions", "q_cards", "q_profile"):
-        try:
-            __import__(f"demandlens.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != f"demandlens.plans.{mod}":
-                raise
+    from demandlens.plans import (  # noqa: F401
+        q_cards, q_extract, q_features, q_learn, q_profile, q_scoring, q_sessions, q_text, q_vectors)

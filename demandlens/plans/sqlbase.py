@@ -49,7 +49,7 @@ thr AS (
   WHERE y.cnt >= s.med AND y.cnt > 0 GROUP BY y.item),
 rec AS (
   SELECT d.item, count(*) AS freq,
-         avg(CASE WHEN b.hi > b.lo THEN (d.year - b.lo) * 1.0 / (b.hi - b.lo) ELSE 0.0 END) AS recency_weight,
+         coalesce(CAST(sum(d.year - b.lo) AS DOUBLE) / nullif(count(*) * max(b.hi - b.lo), 0), 0.0) AS recency_weight,
          count(DISTINCT d.company) AS company_spread,
          max(d.upcoming_flag) AS upcoming_flag
   FROM demand d, bounds b GROUP BY d.item),
@@ -88,5 +88,12 @@ features AS (
   LEFT JOIN cov c USING (item))"""
 
 
+# distinct demanded items and (basket, item) rows need neither orders nor customers
+ITEMS = """
+items AS (
+  SELECT DISTINCT p.p_name || ' ' || lower(p.p_type) AS item
+  FROM (SELECT DISTINCT l_partkey FROM lineitem) l JOIN part p ON l.l_partkey = p.p_partkey)"""
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)

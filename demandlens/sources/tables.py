@@ -10,12 +10,12 @@ Binding (fixed for this repository):
   - item        = p_name || ' ' || lower(p_type)
   - item_type   = l_returnflag
   - upcoming_flag = 1 when p_type = 'PROMO'
-* coverage rows = part WHERE p_size <= 12
+* coverage rows = part WHERE p_size <= 12 (``max_semester``)
   - provider = lower(trim(p_brand)), course = p_type, semester = p_size, item as above
 * focal provider = 'brand#1'
 
 Only the columns each consumer needs are selected, so Parquet scans read a
-pruned schema and the ``p_size`` predicate is pushed into the scan.
+pruned schema and the semester predicate is pushed into the scan.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ FOCAL_PROVIDER = "brand#1"
 # item_type values (return flags) named as the three trajectories; R is "upcoming"
 TRAJECTORY_NAMES = {"A": "Traditional", "N": "Transitional", "R": "Upcoming"}
 UPCOMING_TYPE = "R"
-COVERAGE_MAX_SIZE = 12
+MAX_SEMESTER = 12   # a catalogue row's p_size is its semester; rows beyond this one are no courses
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,15 +77,27 @@ def demand_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def coverage_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage rows (provider, semester, course, item) from ``part``."""
+def demand_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct demanded items: distinct part keys of lineitem, then part.  Every line item has its
+    order, customer and nation (asserted in the tests), so those joins would change nothing."""
+    keys = table(spark, sf_dir, "lineitem").select("l_partkey").distinct()
+    part = table(spark, sf_dir, "part").select("p_partkey", item_expr().alias("item"))
+    return keys.join(part, keys.l_partkey == part.p_partkey).select("item").distinct()
+
+
+def demand_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(basket, item) of every line item, from lineitem and part alone."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", item_expr().alias("item"))
+    return li.join(part, li.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("basket"), "item")
+
+
+def coverage_catalogue(spark: SparkSession, sf_dir: str, max_semester: int | None = MAX_SEMESTER) -> DataFrame:
+    """Coverage rows (provider, semester, course, item) from ``part``; max_semester None: all rows."""
     part = table(spark, sf_dir, "part")
-    return (part.filter(F.col("p_size") <= COVERAGE_MAX_SIZE)
+    return (part.filter(F.lit(True) if max_semester is None else F.col("p_size") <= max_semester)
             .select(F.lower(F.trim("p_brand")).alias("provider"),
                     F.col("p_size").alias("semester"),
                     F.col("p_type").alias("course"),
                     item_expr().alias("item")))
 
-
-def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: table(spark, sf_dir, t) for t in TABLES}

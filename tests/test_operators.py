@@ -311,12 +311,12 @@ def test_csv_sources_declared_schema_and_cleaning(spark):
         f.write("Company,Year,Role,Skill,Skill_Type\nAcme,2024,Dev,  Machine Learning ,Upcoming\n"
                 "Beta,2023,Ops,sql,Traditional\n")
     with open(os.path.join(d, "cov.csv"), "w") as f:
-        f.write("Institute,Semester,Course,Skill\n MSRIT ,5, Networks ,TCP\nX,,Maths,Algebra\n")
+        f.write("Institute,Semester,Course,Skill\n  Hillside ,5, Networks ,TCP\nX,,Maths,Algebra\n")
     dem = sorted(tuple(r) for r in files.read_demand_csv(spark, os.path.join(d, "demand.csv")).collect())
     assert dem == [("Acme", 2024, "Dev", "machine learning", "Upcoming", 1),
                    ("Beta", 2023, "Ops", "sql", "Traditional", 0)]
     cov = sorted(tuple(r) for r in files.read_coverage_csv(spark, os.path.join(d, "cov.csv")).collect())
-    assert cov == [("msrit", 5, "Networks", "tcp"), ("x", 0, "Maths", "algebra")]
+    assert cov == [("hillside", 5, "Networks", "tcp"), ("x", 0, "Maths", "algebra")]
     out = os.path.join(d, "out")
     files.write_table(files.read_coverage_csv(spark, os.path.join(d, "cov.csv")), out, "csv")
     assert spark.read.option("header", True).csv(out).count() == 2
