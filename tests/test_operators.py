@@ -363,3 +363,126 @@ def test_boosted_trees_and_forest_probabilities(spark):
         assert ln.roc_auc(p, "prob") > 0.75
     imp = ln.feature_importance(rf, ["a", "b"])
     assert imp[0][0] == "a"
+
+
+@pytest.mark.parametrize("cutoff", [60.0, 70.0, 80.0, 88.0, 95.0])
+def test_fuzzy_matches_at_any_cutoff(spark, cutoff):
+    from demandlens.operators import resolve as rv
+
+    rng = random.Random(int(cutoff))
+    names = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))).strip() or "a" for _ in range(60)]
+    left, right = ["abcdefgh ij", "ab", *names[:30]], ["abXdeXgh iX", "abcdefgh", "a", *names[30:]]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "item string")
+    got = {r["item"]: (r["match"], r["score"]) for r in rv.best_matches(frame(left), frame(right), "item", cutoff).collect()}
+    norm = lambda x: " ".join(sorted(x.split()))
+    for x in set(left):
+        best = min(((-rv.indel_ratio(norm(x), norm(y)), y) for y in set(right)), default=(0, ""))
+        if -best[0] >= cutoff:
+            assert got[x] == (best[1], pytest.approx(-best[0])), x
+        else:
+            assert x not in got
+
+
+def test_prompt_parts_rebuild_every_chunk(spark):
+    from demandlens.operators import extract as ex
+
+    chunks = spark.createDataFrame([(1, 0, "x" * 33047 + "end"), (1, 1, "uses red widgets"), (2, 0, "")], "doc_id long, chunk_no int, text string")
+    parts = ex.prompt_parts(chunks).collect()
+    for r in chunks.collect():
+        own = sorted((p["part_no"], p["text"]) for p in parts if (p["doc_id"], p["chunk_no"]) == (r["doc_id"], r["chunk_no"]))
+        assert "".join(t for _, t in own) == r["text"] and all(len(t) <= ex.PROMPT_MAX_CHARS for _, t in own)
+    items = spark.createDataFrame([("red widgets",), ("uses",), ("blue",)], "item string")
+    prompts = {(r["doc_id"], r["chunk_no"], r["part_no"]): r["prompt"] for r in ex.prompt_batch(chunks, items, "p").collect()}
+    assert len(prompts) == len(parts) and "\nred widgets, uses\n" in prompts[(1, 1, 0)] and "blue" not in prompts[(1, 1, 0)]
+
+
+def test_semester_out_of_range_is_zero(spark):
+    from demandlens.operators import extract as ex
+
+    reply = '[{"institute":"a","semester":"99999999999","course":"c","skill":"S"}]'
+    rows = ex.parse_replies(spark.createDataFrame([(1, reply)], "doc_id int, reply string"), "p").collect()
+    assert [(r["semester"], r["item"]) for r in rows] == [(0, "s")]
+
+
+def test_republish_without_rows_removes_the_provider(spark, tmp_path):
+    from demandlens.operators import extract as ex
+
+    rows = spark.createDataFrame([("a #1", 1, "c", "x"), ("b", 2, "c", "y")], "provider string, semester int, course string, item string")
+    path = str(tmp_path / "catalogue")
+    rows.write.partitionBy("provider").parquet(path)
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    ex.republish(rows, rows.limit(0), path, "a #1")
+    assert [r["provider"] for r in spark.read.parquet(path).collect()] == ["b"]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+
+
+def test_zero_vectors_keep_their_rows(spark):
+    from demandlens.operators import vectors as vx
+
+    df = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [1.0, 0.0]), ("c", [-1.0, 0.1]), ("d", [0.9, 0.1])], "id string, embedding array<double>")
+    got = {r["id"]: r["neighbours"] for r in vx.semantic_neighbours(df, "id", n=2, block_rows=2).collect()}
+    assert got == {"a": "b, c", "b": "d, a", "c": "a, d", "d": "b, a"}
+
+
+def test_smote_with_few_minority_rows(spark):
+    from demandlens.operators import learn as ln
+
+    for small in (1, 2, 3):
+        rows = [(f"m{i}", 1, float(i), 0.0) for i in range(small)] + [(f"M{i}", 0, 5.0 + i, 1.0) for i in range(9)]
+        out = ln.smote(spark.createDataFrame(rows, "id string, label int, a double, b double"), "id", ["a", "b"], "label", k=3)
+        assert {r["label"]: r["count"] for r in out.groupBy("label").count().collect()} == {0: 9, 1: 9}
+        assert all(0 <= r["a"] <= small - 1 for r in out.where("synthetic = 1").collect())
+
+
+def test_splits_are_stratified(spark):
+    from demandlens.operators import learn as ln
+
+    df = spark.createDataFrame([(f"k{i}", int(i % 10 == 0)) for i in range(200)], "item string, label int")
+    folds = {(r["label"], r["fold"]): r["count"] for r in ln.fold_of(df, "item").groupBy("label", "fold").count().collect()}
+    assert all(folds[(1, f)] == 4 and folds[(0, f)] == 36 for f in range(5))
+    test = {r["label"]: r["n"] for r in ln.stratified_split(df, "item").groupBy("label").agg({"is_test": "sum"}).toDF("label", "n").collect()}
+    assert test == {0: 45, 1: 5}
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from demandlens import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
+    assert session.is_local("local[8]") and not session.is_local("local-cluster[3,2,1024]")
+
+
+def test_every_line_item_has_its_dimensions(spark):
+    """What lets demand_items and demand_baskets leave out orders, customer and nation."""
+    from demandlens.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    d = tables.demand_log(spark, sf)
+    assert d.count() == tables.demand_baskets(spark, sf).count() == tables.table(spark, sf, "lineitem").count()
+    assert d.select("item").distinct().exceptAll(tables.demand_items(spark, sf)).isEmpty()
+
+
+def test_cleaned_coverage_matches_brute_force(spark):
+    from demandlens.operators import resolve as rv
+    from demandlens.plans import q_text
+    from demandlens.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    items = sorted(r["item"] for r in tables.demand_items(spark, sf).collect())
+    norm = lambda x: " ".join(sorted(x.split()))
+    cleaned = set()
+    for r in q_text.coverage_normalised(spark, sf).collect():
+        score, best = min((-rv.indel_ratio(norm(r["item"]), norm(y)), y) for y in items)
+        cleaned.add(best if -score >= 88 else r["item"])
+    got = q_text.cleaned_coverage_summary(spark, sf).first()
+    assert got["coverage_items"] == len(cleaned) and got["overlap_items"] == len(cleaned & set(items))
