@@ -42,7 +42,7 @@ from demandlens.llm.stage import components, partitions, staged
 U64 = np.uint64
 NO_ID = -(1 << 63)
 MAX_BROADCAST_IDS = 1_000_000
-SKETCH_BITS = 512   # of sets with up to 2 * SKETCH_BITS features, doubled with the size beyond
+SKETCH_BITS = 512   # at least; a sketch has two to four bits for each feature
 TILE = 2048         # members of a bucket that are compared in one task with as many others
 BLOCK_PAIRS = 200_000
 
@@ -71,7 +71,8 @@ def scheme(top: int, percent: int) -> tuple[int, int, int, int]:
 
 
 def sketch_level(n: int) -> int:
-    return max(0, int(n) - 1).bit_length() - (2 * SKETCH_BITS).bit_length() + 1 if n > 2 * SKETCH_BITS else 0
+    """Doublings of SKETCH_BITS that a set of n features needs."""
+    return max(0, (2 * int(n) - 1).bit_length() - (SKETCH_BITS.bit_length() - 1))
 
 
 def folded(sketches: list[bytes], size: int) -> np.ndarray:
@@ -268,8 +269,12 @@ def _across(members: DataFrame, name: DataFrame, groups: DataFrame, percent: int
     label = name.join(groups, F.col("rep") == F.col("id"), "left").select("k1", "rep", "n", "sketch", F.coalesce("component", "rep").alias("c"))
     label = staged(label, "label")
     seen = members.join(label.select("k1", "rep", "c"), "k1")
-    open_ = staged(seen.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"))
-                   .filter("lo <> hi").select("bucket", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "open")
+    # Of buckets with the same members (count and 128 bits of their keys) one is enough, and the one pair of
+    # a bucket of two was compared as hub and member.
+    print_ = [F.bit_xor(F.xxhash64(F.lit(i), "k1")).alias(f"p{i}") for i in (1, 2)]
+    open_ = (seen.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"), *print_)
+             .filter("lo <> hi and size > 2").groupBy("size", "p1", "p2").agg(F.min("bucket").alias("bucket")))
+    open_ = staged(open_.select("bucket", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "open")
     block = F.pmod(F.xxhash64("k1"), "blocks").cast("int")
     tiles = (members.join(open_, "bucket").withColumn("block", block)
              .select("bucket", "k1", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
@@ -283,7 +288,8 @@ def _across(members: DataFrame, name: DataFrame, groups: DataFrame, percent: int
             return
         t = pa.Table.from_batches(got)
         tile, cross, block, rep_, n, c = (t.column(i).to_numpy() for i in range(6))
-        sketch = t.column(6)
+        data, offs = tp.buffers(t.column(6).cast(pa.large_binary()).combine_chunks())
+        words, begin, count = data.view(U64), offs[:-1] // 8, np.diff(offs) // 8
         code = np.unique(tile, return_inverse=True)[1]
         order = np.argsort(code, kind="stable")
         cuts = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
@@ -291,8 +297,10 @@ def _across(members: DataFrame, name: DataFrame, groups: DataFrame, percent: int
             x = order[lo:hi]
             if len(x) < 2 or (c[x] == c[x[0]]).all():
                 continue
-            cells = [s.as_py() for s in sketch.take(pa.array(x))]
-            bits = folded(cells, min(map(len, cells)))
+            if (count[x] == count[x[0]]).all():
+                bits = words[begin[x][:, None] + np.arange(count[x[0]])]
+            else:
+                bits = folded([words[begin[r]:begin[r] + count[r]].tobytes() for r in x], 8 * int(count[x].min()))
             out = [[], [], []]
             step = max(1, BLOCK_PAIRS // (len(x) * bits.shape[1]))
             for i0 in range(0, len(x), step):
@@ -340,10 +348,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
                 ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    have = staged(wanted.mapInArrow(sets, "id bigint, set binary").dropDuplicates(["id", "set"]), "sets")
+    have = staged(wanted.mapInArrow(sets, "id bigint, set binary"), "sets")
     joined = (pairs.join(have.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
               .join(have.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y"))
-    return joined.mapInArrow(test, "a bigint, b bigint")
+    return joined.mapInArrow(test, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id",
