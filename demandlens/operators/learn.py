@@ -195,7 +195,8 @@ def classification_report(cells: DataFrame) -> DataFrame:
     return cells.select(
         *cells.columns, p0.alias("precision_0"), r0.alias("recall_0"), f0.alias("f1_0"), s0.alias("support_0"),
         p1.alias("precision_1"), r1.alias("recall_1"), f1.alias("f1_1"), s1.alias("support_1"),
-        ((f0 + f1) / 2).alias("macro_f1"), ((f0 * s0 + f1 * s1) / tot).alias("weighted_f1"),
+        *(e for name, x0, x1 in (("precision", p0, p1), ("recall", r0, r1), ("f1", f0, f1))
+          for e in (((x0 + x1) / 2).alias(f"macro_{name}"), ((x0 * s0 + x1 * s1) / tot).alias(f"weighted_{name}"))),
         ((n00 + n11) / tot).alias("accuracy"))
 
 

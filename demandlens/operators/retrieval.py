@@ -44,6 +44,24 @@ def hashed_embedding(df: DataFrame, text_col: str, out: str = "embedding", dim:
     return h.withColumn(out, vector_to_array("_tf", "float32")).drop("_tok", "_tf")
 
 
+def question_search(questions: DataFrame, cards: DataFrame, k: int = vx.DEFAULT_TOP_K,
+                    q_id: str = "question_id", q_text: str = "question", rules=None) -> DataFrame:
+    """Plain search: the k nearest cards of every question, inside the card type that its words
+    ask for (X4) or among all cards where they ask for none, in hybrid order (V9).
+
+    (question_id, type, id, distance, hybrid_score, hybrid_rank); the type is null without an intent.
+    """
+    q = questions.select(q_id, tx.intent_of(q_text, rules).alias("type"), tx.expand_query(q_text).alias("_expanded"))
+    q = hashed_embedding(q, "_expanded", "query_vec")
+    c = cards.select("id", "type", "embedding")
+    typed = vx.search(q.where(F.col("type").isNotNull()), c, k, q_id=q_id, type_col="type")
+    free = vx.search(q.where(F.col("type").isNull()), c, k, q_id=q_id)
+    hits = typed.unionByName(free).join(cards.select("id", "priority_score"), "id")
+    ranked = vx.hybrid_rerank(hits, q_id=q_id)
+    return ranked.join(q.select(F.col(q_id).cast("string").alias(q_id), "type"), q_id).select(
+        q_id, "type", "id", "distance", "hybrid_score", "hybrid_rank")
+
+
 def assemble_context(questions: DataFrame, cards: DataFrame, role_col: str = "role",
                      q_id: str = "question_id", q_text: str = "question",
                      n_cards: int | None = None) -> DataFrame:

@@ -179,24 +179,26 @@ def _chain(ttl_us: int):
 
 def _apply_states(ttl_us: int):
     def run(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if pdf.empty:
-            return
-        pdf = pdf.sort_values(["key", "t", "event_id"], kind="mergesort").reset_index(drop=True)
-        starts, ends = _segments(pdf)
-        t_all = pdf["t"].to_numpy()
-        a_all = pdf["a_in"].to_numpy()
-        hit = np.zeros(len(pdf), dtype=bool)
-        entry = np.zeros(len(pdf), dtype=np.int64)
-        for a, b in zip(starts, ends):
-            a_in = a_all[a]
-            a_in = None if pd.isna(a_in) else int(a_in)
-            h, e = _segment_fold(t_all[a:b], ttl_us, a_in)
-            hit[a:b], entry[a:b] = h, e
-        out = pdf[["key", "event_id", "ts"]].copy()
-        out["hit"] = hit
-        out["entry_ts"] = pd.to_datetime(entry * 1000)
-        yield out
+        last_key, carried = None, None  # rows come sorted; a key goes on with the entry it had
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pdf = pdf.reset_index(drop=True)
+            starts, ends = _segments(pdf)
+            t_all, keys = pdf["t"].to_numpy(), pdf["key"].to_numpy()
+            a_all = pdf["a_in"].to_numpy()
+            hit = np.zeros(len(pdf), dtype=bool)
+            entry = np.zeros(len(pdf), dtype=np.int64)
+            for a, b in zip(starts, ends):
+                a_in = carried if keys[a] == last_key else a_all[a]
+                a_in = None if pd.isna(a_in) else int(a_in)
+                h, e = _segment_fold(t_all[a:b], ttl_us, a_in)
+                hit[a:b], entry[a:b] = h, e
+                last_key, carried = keys[a], int(e[-1])
+            out = pdf[["key", "event_id", "ts"]].copy()
+            out["hit"] = hit
+            out["entry_ts"] = pd.to_datetime(entry * 1000)
+            yield out
     return run
 
 
@@ -227,5 +229,5 @@ def answer_reuse_ranged(log: DataFrame, ttl_seconds: int = ANSWER_TTL_SECONDS,
     x = materialize(x)
     summ = x.mapInPandas(_summaries(ttl_us), SUMMARY_SCHEMA)
     states = summ.groupBy("key").applyInPandas(_chain(ttl_us), STATE_SCHEMA)
-    j = x.join(F.broadcast(states), ["_pid", "key"], "left")
+    j = x.join(F.broadcast(states), ["_pid", "key"], "left").sortWithinPartitions("key", "t", "event_id")
     return j.mapInPandas(_apply_states(ttl_us), REUSE_SCHEMA)

@@ -10,7 +10,7 @@ from demandlens.plans import analytics as an
 from demandlens.plans import sqlbase as S
 from demandlens.plans.common import FOCAL, coverage, demand
 from demandlens.plans.q_scoring import PAIRS, SCORED
-from demandlens.plans.q_text import PART_STOP_WORDS
+from demandlens.plans.q_text import PART_STOP_WORDS, QUESTION_INTENTS
 from demandlens.plans.q_text import _KW_SQL as KW_SQL
 from demandlens.plans.registry import register
 from demandlens.session import materialize
@@ -195,7 +195,8 @@ def context_assembly(spark, sf):
     conversation asks as admin, later turns as student).  Rows-only check: one row per question."""
     from demandlens.operators import retrieval as rt
 
-    cards = rt.hashed_embedding(all_cards(spark, sf), "text")
+    # the cards are counted, blocked and joined back: written once
+    cards = materialize(rt.hashed_embedding(all_cards(spark, sf), "text"))
     conv = tables.table(spark, sf, "conversations").where(F.col("role") == "user")
     qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"),
                      F.when(F.col("turn") == 0, "admin").otherwise("student").alias("role"),
@@ -203,6 +204,19 @@ def context_assembly(spark, sf):
     return rt.assemble_context(qs, cards)
 
 
+@register("question_search")
+def question_search(spark, sf):
+    """X3 + X4 + V8 + V9: the eight best cards of every user question, inside its inferred type
+    (rows-only: hashed word vectors; the tests compare it with a dense search)."""
+    from demandlens.operators import retrieval as rt
+    from demandlens.operators import text as tx
+
+    cards = materialize(rt.hashed_embedding(all_cards(spark, sf), "text"))
+    conv = tables.table(spark, sf, "conversations").where(F.col("role") == "user")
+    qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
+    return rt.question_search(qs, cards, rules=[*tx.INTENT_FILTERS, *QUESTION_INTENTS])
+
+
 @register("enriched_item_cards", S.with_(ANALYSED[1:]) + f""",
 kw AS (SELECT item, {KW_SQL} AS keywords FROM analysed),
 tok AS (SELECT trajectory, unnest(string_split(k, ', ')) AS tok FROM

@@ -123,7 +123,10 @@ f AS (
 SELECT n00 AS n_00, n01 AS n_01, n10 AS n_10, n11 AS n_11,
        round(p0, 6) AS precision_0, round(r0, 6) AS recall_0, round(f1_0, 6) AS f1_0, n00 + n01 AS support_0,
        round(p1, 6) AS precision_1, round(r1, 6) AS recall_1, round(f1_1, 6) AS f1_1, n10 + n11 AS support_1,
+       round((p0 + p1) / 2, 6) AS macro_precision, round((r0 + r1) / 2, 6) AS macro_recall,
        round((f1_0 + f1_1) / 2, 6) AS macro_f1,
+       round((p0 * (n00 + n01) + p1 * (n10 + n11)) / (n00 + n01 + n10 + n11), 6) AS weighted_precision,
+       round((r0 * (n00 + n01) + r1 * (n10 + n11)) / (n00 + n01 + n10 + n11), 6) AS weighted_recall,
        round((f1_0 * (n00 + n01) + f1_1 * (n10 + n11)) / (n00 + n01 + n10 + n11), 6) AS weighted_f1,
        round((n00 + n11) / (n00 + n01 + n10 + n11), 6) AS accuracy
 FROM f""")
@@ -135,6 +138,18 @@ def confusion_report(spark, sf):
     return rep.select(*[F.col(c) if c.startswith(("n_", "support")) else r6(c) for c in rep.columns])
 
 
+@register("auc_score", S.with_(SWEEP[1:]) + """,
+rk AS (SELECT label, (rank() OVER (ORDER BY score) + rank() OVER (ORDER BY score)
+                      + count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM sc),
+n AS (SELECT count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0,
+             sum(r) FILTER (WHERE label = 1) AS s FROM rk)
+SELECT round(CAST((s - n1 * (n1 + 1) / 2.0) / (n1 * n0) AS DOUBLE), 6) AS auc FROM n""")
+def auc_score(spark, sf):
+    """ROC-AUC of the scaled demand score against the weak label (SQL twin: Mann-Whitney)."""
+    auc = ln.roc_auc(_scored_for_eval(spark, sf), "score")
+    return spark.range(1).select(r6(F.lit(auc), "auc"))
+
+
 @register("gap_model_ranking")
 def gap_model_ranking(spark, sf):
     """L4 + L6 + K7: forest trained on the training split; uncovered items ranked by P(gap).

@@ -486,3 +486,32 @@ def test_cleaned_coverage_matches_brute_force(spark):
         cleaned.add(best if -score >= 88 else r["item"])
     got = q_text.cleaned_coverage_summary(spark, sf).first()
     assert got["coverage_items"] == len(cleaned) and got["overlap_items"] == len(cleaned & set(items))
+
+
+def test_question_search_equals_dense_search(spark):
+    from demandlens.operators import retrieval as rt
+
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
+    rng = random.Random(12)
+    cards = spark.createDataFrame([(f"c{i}", ("gap_summary", "watch_list")[i % 2], " ".join(rng.choice(words) for _ in range(4)), i / 30)
+                                   for i in range(30)], "id string, type string, text string, priority_score double")
+    cards = rt.hashed_embedding(cards, "text").cache()
+    qs = spark.createDataFrame([("q1", "alpha beta watch"), ("q2", "delta zeta"), ("q3", "???"), ("q4", "gamma missing")],
+                               "question_id string, question string")
+    got = {}
+    for r in rt.question_search(qs, cards, 5).collect():
+        got.setdefault(r["question_id"], {})[r["hybrid_rank"]] = (r["id"], r["hybrid_score"])
+    embedded = {r["question_id"]: np.array(r["v"]) for r in rt.hashed_embedding(qs, "question", "v").collect()}
+    rows = cards.collect()
+    for q, kind in (("q1", "watch_list"), ("q2", None), ("q3", None), ("q4", "gap_summary")):
+        v = embedded[q]
+        sims = []
+        for c in rows:
+            if kind in (None, c["type"]):
+                e = np.array(c["embedding"])
+                n = np.linalg.norm(v) * np.linalg.norm(e)
+                sims.append((-(v @ e / n if n else 0.0), c["id"], c["priority_score"]))
+        # the k nearest by distance, ordered by the hybrid score
+        top = sorted((round(s, 12), i, p) for s, i, p in sims)[:5]
+        want = sorted((-round(0.7 * -s + 0.3 * p, 4), k, i) for k, (s, i, p) in enumerate(top))
+        assert [got[q][k + 1] for k in range(5)] == [(i, pytest.approx(-h)) for h, _, i in want]
