@@ -27,7 +27,7 @@ from demandlens.llm import regions
 from demandlens.llm.suffix_dedup import suffix_array
 
 LENGTH = 20
-GRAM = 4
+GRAM = 10
 
 
 class Bits:

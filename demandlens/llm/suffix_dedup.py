@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from demandlens.llm import regions
 
 LENGTH = 100
-GRAM = 24
+GRAM = 48
 
 
 def ranked(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
