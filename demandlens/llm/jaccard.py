@@ -372,9 +372,13 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
     final = staged(components(links), "groups")
     for nearest in (True, False):
         more = staged(_across(members, name, final, percent, nearest).join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionAll(staged(_verified(docs, more, shingle, percent), "links"))
+        if more.isEmpty():
+            continue
+        new = staged(_verified(docs, more, shingle, percent), "links")
         tested = tested.unionAll(more)
-        final = staged(components(links), "groups")
+        if not new.isEmpty():  # else the components are as they were
+            links = links.unionAll(new)
+            final = staged(components(links), "groups")
     keyed = full.drop("sketch").join(name.drop("sketch"), ["n", "k1", "k2"])
     found = keyed.join(final, F.col("rep") == F.col("id"), "left").select("doc_id", "n", F.coalesce("component", "rep").alias("c"))
     out = found.unionAll(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("c")))
