@@ -174,3 +174,21 @@ def conversation_digests(packed: Packed) -> DataFrame:
     done = staged(read_back(packed), "digests")
     return (packed.convs.join(done, "rank")
             .select(F.when(F.col("conv_id") != NO_ID, F.col("conv_id")).alias("conv_id"), *done.columns[1:]))
+
+
+def oracle(table: str) -> str:
+    """DuckDB SQL for conversation_digests(): turns in order, the template's length and the loss texts."""
+    def escaped(c: str) -> str:
+        out = f"replace({c}, '\\', '\\\\')"
+        for x in "<[|":
+            out = f"replace({out}, '{x}', '{x}\\')"
+        return out
+
+    control = len(OPEN) + len(CLOSE) + len(END)
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM {table})
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length({escaped('role')}) + length({escaped('text')}) + {control})::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id"""

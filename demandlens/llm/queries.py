@@ -48,17 +48,20 @@ def op3_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents")).drop("kept")
 
 
-@query()
+SPOKEN = "'</s>[INST] ok [/INST]'"
+
+
+@query(chat_format.oracle(f"""(SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', {SPOKEN} UNION ALL SELECT -1, 1, 'assistant', {SPOKEN})"""))
 def op4_chat_format(spark, sf_dir):
     """Digests of all conversations and one with control strings, read back from the packed tree."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    spoken = "'</s>[INST] ok [/INST]' AS text"
-    extra = spark.sql(f"SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, {spoken} "
-                      f"UNION ALL SELECT -1L, 1L, 'assistant', {spoken}")
+    extra = spark.sql(f"SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, {SPOKEN} AS text "
+                      f"UNION ALL SELECT -1L, 1L, 'assistant', {SPOKEN}")
     return chat_format.conversation_digests(chat_format.pack(rows.unionByName(extra)))
 
 
-@query()
+@query(jaccard.oracle(shingle=4, percent=85))
 def op5_ngram_jaccard(spark, sf_dir):
     """Components of documents linked by 4-word shingle sets at a Jaccard index of 0.85."""
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"), shingle=4, percent=85)
@@ -70,7 +73,7 @@ def op6_embedding_dedup(spark, sf_dir):
     return embed_dedup.embedding_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-@query()
+@query(fm_dedup.oracle())
 def op7_substring_dedup(spark, sf_dir):
     """Words of every document that repeat a window of 20 words, removed."""
     return fm_dedup.remove_repeated_words(read(spark, sf_dir, "documents")).drop("kept")
