@@ -131,13 +131,14 @@ def remove_repeated_words(docs: DataFrame, length: int = LENGTH, id_col: str = "
 
 def oracle(table: str = "documents", length: int = LENGTH) -> str:
     """DuckDB SQL for the digests of remove_repeated_words() (ids are unique)."""
+    window = " || ' ' || ".join(["x", *(f"lead(x, {i}) OVER v" for i in range(1, length))])
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
-b AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, w FROM d),
-s AS (SELECT doc_id, p, array_to_string(w[p:p + {length - 1}], ' ') AS s FROM b WHERE p + {length - 1} <= len(w)),
+b AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS p FROM d),
+s AS (SELECT doc_id, p, {window} AS s FROM b WINDOW v AS (PARTITION BY doc_id ORDER BY p) QUALIFY lead(x, {length - 1}) OVER v IS NOT NULL),
 f AS (SELECT s, min((doc_id, p)) AS first FROM s GROUP BY s),
 hit AS (SELECT s.doc_id, s.p FROM s JOIN f USING (s) WHERE (s.doc_id, s.p) > f.first),
-m AS (SELECT b.doc_id, b.p, b.w[b.p] AS x,
+m AS (SELECT b.doc_id, b.p, b.x,
              coalesce(max((hit.p IS NOT NULL)::INT) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW), 0) AS gone
       FROM b LEFT JOIN hit ON hit.doc_id = b.doc_id AND hit.p = b.p),
 g AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(x, ' ' ORDER BY p) FILTER (WHERE gone = 0) AS kept FROM m GROUP BY doc_id)

@@ -408,12 +408,14 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str =
 def oracle(table: str = "documents", shingle: int = 4, percent: int = 85) -> str:
     """DuckDB SQL for jaccard_components() (ids are unique)."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    window = " || ' ' || ".join(["x", *(f"lead(x, {i}) OVER v" for i in range(1, shingle))])
     return f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= {shingle} THEN list_transform(range(1, len(w) - {shingle - 2}), lambda i: array_to_string(w[i:i + {shingle - 1}], ' '))
-        WHEN len(w) > 0 THEN ['few ' || array_to_string(w, ' ')] ELSE [] END) AS x FROM d),
-n AS (SELECT doc_id, len(x)::BIGINT AS n FROM s),
-u AS (SELECT doc_id, unnest(x) AS x FROM s),
+t AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS p FROM d),
+v AS (SELECT doc_id, {window} AS x, lead(x, {shingle - 1}) OVER v IS NOT NULL AS whole FROM t WINDOW v AS (PARTITION BY doc_id ORDER BY p)),
+u AS (SELECT DISTINCT doc_id, x FROM v WHERE whole
+      UNION ALL SELECT doc_id, 'few ' || array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND {shingle - 1}),
+n AS (SELECT d.doc_id, count(u.x) AS n FROM d LEFT JOIN u USING (doc_id) GROUP BY d.doc_id),
 i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * inter >= {percent} * (na.n + nb.n - inter)),
 r(id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id AND r.c < l.b)
