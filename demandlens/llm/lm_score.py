@@ -38,16 +38,16 @@ from demandlens.llm.stage import partitions
 
 U64 = np.uint64
 SPARE_BITS = 20
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 
 
 def hash_bits(n: int) -> int:
     return min(64, max(40, SPARE_BITS + n.bit_length()))
 
 
-def pack(a: np.ndarray) -> tuple[int, bytes]:
-    """(bytes per value, values cut to that many low bytes)."""
-    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+def pack(a: np.ndarray, width: int = 0) -> tuple[int, bytes]:
+    """(bytes per value, values cut to that many low bytes); as many as the largest needs unless given."""
+    width = width or (max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1)
     return width, np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
@@ -70,6 +70,22 @@ def unpack_sparse(cells: list[tuple[int, bytes]], n: int) -> np.ndarray:
     return out
 
 
+def pack_patched(a: np.ndarray) -> list[tuple[int, bytes]]:
+    """Values in the width that takes least room, the high parts of the few larger ones apart."""
+    bits = np.bincount((np.frexp(np.maximum(a, 1).astype(np.float64))[1] + 7) // 8, minlength=10)
+    larger = len(a) - np.cumsum(bits)  # values of more than w bytes
+    width = 1 + int(np.argmin([len(a) * w + 12 * larger[w] for w in range(1, 9)]))
+    high = a >> U64(8 * width) if width < 8 else np.zeros(len(a), U64)
+    return [pack(a, width), *pack_sparse(high)]
+
+
+def unpack_patched(cells: list[tuple[int, bytes]]) -> np.ndarray:
+    low = unpack(*cells[0])
+    if cells[0][0] == 8:
+        return low
+    return low + (unpack_sparse(cells[1:], len(low)).astype(U64) << U64(8 * cells[0][0]))
+
+
 class Grams:
     """n-grams of a chunk's texts, order by order: hash and position of the last word."""
 
@@ -171,7 +187,7 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str =
         cut, out = part_bounds(h, number, bits), []
         for p in np.flatnonzero(np.diff(cut)):
             x = h[cut[p]:cut[p + 1]]
-            cells = [pack(np.diff(x, prepend=U64(0))), *pack_sparse(c[cut[p]:cut[p + 1]] - 1)]
+            cells = [*pack_patched(np.diff(x, prepend=U64(0))), *pack_sparse(c[cut[p]:cut[p + 1]] - 1)]
             out.append((int(p), table["chunk"][0].as_py(), [w for w, _ in cells], [d for _, d in cells]))
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()))
         cols = list(zip(*out)) if out else [[]] * 4
@@ -180,8 +196,8 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str =
     def add_up(table: pa.Table) -> pa.Table:
         part, chunk = table["part"][0].as_py(), table["chunk"].to_pylist()
         cells = [list(zip(w, d)) for w, d in zip(table["widths"].to_pylist(), table["cells"].to_pylist())]
-        h = [np.cumsum(unpack(*x[0]), dtype=U64) for x in cells]
-        c = [1 + unpack_sparse(x[1:], len(y)) for x, y in zip(cells, h)]
+        h = [np.cumsum(unpack_patched(x[:3]), dtype=U64) for x in cells]
+        c = [1 + unpack_sparse(x[3:], len(y)) for x, y in zip(cells, h)]
         every, counts = np.concatenate(h), np.concatenate(c)
         by = np.argsort(every, kind="stable")
         first = np.flatnonzero(np.append(True, every[by][1:] != every[by][:-1]))
