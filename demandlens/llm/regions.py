@@ -7,10 +7,9 @@ anchor position form a region, the symbols that they cover; every window is in o
 
 ``shared_regions`` deals the regions by anchor (packed rows: hashes, positions, lengths, no
 text) and finds which anchors occur twice.  Identical regions are collapsed, first inside a chunk, then
-in a part: of each distinct region the first two occurrences go to the operator that judges windows
-(its ``solve`` sees their symbols, shard by shard; those of the second, the twin, are sent only once),
-and further copies, whose windows all start earlier in the first, are removed as a whole.  ``judged``
-brings everything back to the documents.  A larger k means more regions but fewer whose
+in a part: the first occurrence of every distinct region goes to the operator that judges windows
+(its ``solve`` sees the symbols, shard by shard), and further copies, whose windows all start earlier
+in the first, are removed as a whole.  ``judged`` brings everything back to the documents.  A larger k means more regions but fewer whose
 anchor is shared by chance or by a frequent line.
 
 Documents are ordered by id; rows that share an id with another are ordered by the hash of their text
@@ -36,6 +35,7 @@ MAX_BROADCAST_IDS = 1_000_000
 PIECE = 1 << 22
 LOW = U64((1 << 24) - 1)
 BATCH_SYMBOLS = 1 << 20
+CHUNK_BYTES = 2 << 20
 
 
 class Symbols:
@@ -103,15 +103,14 @@ def _earlier_first(*keys: np.ndarray) -> np.ndarray:
 
 
 def shared_regions(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
-    """(doc, tie, off, len, anchor, open, twin): regions whose anchor occurs twice; open False: a
-    further copy of a region, removed as a whole; open True: to be judged, with its second
-    occurrence (doc, tie, off) as twin if there is one."""
+    """(doc, tie, off, len, anchor, open): regions whose anchor occurs twice; open False: a
+    further copy of a region, removed as a whole; open True: to be judged."""
     parts = 2 * partitions(docs.sparkSession)
 
     def emit(batches):
         for b in batches:
             doc_ids, ties = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            for lo, hi, buf, offs in tp.chunks(b.column(2)):
+            for lo, hi, buf, offs in tp.chunks(b.column(2), CHUNK_BYTES):
                 s = Symbols(buf, offs, words)
                 start, end, row, anchor, content = regions(s, length, k)
                 if not len(start):
@@ -121,16 +120,16 @@ def shared_regions(docs: DataFrame, length: int, k: int, words: bool) -> DataFra
                 doc, tie, off, size, anchor, content = (x[order] for x in (doc, tie, off, size, anchor, content))
                 same = np.zeros(len(doc), bool)
                 same[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
-                # The chunk's first two of a region travel; the others start later than both.
-                later = same.copy()
-                later[1:] &= same[:-1]
-                twin = np.zeros(len(doc), bool)
-                twin[1:] = (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (off[1:] == off[:-1]) & same[1:]
-                later, gone = later & ~twin, twin
+                # The chunk's first of a region travels; the others start later (but for one place
+                # that repeated rows report).
+                gone = np.zeros(len(doc), bool)
+                gone[1:] = (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (off[1:] == off[:-1]) & same[1:]
+                doc, tie, off, size, anchor, content, same = (x[~gone] for x in (doc, tie, off, size, anchor, content, same))
+                later = same
                 part = ((anchor >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
                 part[later] = lo % parts  # any part passes these on
                 out = []
-                for is_later, pick in ((False, ~later & ~gone), (True, later)):
+                for is_later, pick in ((False, ~later), (True, later)):
                     at = np.flatnonzero(pick)
                     cut = np.searchsorted(part[at], np.arange(parts + 1)) if not is_later else None
                     for p in (np.flatnonzero(np.diff(cut)) if not is_later else [lo % parts] if len(at) else []):
@@ -154,7 +153,7 @@ def shared_regions(docs: DataFrame, length: int, k: int, words: bool) -> DataFra
             content = np.concatenate([c[1] for c in cells])
             doc, tie, off, size = (np.concatenate([c[j] for c in cells]).view(np.int64) for j in range(2, 6))
             if is_later:
-                use, open_, second = np.arange(len(doc)), np.zeros(len(doc), bool), np.full(len(doc), -1)
+                use, open_ = np.arange(len(doc)), np.zeros(len(doc), bool)
             else:
                 order = _earlier_first(anchor, content, doc, tie, off)
                 anchor, content, doc, tie, off, size = (x[order] for x in (anchor, content, doc, tie, off, size))
@@ -166,25 +165,16 @@ def shared_regions(docs: DataFrame, length: int, k: int, words: bool) -> DataFra
                 shared = (np.bincount(group) > 1)[group]
                 same = np.zeros(len(doc), bool)
                 same[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
-                third = same.copy()
-                third[1:] &= same[:-1]
-                second = np.full(len(doc), -1)
-                twins = np.flatnonzero(same & ~third)
-                second[twins - 1] = twins
-                use = np.flatnonzero(shared & (third | ~same))
-                open_ = ~third
+                use, open_ = np.flatnonzero(shared), ~same
             for i in range(0, len(use), 100_000):
                 x = use[i:i + 100_000]
-                t = second[x]
-                twin_of = pa.StructArray.from_arrays([pa.array(v[t], pa.int64()) for v in (doc, tie, off)], ["doc", "tie", "off"],
-                                                     mask=pa.array(t < 0))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(v[x]) for v in (doc, tie, off, size)), pa.array(anchor[x].view(np.int64)), pa.array(open_[x]), twin_of],
-                    ["doc", "tie", "off", "len", "anchor", "open", "twin"])
+                    [*(pa.array(v[x]) for v in (doc, tie, off, size)), pa.array(anchor[x].view(np.int64)), pa.array(open_[x])],
+                    ["doc", "tie", "off", "len", "anchor", "open"])
 
     packed = docs.mapInArrow(emit, "part int, later boolean, widths array<int>, cols array<binary>")
     return packed.repartition(partitions(docs.sparkSession), "part").mapInArrow(
-        meet, "doc bigint, tie bigint, off bigint, len bigint, anchor bigint, open boolean, twin struct<doc:bigint,tie:bigint,off:bigint>")
+        meet, "doc bigint, tie bigint, off bigint, len bigint, anchor bigint, open boolean")
 
 
 Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
@@ -200,17 +190,16 @@ def removed_spans(docs: DataFrame, length: int, k: int, words: bool, solve: Solv
     parts = 4 * partitions(spark)
     found = staged(shared_regions(docs, length, k, words), "regions")
     asked = (found.filter("open").groupBy("doc", "tie")
-             .agg(F.collect_list(F.struct("off", "len", "anchor", F.col("twin").isNotNull().alias("again"),
-                                       *(F.coalesce(f"twin.{c}", F.lit(0)).alias(f"t_{c}") for c in ("doc", "tie", "off")))).alias("wanted")))
+             .agg(F.collect_list(F.struct("off", "len", "anchor")).alias("wanted")))
 
     def cut_out(batches):
         for b in batches:
             doc, tie = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, buf, offs in tp.chunks(b.column(2)):
+            for lo, hi, buf, offs in tp.chunks(b.column(2), CHUNK_BYTES):
                 s = Symbols(buf, offs, words)
                 lists = b.column(3).slice(lo, hi - lo)
                 n = np.diff(lists.offsets.to_numpy())
-                off, size, anchor, *twin = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+                off, size, anchor = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
                 row = np.repeat(np.arange(hi - lo), n)
                 begin = s.bounds[row] + off
                 part = ((anchor.view(U64) >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
@@ -220,7 +209,7 @@ def removed_spans(docs: DataFrame, length: int, k: int, words: bool, solve: Solv
                 for p in np.flatnonzero(np.diff(cut)):
                     x = order[cut[p]:cut[p + 1]]
                     values = s.values[tp.segment_ranges(begin[x], size[x])]
-                    rows.append((int(p), [v.astype(np.int64).tobytes() for v in (anchor[x], doc[lo + row[x]], tie[lo + row[x]], off[x], size[x], *(c[x] for c in twin))]
+                    rows.append((int(p), [v.astype(np.int64).tobytes() for v in (anchor[x], doc[lo + row[x]], tie[lo + row[x]], off[x], size[x])]
                                  + [values.tobytes()]))
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()),
                                                   pa.array([c for _, c in rows], pa.list_(pa.binary()))], ["part", "cols"])
@@ -229,12 +218,9 @@ def removed_spans(docs: DataFrame, length: int, k: int, words: bool, solve: Solv
         got = [c for b in batches for c in b.column(1).to_pylist()]
         if not got:
             return
-        anchor, doc, tie, off, size, again, *twin = (np.concatenate([np.frombuffer(c[j], np.int64) for c in got]) for j in range(9))
-        values = np.concatenate([np.frombuffer(c[9], U64 if words else np.uint8) for c in got])
+        anchor, doc, tie, off, size = (np.concatenate([np.frombuffer(c[j], np.int64) for c in got]) for j in range(5))
+        values = np.concatenate([np.frombuffer(c[5], U64 if words else np.uint8) for c in got])
         where = np.cumsum(size) - size
-        again = np.flatnonzero(again)  # twins read the same symbols
-        anchor, size, where = (np.concatenate([c, c[again]]) for c in (anchor, size, where))
-        doc, tie, off = (np.concatenate([c, t[again]]) for c, t in zip((doc, tie, off), twin))
         # Anchors stay together; batches of anchors hold a bounded number of symbols.
         by = np.lexsort((off, tie, doc, anchor))
         twin = np.zeros(len(by), bool)  # repeated rows send one place several times
@@ -280,7 +266,7 @@ def judged(docs: DataFrame, length: int, k: int, words: bool, solve: Solve, fini
 
     def run(batches):
         for b in batches:
-            for lo, hi, buf, offs in tp.chunks(b.column(1)):
+            for lo, hi, buf, offs in tp.chunks(b.column(1), CHUNK_BYTES):
                 s = Symbols(buf, offs, words)
                 lists = b.column(2).slice(lo, hi - lo)
                 n = np.diff(lists.offsets.to_numpy())

@@ -35,7 +35,7 @@ def ranked(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         key = np.zeros(len(cols[0]), np.int64)
         for c, b in zip(cols, bits):
             key = (key << b) | c
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get one rank, so their order doesn't matter
         new = np.append(True, key[order][1:] != key[order][:-1])
     else:
         order = np.lexsort(cols[::-1])
