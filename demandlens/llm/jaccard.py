@@ -67,7 +67,10 @@ def scheme(top: int, percent: int) -> tuple[int, int, int, int]:
         return 1, k + 2, k, 0
     need = k // 2 + 1
     spare = 2 + need // 16
-    return need + spare, 2, 1, spare
+    # Two parts a group and one of them a signature, or three and two of them where the smallest
+    # set of the band would have fewer than four features in a part.
+    smallest = top * percent * percent // 10_000
+    return need + spare, 2 if smallest >= 4 * (k + 1) else 3, 1, spare
 
 
 def sketch_level(n: int) -> int:
@@ -150,20 +153,26 @@ class Sets:
         return count, s[ends] - s[ends - count], base
 
     def _parts(self, pick, band, params):
-        """Bands with n2 = 2, k2 = 1: the chosen part of a group is a signature."""
-        use = params[:, 2] == 1
-        use &= params[:, 1] == 2
-        rows, band, params = pick[use], band[use], params[use]
-        if not len(rows):
-            return np.zeros(0, U64), np.zeros(0, np.int64)
-        parts = params[:, 0] * 2
-        count, sums, base = self._part_sums(rows, parts)
-        which = np.repeat(np.arange(len(rows)), parts)
-        empty = np.add.reduceat((count == 0).astype(np.int64), base)
-        keep = (count > 0) | (empty > params[:, 3])[which]
-        number = np.arange(len(which)) - base[which]
-        sig = tp.mix(sums + tp.mix((band[which] * 1_000_003 + 17).astype(U64) + (number.astype(U64) << U64(32))))
-        return sig[keep], rows[which[keep]]
+        """Bands with several groups: all parts of a group but one make a signature."""
+        sigs, found = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for n2 in (2, 3):
+            use = (params[:, 0] > 1) & (params[:, 1] == n2)
+            if not use.any():
+                continue
+            rows, own, spare = pick[use], band[use], params[use, 3]
+            parts = params[use, 0] * n2
+            count, sums, base = self._part_sums(rows, parts)
+            which = np.repeat(np.arange(len(rows)), parts)
+            # signature i of a group leaves out its part i
+            group = lambda x: (x.reshape(-1, n2).sum(axis=1, keepdims=True, dtype=x.dtype) - x.reshape(-1, n2)).ravel()
+            count, sums = group(count), group(sums)
+            empty = np.add.reduceat((count == 0).astype(np.int64), base)
+            keep = (count > 0) | (empty > spare)[which]
+            number = np.arange(len(which)) - base[which]
+            sig = tp.mix(sums + tp.mix((own[which] * 1_000_003 + 17).astype(U64) + (number.astype(U64) << U64(32))))
+            sigs.append(sig[keep])
+            found.append(rows[which[keep]])
+        return np.concatenate(sigs), np.concatenate(found)
 
     def _subsets(self, pick, band, params):
         """Bands with one group: every choice of n2 - k2 of its n2 parts."""

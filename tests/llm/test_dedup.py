@@ -158,20 +158,21 @@ def test_jaccard_edges(docs, empty, rows):
     assert ids[0] == 1 and ids[100] == 0 and ids[300] == 1 and ids[None] == 2
 
 
-def test_partenum_signatures_meet():
+@pytest.mark.parametrize("percent", [85, 80])
+def test_partenum_signatures_meet(percent):
     """Every pair at the threshold shares a signature, also with empty parts."""
     rng = random.Random(9)
     for _ in range(300):
         size = rng.choice([1, 3, 6, 7, 12, 13, 20, 40, 90])
         a = [f"f{rng.random()}" for _ in range(size + 3)]
-        drop = rng.randint(0, max(0, size * 15 // 185))
+        drop = rng.randint(0, max(0, size * (100 - percent) // (100 + percent)))
         b = a[:len(a) - drop] + [f"g{rng.random()}" for _ in range(rng.randint(0, drop))]
         texts = [" ".join(a).encode(), " ".join(b).encode()]
         offs = np.cumsum([0, *map(len, texts)])
         s = jaccard.Sets(np.frombuffer(b"".join(texts), np.uint8), offs, 4)
         x, y = (set(s.hash[s.bounds[i]:s.bounds[i + 1]].tolist()) for i in (0, 1))
-        if 100 * len(x & y) >= 85 * len(x | y):
-            sig, row = s.signatures(np.array([0, 1]), 85)
+        if 100 * len(x & y) >= percent * len(x | y):
+            sig, row = s.signatures(np.array([0, 1]), percent)
             assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
 
 
