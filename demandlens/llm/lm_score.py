@@ -17,9 +17,11 @@ To keep the shuffle small, n-grams travel packed: documents are dealt into chunk
 hashes of its distinct n-grams with their counts, as one row with byte-packed differences (of
 the counts only those above 1); the part adds the counts up and answers each row with what the other
 chunks have, in the same order; the chunk's texts (dealt out once, compressed) meet the answers
-in a cogroup by chunk.  A frequent n-gram is one entry for each chunk.  Hashes have 20 bits more than
-the number of n-grams needs, so at any size about one n-gram in a million shares its count with
-another (64 bits at most).
+in a cogroup by chunk.  A frequent n-gram is one entry for each chunk.  An n-gram is known by two
+hashes over its words, 64 and 32 bits at every size: of n distinct n-grams n ** 2 / 2 ** 97 pairs share
+a count (5e9 of them: 1.6e-10).  Words enter by their 64-bit hash, so two words of one hash would be one word
+(among 1e8 words with a chance of 3e-4).  Should an n-gram get more counts than its history all the
+same, it counts as often as its history.
 
 Edge cases: null or empty texts and texts without words have 0 words and score 0; very long
 texts are scored whole (a chunk then holds one of them); repeated rows are documents of their
@@ -37,12 +39,9 @@ from demandlens.llm import textpack as tp
 from demandlens.llm.stage import partitions
 
 U64 = np.uint64
-SPARE_BITS = 20
+BITS = (64, 32)
 CHUNK_BYTES = 6 << 20
-
-
-def hash_bits(n: int) -> int:
-    return min(64, max(40, SPARE_BITS + n.bit_length()))
+SECOND = U64(0x9E3779B97F4A7C15)
 
 
 def pack(a: np.ndarray, width: int = 0) -> tuple[int, bytes]:
@@ -86,39 +85,54 @@ def unpack_patched(cells: list[tuple[int, bytes]]) -> np.ndarray:
     return low + (unpack_sparse(cells[1:], len(low)).astype(U64) << U64(8 * cells[0][0]))
 
 
+def in_order(high: np.ndarray, low: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order by both hashes, where another n-gram begins in it); kind as in np.argsort."""
+    by = np.argsort(high, kind=kind)
+    same, step = high[by][1:] == high[by][:-1], low[by]
+    if np.any(same & (step[1:] < step[:-1])):  # one first hash, several second ones: rare
+        by = np.lexsort((low, high))
+        same, step = high[by][1:] == high[by][:-1], low[by]
+    return by, np.flatnonzero(np.append(True, ~same | (step[1:] != step[:-1]))) if len(by) else np.zeros(0, np.int64)
+
+
 class Grams:
-    """n-grams of a chunk's texts, order by order: hash and position of the last word."""
+    """n-grams of a chunk's texts, order by order: both hashes and position of the last word."""
 
-    def __init__(self, col: pa.Array, order: int, bits: int):
+    def __init__(self, col: pa.Array, order: int, bits: tuple[int, int]):
         data, offs = tp.buffers(col)
         w = tp.Words(data[offs[0]:offs[-1]], offs - offs[0], tp.letter_table())
         self.words, self.row = np.diff(w.bounds), w.row
-        pre = tp.sequence_prefix(w.hash)
-        self.at, self.hash = [], []
+        first, second = tp.sequence_prefix(w.hash), tp.sequence_prefix(tp.mix(w.hash ^ SECOND))
+        keep = U64((1 << 64) - (1 << (64 - bits[0])))
+        self.at, self.high, self.low = [], [], []
         for n in range(1, order + 1):
             at = tp.segment_ranges(w.bounds[:-1], np.maximum(self.words - n + 1, 0))
             self.at.append(at + n - 1)
-            self.hash.append(tp.range_hash(pre, at, at + n) >> U64(64 - bits))
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct hashes of all orders and their counts."""
-        h = np.concatenate(self.hash)
-        h.sort()
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        return h[first], np.diff(np.append(first, len(h)))
-
-
-def part_bounds(distinct: np.ndarray, number: int, bits: int) -> np.ndarray:
-    """Bounds of the table's parts in sorted hashes."""
-    part = (distinct >> U64(bits - 32)) * U64(number) >> U64(32)
+            self.high.append(tp.range_hash(first, at, at + n) & keep)
+            self.low.append((tp.range_hash(second, at, at + n) >> U64(32) >> U64(32 - bits[1])).astype(np.uint32))
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Both hashes of the distinct n-grams of all orders, sorted, their counts, and for each
+        order which of them its n-grams are."""
+        high, low = np.concatenate(self.high), np.concatenate(self.low)
+        by, first = in_order(high, low)
+        counts = np.diff(np.append(first, len(by)))
+        which = np.empty(len(by), np.int64)
+        which[by] = np.repeat(np.arange(len(first)), counts)
+        return high[by][first], low[by][first], counts, np.split(which, np.cumsum([len(x) for x in self.high])[:-1])
+
+
+def part_bounds(distinct: np.ndarray, number: int) -> np.ndarray:
+    """Bounds of the table's parts in sorted first hashes."""
+    part = (distinct >> U64(32)) * U64(number) >> U64(32)
     return np.searchsorted(part, np.arange(number + 1).astype(U64))
 
 
-def score_chunk(g: Grams, distinct: np.ndarray, total: np.ndarray, n_total: int, alpha: float) -> np.ndarray:
-    """Sum of log scores per text; total: corpus counts of the distinct hashes."""
+def score_chunk(g: Grams, which: list[np.ndarray], total: np.ndarray, n_total: int, alpha: float) -> np.ndarray:
+    """Sum of log scores per text; total: corpus counts of the distinct n-grams."""
     def others(n: int) -> np.ndarray:  # corpus count less the text's own, per n-gram of this order
-        at = np.searchsorted(distinct, g.hash[n])
-        key = g.row[g.at[n]] * len(distinct) + at
+        at = which[n]
+        key = g.row[g.at[n]] * len(total) + at
         order = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
         own = np.empty(len(key), np.int64)
@@ -129,23 +143,25 @@ def score_chunk(g: Grams, distinct: np.ndarray, total: np.ndarray, n_total: int,
         return np.zeros(len(g.words))
     lower = others(0)
     best = np.log(np.maximum(lower, 0.5) / np.maximum(n_total - g.words, 1)[g.row])
-    for n in range(1, len(g.hash)):
-        if not len(g.hash[n]):
+    for n in range(1, len(g.at)):
+        if not len(g.at[n]):
             break
         # the history of an n-gram that ends at word i is the n-gram of one order less that ends at i - 1
-        last, counts = g.at[n], others(n)
+        last = g.at[n]
         history = np.zeros(len(g.row))
         history[g.at[n - 1]] = lower
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = np.log(counts) - np.log(history[last - 1])
-        best[last] = np.where(counts > 0, own, best[last] + np.log(alpha))
+        history = history[last - 1]
+        counts = np.minimum(others(n), history)
+        seen = counts > 0
+        best[last] += np.log(alpha)
+        best[last[seen]] = np.log(counts[seen]) - np.log(history[seen])
         lower = counts
     return np.bincount(g.row, best, len(g.words))
 
 
 def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text",
-              chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score) for every row."""
+              chunk_bytes: int = CHUNK_BYTES, bits: tuple[int, int] = BITS) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_log_score) for every row; bits: widths of an n-gram's two hashes."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -157,7 +173,7 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str =
     whole = rows.select("text").mapInArrow(measure, "n bigint, size bigint").agg(F.sum("n"), F.sum("size")).first()
     n_total, size = whole[0] or 0, whole[1] or 0
     chunks = max(1, -(-size // chunk_bytes))
-    number, bits = 2 * partitions(docs.sparkSession), hash_bits(order * n_total)
+    number = 2 * partitions(docs.sparkSession)
     keyed = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
 
     def deal(batches):
@@ -183,11 +199,11 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str =
         return col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
 
     def send(table: pa.Table) -> pa.Table:
-        h, c = Grams(column(texts(table)), order, bits).distinct()
-        cut, out = part_bounds(h, number, bits), []
+        h, low, c, _ = Grams(column(texts(table)), order, bits).distinct()
+        cut, out = part_bounds(h, number), []
         for p in np.flatnonzero(np.diff(cut)):
             x = h[cut[p]:cut[p + 1]]
-            cells = [*pack_patched(np.diff(x, prepend=U64(0))), *pack_sparse(c[cut[p]:cut[p + 1]] - 1)]
+            cells = [*pack_patched(np.diff(x, prepend=U64(0))), *pack_sparse(c[cut[p]:cut[p + 1]] - 1), pack(low[cut[p]:cut[p + 1]], -(-bits[1] // 8) or 1)]
             out.append((int(p), table["chunk"][0].as_py(), [w for w, _ in cells], [d for _, d in cells]))
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()))
         cols = list(zip(*out)) if out else [[]] * 4
@@ -197,10 +213,10 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str =
         part, chunk = table["part"][0].as_py(), table["chunk"].to_pylist()
         cells = [list(zip(w, d)) for w, d in zip(table["widths"].to_pylist(), table["cells"].to_pylist())]
         h = [np.cumsum(unpack_patched(x[:3]), dtype=U64) for x in cells]
-        c = [1 + unpack_sparse(x[3:], len(y)) for x, y in zip(cells, h)]
+        c = [1 + unpack_sparse(x[3:5], len(y)) for x, y in zip(cells, h)]
+        low = np.concatenate([unpack(*x[5]).astype(np.uint32) for x in cells])
         every, counts = np.concatenate(h), np.concatenate(c)
-        by = np.argsort(every, kind="stable")
-        first = np.flatnonzero(np.append(True, every[by][1:] != every[by][:-1]))
+        by, first = in_order(every, low, "stable")
         total = np.add.reduceat(counts[by], first)
         answer = np.empty(len(every), np.int64)
         answer[by] = np.repeat(total, np.diff(np.append(first, len(every))))
@@ -213,11 +229,11 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str =
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         own = texts(table)
         g = Grams(column(own), order, bits)
-        distinct, counts = g.distinct()
+        _, _, counts, which = g.distinct()
         a = answers.sort_by("part")
         others = [unpack(w, x) for w, x in zip(a["width"].to_pylist(), a["totals"].to_pylist())]
         total = counts + np.concatenate(others).astype(np.int64) if others else counts
-        s = score_chunk(g, distinct, total, n_total, alpha)
+        s = score_chunk(g, which, total, n_total, alpha)
         return pa.table([own["doc_id"], pa.array(g.words.astype(np.int64)), pa.array(s)], ["doc_id", "n_words", "log_score"])
 
     dealt = keyed.mapInArrow(deal, "chunk bigint, rows binary")

@@ -1,5 +1,6 @@
 """Operators 1, 2, 4, 8, 9 and 10 with edge cases."""
 import hashlib
+import inspect
 import itertools
 import math
 import random
@@ -8,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,6 +254,24 @@ def test_lm_scores(spark, docs, rows, empty):
     assert lm_score.lm_scores(empty).count() == 0
 
 
+def test_lm_narrow_hashes(spark, docs):
+    width = inspect.signature(lm_score.lm_scores).parameters["bits"].default
+    assert width[0] == 64 and sum(width) >= 96  # whatever the input's size
+    score = lambda **a: sorted(((r["doc_id"] or -1, r["n_words"], r["log_score"]) for r in lm_score.lm_scores(docs, chunk_bytes=4000, **a).collect()))
+    exact = score()
+    assert np.allclose(score(bits=(9, 32)), exact)  # n-grams of one first hash are told apart by the second
+    shared = score(bits=(9, 0))
+    assert shared != exact and all(math.isfinite(x) for _, _, x in shared)  # n-grams that share counts
+
+
+def test_lm_false_count_of_unseen_history():
+    g = lm_score.Grams(pa.array(["alone here", "other text"], pa.large_string()), 2, (64, 32))
+    _, _, counts, which = g.distinct()
+    total = counts.copy()
+    total[which[1]] += 3  # the word pairs seem to be elsewhere, their histories are not
+    assert np.allclose(lm_score.score_chunk(g, which, total, 4, 0.4), [2 * math.log(0.5 / 2) + math.log(0.4)] * 2)
+
+
 def test_lm_pack_round_trip():
     for a in ([], [0], [255, 256, 0], [1 << 55, 3]):
         x = np.array(a, np.uint64)
