@@ -103,7 +103,8 @@ def earlier_windows(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, len
     return hit
 
 
-def remove_repeated_words(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_words(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
+                          batch_symbols: int = regions.BATCH_SYMBOLS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) for every row; kept: remaining words joined by a space."""
     if length < GRAM + 1:
         raise ValueError(f"length must be at least {GRAM + 1}")
@@ -126,7 +127,7 @@ def remove_repeated_words(docs: DataFrame, length: int = LENGTH, id_col: str = "
                 pa.array([hashlib.sha256(x).hexdigest() for x in texts]), pa.array([x.decode() for x in texts])]
 
     return regions.judged(docs, length, GRAM, True, earlier_windows, finish,
-                          "n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+                          "n_words bigint, n_removed bigint, kept_sha256 string, kept string", batch_symbols)
 
 
 def oracle(table: str = "documents", length: int = LENGTH) -> str:

@@ -12,6 +12,11 @@ in a part: the first occurrence of every distinct region goes to the operator th
 in the first, are removed as a whole.  ``judged`` brings everything back to the documents.  A larger k means more regions but fewer whose
 anchor is shared by chance or by a frequent line.
 
+The regions of an anchor that hold more than ``batch`` symbols (a frequent line, each time in another context) are
+dealt by place into pieces of about half as many, judged one by one.  Windows that no piece finds
+earlier meet by the hash of their content, a function of the window alone, and are judged again: a piece
+keeps one of each, so a hash has at most as many of them as its anchor has pieces.
+
 Documents are ordered by id; rows that share an id with another are ordered by the hash of their text
 behind it, and rows equal in both are one document.
 """
@@ -24,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from demandlens.llm import textpack as tp
 from demandlens.llm.lm_score import pack, unpack
@@ -102,9 +108,10 @@ def _earlier_first(*keys: np.ndarray) -> np.ndarray:
     return np.lexsort(keys[::-1])
 
 
-def shared_regions(docs: DataFrame, length: int, k: int, words: bool) -> DataFrame:
-    """(doc, tie, off, len, anchor, open): regions whose anchor occurs twice; open False: a
-    further copy of a region, removed as a whole; open True: to be judged."""
+def shared_regions(docs: DataFrame, length: int, k: int, words: bool, batch: int) -> DataFrame:
+    """(doc, tie, off, len, anchor, open, split): regions whose anchor occurs twice; open False: a
+    further copy of a region, removed as a whole; open True: to be judged; split: with a piece of
+    its anchor's group only, and anchor then stands for the piece."""
     parts = 2 * partitions(docs.sparkSession)
 
     def emit(batches):
@@ -153,7 +160,7 @@ def shared_regions(docs: DataFrame, length: int, k: int, words: bool) -> DataFra
             content = np.concatenate([c[1] for c in cells])
             doc, tie, off, size = (np.concatenate([c[j] for c in cells]).view(np.int64) for j in range(2, 6))
             if is_later:
-                use, open_ = np.arange(len(doc)), np.zeros(len(doc), bool)
+                use, open_, split = np.arange(len(doc)), np.zeros(len(doc), bool), np.zeros(len(doc), bool)
             else:
                 order = _earlier_first(anchor, content, doc, tie, off)
                 anchor, content, doc, tie, off, size = (x[order] for x in (anchor, content, doc, tie, off, size))
@@ -166,31 +173,31 @@ def shared_regions(docs: DataFrame, length: int, k: int, words: bool) -> DataFra
                 same = np.zeros(len(doc), bool)
                 same[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
                 use, open_ = np.flatnonzero(shared), ~same
+                pieces = -(-2 * np.bincount(group[open_], size[open_]).astype(np.int64) // batch)
+                split = open_ & (pieces > 2)[group]
+                x = np.flatnonzero(split)
+                place = tp.mix(tp.mix(tp.mix(doc[x].view(U64)) + tie[x].view(U64)) + off[x].view(U64))
+                anchor[x] ^= tp.mix(place % pieces[group[x]].astype(U64) + U64(1))
             for i in range(0, len(use), 100_000):
                 x = use[i:i + 100_000]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(v[x]) for v in (doc, tie, off, size)), pa.array(anchor[x].view(np.int64)), pa.array(open_[x])],
-                    ["doc", "tie", "off", "len", "anchor", "open"])
+                    [*(pa.array(v[x]) for v in (doc, tie, off, size)), pa.array(anchor[x].view(np.int64)), pa.array(open_[x]), pa.array(split[x])],
+                    ["doc", "tie", "off", "len", "anchor", "open", "split"])
 
     packed = docs.mapInArrow(emit, "part int, later boolean, widths array<int>, cols array<binary>")
     return packed.repartition(partitions(docs.sparkSession), "part").mapInArrow(
-        meet, "doc bigint, tie bigint, off bigint, len bigint, anchor bigint, open boolean")
+        meet, "doc bigint, tie bigint, off bigint, len bigint, anchor bigint, open boolean, split boolean")
 
 
 Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
-def removed_spans(docs: DataFrame, length: int, k: int, words: bool, solve: Solve) -> DataFrame:
-    """(doc, tie, spans): spans [off, off + len) covered by windows that start earlier elsewhere.
-
-    solve(symbols, starts, sizes, length) gets regions in document order, laid one after another
-    with a 0 behind each, and returns for every symbol whether the window that starts there
-    occurs at a smaller position."""
+def solved(docs: DataFrame, found: DataFrame, length: int, words: bool, solve: Solve, batch: int) -> DataFrame:
+    """(doc, tie, off, len, key): key null: a span covered by windows that start earlier in a region of
+    the same anchor; else a window of a split region that doesn't, with the hash of its content."""
     spark = docs.sparkSession
     parts = 4 * partitions(spark)
-    found = staged(shared_regions(docs, length, k, words), "regions")
-    asked = (found.filter("open").groupBy("doc", "tie")
-             .agg(F.collect_list(F.struct("off", "len", "anchor")).alias("wanted")))
+    asked = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("off", "len", "anchor", "split")).alias("wanted"))
 
     def cut_out(batches):
         for b in batches:
@@ -199,7 +206,7 @@ def removed_spans(docs: DataFrame, length: int, k: int, words: bool, solve: Solv
                 s = Symbols(buf, offs, words)
                 lists = b.column(3).slice(lo, hi - lo)
                 n = np.diff(lists.offsets.to_numpy())
-                off, size, anchor = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+                off, size, anchor, split = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
                 row = np.repeat(np.arange(hi - lo), n)
                 begin = s.bounds[row] + off
                 part = ((anchor.view(U64) >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
@@ -210,7 +217,7 @@ def removed_spans(docs: DataFrame, length: int, k: int, words: bool, solve: Solv
                     x = order[cut[p]:cut[p + 1]]
                     values = s.values[tp.segment_ranges(begin[x], size[x])]
                     rows.append((int(p), [v.astype(np.int64).tobytes() for v in (anchor[x], doc[lo + row[x]], tie[lo + row[x]], off[x], size[x])]
-                                 + [values.tobytes()]))
+                                 + [values.tobytes(), split[x].astype(bool).tobytes()]))
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()),
                                                   pa.array([c for _, c in rows], pa.list_(pa.binary()))], ["part", "cols"])
 
@@ -220,8 +227,9 @@ def removed_spans(docs: DataFrame, length: int, k: int, words: bool, solve: Solv
             return
         anchor, doc, tie, off, size = (np.concatenate([np.frombuffer(c[j], np.int64) for c in got]) for j in range(5))
         values = np.concatenate([np.frombuffer(c[5], U64 if words else np.uint8) for c in got])
+        split = np.concatenate([np.frombuffer(c[6], bool) for c in got])
         where = np.cumsum(size) - size
-        # Anchors stay together; batches of anchors hold a bounded number of symbols.
+        # Anchors, or pieces of one, stay together; batches of them hold about ``batch`` symbols.
         by = np.lexsort((off, tie, doc, anchor))
         twin = np.zeros(len(by), bool)  # repeated rows send one place several times
         twin[1:] = np.all([c[by][1:] == c[by][:-1] for c in (anchor, doc, tie, off)], axis=0)
@@ -231,7 +239,7 @@ def removed_spans(docs: DataFrame, length: int, k: int, words: bool, solve: Solv
         at = 0
         while at < len(by):
             done = total[at - 1] if at else 0
-            k_ = np.searchsorted(total[edge - 1], done + BATCH_SYMBOLS, "right") - 1
+            k_ = np.searchsorted(total[edge - 1], done + batch, "right") - 1
             stop = int(edge[max(k_, np.searchsorted(edge, at, "right"))])
             x = by[at:stop]
             x = x[np.lexsort((off[x], tie[x], doc[x]))]
@@ -241,28 +249,56 @@ def removed_spans(docs: DataFrame, length: int, k: int, words: bool, solve: Solv
             text = np.zeros(int(width.sum()), np.int64)
             plain = values[tp.segment_ranges(where[x], size[x])]
             text[tp.segment_ranges(starts, size[x])] = np.unique(plain, return_inverse=True)[1] + 1 if words else plain.astype(np.int64) + 1
-            hit = np.flatnonzero(solve(text, starts, size[x], length))
-            if not len(hit):
-                continue
-            run = np.flatnonzero(np.append(True, hit[1:] != hit[:-1] + 1))
-            first, last = hit[run], hit[np.append(run[1:], len(hit)) - 1]
+            earlier = solve(text, starts, size[x], length)
+            hit = np.flatnonzero(earlier)
+            run = np.flatnonzero(np.append(True, hit[1:] != hit[:-1] + 1)) if len(hit) else hit
+            first, last = hit[run], hit[np.append(run[1:], len(hit)) - 1] if len(hit) else hit
             r = np.searchsorted(starts, first, "right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[x][r]), pa.array(tie[x][r]), pa.array(off[x][r] + first - starts[r]), pa.array(last - first + length)],
-                ["doc", "tie", "off", "len"])
+            cells = [(doc[x][r], tie[x][r], off[x][r] + first - starts[r], last - first + length, np.zeros(len(r), np.int64), True)]
+            part = np.flatnonzero(split[x])
+            if len(part):
+                count = size[x][part] - length + 1
+                r, at_ = np.repeat(part, count), tp.segment_ranges(starts[part], count)
+                kept = np.flatnonzero(~earlier[at_])
+                r, at_ = r[kept], at_[kept]
+                begin = at_ - r  # in plain, which has no 0 behind the regions
+                key = tp.range_hash(tp.sequence_prefix(plain) if words else tp.prefix(plain), begin, begin + length)
+                for i in range(0, len(r), 100_000):
+                    c = r[i:i + 100_000]
+                    cells.append((doc[x][c], tie[x][c], off[x][c] + at_[i:i + 100_000] - starts[c],
+                                  np.full(len(c), length), key[i:i + 100_000].view(np.int64), False))
+            for *cols, no_key in cells:
+                cols = [pa.array(v, pa.int64()) for v in cols]
+                yield pa.RecordBatch.from_arrays([*cols[:4], pa.nulls(len(cols[0]), pa.int64()) if no_key else cols[4]],
+                                                 ["doc", "tie", "off", "len", "key"])
 
     cut = (docs.join(asked, ["doc", "tie"]).select("doc", "tie", "text", "wanted")
            .mapInArrow(cut_out, "part int, cols array<binary>"))
-    spans = "doc bigint, tie bigint, off bigint, len bigint"
-    judged_ = cut.repartition(partitions(spark), "part").mapInArrow(judge, spans)
-    every = judged_.unionAll(found.filter("not open").select("doc", "tie", "off", "len"))
+    return cut.repartition(partitions(spark), "part").mapInArrow(judge, "doc bigint, tie bigint, off bigint, len bigint, key bigint")
+
+
+def removed_spans(docs: DataFrame, length: int, k: int, words: bool, solve: Solve, batch: int = BATCH_SYMBOLS) -> DataFrame:
+    """(doc, tie, spans): spans [off, off + len) covered by windows that start earlier elsewhere.
+
+    solve(symbols, starts, sizes, length) gets regions in document order, laid one after another
+    with a 0 behind each, and returns for every symbol whether the window that starts there
+    occurs at a smaller position.  It gets about ``batch`` symbols at once."""
+    cols = ["doc", "tie", "off", "len"]
+    found = staged(shared_regions(docs, length, k, words, batch), "regions")
+    every = solved(docs, found.filter("open"), length, words, solve, batch)
+    if not found.filter("split").isEmpty():
+        every = staged(every, "pieces")
+        again = (every.filter("key is not null").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+                 .select(*cols, F.col("key").alias("anchor"), F.lit(False).alias("split")))
+        every = every.filter("key is null").select(cols).unionAll(solved(docs, again, length, words, solve, batch).select(cols))
+    every = every.select(cols).unionAll(found.filter("not open").select(cols))
     return every.groupBy("doc", "tie").agg(F.collect_list(F.struct("off", "len")).alias("spans"))
 
 
-def judged(docs: DataFrame, length: int, k: int, words: bool, solve: Solve, finish, schema: str) -> DataFrame:
+def judged(docs: DataFrame, length: int, k: int, words: bool, solve: Solve, finish, schema: str, batch: int = BATCH_SYMBOLS) -> DataFrame:
     """finish(symbols, chunk bytes, removed mask per symbol) per chunk, over all documents; its
     columns come behind the document id."""
-    spans = removed_spans(docs, length, k, words, solve)
+    spans = removed_spans(docs, length, k, words, solve, batch)
 
     def run(batches):
         for b in batches:

@@ -104,7 +104,8 @@ def earlier_windows(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, len
     return hit
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
+                          batch_symbols: int = regions.BATCH_SYMBOLS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row; kept: remaining bytes."""
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
@@ -126,4 +127,4 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "
                 pa.array(texts, pa.binary())]
 
     return regions.judged(docs, length, GRAM, False, earlier_windows, finish,
-                          "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+                          "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary", batch_symbols)

@@ -87,6 +87,33 @@ def test_fm_dedup(spark, rows):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept"]) == (len(w), sum(m), kept)
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_frequent_line_is_split(spark, words):
+    from tests.llm.conftest import frame
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(n))
+    line = " ".join(f"line{i:02d}" for i in range(14 if words else 12))  # shorter than a window
+    ends = [text(9) for _ in range(6)]  # so that windows with the line repeat in regions that differ
+    rows = [(i, f"{text(30)} {rng.choice(ends)} {line} {rng.choice(ends)} {text(30)}" if i % 3 == 0 else text(60)) for i in range(600)]
+    length, gram = (fm_dedup.LENGTH, fm_dedup.GRAM) if words else (suffix_dedup.LENGTH, suffix_dedup.GRAM)
+    find = (fm_dedup if words else suffix_dedup).earlier_windows
+
+    def solve(symbols, *rest):
+        if len(symbols) > 4000:
+            raise ValueError(f"{len(symbols)} symbols at once")
+        return find(symbols, *rest)
+
+    docs = regions.identified(frame(spark, rows).repartition(4), "doc_id", "text")
+    got = {r["doc"]: {p for off, n in r["spans"] for p in range(off, off + n)}
+           for r in regions.removed_spans(docs, length, gram, words, solve, 2000).collect()}
+    seen, total = set(), 0
+    for i, t in ordered(rows):
+        m = covered(tuple(WORD.findall(t)) if words else t.encode(), length, seen)
+        assert got.get(i, set()) == {p for p, gone in enumerate(m) if gone}
+        total += sum(m)
+    assert total > 1000
+
+
 @pytest.mark.parametrize("op", [suffix_dedup.remove_repeated_bytes, fm_dedup.remove_repeated_words])
 def test_repeated_rows_and_ids(spark, op, docs, empty, rows):
     out = op(docs).collect()
