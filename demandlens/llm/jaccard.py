@@ -22,8 +22,9 @@ sets are then intersected.
 Edge cases: a null or empty text or one without words has an empty set and links with nothing;
 texts with fewer words than a shingle are one feature; very long texts are used whole; rows
 that repeat an id and text count as one; an id that comes with several texts is reported
-once for each size, with the links of all its texts; null ids are kept and count as smaller than any other id's
-documents; other columns are ignored; an empty table gives no rows.
+once for each size, with the links of all its texts; rows with a null id are documents by their text (known by a hash
+as wide as the room below the smallest id, at most 62 bits), are kept, and count as smaller than any other id's
+documents, so a component with one has the id null; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -367,7 +368,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
                        text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): documents link when 100 * intersection >=
     percent * union of their shingle sets; component_id is the smallest id reachable."""
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    lowest = docs.agg(F.min(F.col(id_col).cast("long"))).first()[0]
+    room = max(1, min(1 << 62, (0 if lowest is None else lowest) - NO_ID))  # null ids get a node below all others by their text
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text_col), F.lit(room))).alias("doc_id"),
+                       F.col(text_col).alias("text"))
     rows = staged(_classes(docs, shingle), "classes")
     full = rows.filter("n > 0")
     name = staged(full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "reps")
@@ -391,16 +395,17 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
     keyed = full.drop("sketch").join(name.drop("sketch"), ["n", "k1", "k2"])
     found = keyed.join(final, F.col("rep") == F.col("id"), "left").select("doc_id", "n", F.coalesce("component", "rep").alias("c"))
     out = found.unionAll(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("c")))
-    back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    back = lambda c: F.when(F.col(c) >= NO_ID + room, F.col(c))
     return out.select(back("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), back("c").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
              max_broadcast_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
     """The rows of docs (all columns) that are the smallest id of their component; of rows that
-    repeat an id and text one stays.  Rows without words and rows with a null id always stay."""
+    repeat an id and text one stays.  Rows without words and rows with a null id always stay; the
+    other rows of a component with a null id go."""
     found = staged(jaccard_components(docs, shingle, percent, id_col, text_col), "components")
-    gone = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = staged(found.filter("doc_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     again = staged(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "again")
 
     def sized(ids: DataFrame) -> DataFrame:

@@ -185,6 +185,28 @@ def test_jaccard_edges(docs, empty, rows):
     assert ids[0] == 1 and ids[100] == 0 and ids[300] == 1 and ids[None] == 2
 
 
+def test_jaccard_null_ids(spark):
+    text = lambda c, *more: " ".join([*(f"{c}{i}" for i in range(60)), *more])
+    rows = [(None, text("a")), (1, text("a", "x")), (2, text("a", "y")),  # a group with a null id: that row stays
+            (None, text("b")), (3, text("b", "x")), (4, text("c")), (5, text("c", "x")), (-7, text("d")),
+            (None, text("e")), (6, text("f"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = jaccard.jaccard_components(df).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in out) == Counter(
+        [(None, None)] * 3 + [(1, None), (2, None), (3, None), (4, 4), (5, 4), (-7, -7), (6, 6)])
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.keep_one(df).collect())
+    assert kept == Counter([rows[0], rows[3], rows[5], rows[7], rows[8], rows[9]])
+
+
+def test_jaccard_null_ids_are_nodes_of_their_own(spark, monkeypatch):
+    seen, make = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda e: seen.append(make(e)) or seen[-1])
+    rows = [(i, " ".join([*(f"{c}{k}" for k in range(60)), *([f"x{i}"] if i else [])])) for c, ids in (("a", (None, 1, 2)), ("b", (None, 3))) for i in ids]
+    jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r["id"]: r["component"] for r in seen[-1].collect()}
+    assert found[1] == found[2] != found[3]  # not linked, so not one component
+
+
 @pytest.mark.parametrize("percent", [85, 80])
 def test_partenum_signatures_meet(percent):
     """Every pair at the threshold shares a signature, also with empty parts."""
