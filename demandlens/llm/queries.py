@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators over the given tables."""
+"""The registered queries of the operators over the given tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import chat_format, decontam, embed_dedup, fm_dedup, jaccard, lm_score, mixing, pii, suffix_dedup, toxicity
+from demandlens.llm import (chat_format, decontam, divergence, embed_dedup, fm_dedup, jaccard, lm_score, mixing, packing, pii,
+                            suffix_dedup, toxicity, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,3 +98,24 @@ def op9_poisson_mixing(spark, sf_dir):
 def op10_pii(spark, sf_dir):
     """Personal data in every document."""
     return pii.digest(pii.find_pii(read(spark, sf_dir, "documents")))
+
+
+@query()
+def op11_embedding_whitening(spark, sf_dir):
+    """Whitened leading components of every vector."""
+    out = whitening.whiten(read(spark, sf_dir, "embeddings"), components=16)
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query()
+def op12_packing(spark, sf_dir):
+    """Pieces of every document in windows of 2,048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048)
+
+
+@query(divergence.oracle())
+def op13_source_divergence(spark, sf_dir):
+    """Sources against each other and against their language."""
+    return divergence.source_divergence(read(spark, sf_dir, "documents"))
