@@ -17,18 +17,21 @@ term is one row with the shares of the sources that use it; a task lays a bounde
 such rows out as a block (terms x sources, unused ones at the share of count 0) and returns one
 sum for each pair, so no pair of rows is ever emitted.
 
-How it runs: terms are counted before they are shuffled (a hot term or source costs one row per
-task); first occurrences inside a document are flagged in its sorted term array, so document
-frequency needs no shuffle by document.  Sums stay below 2^63 for up to 9e15 counted terms.
+How it runs: terms are counted inside the scan's tasks, by occurrence and by document, so that a hot
+term or source costs one row per task, and no document is shuffled; a task holds a bounded number
+of terms at a time.  Sums stay below 2^63 for up to 9e15 counted terms.
 
 Edge cases: null text, lang and source read as ''; empty texts add a group without terms; rows
 are documents, so repeated rows and null ids count each; a language without kept terms has V = 0,
 pairs of value 0 and no terms; a source alone in its language has no pairs; very long texts are
-one array of terms in one row; other columns are ignored; an empty table gives no rows.
+read in slices that cut no term; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 from demandlens.llm.stage import staged
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+TERM_BYTES, NO_TERM = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
+SLICE, HELD = 1 << 20, 1 << 18
 SCALE_STEPS = 3  # SCALE = 1000 ** 3
 SCALE = 1000 ** SCALE_STEPS
 MIN_DOCS = 10
@@ -51,14 +56,50 @@ def read_documents(docs: DataFrame, text_col: str, lang_col: str, source_col: st
     return docs.select(blank(lang_col).alias("lang"), blank(source_col).alias("source"), blank(text_col).alias("text"))
 
 
+def slices(text: bytes):
+    """Pieces of about SLICE bytes, cut where no term is cut."""
+    at = 0
+    while at < len(text):
+        end = at + SLICE
+        if end < len(text):
+            cut = NO_TERM.search(text, end)
+            end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
+def count_terms(batches):
+    """(lang, source, text) -> (lang, source, term, n, d), counted in the task until it holds
+    HELD terms; UTF-8 bytes above 0x7F are those of non-ASCII characters."""
+    held: dict[tuple, tuple[Counter, Counter]] = {}
+
+    def flush():
+        for (lang, source), (n, d) in held.items():
+            if n:
+                same = lambda x: pa.array([x]).take(pa.array(np.zeros(len(n), np.int8)))
+                yield pa.RecordBatch.from_arrays(
+                    [same(lang), same(source), pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()),
+                     pa.array([d[t] for t in n], pa.int64())], ["lang", "source", "term", "n", "d"])
+        held.clear()
+
+    for batch in batches:
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            n, d = held.setdefault((lang, source), (Counter(), Counter()))
+            terms: set[bytes] = set()
+            for piece in slices(text.as_buffer().to_pybytes().lower()):
+                found = TERM_BYTES.findall(piece)
+                n.update(found)
+                terms.update(found)
+            d.update(terms)
+        if sum(len(n) for n, _ in held.values()) >= HELD:
+            yield from flush()
+    yield from flush()
+
+
 def term_counts(rows: DataFrame) -> DataFrame:
     """(lang, source, term, n occurrences, d rows that hold it)."""
-    terms = F.array_sort(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    seen = rows.select("lang", "source", terms.alias("t")).select(
-        "lang", "source", F.explode(F.transform("t", lambda x, i: F.struct(
-            x.alias("term"), ((i == 0) | (F.get("t", i - 1) != x)).cast("long").alias("first")))).alias("e"))
-    return seen.groupBy("lang", "source", F.col("e.term").alias("term")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("e.first").alias("d"))
+    counted = rows.select("lang", "source", "text").mapInArrow(count_terms, "lang string, source string, term string, n bigint, d bigint")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:

@@ -241,7 +241,8 @@ def test_divergence_matches_brute_force(spark, broadcast, monkeypatch):
 
     if not broadcast:
         monkeypatch.setattr(divergence, "MAX_BROADCAST_ROWS", -1)
-    monkeypatch.setattr(divergence, "BLOCK_CELLS", 40)
+    for name, value in (("BLOCK_CELLS", 40), ("SLICE", 100), ("HELD", 5)):
+        monkeypatch.setattr(divergence, name, value)
     rng = random.Random(4)
     vocab = ["Alpha", "beta", "Éa", "éa", "zz", "日本", "x", "it's", "a-b", "𐐀", "tie", "eit"]
     data = [(" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 12))), rng.choice(["en", "de", None, ""]), rng.choice(["s1", "s2", "s3", None])) for _ in range(160)]
@@ -257,3 +258,19 @@ def test_divergence_edges(spark, empty):
     assert divergence.source_divergence(empty).count() == 0
     one = spark.createDataFrame([("a b", "en", "s")] * 12, "text string, lang string, source string")
     assert divergence.source_divergence(one).count() == 0  # a source alone equals its language
+
+
+def test_count_terms_in_small_pieces(monkeypatch):
+    import pyarrow as pa
+
+    text = "Alpha béta it's\x00alpha " * 30 + "x" * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 3), pa.array(["s", "s", "t"]), pa.array([text, "ALPHA", ""])], ["lang", "source", "text"])
+    monkeypatch.setattr(divergence, "SLICE", 16)
+    monkeypatch.setattr(divergence, "HELD", 2)
+    out = {}
+    for b in divergence.count_terms(iter([batch.slice(k, 1) for k in range(3)])):
+        for r in b.to_pylist():
+            n, d = out.get((r["lang"], r["source"], r["term"]), (0, 0))
+            out[r["lang"], r["source"], r["term"]] = (n + r["n"], d + r["d"])
+    assert out == {("en", "s", "alpha"): (61, 2), ("en", "s", "béta"): (30, 1), ("en", "s", "it"): (30, 1), ("en", "s", "s"): (30, 1),
+                   ("en", "s", "x" * 300): (1, 1)}
