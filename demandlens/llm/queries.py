@@ -112,7 +112,8 @@ def op12_packing(spark, sf_dir):
     """Pieces of every document in windows of 2,048 tokens."""
     import public_tokenizers
 
-    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=2048)
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"), window=2048)
 
 
 @query(divergence.oracle())

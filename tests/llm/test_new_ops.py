@@ -12,6 +12,7 @@ from tests.llm.test_queries import SF
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TOKENS = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 # ---- 11: whitening
@@ -149,15 +150,31 @@ def test_placement_minimises_the_sum_of_squares():
         assert (p.level ** 2).sum() <= min(options)
 
 
-@pytest.mark.parametrize("partitions", [1, 7])
-def test_packing_round_trip(spark, docs, rows, partitions):
+@pytest.fixture(scope="module")
+def encoders():
+    return packing.encoder(TOKENS, None), packing.encoder(TOKENS, RANKS)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(st.sampled_from("ab Zz9'\t\n\r.,-<|>séüßŁ")), st.text()), max_size=4))
+def test_faster_encoder_gives_the_same_ids(encoders, texts):
+    assert [x.tolist() for x in encoders[0](texts)] == [x.tolist() for x in encoders[1](texts)]
+
+
+def test_encoders_agree_on_the_table(encoders, spark):
+    texts = [r["text"] or "" for r in queries.read(spark, SF, "documents").select("text").collect()]
+    assert all(np.array_equal(a, b) for a, b in zip(encoders[0](texts), encoders[1](texts)))
+
+
+@pytest.mark.parametrize("partitions,ranks", [(1, None), (7, RANKS)])
+def test_packing_round_trip(spark, docs, rows, partitions, ranks):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(TOKENS)
     model.encode_special_tokens = True
     extra = [(400, "<|endoftext|> stays text"), (401, None), (401, None), (402, "word " * 9000)]
     df = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True).repartition(partitions)
-    pieces = packing.pack(df, TOKENS, window=256, keep_ids=True).cache()
+    pieces = packing.pack(df, TOKENS, ranks, window=256, keep_ids=True).cache()
     got = pieces.collect()
     texts = [(i, model.encode(t or "", add_special_tokens=False).ids + [1]) for i, t in [*rows, *extra]]
     assert sum(r["length"] for r in got) == sum(len(t) for _, t in texts)
