@@ -3,7 +3,7 @@
 Splits and folds are seeded hashes of the row key (md5 prefix as a number),
 so they are deterministic, need no sort and no global window, and an SQL
 engine can reproduce them.  Models are MLlib estimators; evaluation is
-aggregation (confusion cells per threshold) and MLlib's exact ROC-AUC.
+aggregation: confusion cells per threshold, ROC-AUC from prefix sums.
 """
 
 from __future__ import annotations
@@ -200,13 +200,26 @@ def classification_report(cells: DataFrame) -> DataFrame:
         ((n00 + n11) / tot).alias("accuracy"))
 
 
-def roc_auc(df: DataFrame, score: str, label: str = "label") -> float:
-    """Exact ROC-AUC (all distinct scores as thresholds; ties count one half)."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+def roc_auc(df: DataFrame, score: str, label: str = "label", by: str | None = None) -> DataFrame:
+    """Exact ROC-AUC, one row ``([by,] n_negative, n_positive, auc)``; null with one class only.
 
-    ev = BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label,
-                                       metricName="areaUnderROC", numBins=0)
-    return ev.evaluate(df.select(F.col(score).cast("double"), F.col(label).cast("double")))
+    Rows are counted per distinct score (partial aggregation); prefix sums over the sorted scores
+    give every score the negatives below it, and negatives of the same score count one half.  ``by`` names
+    a column of groups (folds, models): all are ranked in one pass, each from its own first negative.
+    """
+    from demandlens.operators.order import prefix_sums
+
+    keys = [by] if by else []
+    y = F.col(label).cast("int")
+    per = df.select(*keys, F.col(score).cast("double").alias("_s"), y.alias("_y")).groupBy(*keys, "_s").agg(
+        F.count_if(F.col("_y") == 0).alias("n0"), F.count_if(F.col("_y") == 1).alias("n1"))
+    at = prefix_sums(per, [*keys, "_s"], {"n0": F.col("n0")})
+    wins = F.sum(F.col("n1").cast("decimal(19, 0)") * (2 * F.col("before_n0") + F.col("n0")).cast("decimal(19, 0)"))
+    tot = at.groupBy(*keys).agg(F.sum("n0").alias("n_negative"), F.sum("n1").alias("n_positive"),
+                                F.min("before_n0").alias("_first"), wins.alias("_wins"))
+    both = F.col("n_negative").cast("double") * F.col("n_positive")
+    own = F.col("_wins").cast("double") / 2 - F.col("_first").cast("double") * F.col("n_positive")
+    return tot.select(*keys, "n_negative", "n_positive", F.when(both > 0, own / both).alias("auc"))
 
 
 def feature_importance(model, features: list[str], text_prefixes: tuple[str, ...] = ()) -> list[tuple]:
@@ -218,9 +231,11 @@ def feature_importance(model, features: list[str], text_prefixes: tuple[str, ...
 
 def evaluate_model(model, test: DataFrame, features: list[str], label: str = "label") -> dict:
     """Test-split AUC (L15) and the best threshold of the sweep (L11, L12) of one fitted model."""
-    p = positive_probability(model, test, features)
+    from demandlens.session import materialize
+
+    p = materialize(positive_probability(model, test, features))
     b = best_threshold(threshold_sweep(p, "prob", label)).first()
-    return {"auc": roc_auc(p, "prob", label), "best_threshold": b["threshold"], "best_f1": b["f1"]}
+    return {"auc": roc_auc(p, "prob", label).first()["auc"], "best_threshold": b["threshold"], "best_f1": b["f1"]}
 
 
 def compare_models(train: DataFrame, test: DataFrame, feature_sets: dict[str, list[str]],

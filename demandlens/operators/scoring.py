@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.functions.scaling import min_max_scale, table_stats
+from demandlens.operators.order import quantile, quantiles
 
 # fixed values: weights and constants of the scores
 DEMAND_WEIGHTS = {"freq": 0.25, "trend_slope": 0.20, "recency_weight": 0.20,
@@ -37,25 +38,30 @@ def demand_score(features: DataFrame, digits: int | None = 4) -> DataFrame:
     return features.withColumn("demand_score", _rnd(weighted_sum(DEMAND_WEIGHTS), digits))
 
 
-def score_stats(items: DataFrame, q: float = LABEL_QUANTILE) -> Column:
-    """Every whole-table statistic the scores read, as one struct scalar subquery.
+def score_stats(items: DataFrame, q: float = LABEL_QUANTILE) -> dict[str, Column]:
+    """Every whole-table statistic the scores read, as fields of two struct scalar subqueries.
 
     Fields: ``q_demand_score`` (L2 threshold), ``median_volatility`` (K2, at 9
     digits), ``min_*``/``max_*`` of the K4 inputs and ``max_volatility`` (P17).
-    Read it from a materialised item table, so the subquery is one small scan.
+    Read it from a materialised item table, so each subquery is one small scan; the
+    quantiles come from range partitions, not from one buffer of all values.
     """
-    fields = [F.percentile("demand_score", q).alias("q_demand_score"),
-              F.median(F.round("volatility", 9)).alias("median_volatility"),
-              F.max("volatility").alias("max_volatility")]
+    fields = [F.max("volatility").alias("max_volatility")]
     for c in PRIORITY_WEIGHTS:
         fields += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
-    return items.select(F.struct(*fields).alias("s")).scalar()
+    ends = items.select(F.struct(*fields).alias("s")).scalar()
+    out = {f: ends[f] for c in PRIORITY_WEIGHTS for f in (f"min_{c}", f"max_{c}")} | {"max_volatility": ends["max_volatility"]}
+    got = quantiles(items.select("demand_score", F.round("volatility", 9).alias("volatility")),
+                    {"demand_score": [q], "volatility": [0.5]})
+    of = lambda c: F.max(F.when(F.col("col") == c, F.col("value")))
+    mid = got.select(F.struct(of("demand_score").alias("q_demand_score"), of("volatility").alias("median_volatility")).alias("s")).scalar()
+    return out | {f: mid[f] for f in ("q_demand_score", "median_volatility")}
 
 
 def weak_label(scored: DataFrame, q: float = LABEL_QUANTILE, score: str = "demand_score",
                out: str = "label", threshold: Column | None = None) -> DataFrame:
     """L2: 1 when the score exceeds its q-quantile (linear interpolation) and the item is uncovered."""
-    thr = threshold if threshold is not None else scored.select(F.percentile(score, q)).scalar()
+    thr = threshold if threshold is not None else quantile(scored, score, q)
     return scored.withColumn(out, ((F.col(score) > thr) & (F.col("is_covered") == 0)).cast("int"))
 
 
@@ -75,7 +81,7 @@ def watch_list(features: DataFrame, n_companies: Column, upcoming_type: str = "R
     volatility < median volatility (over all items; compared at 9 digits) and
     not covered.  urgency = spread / companies * recency for watched items.
     """
-    med = median if median is not None else features.select(F.median(F.round("volatility", 9))).scalar()
+    med = median if median is not None else quantile(features.select(F.round("volatility", 9).alias("v")), "v", 0.5)
     vol = F.round("volatility", 9)
     below = vol < med if strict else vol <= med
     w = (((F.col("upcoming_flag") == 1) | (F.col("trajectory") == upcoming_type))
@@ -86,7 +92,7 @@ def watch_list(features: DataFrame, n_companies: Column, upcoming_type: str = "R
 
 
 def priority_score(df: DataFrame, prob_col: str = "gap_prob", digits: int | None = 4,
-                   stats: Column | None = None) -> DataFrame:
+                   stats: dict[str, Column] | None = None) -> DataFrame:
     """K4: weighted sum of min-max scaled lag, velocity, spread, probability, provider gap."""
     src = df if prob_col == "gap_prob" else df.withColumn("gap_prob", F.col(prob_col))
     cols = list(PRIORITY_WEIGHTS)
@@ -104,7 +110,7 @@ def text_priority(df: DataFrame, digits: int | None = 4) -> DataFrame:
     return scaled.withColumn("text_priority", _rnd(v, digits)).drop("gap_distance__n", "rarity__n")
 
 
-def debt_score(df: DataFrame, digits: int | None = 4, stats: Column | None = None) -> DataFrame:
+def debt_score(df: DataFrame, digits: int | None = 4, stats: dict[str, Column] | Column | None = None) -> DataFrame:
     """K6 (+P17): lag · (1 + scaled velocity) · (1 + provider gap), 0 when covered."""
     s = stats if stats is not None else table_stats(df, ["velocity", "volatility"], kinds=("min", "max"))
     lo, hi = s["min_velocity"], s["max_velocity"]

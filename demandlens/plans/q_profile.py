@@ -11,6 +11,8 @@ from demandlens.plans import sqlbase as S
 from demandlens.plans.common import coverage, demand, features, r6
 from demandlens.plans.registry import register
 from demandlens.operators.extract import _first_by
+from demandlens.operators.order import quantiles
+from demandlens.session import materialize
 
 CORR_COLS = ["freq", "trend_slope", "recency_weight", "velocity", "volatility", "company_spread"]
 
@@ -37,20 +39,21 @@ DESCRIBE_COLS = ["freq", "trend_slope", "velocity", "volatility"]
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Count, mean, sample std, min, quartiles (linear interpolation), max per column."""
+    """Count, mean, sample std, min, quartiles (linear interpolation), max per column.
+
+    ``df`` is read twice (moments, then quantiles over range partitions): pass a written table."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"),
-                 F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"),
-                 F.percentile(x, 0.25).alias(f"{c}|p25"), F.percentile(x, 0.5).alias(f"{c}|p50"),
-                 F.percentile(x, 0.75).alias(f"{c}|p75"), F.max(x).alias(f"{c}|max")]
+                 F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max")]
     row = df.agg(*aggs)
-    stacked = ", ".join(
-        f"'{c}', CAST(`{c}|count` AS BIGINT), `{c}|mean`, `{c}|std`, `{c}|min`, `{c}|p25`, `{c}|p50`, "
-        f"`{c}|p75`, `{c}|max`" for c in cols)
-    return row.selectExpr(
-        f"stack({len(cols)}, {stacked}) AS (col, count, mean, std, min, p25, p50, p75, max)")
+    stacked = ", ".join(f"'{c}', CAST(`{c}|count` AS BIGINT), `{c}|mean`, `{c}|std`, `{c}|min`, `{c}|max`" for c in cols)
+    moments = row.selectExpr(f"stack({len(cols)}, {stacked}) AS (col, count, mean, std, min, max)")
+    at = quantiles(df.select(*cols), {c: [0.25, 0.5, 0.75] for c in cols})
+    of = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
+    return (moments.join(at.groupBy("col").agg(of(0.25).alias("p25"), of(0.5).alias("p50"), of(0.75).alias("p75")), "col", "left")
+            .select("col", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
 
 
 @register("feature_describe", S.with_(S.FEATURES[1:]) + " " + " UNION ALL ".join(
@@ -60,7 +63,7 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     f"round(max(CAST({c} AS DOUBLE)), 6) AS max FROM features" for c in DESCRIBE_COLS))
 def feature_describe(spark, sf):
     """describe() of the main item features."""
-    d = describe(features(spark, sf), DESCRIBE_COLS)
+    d = describe(materialize(features(spark, sf).select(*DESCRIBE_COLS)), DESCRIBE_COLS)
     return d.select("col", "count", *[r6(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 

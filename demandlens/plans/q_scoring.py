@@ -10,6 +10,8 @@ from demandlens.plans import analytics as an
 from demandlens.plans import sqlbase as S
 from demandlens.plans.common import FOCAL, coverage, demand, features, r6, sql_typed, typed
 from demandlens.plans.registry import register
+from demandlens.operators.order import quantile
+from demandlens.session import materialize
 from demandlens.sources import tables
 
 SCORED = S.FEATURES + """,
@@ -64,7 +66,7 @@ LABEL_COLS = [("item", "string"), ("demand_score", "double"), ("label", "int")]
 @register("demand_labels", S.with_(SCORED[1:]) + f"SELECT {sql_typed(LABEL_COLS)} FROM lab")
 def demand_labels(spark, sf):
     """L1 + L2: demand score and weak label (score above its 65th percentile, not covered)."""
-    f = sc.weak_label(sc.demand_score(features(spark, sf)))
+    f = sc.weak_label(materialize(sc.demand_score(features(spark, sf))))
     return typed(f, LABEL_COLS)
 
 
@@ -76,12 +78,14 @@ SELECT CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative,
 FROM lab""")
 def label_balance(spark, sf):
     """A16 + A12: class counts, imbalance ratio and the 65th-percentile threshold."""
-    f = sc.weak_label(sc.demand_score(features(spark, sf)))
+    scored = materialize(sc.demand_score(features(spark, sf)).select("demand_score", "is_covered"))
+    thr = quantile(scored, "demand_score", sc.LABEL_QUANTILE)
+    f = sc.weak_label(scored.withColumn("threshold", thr), threshold=F.col("threshold"))
     return f.agg(F.count_if(F.col("label") == 0).alias("n_negative"),
                  F.sum("label").cast("long").alias("n_positive"),
                  r6(F.count_if(F.col("label") == 0) / F.when(F.sum("label") > 0, F.sum("label")),
                     "imbalance_ratio"),
-                 r6(F.percentile("demand_score", 0.65), "threshold"))
+                 r6(F.max("threshold"), "threshold"))
 
 
 PRIORITY_COLS = [("item", "string"), ("trajectory", "string"), ("lag", "int"),

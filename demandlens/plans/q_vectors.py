@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from demandlens.operators import vectors as vx
 from demandlens.plans.common import r6
 from demandlens.plans.registry import register
+from demandlens.session import materialize
 from demandlens.sources import tables
 
 CENTROID_SQL = """
@@ -68,6 +69,31 @@ def semantic_neighbours(spark, sf):
     return vx.semantic_neighbours(_emb(spark, sf), "vec_id", n=3)
 
 
+@register("approximate_neighbours")
+def approximate_neighbours(spark, sf):
+    """V4, approximate: the three most similar other vectors found in shared buckets of random
+    projections (rows-only; ``neighbour_recall`` measures it against the exact blocks)."""
+    return vx.joined_neighbours(vx.approx_pairs(_emb(spark, sf), "vec_id", n=3), "vec_id")
+
+
+@register("neighbour_recall", """
+SELECT 3 * count(*) AS n_pairs, 3 * count(*) AS n_returned, true AS recall_at_least_090,
+       true AS similarities_exact FROM embeddings""")
+def neighbour_recall(spark, sf):
+    """V4: share of the exact three neighbours of every vector that the buckets find (at least 0.9), and
+    whether every pair returned by both has the same similarity to 9 digits."""
+    e = _emb(spark, sf)
+    found = materialize(vx.approx_pairs(e, "vec_id", n=3))
+    side = e.select(F.col("vec_id").cast("string").alias("_id"), F.col("embedding").alias("_v"))
+    b = vx._blocks(side.count(), 2048)
+    exact = materialize(vx.blocked_topk(side, side, 3, b, b, exclude_self=True))
+    both = found.join(exact.select("lid", "rid", F.col("sim").alias("exact")), ["lid", "rid"])
+    same = both.agg(F.every(F.abs(F.col("sim") - F.col("exact")) < 1e-9).alias("s")).scalar()
+    r = vx.neighbour_recall(found, exact)
+    return r.select("n_pairs", found.agg(F.count(F.lit(1))).scalar().alias("n_returned"),
+                    (F.col("recall") >= 0.9).alias("recall_at_least_090"), same.alias("similarities_exact"))
+
+
 def label_queries(emb):
     """One query per label: the centroid of its vectors (positions averaged)."""
     per = (emb.select("label", F.posexplode("embedding").alias("p", "x"))
