@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandlens.operators.collection import metadata
+
 # fixed values: card vocabulary
 CARD_TYPES = ("skill_card", "trajectory_summary", "watch_list", "syllabus_card", "gap_summary")
 TRAJECTORY_DESCRIPTIONS = {
@@ -69,7 +71,9 @@ def item_cards(items: DataFrame, focal: str, n_companies: Column, n_providers: C
     text = F.concat_ws("", base, missing, watch, trans, cooc, prop)
     return items.select(card_id("skill", F.col("item")).alias("id"), F.lit("skill_card").alias("type"),
                         text.alias("text"), F.col("priority_score"), F.col("item"),
-                        (1 - F.col("is_covered")).alias("is_gap"))
+                        (1 - F.col("is_covered")).alias("is_gap"),
+                        metadata(trajectory=name, is_gap=1 - F.col("is_covered"), lag=F.col("lag"),
+                                 watch_list=F.col("watch_list"), debt_score=F.col("debt_score")).alias("meta"))
 
 
 def _traj_name(names: dict[str, str] | None) -> Column:
@@ -173,8 +177,13 @@ def gap_summary_card(items: DataFrame, focal: str, n_companies: Column, year_lo:
 
 
 def all_cards(item: DataFrame, traj: DataFrame, watch: DataFrame, syllabus: DataFrame,
-              gap: DataFrame) -> DataFrame:
+              gap: DataFrame, with_meta: bool = False) -> DataFrame:
+    """All cards as (id, type, text, priority_score); ``with_meta`` adds the metadata map, which only item cards fill."""
     cols = ["id", "type", "text", "priority_score"]
+    if with_meta:
+        empty = F.create_map().cast("map<string,string>").alias("meta")
+        rest = traj.select(*cols).unionByName(watch.select(*cols)).unionByName(syllabus.select(*cols)).unionByName(gap.select(*cols))
+        return item.select(*cols, "meta").unionByName(rest.select(*cols, empty))
     return (item.select(*cols).unionByName(traj.select(*cols)).unionByName(watch.select(*cols))
             .unionByName(syllabus.select(*cols)).unionByName(gap.select(*cols)))
 

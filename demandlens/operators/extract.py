@@ -12,6 +12,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandlens.operators.order import global_index
 from demandlens.operators.text import _grams_of, canonical
 
 # fixed values: page filter, chunking, prompt and reply format
@@ -64,6 +65,19 @@ def chunk_pages(pages: DataFrame, size: int = CHUNK_SIZE, sep: str = PAGE_BREAK)
                                  lambda x: x["text"]), sep).alias("text"))
 
 
+def global_chunk_pages(pages: DataFrame, size: int = CHUNK_SIZE, sep: str = PAGE_BREAK) -> DataFrame:
+    """M1 over the flattened list of pages: every ``size`` consecutive kept pages of all documents, in the order
+    of (doc_id, page_no), so that chunks cross documents.
+
+    Pages are numbered by range partitions and their offsets (no window over the table); a chunk
+    groups ``size`` rows: (chunk_no, n_pages, first_doc, last_doc, text).
+    """
+    idx = global_index(pages.select("doc_id", "page_no", "text"), ["doc_id", "page_no"], "_i")
+    return idx.groupBy(F.floor(F.col("_i") / size).cast("long").alias("chunk_no")).agg(
+        F.count(F.lit(1)).alias("n_pages"), F.min_by("doc_id", "_i").alias("first_doc"), F.max_by("doc_id", "_i").alias("last_doc"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "text"))), lambda x: x["text"]), sep).alias("text"))
+
+
 def prompt_parts(chunks: DataFrame, max_chars: int = PROMPT_MAX_CHARS) -> DataFrame:
     """Chunks cut into consecutive parts of at most ``max_chars`` characters, numbered from 0
     (an empty chunk has one empty part); the parts joined give the chunk."""

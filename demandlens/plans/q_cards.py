@@ -166,13 +166,13 @@ def gap_summary_card(spark, sf):
     return cd.gap_summary_card(items, FOCAL, ncomp, lo, hi)
 
 
-def all_cards(spark, sf):
+def all_cards(spark, sf, with_meta=False):
     """Every card of the collection (C1-C5), from one analysed item table."""
     c, items, _ = _item_cards(spark, sf)
     ncomp, lo, hi = _table_values(items)
     return cd.all_cards(c, cd.trajectory_cards(items, FOCAL, NAMES), cd.watch_card(items, FOCAL, NAMES),
                         cd.coverage_cards(coverage(spark, sf)),
-                        cd.gap_summary_card(items, FOCAL, ncomp, lo, hi))
+                        cd.gap_summary_card(items, FOCAL, ncomp, lo, hi), with_meta)
 
 
 @register("card_inventory", S.with_(ANALYSED[1:]) + f""",
