@@ -30,17 +30,6 @@ def demand_cube(demand: DataFrame) -> DataFrame:
     return demand.where(F.col("item").isNotNull()).groupBy(*CUBE_KEYS).agg(*agg)
 
 
-def cached_cube(demand: DataFrame) -> DataFrame:
-    """The cube, persisted (memory, spill to disk) for the branches that share it.
-
-    Its size is bounded by items x years x companies x types, not by the log;
-    lost blocks are recomputed from lineage.
-    """
-    from pyspark import StorageLevel
-
-    return demand_cube(demand).persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def yearly_counts(cube: DataFrame) -> DataFrame:
     """Demand rows per (item, year), present years only."""
     return cube.groupBy("item", "year").agg(F.sum("n").alias("cnt"))
@@ -179,79 +168,102 @@ def feature_table(demand: DataFrame, coverage: DataFrame, focal: str,
     return f.withColumn("in_transition", F.col("transition").isNotNull().cast("int"))
 
 
+MAX_CATEGORIES = 1000
+
+
 def one_hot(df: DataFrame, col: str, categories: list[str], prefix: str | None = None) -> DataFrame:
-    """One boolean column per declared category (fixed width, independent of the data)."""
+    """One boolean column per declared category (fixed width, independent of the data); a null is in none."""
     p = prefix or col
-    return df.select("*", *[(F.col(col) == F.lit(c)).alias(f"{p}_{c}") for c in categories])
-
-
-CP_SCHEMA = "item string, change_year int"
-
-
-def _rbf_cost_table(y):
-    import numpy as np
-
-    d = (y[:, None] - y[None, :]) ** 2
-    off = d[np.triu_indices(len(y), 1)]
-    med = float(np.median(off)) if off.size else 0.0
-    gamma = 1.0 / med if med != 0 else 1.0
-    gram = np.exp(-gamma * d)
-    n = len(y)
-    # cost[a, b] of segment y[a:b]: trace - sum / length
-    csum = gram.cumsum(0).cumsum(1)
-
-    def block(a, b):
-        s = csum[b - 1, b - 1]
-        if a > 0:
-            s = s - csum[a - 1, b - 1] - csum[b - 1, a - 1] + csum[a - 1, a - 1]
-        return s
-    cost = np.full((n + 1, n + 1), np.inf)
-    for a in range(n):
-        for b in range(a + 1, n + 1):
-            cost[a, b] = (b - a) - block(a, b) / (b - a)
-    return cost
-
-
-def _change_points(lo: int, hi: int, penalty: float, min_size: int, jump: int):
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = hi - lo + 1
-        y = np.zeros(n)
-        for yr, c in zip(pdf["year"], pdf["cnt"]):
-            y[int(yr) - lo] += float(c)
-        cost = _rbf_cost_table(y)
-        # optimal partitioning (the optimum PELT reaches), admissible ends on the jump grid
-        ends = [t for t in range(1, n + 1) if t % jump == 0 or t == n]
-        best = {0: (0.0, [])}
-        for t in ends:
-            cand = []
-            for s, (v, path) in best.items():
-                if t - s >= min_size:
-                    cand.append((v + cost[s, t] + penalty, s, path))
-            if cand:
-                v, s, path = min(cand, key=lambda x: (x[0], x[1]))
-                best[t] = (v, path + [t])
-        bk = best.get(n, (0.0, [n]))[1]
-        first = bk[0] if bk else n
-        year = lo + first - 1 if first < n else None
-        if year is None:                      # fallback: T6 on the zero-filled series
-            pos = y[y > 0]
-            med = float(np.median(pos)) if pos.size else 0.0
-            idx = [i for i, c in enumerate(y) if c >= med and c > 0]
-            year = lo + idx[0] if idx else lo
-        return pd.DataFrame({"item": [pdf["item"].iloc[0]], "change_year": [int(year)]})
-    return run
+    return df.select("*", *[F.coalesce(F.col(col).cast("string") == F.lit(str(c)), F.lit(False)).alias(f"{p}_{c}") for c in categories])
+
+
+def categories_of(df: DataFrame, col: str, limit: int = MAX_CATEGORIES) -> list[str]:
+    """The distinct non-null values of a column, sorted: the declared categories of ``one_hot``.  A column of more
+    than ``limit`` values is an error (wide columns are for small sets; use ``feature_vectors``)."""
+    found = [r[0] for r in df.select(F.col(col).cast("string")).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"{col} has more than {limit} categories")
+    return sorted(found)
+
+
+def feature_vectors(df: DataFrame, numeric: list[str], categorical: list[str], out: str = "features") -> tuple[DataFrame, list[str]]:
+    """P15 for models: ``out`` = sparse vector of the numeric columns and one slot per category found in the data
+    (plus one for unknown values); returns the frame and the slots' names."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+
+    text = df.withColumns({c: F.col(c).cast("string") for c in categorical} | {c: F.col(c).cast("double") for c in numeric})
+    index, hot = [f"_{c}_index" for c in categorical], [f"_{c}_hot" for c in categorical]
+    stages = [VectorAssembler(inputCols=[*numeric, *hot], outputCol=out, handleInvalid="keep")]
+    if categorical:
+        stages = [StringIndexer(inputCols=categorical, outputCols=index, stringOrderType="alphabetAsc", handleInvalid="keep"),
+                  OneHotEncoder(inputCols=index, outputCols=hot, dropLast=False), *stages]
+    model = Pipeline(stages=stages).fit(text)
+    labels = model.stages[0].labelsArray if categorical else []
+    names = [*numeric, *[f"{c}_{v}" for c, vs in zip(categorical, labels) for v in (*vs, "__unknown")]]
+    return model.transform(text).drop(*index, *hot), names
+
+
+COST_DIGITS = 9   # segment costs are compared at so many digits, so that ties don't hang on the order of a sum
+
+
+def segment_costs(cube: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(item, a, b, cost) of every segment of years lo + a .. lo + b - 1 of an item's zero-filled series.
+
+    The cost is that of an RBF kernel: length minus the mean row sum of exp(-gamma (y_i - y_j)^2)
+    over the segment, where 1 / gamma is the median squared difference of two years (1 where that is 0).
+    Years are paired by an equi-join on the item; an item has n = hi - lo + 1 years, so it makes at
+    most n^2 pairs and n^4 / 24 segment entries, whatever the size of the log.
+    """
+    n = hi - lo + 1
+    years = (yearly_counts(cube).select("item", (F.col("year") - lo).alias("t"), F.col("cnt").cast("double").alias("y"))
+             .groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("t", "y"))).alias("m")))
+    series = years.select("item", F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
+                                              lambda t: F.coalesce(F.element_at("m", t), F.lit(0.0))).alias("y"))
+    row = series.select("item", F.posexplode("y").alias("i", "yi"))
+    pairs = row.join(row.select("item", F.col("i").alias("j"), F.col("yi").alias("yj")), "item").withColumn(
+        "d", (F.col("yi") - F.col("yj")) * (F.col("yi") - F.col("yj")))
+    # the median of at most n (n - 1) / 2 differences
+    width = pairs.where("i < j").groupBy("item").agg(F.median("d").alias("w"))
+    gram = pairs.join(width, "item", "left").select(
+        "item", "i", "j", F.exp(-F.col("d") / F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(1.0))).alias("g"))
+    starts = F.sequence(F.lit(0), F.least("i", "j"))
+    ends = F.sequence(F.greatest("i", "j") + 1, F.lit(n))
+    inside = gram.select("item", "g", F.explode(starts).alias("a"), F.greatest("i", "j").alias("j"), F.least("i", "j").alias("i"))
+    inside = inside.select("item", "g", "a", F.explode(ends).alias("b"))
+    length = F.col("b") - F.col("a")
+    return inside.groupBy("item", "a", "b").agg(F.sum("g").alias("s")).select(
+        "item", "a", "b", F.round(length - F.col("s") / length, COST_DIGITS).alias("cost"))
 
 
 def change_point_years(cube: DataFrame, lo: int, hi: int, penalty: float = 1.0,
                        min_size: int = 2, jump: int = 1) -> DataFrame:
-    """T7 (opt-in): year before the first change point of each item's zero-filled yearly
-    series (RBF kernel cost, median-heuristic bandwidth, penalty per break), else T6.
+    """T7 (opt-in): (item, change_year): year before the first change point of each item's zero-filled yearly
+    series (RBF kernel cost, median-heuristic bandwidth, penalty per segment), else T6.
 
-    One group per item holding its present years only (at most hi - lo + 1 rows);
-    ``lo``/``hi`` are the log's first and last year (two numbers read once).
+    Segment costs are an aggregation; the optimal partitioning is a fold over the few years: for every
+    admissible end the least cost so far and the first break on the way (ties: the earlier
+    last segment).  ``lo``/``hi`` are the log's first and last year (two numbers read once).
     """
-    yearly = yearly_counts(cube)
-    return yearly.groupBy("item").applyInPandas(_change_points(lo, hi, penalty, min_size, jump), CP_SCHEMA)
+    n = hi - lo + 1
+    costs = segment_costs(cube, lo, hi).where(F.col("b") - F.col("a") >= min_size)
+    table = costs.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct(
+        (F.col("a") * (n + 1) + F.col("b")).cast("int").alias("k"), F.col("cost").alias("v")))).alias("cost"))
+    ends = [t for t in range(1, n + 1) if t % jump == 0 or t == n]
+    state = "struct<t:int,v:double,first:int>"
+    zero = F.array(F.struct(F.lit(0).alias("t"), F.lit(0.0).alias("v"), F.lit(0).alias("first")).cast(state))
+
+    def step(best: Column, t: Column) -> Column:
+        tried = F.transform(best, lambda s: F.struct(
+            (s["v"] + F.element_at("cost", s["t"] * (n + 1) + t) + penalty).alias("v"), s["t"].alias("s"),
+            F.when(s["first"] > 0, s["first"]).otherwise(t).alias("first")))
+        least = F.array_min(F.filter(tried, lambda x: x["v"].isNotNull()))
+        return F.when(least.isNull(), best).otherwise(F.concat(best, F.array(
+            F.struct(t.alias("t"), F.round(least["v"], COST_DIGITS).alias("v"), least["first"].alias("first")).cast(state))))
+
+    folded = F.aggregate(F.array(*[F.lit(t) for t in ends]), zero, step)
+    last = F.element_at(F.filter("best", lambda s: s["t"] == n), 1)
+    broken = F.when(F.size(F.filter("best", lambda s: s["t"] == n)) > 0, last["first"])
+    found = table.select("item", folded.alias("best")).select("item", F.when(broken < n, lo + broken - 1).alias("_year"))
+    trend = item_trends(cube).select("item", "threshold_year")
+    return trend.join(found, "item", "left").select("item", F.coalesce("_year", "threshold_year", F.lit(lo)).cast("int").alias("change_year"))

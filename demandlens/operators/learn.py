@@ -86,6 +86,7 @@ def with_weights(df: DataFrame, label: str = "label", out: str = "weight") -> Da
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
+    check_columns(df, features)
     cast = df.select(*[c for c in df.columns if c not in features],
                      *[F.col(c).cast("double").alias(c) for c in features])
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(cast)
@@ -99,8 +100,9 @@ def fit_forest(train: DataFrame, features: list[str], label: str = "label", seed
     p = dict(RF_PARAMS)
     p.update(params)
     data = assemble(with_weights(train, label) if weighted else train, features)
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed,
-                                weightCol="weight" if weighted else None, **p)
+    if weighted:
+        p["weightCol"] = "weight"
+    rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed, **p)
     return rf.fit(data.withColumn(label, F.col(label).cast("double")))
 
 
@@ -223,23 +225,33 @@ def roc_auc(df: DataFrame, score: str, label: str = "label", by: str | None = No
 
 
 def feature_importance(model, features: list[str], text_prefixes: tuple[str, ...] = ()) -> list[tuple]:
-    """(feature, importance) sorted desc; model-sized, built from the fitted model."""
+    """(feature, importance, is_text) sorted desc; model-sized, built from the fitted model."""
     imp = model.featureImportances.toArray().tolist()
     rows = sorted(zip(features, imp), key=lambda x: (-x[1], x[0]))
     return [(f, float(v), bool(text_prefixes) and f.startswith(text_prefixes)) for f, v in rows]
 
 
+def importance_table(spark, model, features: list[str], text_prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """(rank, feature, importance, is_text, text_share): one row per feature, and the share of all
+    importance that the text features carry."""
+    rows = feature_importance(model, features, text_prefixes)
+    df = spark.createDataFrame([(k + 1, *r) for k, r in enumerate(rows)], "rank int, feature string, importance double, is_text boolean")
+    share = df.agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("is_text"), F.col("importance"))), F.sum("importance")), F.lit(0.0))).scalar()
+    return df.withColumn("text_share", share)
+
+
 def evaluate_model(model, test: DataFrame, features: list[str], label: str = "label") -> dict:
     """Test-split AUC (L15) and the best threshold of the sweep (L11, L12) of one fitted model."""
     from demandlens.session import materialize
 
-    p = materialize(positive_probability(model, test, features))
+    p = materialize(positive_probability(model, test, features).select(label, "prob"))
     b = best_threshold(threshold_sweep(p, "prob", label)).first()
-    return {"auc": roc_auc(p, "prob", label).first()["auc"], "best_threshold": b["threshold"], "best_f1": b["f1"]}
+    return {"auc": roc_auc(p, "prob", label).first()["auc"], "best_threshold": b["threshold"], "best_f1": b["f1"],
+            "precision": b["precision"], "recall": b["recall"]}
 
 
 def compare_models(train: DataFrame, test: DataFrame, feature_sets: dict[str, list[str]],
-                   label: str = "label", seed: int = SEED) -> DataFrame:
+                   label: str = "label", seed: int = SEED, **params) -> DataFrame:
     """One forest per feature set, evaluated on the same test split.
 
     The table has one row per feature set (a handful): name, AUC, best
@@ -250,40 +262,55 @@ def compare_models(train: DataFrame, test: DataFrame, feature_sets: dict[str, li
     base = set(feature_sets[names[0]])
     rows = []
     for name in names:
-        feats = feature_sets[name]
-        m = fit_forest(train, feats, label, seed)
+        feats = check_columns(train, feature_sets[name])
+        m = fit_forest(train, feats, label, seed, **params)
         ev = evaluate_model(m, test, feats, label)
         imp = feature_importance(m, feats)
         extra = sum(v for f, v, _ in imp if f not in base)
-        rows.append((name, len(feats), float(ev["auc"]), float(ev["best_threshold"]), float(ev["best_f1"]),
+        rows.append((name, len(feats), ev["auc"], float(ev["best_threshold"]), float(ev["best_f1"]),
                      float(extra), imp[0][0]))
     return spark.createDataFrame(rows, "feature_set string, n_features int, auc double, best_threshold double, "
                                        "best_f1 double, added_importance double, top_feature string")
 
 
-def hash_rank(df: DataFrame, h: str, buckets: int) -> DataFrame:
-    """0-based global rank of rows by the number ``h`` in [0, 1) (ties by ``_rid``).
+def balanced_training(train: DataFrame, key: str, features: list[str], label: str = "label", k: int = 3, seed: int = SEED) -> tuple[DataFrame, bool]:
+    """L9 for a fit: SMOTE rows where the smaller class has more than ``k`` rows, else the rows themselves, to be
+    weighted; and which of the two it was."""
+    n = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("classes")).first()
+    rows = train.select(key, label, *[F.col(c).cast("double").alias(c) for c in features])
+    if n["classes"] < 2 or n["n"] <= k:
+        return rows, False
+    return smote(rows, key, features, label, k=k, seed=seed), True
+
+
+def select_model(train: DataFrame, test: DataFrame, key: str, features: list[str], label: str = "label", seed: int = SEED,
+                 forest: dict | None = None, boosted: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """L6 + L7 + L9 + L12: forest and boosted trees fitted on the same balanced rows, judged on the same test rows.
 
-    Rows fall into ``buckets`` equal ranges of h.  The per-bucket counts (at
-    most ``buckets`` numbers; callers pick about sqrt(n) buckets) are read
-    once and turned into offsets; the offset table is broadcast (its size is
-    that bound), and a window partitioned by bucket ranks inside each bucket
-    (about n / buckets rows).  No window spans the whole table.
+    Returns (models, predictions).  ``models`` has a row per model (n_train, synthetic rows, AUC, best
+    threshold of the sweep with its F1, precision, recall, winner); the boosted trees win only by a
+    strictly greater F1.  ``predictions`` (model, key, label, prob) is written once; every metric is computed from it.
     """
-    from itertools import accumulate
+    from functools import reduce
 
-    from pyspark.sql import Window
+    from demandlens.session import materialize
 
-    b = F.least(F.floor(F.col(h) * buckets), F.lit(buckets - 1)).cast("int")
-    x = df.withColumn("_bk", b)
-    counts = sorted((r["_bk"], r["_c"]) for r in
-                    x.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c")).collect())
-    starts = [0] + list(accumulate(c for _, c in counts))[:-1]
-    offs = df.sparkSession.createDataFrame([(bk, o) for (bk, _), o in zip(counts, starts)],
-                                           "_bk int, _off long")
-    w = Window.partitionBy("_bk").orderBy(h, "_rid")
-    return (x.join(F.broadcast(offs), "_bk")
-            .withColumn("_rank", F.col("_off") + F.row_number().over(w) - 1).drop("_bk", "_off"))
+    spark = train.sparkSession
+    rows, smoted = balanced_training(train, key, features, label, seed=seed)
+    rows = materialize(rows)
+    n_train = rows.count()
+    n_new = rows.where("synthetic = 1").count() if smoted else 0
+    fitted = {"forest": fit_forest(rows, features, label, seed, weighted=not smoted, **(forest or {})),
+              "boosted": fit_gbt(rows, features, label, seed, **(boosted or {}))}
+    scored = [positive_probability(m, test, features).select(F.lit(name).alias("model"), key, label, "prob") for name, m in fitted.items()]
+    predictions = materialize(reduce(DataFrame.unionByName, scored))
+    auc = {r["model"]: r["auc"] for r in roc_auc(predictions, "prob", label, by="model").collect()}   # a row per model
+    found = {name: best_threshold(threshold_sweep(predictions.where(F.col("model") == name), "prob", label)).first() for name in fitted}
+    winner = "boosted" if found["boosted"]["f1"] > found["forest"]["f1"] else "forest"
+    table = [(name, n_train, n_new, auc.get(name), float(b["threshold"]), float(b["f1"]), float(b["precision"]), float(b["recall"]), name == winner)
+             for name, b in found.items()]
+    return spark.createDataFrame(table, "model string, n_train long, n_synthetic long, auc double, best_threshold double, best_f1 double, "
+                                        "precision double, recall double, winner boolean"), predictions
 
 
 def smote(df: DataFrame, key: str, features: list[str], label: str = "label", k: int = 3,
@@ -318,8 +345,7 @@ def smote(df: DataFrame, key: str, features: list[str], label: str = "label", k:
     nbrs = knn.groupBy(F.col("lid").alias("_id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "rid"))), lambda x: x["rid"]).alias("_nb"))
     q, r = divmod(need, n_min)
-    ranked = hash_rank(mino.withColumn("_rid", F.col("_id"))
-                       .withColumn("_h", hash_unit(F.col("_id"), seed)), "_h", max(1, math.isqrt(n_min)))
+    ranked = class_rank(mino.withColumn("_class", F.lit(0)), "_id", "_class", seed, max(1, math.isqrt(n_min))).drop("_class", "_n")
     copies = F.lit(q) + (F.col("_rank") < r).cast("int")
     syn = (ranked.join(nbrs, "_id")
            .withColumn("_j", F.explode(F.sequence(F.lit(1), copies)))

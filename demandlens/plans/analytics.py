@@ -26,7 +26,7 @@ def scored_items(demand: DataFrame, coverage: DataFrame, focal: str,
     the feature plan per statistic.
     """
     # the cube is the only log-sized step: write it once, every feature branch reads it
-    cube = materialize(fe.demand_cube(demand)) if checkpoint else fe.cached_cube(demand)
+    cube = materialize(fe.demand_cube(demand)) if checkpoint else fe.demand_cube(demand)
     f = fe.feature_table(demand, coverage, focal, cube=cube)
     lo, hi = fe.year_bounds(cube)
     ncomp = cube.select(F.count_distinct("company")).scalar()

@@ -12,6 +12,7 @@ from demandlens.plans.common import cube as cube_of
 from demandlens.plans.common import sql_typed, typed
 from demandlens.plans.q_text import NORMALISED, coverage_normalised
 from demandlens.plans.registry import register
+from demandlens.session import materialize
 from demandlens.sources import tables
 
 # --- step 1: minimum slice -------------------------------------------------
@@ -156,10 +157,49 @@ def trend_by_trajectory(spark, sf):
                                          ("freq", "trend_slope", "velocity", "volatility")])
 
 
-@register("change_point_years")
+CHANGE_POINTS = S.FEATURES + """,
+cp_n AS (SELECT lo, hi - lo + 1 AS n FROM bounds),
+cp_y AS (SELECT item, year - (SELECT lo FROM bounds) AS t, CAST(cnt AS DOUBLE) AS y FROM grid),
+cp_p AS (SELECT x.item, x.t AS i, z.t AS j, (x.y - z.y) * (x.y - z.y) AS d FROM cp_y x JOIN cp_y z ON x.item = z.item),
+cp_w AS (SELECT item, median(d) AS w FROM cp_p WHERE i < j GROUP BY item),
+cp_g AS (SELECT item, i, j, exp(-d / CASE WHEN w > 0 THEN w ELSE 1.0 END) AS g FROM cp_p LEFT JOIN cp_w USING (item)),
+cp_s AS (SELECT a.range AS a, b.range AS b FROM range(0, (SELECT n FROM cp_n)) a, range(1, (SELECT n + 1 FROM cp_n)) b WHERE b.range - a.range >= 2),
+cp_c AS (SELECT g.item, s.a, s.b, round((s.b - s.a) - sum(g.g) / (s.b - s.a), 9) AS cost
+         FROM cp_s s JOIN cp_g g ON g.i >= s.a AND g.i < s.b AND g.j >= s.a AND g.j < s.b GROUP BY g.item, s.a, s.b),
+cp_path AS (
+  SELECT item, b AS t, round(cost + 1.0, 9) AS v, b AS first, [0] AS starts FROM cp_c WHERE a = 0
+  UNION ALL
+  SELECT p.item, c.b, round(p.v + c.cost + 1.0, 9), p.first, list_prepend(c.a, p.starts) FROM cp_path p JOIN cp_c c ON c.item = p.item AND c.a = p.t),
+cp_best AS (SELECT item, first FROM (
+  SELECT item, first, row_number() OVER (PARTITION BY item ORDER BY v, starts) AS r
+  FROM cp_path WHERE t = (SELECT n FROM cp_n)) WHERE r = 1)"""
+
+
+@register("change_point_years", S.with_(CHANGE_POINTS[1:]).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT f.item, CAST(CASE WHEN b.first < (SELECT n FROM cp_n) THEN (SELECT lo FROM cp_n) + b.first - 1
+                         ELSE coalesce(f.threshold_year, (SELECT lo FROM cp_n)) END AS INTEGER) AS change_year
+FROM features f LEFT JOIN cp_best b USING (item)""")
 def change_point_years(spark, sf):
-    """T7 (opt-in): change-point year per item (RBF cost, penalty 1, min size 2, jump 1),
-    T6 fallback.  Rows-only check: no SQL twin of the kernel segmentation."""
+    """T7 (opt-in): change-point year per item (RBF cost, penalty 1, min size 2, jump 1), T6 fallback.  The SQL
+    twin tries every partition of the years."""
     cube = cube_of(spark, sf)
     b = cube.agg(F.min("year").alias("lo"), F.max("year").alias("hi")).first()  # two numbers
     return fe.change_point_years(cube, int(b["lo"]), int(b["hi"]))
+
+
+@register("one_hot_matrix", S.with_(S.FEATURES[1:]) + """,
+one AS (SELECT item, freq, trajectory, coalesce(transition, '__unknown') AS transition FROM features),
+slots AS (SELECT 'trajectory_' || t AS feature, 'trajectory' AS col, t AS v FROM (SELECT DISTINCT trajectory AS t FROM one)
+          UNION ALL SELECT 'transition_' || t, 'transition', t FROM (SELECT DISTINCT transition AS t FROM one UNION SELECT '__unknown')
+          UNION ALL SELECT 'trajectory___unknown', 'trajectory', '__unknown')
+SELECT item, feature, CAST(CASE WHEN col = 'trajectory' THEN trajectory = v ELSE transition = v END AS DOUBLE) AS value FROM one, slots
+UNION ALL SELECT item, 'freq', CAST(freq AS DOUBLE) FROM one""")
+def one_hot_matrix(spark, sf):
+    """The model matrix of frequency, trajectory and transition (null for stable items: unknown), one row per slot."""
+    from pyspark.ml.functions import vector_to_array
+
+    f = materialize(features(spark, sf).select("item", "freq", "trajectory", "transition"))
+    vectors, names = fe.feature_vectors(f, ["freq"], ["trajectory", "transition"])
+    name = F.array(*[F.lit(n) for n in names])
+    return vectors.select("item", F.posexplode(vector_to_array("features")).alias("at", "value")).select(
+        "item", F.get(name, F.col("at")).alias("feature"), "value")

@@ -180,16 +180,103 @@ def _with_text_features(spark, sf, items):
 
 
 TEXT_FEATURES = ["rarity", "gap_distance"]
+CLUSTERS = 8
+
+
+def _with_groups(items):
+    """One-hots of the keyword domain (P4, P15) and of the k-means cluster of the item's name (V6), as columns."""
+    from demandlens.operators import features as fe
+    from demandlens.operators import text as tx
+    from demandlens.operators import vectors as vx
+    from demandlens.operators.retrieval import hashed_embedding
+    from demandlens.plans.q_text import PART_DOMAINS
+
+    rules = {**PART_DOMAINS, **tx.DOMAIN_KEYWORDS}
+    named = materialize(hashed_embedding(items.select("item"), "item", "embedding", dim=64))
+    clusters, _ = vx.kmeans_clusters(named, "embedding", k=CLUSTERS, seed=ln.SEED, restarts=3)
+    domains = [*rules, tx.DEFAULT_DOMAIN]
+    wide = fe.one_hot(items.withColumn("domain", tx.domain_of("item", rules)), "domain", domains)
+    wide = fe.one_hot(wide.join(clusters.select("item", "cluster"), "item"), "cluster", [str(k) for k in range(CLUSTERS)])
+    return wide, [f"domain_{d}" for d in domains] + [f"cluster_{k}" for k in range(CLUSTERS)]
 
 
 @register("model_comparison")
 def model_comparison(spark, sf):
-    """L6 + L15 + L16 + L17: forest on the 10 base features vs base + text features,
-    both evaluated on the same hash test split (rows-only: one row per feature set)."""
-    items = materialize(_with_text_features(spark, sf, _labelled(spark, sf)))
-    f = ln.stratified_split(items, "item")
+    """L6 + L15 + L16 + L17: forest on the 10 base features, with text features, and with domain and cluster
+    one-hots too, evaluated on the same hash test split (rows-only: one row per feature set)."""
+    wide, groups = _with_groups(materialize(_with_text_features(spark, sf, _labelled(spark, sf))))
+    f = ln.stratified_split(materialize(wide), "item")
+    text = ln.BASE_FEATURES + TEXT_FEATURES
     return ln.compare_models(f.where(F.col("is_test") == 0), f.where(F.col("is_test") == 1),
-                             {"base": ln.BASE_FEATURES, "base_text": ln.BASE_FEATURES + TEXT_FEATURES})
+                             {"base": ln.BASE_FEATURES, "base_text": text, "base_text_groups": text + groups})
+
+
+SPLIT = SCORED + f""",
+split AS (SELECT item, label, CAST(r < n * {ln.TEST_FRACTION} AS INTEGER) AS is_test FROM {_ranked_sql()})"""
+PROPERTIES = "true AS each_row_once, true AS probabilities, true AS metrics_agree"
+
+
+@register("model_selection", S.with_(SPLIT[1:]) + f""",
+t AS (SELECT count(*) FILTER (WHERE is_test = 1) AS n_test, 2 * greatest(count(*) FILTER (WHERE is_test = 0 AND label = 0),
+             count(*) FILTER (WHERE is_test = 0 AND label = 1)) AS n_train FROM split)
+SELECT m.model, t.n_train, t.n_test, {PROPERTIES}, true AS beats_shuffled_labels, 1 AS n_winners
+FROM t, (VALUES ('forest'), ('boosted')) m(model)""")
+def model_selection(spark, sf):
+    """L6 + L7 + L9 + L12: forest against boosted trees on SMOTE rows of the training split, winner by strictly greater F1.
+    Checked as properties of the written predictions: every test row once per model, probabilities
+    in [0, 1], the reported metrics again from plain counts, and an AUC above that of a fit on shuffled labels."""
+    f = materialize(ln.stratified_split(_training_table(spark, sf), "item").select("item", "label", "is_test", *ln.BASE_FEATURES))
+    train, test = f.where(F.col("is_test") == 0), f.where(F.col("is_test") == 1)
+    models, predictions = ln.select_model(train, test, "item", ln.BASE_FEATURES, boosted={"maxIter": 20})
+    shuffled = ln.class_rank(train.withColumn("_all", F.lit(0)), "item", "_all", seed=7)
+    positives = train.agg(F.sum("label")).scalar()
+    other = ln.fit_forest(materialize(shuffled.withColumn("label", (F.col("_rank") < positives).cast("int"))), ln.BASE_FEATURES)
+    chance = ln.evaluate_model(other, test, ln.BASE_FEATURES)["auc"]
+    return model_properties(models, predictions, test).select(
+        "model", "n_train", "n_test", "each_row_once", "probabilities", "metrics_agree",
+        (F.col("auc") > chance).alias("beats_shuffled_labels"),
+        models.agg(F.count_if("winner").cast("int")).scalar().alias("n_winners"))
+
+
+def model_properties(models, predictions, test):
+    """Per model: what must hold of its written predictions, and its metrics again from plain counts."""
+    at = predictions.join(models.select("model", "best_threshold", "auc", "best_f1", "precision", "recall", "n_train"), "model")
+    hit = F.col("prob") >= F.col("best_threshold")
+    n = test.agg(F.count(F.lit(1))).scalar()
+    got = at.groupBy("model", "n_train", "auc", "best_f1", "precision", "recall").agg(
+        F.count(F.lit(1)).alias("n_test"), F.count_distinct("item").alias("items"), F.every((F.col("prob") >= 0) & (F.col("prob") <= 1)).alias("probabilities"),
+        F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(hit).alias("p"), F.count_if(F.col("label") == 1).alias("y"))
+    close = lambda a, b: F.abs(a - F.coalesce(b, F.lit(0.0))) < 1e-9
+    agree = (close(F.col("precision"), F.try_divide(F.col("tp"), F.col("p"))) & close(F.col("recall"), F.try_divide(F.col("tp"), F.col("y")))
+             & close(F.col("best_f1"), F.try_divide(2 * F.col("tp"), F.col("p") + F.col("y"))))
+    return got.select("model", "n_train", "n_test", "auc", ((F.col("n_test") == n) & (F.col("items") == n)).alias("each_row_once"),
+                      "probabilities", agree.alias("metrics_agree"))
+
+
+@register("oof_checks", S.with_(SPLIT[1:]) + f"""
+SELECT CAST(r % {ln.N_FOLDS} AS INTEGER) AS fold, count(*) AS n_items, true AS each_row_once, true AS probabilities, true AS better_than_chance
+FROM {_ranked_sql()} GROUP BY ALL""")
+def oof_checks(spark, sf):
+    """Out-of-fold probabilities by fold: every item of the fold scored once, in [0, 1], ranked better than chance."""
+    p = materialize(oof_probabilities(spark, sf))
+    auc = ln.roc_auc(p, "prob").select("auc").scalar()
+    return p.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n_items"), (F.count(F.lit(1)) == F.count_distinct("item")).alias("each_row_once"),
+        F.every((F.col("prob") >= 0) & (F.col("prob") <= 1)).alias("probabilities")).withColumn("better_than_chance", auc > 0.5)
+
+
+@register("importance_table", S.with_(SPLIT[1:]) + """
+SELECT 12 AS n_features, true AS sums_to_one, true AS falling, true AS text_share_agrees FROM (SELECT 1)""")
+def importance_table(spark, sf):
+    """Importances of the forest with text features: one row per feature, falling, adding up to 1, and the
+    share of the text features among them."""
+    f = materialize(_with_text_features(spark, sf, _labelled(spark, sf)))
+    feats = ln.BASE_FEATURES + TEXT_FEATURES
+    t = ln.importance_table(spark, ln.fit_forest(f, feats), feats, tuple(TEXT_FEATURES))
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("rank", "importance"))), lambda x: x["importance"])
+    return t.agg(F.count(F.lit(1)).cast("int").alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"),
+                 (ranked == F.reverse(F.array_sort(F.collect_list("importance")))).alias("falling"),
+                 (F.abs(F.max("text_share") - F.sum(F.when(F.col("is_text"), F.col("importance")))) < 1e-9).alias("text_share_agrees"))
 
 
 @register("text_priority")

@@ -29,4 +29,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from demandlens.plans import (  # noqa: F401
-        q_cards, q_extract, q_features, q_learn, q_profile, q_scoring, q_sessions, q_tables, q_text, q_vectors)
+        q_cards, q_extract, q_features, q_files, q_learn, q_profile, q_scoring, q_sessions, q_tables, q_text, q_vectors)

@@ -43,6 +43,47 @@ def read_coverage_csv(spark: SparkSession, path: str, lenient: bool = False) ->
         F.lower(F.trim("Skill")).alias("item"))
 
 
+def _scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV with its header skipped; a line with too few or too many fields is kept whole in ``_line``."""
+    return (spark.read.schema(schema + ", _line string").option("header", True).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_line").option("columnPruning", False).csv(path))
+
+
+def _blank(c: str):
+    return F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
+
+
+def demand_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S1 + P1-P3: (rows, rejected).  ``rows`` as ``read_demand_csv``; ``rejected`` is the dead letter: (reason, line) of
+    what that would fail on or keep without a key: ``fields`` (wrong number of fields),
+    ``year`` (not a whole number) or ``item`` (blank).  Every line is in exactly one of the two."""
+    raw = _scan(spark, path, DEMAND_CSV_SCHEMA)
+    year = F.expr("try_cast(trim(Year) AS INT)")
+    reason = F.when(F.col("_line").isNotNull(), "fields").when(year.isNull(), "year").when(_blank("Skill"), "item")
+    rows = raw.where(reason.isNull()).select(
+        F.col("Company").alias("company"), year.alias("year"), F.col("Role").alias("role"), F.lower(F.trim("Skill")).alias("item"),
+        F.col("Skill_Type").alias("item_type"),
+        F.coalesce(F.lower(F.trim("Skill_Type")) == UPCOMING_TYPE_NAME, F.lit(False)).cast("int").alias("upcoming_flag"))
+    return rows, _rejected(raw, reason, "Company", "Year", "Role", "Skill", "Skill_Type")
+
+
+def coverage_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S1 + P1: (rows, rejected), likewise; a blank semester is 0 (unknown), any other that is no whole number is rejected."""
+    raw = _scan(spark, path, COVERAGE_CSV_SCHEMA)
+    number = F.expr("try_cast(trim(Semester) AS INT)")
+    reason = (F.when(F.col("_line").isNotNull(), "fields").when(number.isNull() & ~_blank("Semester"), "semester")
+              .when(_blank("Skill"), "item"))
+    rows = raw.where(reason.isNull()).select(
+        F.lower(F.trim("Institute")).alias("provider"), F.coalesce(number, F.lit(0)).alias("semester"),
+        F.trim("Course").alias("course"), F.lower(F.trim("Skill")).alias("item"))
+    return rows, _rejected(raw, reason, "Institute", "Semester", "Course", "Skill")
+
+
+def _rejected(raw: DataFrame, reason, *cols: str) -> DataFrame:
+    line = F.coalesce(F.col("_line"), F.to_csv(F.struct(*cols)))
+    return raw.where(reason.isNotNull()).select(reason.alias("reason"), line.alias("line"))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """Overwrite a dataset (CSV with a header, or Parquet), optionally partitioned."""
     w = df.write.mode("overwrite")

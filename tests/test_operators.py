@@ -360,7 +360,7 @@ def test_boosted_trees_and_forest_probabilities(spark):
     for m in (gbt, rf):
         p = ln.positive_probability(m, df, ["a", "b"])
         assert p.count() == 80
-        assert ln.roc_auc(p, "prob") > 0.75
+        assert ln.roc_auc(p, "prob").first()["auc"] > 0.75
     imp = ln.feature_importance(rf, ["a", "b"])
     assert imp[0][0] == "a"
 
