@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandlens.operators.order import global_index
-from demandlens.operators.text import _grams_of, canonical
+from demandlens.operators.text import canonical
 
 # fixed values: page filter, chunking, prompt and reply format
 MIN_PAGE_CHARS = 100
@@ -99,32 +99,41 @@ def prompt_batch(chunks: DataFrame, items: DataFrame, focal: str,
                         F.lit(focal.upper())).alias("prompt"))
 
 
-def dictionary_mentions(pages: DataFrame, dictionary: DataFrame, col: str = "item",
-                        lengths: list[int] | None = None) -> DataFrame:
-    """M4: which dictionary entries occur in each page as whole token sequences.
+TOKEN = r"[\w.+#/-]+"
 
-    Each page emits only the n-grams whose length n some entry has (``lengths``;
-    read from the dictionary when not given: a handful of distinct numbers),
-    and an equi-join against the dictionary keeps the hits (no substring
-    cross join, no pair explosion).  A dictionary of at most ``MAX_BROADCAST_TERMS``
-    entries (counted) is broadcast, so the n-grams aren't shuffled; a larger
-    one is joined by shuffle.
+
+def dictionary_mentions(pages: DataFrame, dictionary: DataFrame, col: str = "item", unique: bool = False) -> DataFrame:
+    """M4: which dictionary entries occur in each page as whole token sequences: (doc_id, page_no, item), distinct.
+
+    Entries of one token are joined to the page's distinct tokens.  Longer ones are joined by their
+    first two tokens to the page's positions, which carry their next tokens beside them (shifted copies of the token
+    array, no n-gram is ever put together), and the rest of the entry is compared there.  A
+    dictionary of at most ``MAX_BROADCAST_TERMS`` entries (counted) is broadcast, so no page is
+    shuffled; a larger one is joined by shuffle.  ``unique``: (doc_id, page_no) is known to be a key, which spares
+    the shuffle of the hits that else removes repeats.
     """
     d = (dictionary.select(canonical(col).alias("_g")).where(F.col("_g").isNotNull())
-         .withColumn("_g", F.array_join(F.split("_g", r"\s+"), " ")).distinct())
-    sizes = {r[0]: r[1] for r in d.groupBy(F.size(F.split("_g", " "))).count().collect()}  # a row for each length
-    lengths = sorted(sizes) if lengths is None else lengths
-    if sum(sizes.values()) <= MAX_BROADCAST_TERMS:
-        d = F.broadcast(d)
-    toks = F.regexp_extract_all(F.lower("text"), F.lit(r"[\w.+#/-]+"), 0)
-    # project the tokens once: an expression used inside a lambda is re-evaluated per element
-    tk = pages.select("doc_id", "page_no", toks.alias("_t"))
-    t = F.col("_t")
-    grams = [t if n == 1 else _grams_of(t, n) for n in lengths if n >= 1]
-    if not grams:
-        return pages.select("doc_id", "page_no", F.lit(None).cast("string").alias("item")).limit(0)
-    cand = tk.select("doc_id", "page_no", F.explode(F.concat(*grams) if len(grams) > 1 else grams[0]).alias("_g"))
-    return cand.join(d, "_g").select("doc_id", "page_no", F.col("_g").alias("item")).distinct()
+         .withColumn("_g", F.array_join(F.split("_g", r"\s+"), " ")).distinct().withColumn("_w", F.split("_g", " ")))
+    sizes = {r[0]: r[1] for r in d.groupBy(F.size("_w")).count().collect()}  # a row for each length
+    small = sum(sizes.values()) <= MAX_BROADCAST_TERMS
+    joined = lambda x: F.broadcast(x) if small else x
+    longest = max(sizes, default=0)
+    tk = pages.select("doc_id", "page_no", F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), 0).alias("_t"))
+    hits = tk.select("doc_id", "page_no", F.explode(F.array_distinct("_t")).alias("_g")).join(
+        joined(d.where(F.size("_w") == 1).select("_g")), "_g").select("doc_id", "page_no", F.col("_g").alias("item"))
+    if longest > 1:
+        word = lambda k: F.col("_n")[str(k)]
+        # a shifted copy is shorter, so the last positions have nulls there
+        shifted = F.arrays_zip(*[F.slice("_t", k + 1, F.greatest(F.size("_t") - k, F.lit(0))).alias(str(k)) for k in range(longest)])
+        at = tk.where(F.size("_t") > 1).select("doc_id", "page_no", F.explode(shifted).alias("_n")).where(word(1).isNotNull())
+        at = at.select("doc_id", "page_no", *[word(k).alias(f"_t{k}") for k in range(longest)])
+        long = d.where(F.size("_w") > 1).select("_g", *[F.get("_w", F.lit(k)).alias(f"_w{k}") for k in range(longest)])
+        same = (F.col("_t0") == F.col("_w0")) & (F.col("_t1") == F.col("_w1"))
+        found = at.join(joined(long), same)
+        for k in range(2, longest):
+            found = found.where(F.col(f"_w{k}").isNull() | (F.col(f"_w{k}") == F.col(f"_t{k}")))
+        hits = hits.unionByName(found.select("doc_id", "page_no", F.col("_g").alias("item")).distinct())
+    return hits if unique else hits.distinct()
 
 
 REPLY_SCHEMA = "array<map<string,string>>"

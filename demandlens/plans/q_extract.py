@@ -59,19 +59,18 @@ def page_chunks(spark, sf):
 DICTIONARY = S.ITEMS + """,
 dict AS (
   SELECT lower(trim(item)) AS item FROM items
-  UNION SELECT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\w.+#/-]+')) AS w FROM benchmark) WHERE length(w) >= 9
-  UNION SELECT t[1] || ' ' || t[2] FROM (SELECT regexp_extract_all(lower(text), '[\\w.+#/-]+') AS t FROM benchmark)
-        WHERE len(t) >= 2)"""
+  UNION SELECT unnest(regexp_extract_all(lower(text), '[\\w.+#/-]+')) FROM benchmark
+  UNION SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))
+        FROM (SELECT regexp_extract_all(lower(text), '[\\w.+#/-]+') AS t FROM benchmark))"""
 
 
 def dictionary(spark, sf):
-    """Demanded items, and of the benchmark texts the words of nine characters or more and the
-    first two words."""
-    toks = F.regexp_extract_all(F.lower("text"), F.lit(r"[\w.+#/-]+"), 0)
-    bench = tables.table(spark, sf, "benchmark").select(toks.alias("t"))
-    words = bench.select(F.explode("t").alias("item")).where(F.length("item") >= 9)
-    firsts = bench.where(F.size("t") >= 2).select(F.concat_ws(" ", F.get("t", F.lit(0)), F.get("t", F.lit(1))).alias("item"))
-    return tables.demand_items(spark, sf).unionByName(words).unionByName(firsts).distinct()
+    """Demanded items, and all words and word pairs of the benchmark texts."""
+    t = F.regexp_extract_all(F.lower("text"), F.lit(ex.TOKEN), 0)
+    bench = tables.table(spark, sf, "benchmark").select(t.alias("t"))
+    pairs = bench.select(F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))).alias("b"))).alias("p"))
+    return (tables.demand_items(spark, sf).unionByName(bench.select(F.explode("t").alias("item")))
+            .unionByName(pairs.where(F.col("p.b").isNotNull()).select(F.concat_ws(" ", "p.a", "p.b").alias("item"))).distinct())
 
 
 def _mentions_sql(src: str, page: str) -> str:
@@ -121,8 +120,9 @@ allpages AS (
 SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, item FROM hits""")
 def dictionary_mentions(spark, sf):
     """M4: dictionary entries found as whole token sequences in all pages."""
-    pages = ex.document_pages(tables.table(spark, sf, "documents"))
-    return ex.dictionary_mentions(pages, dictionary(spark, sf), "item") \
+    docs = tables.table(spark, sf, "documents")
+    once = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return ex.dictionary_mentions(ex.document_pages(docs), dictionary(spark, sf), "item", unique=once) \
         .select("doc_id", F.col("page_no").cast("int"), "item")
 
 

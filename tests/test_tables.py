@@ -134,3 +134,28 @@ def test_type_filter_prunes_folders(spark, tmp_path):
     df = cl.read_collection(spark, path, ["x"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert {r["id"] for r in df.collect()} == {"a", "c"} and "PartitionFilters: [" in plan and "type" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_dictionary_mentions_match_brute_force(spark, broadcast, monkeypatch):
+    import re
+
+    if not broadcast:
+        monkeypatch.setattr(ex, "MAX_BROADCAST_TERMS", 0)
+    rnd = random.Random(9)
+    words = ["a", "b", "c++", "d.e", "f-g", "h"]
+    pages = [(k // 2, k % 2, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 14))) + rnd.choice(["", "!", " (A)"])) for k in range(60)]
+    pages += [(50, 0, None), (51, 0, ""), (52, 0, "a"), (53, 0, "a b a b a b"), (53, 0, "h a b")]
+    entries = {" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 5))) for _ in range(60)} | {"A  B", "missing", "a b"}
+    d = spark.createDataFrame([(e,) for e in sorted(entries)] + [(None,), ("A b ",)], "item string")
+    df = spark.createDataFrame(pages, "doc_id int, page_no int, text string").repartition(3)
+    want = set()
+    for i, p, t in pages:
+        toks = re.findall(ex.TOKEN, (t or "").lower())
+        grams = {" ".join(toks[a:a + n]) for n in range(1, 6) for a in range(len(toks) - n + 1)}
+        want |= {(i, p, g) for g in grams & {" ".join(e.lower().split()) for e in entries}}
+    got = [tuple(r) for r in ex.dictionary_mentions(df, d).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert ex.dictionary_mentions(df, d.limit(0)).count() == 0
+    once = df.where("doc_id < 53")
+    assert sorted(map(tuple, ex.dictionary_mentions(once, d, unique=True).collect())) == sorted(x for x in want if x[0] < 53)
