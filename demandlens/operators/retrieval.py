@@ -13,8 +13,11 @@ stand-in for a sentence-embedding model, which this library does not run).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from demandlens.operators import cards as cd
 from demandlens.operators import text as tx
@@ -34,14 +37,29 @@ PROMPT_TEMPLATE = ("Use the following retrieved curriculum intelligence data to
 HASH_DIM = 256
 
 
+def hash_bucket(token, dim: int):
+    """Bucket of a token: the first 32 bits of its md5, modulo ``dim`` (the same in any SQL engine)."""
+    return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim
+
+
 def hashed_embedding(df: DataFrame, text_col: str, out: str = "embedding", dim: int = HASH_DIM) -> DataFrame:
-    """Term-count vector of the lower-case word tokens, hashed into ``dim`` buckets."""
-    from pyspark.ml.feature import HashingTF
-    from pyspark.ml.functions import vector_to_array
+    """Term-count vector of the lower-case word tokens, hashed into ``dim`` buckets; a null text has none."""
+    toks = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\w+"), 0)
+    none = F.array().cast("array<bigint>")
+    listed = df.drop(out).withColumn(out, F.coalesce(F.transform(toks, lambda t: hash_bucket(t, dim)), none))
+
+    def count(batches):
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            o = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.to_numpy()[o[0]:o[-1]]
+            row = np.repeat(np.arange(b.num_rows), np.diff(o))
+            n = np.bincount(row * dim + flat, minlength=b.num_rows * dim).astype(np.float32)
+            vectors = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * dim, pa.array(n))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], vectors], b.schema.names)
 
-    toks = df.withColumn("_tok", F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\w+"), 0))
-    h = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(toks)
-    return h.withColumn(out, vector_to_array("_tf", "float32")).drop("_tok", "_tf")
+    schema = T.StructType([*listed.schema.fields[:-1], T.StructField(out, T.ArrayType(T.FloatType()))])
+    return listed.mapInArrow(count, schema)
 
 
 def question_search(questions: DataFrame, cards: DataFrame, k: int = vx.DEFAULT_TOP_K,

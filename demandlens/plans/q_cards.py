@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demandlens.operators import cards as cd
+from demandlens.operators import retrieval as rt
 from demandlens.operators.coverage import provider_count
 from demandlens.plans import analytics as an
 from demandlens.plans import sqlbase as S
 from demandlens.plans.common import FOCAL, coverage, demand
+from demandlens.plans.q_learn import hashed_counts_sql
 from demandlens.plans.q_scoring import PAIRS, SCORED
 from demandlens.plans.q_text import PART_STOP_WORDS, QUESTION_INTENTS
 from demandlens.plans.q_text import _KW_SQL as KW_SQL
-from demandlens.plans.registry import register
+from demandlens.plans.registry import ORACLE, register
 from demandlens.session import materialize
 from demandlens.sources import tables
 
@@ -85,12 +87,12 @@ def item_cards(spark, sf):
     return c.select("id", "type", "text", "priority_score")
 
 
-@register("trajectory_cards", S.with_(ANALYSED[1:]) + f""",
+TRAJECTORY_SQL = (f""",
 st AS (SELECT tname, count(*) AS n, count(*) FILTER (WHERE is_covered = 0) AS g,
               avg(lag) AS l, avg(priority_score) AS p FROM analysed GROUP BY tname),
 tp AS (SELECT tname, string_agg(item, ', ' ORDER BY r) AS top FROM (
          SELECT tname, item, row_number() OVER (PARTITION BY tname ORDER BY priority_score DESC, item) AS r
-         FROM analysed WHERE is_covered = 0) WHERE r <= 5 GROUP BY tname)
+         FROM analysed WHERE is_covered = 0) WHERE r <= 5 GROUP BY tname)""", f"""
 SELECT 'trajectory_' || lower(st.tname) AS id, 'trajectory_summary' AS type,
        'Trajectory group: ' || st.tname || '. ' ||
        CASE st.tname {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in cd.TRAJECTORY_DESCRIPTIONS.items())} ELSE '' END
@@ -99,6 +101,9 @@ SELECT 'trajectory_' || lower(st.tname) AS id, 'trajectory_summary' AS type,
        '. Top gap skills by priority: ' || coalesce(tp.top, '') || '.' AS text,
        CAST(NULL AS DOUBLE) AS priority_score
 FROM st LEFT JOIN tp USING (tname)""")
+
+
+@register("trajectory_cards", S.with_(ANALYSED[1:]) + "".join(TRAJECTORY_SQL))
 def trajectory_cards(spark, sf):
     """One summary card per trajectory group."""
     items, _ = _analysed(spark, sf)
@@ -188,14 +193,56 @@ def card_inventory(spark, sf):
     return cd.card_inventory(all_cards(spark, sf))
 
 
-@register("context_assembly")
+def _cte(sql: str) -> str:
+    """The body of a card query that begins with further CTEs, as (CTEs, last SELECT)."""
+    at = sql.rindex("\nSELECT '")
+    return sql[:at], sql[at:]
+
+
+_WATCH, _GAP = _cte(WATCH_SQL), _cte(GAP_SQL)
+CARDS = ANALYSED + TRAJECTORY_SQL[0] + _WATCH[0] + _GAP[0] + f""",
+cards AS (
+  SELECT 'skill_' || replace(replace(item, ' ', '_'), '/', '_') AS id, 'skill_card' AS type, {ITEM_TEXT} AS text, priority_score FROM analysed
+  UNION ALL {TRAJECTORY_SQL[1]}
+  UNION ALL {_WATCH[1]}
+  UNION ALL {COVERAGE_CARDS_SQL}
+  UNION ALL {_GAP[1]}),
+questions AS (SELECT conv_id || ':' || turn AS question_id, CASE WHEN turn = 0 THEN 'staff' ELSE 'student' END AS role, text AS question,
+                     expanded, intent FROM ({ORACLE['question_intents']}) JOIN (SELECT conv_id, turn, text FROM conversations WHERE role = 'user') USING (conv_id, turn)),
+cv AS ({hashed_counts_sql('cards', 'id', 'text', rt.HASH_DIM)}),
+qv AS ({hashed_counts_sql('questions', 'question_id', 'expanded', rt.HASH_DIM)}),
+cn AS (SELECT id, sqrt(sum(n * n)) AS l FROM cv GROUP BY id),
+qn AS (SELECT question_id, sqrt(sum(n * n)) AS l FROM qv GROUP BY question_id),
+dots AS (SELECT question_id, id, sum(q.n * c.n) AS d FROM qv q JOIN cv c USING (bucket) GROUP BY ALL),
+sims AS (SELECT q.question_id, q.role, q.intent, c.id, c.type, c.text, c.priority_score, 1 - coalesce(d.d / (qn.l * cn.l), 0.0) AS distance
+         FROM questions q CROSS JOIN cards c LEFT JOIN dots d ON d.question_id = q.question_id AND d.id = c.id
+         LEFT JOIN qn ON qn.question_id = q.question_id LEFT JOIN cn ON cn.id = c.id)"""
+
+_QUOTAS = ", ".join(f"('{role}', '{t}', {n}, {i})" for role, ts in rt.QUOTAS.items() for i, (t, n) in enumerate(ts))
+_HYBRID = "round(0.7 * (1.0 - distance) + 0.3 * coalesce(priority_score, 0.0), 4)"
+
+
+@register("context_assembly", S.with_(CARDS[1:]) + f""",
+quotas(role, type, quota, type_order) AS (VALUES {_QUOTAS}),
+near AS (SELECT s.*, quota, type_order, row_number() OVER (PARTITION BY question_id, s.type ORDER BY distance, id) AS r
+         FROM sims s JOIN quotas USING (role, type)),
+hyb AS (SELECT *, {_HYBRID} AS hybrid FROM near WHERE r <= quota),
+pos AS (SELECT *, row_number() OVER (PARTITION BY question_id, type ORDER BY hybrid DESC, r) AS hr FROM hyb),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, text ORDER BY type_order, hr) AS k FROM pos) WHERE k = 1),
+num AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY type_order, hr) AS i FROM first),
+ctx AS (SELECT question_id, count(*) AS n, string_agg('[' || i || '] (hybrid_score=' || {fmt_sql('hybrid', 3)} || ') ' || text,
+               chr(10) || chr(10) ORDER BY i) AS context FROM num GROUP BY question_id)
+SELECT q.question_id, CAST(coalesce(n, 0) AS INTEGER) AS n_chunks, coalesce(context, '') AS context,
+       'Use the following retrieved curriculum intelligence data to answer the question.' || chr(10) ||
+       'Answer ONLY from this context. If something is not in the context, say: Data not available.' || chr(10) || chr(10) ||
+       '--- RETRIEVED CONTEXT ---' || chr(10) || coalesce(context, '') || chr(10) || '--- END CONTEXT ---' || chr(10) || chr(10) ||
+       'Question: ' || question AS prompt
+FROM questions q LEFT JOIN ctx USING (question_id)""")
 def context_assembly(spark, sf):
     """V8 + V9 + D9 + C8 + C9: retrieval context and prompt for every user question of the
     conversation log, over the whole card collection (hashed word vectors; who opens a
-    conversation asks as admin, later turns as student).  Rows-only check: one row per question."""
-    from demandlens.operators import retrieval as rt
-
-    # the cards are counted, blocked and joined back: written once
+    conversation asks as admin, later turns as student)."""
+    # the cards are counted, searched and joined back: written once
     cards = materialize(rt.hashed_embedding(all_cards(spark, sf), "text"))
     conv = tables.table(spark, sf, "conversations").where(F.col("role") == "user")
     qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"),
@@ -204,17 +251,20 @@ def context_assembly(spark, sf):
     return rt.assemble_context(qs, cards)
 
 
-@register("question_search")
+@register("question_search", S.with_(CARDS[1:]) + f""",
+near AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, id) AS r FROM sims WHERE intent IS NULL OR type = intent),
+hyb AS (SELECT *, {_HYBRID} AS hybrid_score FROM near WHERE r <= 8)
+SELECT question_id, intent AS type, id, round(distance, 9) AS distance, hybrid_score,
+       CAST(row_number() OVER (PARTITION BY question_id ORDER BY hybrid_score DESC, r) AS INTEGER) AS hybrid_rank FROM hyb""")
 def question_search(spark, sf):
-    """X3 + X4 + V8 + V9: the eight best cards of every user question, inside its inferred type
-    (rows-only: hashed word vectors; the tests compare it with a dense search)."""
-    from demandlens.operators import retrieval as rt
+    """X3 + X4 + V8 + V9: the eight best cards of every user question, inside its inferred type."""
     from demandlens.operators import text as tx
 
     cards = materialize(rt.hashed_embedding(all_cards(spark, sf), "text"))
     conv = tables.table(spark, sf, "conversations").where(F.col("role") == "user")
     qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
-    return rt.question_search(qs, cards, rules=[*tx.INTENT_FILTERS, *QUESTION_INTENTS])
+    found = rt.question_search(qs, cards, rules=[*tx.INTENT_FILTERS, *QUESTION_INTENTS])
+    return found.withColumn("distance", F.round("distance", 9)).withColumn("hybrid_rank", F.col("hybrid_rank").cast("int"))
 
 
 @register("enriched_item_cards", S.with_(ANALYSED[1:]) + f""",

@@ -279,18 +279,43 @@ def importance_table(spark, sf):
                  (F.abs(F.max("text_share") - F.sum(F.when(F.col("is_text"), F.col("importance")))) < 1e-9).alias("text_share_agrees"))
 
 
-@register("text_priority")
+def hashed_counts_sql(src: str, key: str, text: str, dim: int) -> str:
+    """(key, bucket, n): the non-zero entries of hashed_embedding() over a table."""
+    return (f"SELECT {key}, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % {dim} AS bucket, count(*) AS n "
+            f"FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '\\w+')) AS t FROM {src}) GROUP BY ALL")
+
+
+TEXT_PRIORITY = SCORED + f""",
+tp_tk AS (SELECT item, regexp_extract_all(lower(item), '\\b\\w\\w+\\b') AS t FROM scored),
+tp_terms AS (SELECT item, unnest(t) AS term FROM tp_tk
+  UNION ALL SELECT item, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM tp_tk),
+tp_tf AS (SELECT item, term, count(*) AS tf FROM tp_terms GROUP BY ALL),
+tp_df AS (SELECT term, count(*) AS df FROM tp_tf GROUP BY term),
+tp_w AS (SELECT item, tf * (ln((1 + (SELECT count(*) FROM scored)) / (1 + df)) + 1) AS w FROM tp_tf JOIN tp_df USING (term)),
+tp_rar AS (SELECT item, sum(w) / sqrt(sum(w * w)) / (SELECT count(*) FROM tp_df) AS rarity FROM tp_w GROUP BY item),
+tp_v AS ({hashed_counts_sql('scored', 'item', 'item', 64)}),
+tp_c AS (SELECT bucket, sum(n) / (SELECT count(*) FROM scored WHERE is_covered = 1) AS c FROM tp_v JOIN scored USING (item) WHERE is_covered = 1 GROUP BY bucket),
+tp_dot AS (SELECT item, sum(n * coalesce(c, 0.0)) / (sqrt(sum(n * n)) * (SELECT sqrt(sum(c * c)) FROM tp_c)) AS cos FROM tp_v LEFT JOIN tp_c USING (bucket) GROUP BY item),
+tp AS (SELECT s.item, s.is_covered, s.priority_score, coalesce(r.rarity, 0.0) AS rarity, coalesce(1 - d.cos, 0.0) AS gap_distance
+       FROM scored s LEFT JOIN tp_rar r USING (item) LEFT JOIN tp_dot d USING (item)),
+tp_m AS (SELECT min(rarity) AS r0, max(rarity) AS r1, min(gap_distance) AS g0, max(gap_distance) AS g1 FROM tp)"""
+
+
+@register("text_priority", S.with_(TEXT_PRIORITY[1:]) + """
+SELECT item, priority_score, round(rarity, 6) AS rarity, round(gap_distance, 6) AS gap_distance,
+       round(priority_score * 0.60 + CASE WHEN g1 > g0 THEN (gap_distance - g0) / (g1 - g0) ELSE 0.0 END * 0.25
+             + CASE WHEN r1 > r0 THEN (rarity - r0) / (r1 - r0) ELSE 0.0 END * 0.15, 4) AS text_priority
+FROM tp, tp_m WHERE is_covered = 0""")
 def text_priority(spark, sf):
     """K5: .60 priority + .25 scaled gap distance + .15 scaled rarity per uncovered item
-    (hashed name vectors stand in for sentence embeddings; rows-only check)."""
+    (hashed name vectors stand in for sentence embeddings)."""
     from demandlens.plans import analytics as an
     from demandlens.plans.common import coverage, demand
     from demandlens.plans.common import FOCAL
 
-    scored = an.scored_items(demand(spark, sf), coverage(spark, sf), FOCAL)
-    t = sc.text_priority(_with_text_features(spark, sf, scored))
-    return sc.rank_gaps(t, "text_priority").select("item", "priority_score", "rarity", "gap_distance",
-                                                    "text_priority")
+    scored = materialize(an.scored_items(demand(spark, sf), coverage(spark, sf), FOCAL))
+    t = sc.text_priority(materialize(_with_text_features(spark, sf, scored)))
+    return sc.rank_gaps(t, "text_priority").select("item", "priority_score", r6("rarity"), r6("gap_distance"), "text_priority")
 
 
 @register("smote_balance", S.with_(SCORED[1:]) + """

@@ -5,7 +5,7 @@ import re
 # Queries that fit models while being built return a fitted model's output; their
 # operators are covered in test_operators.py.
 MODEL_QUERIES = {"oof_probabilities", "model_comparison", "gap_model_ranking", "vector_clusters",
-                 "smote_balance", "text_priority", "model_selection", "oof_checks", "importance_table"}
+                 "model_selection", "oof_checks", "importance_table"}
 
 
 def physical_plan(df) -> str:
