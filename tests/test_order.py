@@ -124,3 +124,24 @@ def test_hot_vector_and_odd_rows(spark, block_rows):
     assert got["h00"] == ["h01", "h02"] and got["h01"] == ["h00", "h02"] and got["h39"] == ["h00", "h01"]
     assert "null" not in got and "empty" not in got
     assert sum(len(got[i]) == 2 for i, _ in rows) == len(rows)
+
+
+@pytest.mark.parametrize("bytes_", [1 << 20, 0])
+def test_search_in_place_equals_blocks(spark, bytes_, monkeypatch):
+    monkeypatch.setattr(vx, "MAX_QUERY_BYTES", bytes_)
+    rng = np.random.default_rng(8)
+    cards = [(f"c{k:03d}", "xyz"[k % 3], rng.normal(size=6).round(3).tolist()) for k in range(150)] + [("zero", "x", [0.0] * 6)]
+    queries = [(f"q{k}", "xyw"[k % 3], rng.normal(size=6).round(3).tolist()) for k in range(12)]
+    c = spark.createDataFrame(cards, "id string, type string, embedding array<float>").repartition(5)
+    q = spark.createDataFrame(queries, "query_id string, type string, query_vec array<float>")
+    for typed in (None, "type"):
+        got = {}
+        for r in sorted(vx.search(q, c, 4, type_col=typed, card_block_rows=40, query_block_rows=5).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["query_id"], []).append((r["id"], round(r["distance"], 5)))
+        for i, t, v in queries:
+            def distance(w):
+                n = np.linalg.norm(v) * np.linalg.norm(w)
+                return round(1 - (np.dot(v, w) / n if n else 0.0), 5)
+            want = sorted((distance(w), j) for j, u, w in cards if typed is None or u == t)[:4]
+            assert got.get(i, []) == [(j, d) for d, j in want], (i, typed)
+    assert vx.search(q.limit(0), c, 3).count() == 0 and vx.search(q, c.limit(0), 3).count() == 0
