@@ -9,9 +9,10 @@ item position), and the aligned tokens around it are compared: an overlap is rep
 some window of 12 aligned tokens has at most 2 mismatches.  Items with fewer tokens than
 a window count when they occur whole.
 
-The seeds of the items are broadcast only after their number is checked
-(``max_broadcast_seeds``); a larger test set is joined by shuffle on the seed, and the documents'
-tokens are fetched for the hits by a second join.  Both ways give the same rows.
+The seeds of the items are broadcast only after their number (``max_broadcast_seeds``) and the
+tokens that travel with them (``MAX_BROADCAST_TOKENS``) are checked; a larger test set is joined
+by shuffle on the seed, its hits become distinct diagonals first, and the documents'
+tokens are fetched for these by a second join.  Both ways give the same rows.
 
 Edge cases: null or empty texts and texts without letters or digits have no tokens and no
 rows; very long texts are covered whole; repeated rows (same id, same text) count as one;
@@ -24,10 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandlens.llm.stage import unused
+
 WINDOW = 12
 MISMATCHES = 2
 MASKS = ("111011", "11010011")
 MAX_BROADCAST_SEEDS = 2_000_000
+MAX_BROADCAST_TOKENS = 8_000_000   # of 8 bytes each, over all seeds of all items
 NOT_TOKEN = r"[^\p{L}\p{N}]+"
 
 
@@ -69,7 +73,9 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     at = rows.filter(F.size("h") > 0).select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("p"))
     seeded = at.select("doc_id", "h", "p", F.explode(seeds(F.col("h"), F.col("p"), masks)).alias("seed"))
     diagonal = (F.col("p") - F.col("q")).alias("diagonal")
-    if bench_seeds.limit(max_broadcast_seeds + 1).count() <= max_broadcast_seeds:
+    # a seed travels with its whole item, so the bound is on their tokens as well
+    size = bench_seeds.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("tokens")).first()
+    if size["n"] <= max_broadcast_seeds and size["tokens"] <= MAX_BROADCAST_TOKENS:
         hits = (seeded.join(F.broadcast(bench_seeds), "seed")
                 .select("doc_id", "item_id", "t", diagonal, aligned("h", F.col("p") - F.col("q"), "t")))
     else:
@@ -100,8 +106,9 @@ def aligned(h: str, diagonal: Column, t: str) -> Column:
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         **kw) -> DataFrame:
     """Rows of docs without a verified overlap with any item."""
-    bad = find_overlaps(docs, items, id_col, text_col, **kw).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    (name,) = unused(docs, "_bad")
+    bad = find_overlaps(docs, items, id_col, text_col, **kw).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
 
 
 def token_sql(text: str) -> str:

@@ -19,7 +19,7 @@ speed, never the result.
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components, and
 rows with a null label, link with nothing and are returned as their own component; vectors of
 one label and different length are not compared; rows that repeat an id, label and vector are one vector and
-each get its result; a null id is kept and sorts below all others; other columns
+each get its result; an id with several vectors or labels has a row and result for each, and doesn't link them; a null id is kept and sorts below all others; other columns
 are ignored; an empty table gives no rows.
 """
 
@@ -106,7 +106,9 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: st
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0), F.lit(False))
     good = rows.filter(usable)
-    classes = staged(good.distinct().groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    # a class is a node of its own, so that an id with several vectors or labels joins nothing by itself
+    classes = staged(good.distinct().groupBy("label", "v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+                     .withColumn("rep", F.monotonically_increasing_id()), "classes")
     picked = classes.select("v", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(sample).collect()
     basis = axes([np.array(r["v"]) for r in picked])
 
@@ -148,7 +150,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: st
         if kept:
             yield out(kept)
 
-    axis = classes.mapInArrow(project, "label string, v array<double>, rep bigint, copies bigint, d int, angle double")
+    axis = classes.select("label", "v", "rep", "copies").mapInArrow(project, "label string, v array<double>, rep bigint, copies bigint, d int, angle double")
     blocks = staged(axis.repartitionByRange(partitions(spark), "label", "d", "angle", "rep").sortWithinPartitions("label", "d", "angle", "rep")
                     .mapInArrow(build, "block string, label string, d bigint, lo double, hi double, ids binary, copies binary, vecs binary"), "blocks")
     limit = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
@@ -181,11 +183,13 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: st
     tiles = (pairs.join(data("x"), "x").join(data("y").drop("d"), "y")
              .select("x", "y", "d", "ids_x", "copies_x", "vecs_x", "ids_y", "copies_y", "vecs_y"))
     found = staged(tiles.mapInArrow(compare, "id bigint, n bigint, low bigint"), "tiles")
-    groups = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
+    groups = staged(components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))), "groups")
     links = found.groupBy("id").agg(F.sum("n").alias("links"))
-    named = classes.join(links, F.col("rep") == F.col("id"), "left").drop("id").join(groups, F.col("rep") == F.col("id"), "left")
+    least = groups.join(classes.select("rep", "least"), F.col("id") == F.col("rep")).groupBy("component").agg(F.min("least").alias("c"))
+    of_class = groups.join(least, "component").select(F.col("id").alias("member"), "c")
+    named = classes.join(links, F.col("rep") == F.col("id"), "left").drop("id").join(of_class, F.col("rep") == F.col("member"), "left")
     named = staged(named.select("label", "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                                F.coalesce("component", "rep").alias("c")), "named")
+                                F.coalesce("c", "least").alias("c")), "named")
     out = (good.join(named, ["label", "v"]).select("id", "n_links", "c")
            .unionAll(rows.filter(~usable).select("id", F.lit(0).cast("long"), F.col("id"))))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.llm import textpack as tp
-from demandlens.llm.stage import components, partitions, staged
+from demandlens.llm.stage import components, partitions, staged, unused
 
 U64 = np.uint64
 NO_ID = -(1 << 63)
@@ -403,20 +403,21 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str =
              max_broadcast_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
     """The rows of docs (all columns) that are the smallest id of their component; of rows that
     repeat an id and text one stays.  Rows without words and rows with a null id always stay; the
-    other rows of a component with a null id go."""
+    other rows of a component with a null id go.  Further columns pass, whatever their names."""
+    left, twice = unused(docs, "_gone", "_again")
     found = staged(jaccard_components(docs, shingle, percent, id_col, text_col), "components")
-    gone = staged(found.filter("doc_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    again = staged(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    gone = staged(found.filter("doc_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias(left)).distinct(), "gone")
+    again = staged(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(twice)), "again")
 
     def sized(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= max_broadcast_ids else ids
 
-    kept = docs.join(sized(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    kept = docs.join(sized(gone), F.col(id_col) == F.col(left), "left_anti")
     if again.isEmpty():
         return kept
     again = sized(again)
-    once = kept.join(again, F.col(id_col) == F.col("_again"), "left_anti")
-    return once.unionAll(kept.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col, text_col]))
+    once = kept.join(again, F.col(id_col) == F.col(twice), "left_anti")
+    return once.unionAll(kept.join(again, F.col(id_col) == F.col(twice), "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def oracle(table: str = "documents", shingle: int = 4, percent: int = 85) -> str:

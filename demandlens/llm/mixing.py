@@ -11,7 +11,8 @@ of rows unless given.  Sources without a given weight have weight 0.
 
 Edge cases: a null source is a source of its own; a null id hashes as the word ``null``;
 repeated rows get equal counts; texts are not read, so empty and long ones pass whole; input
-columns named ``copy_no`` or ``shuffle_key`` are replaced; an empty table gives no rows.
+columns named ``copy_no`` or ``shuffle_key`` are replaced, all others are kept whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandlens.llm.stage import unused
+
 MAX_BROADCAST_SOURCES = 100_000
 DIGITS = 13  # hex digits of the md5 that make the uniform number: 52 bits
 
@@ -62,16 +65,17 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     ``shuffle_key``, in a global random order (partition by key hash, sorted by key inside)."""
     docs = docs.drop("copy_no", "shuffle_key")
     rates = source_rates(docs, weights, alpha, budget, source_col)
-    rates = rates.select(F.col("source").alias("_mix_source"), "cdf")
+    name, cdf, times = unused(docs, "_mix_source", "_mix_cdf", "_mix_count")
+    rates = rates.select(F.col("source").alias(name), F.col("cdf").alias(cdf))
     # The table of sources is broadcast only after its size is known; beyond that a
     # shuffled join is used, whose hot sources adaptive execution splits.
     if docs.select(source_col).distinct().limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     u = uniform(seed, F.col(id_col))
-    counted = (docs.join(rates, F.col(source_col).eqNullSafe(F.col("_mix_source")))
-               .withColumn("_mix_count", F.size(F.filter("cdf", lambda c: c <= u)))
-               .drop("_mix_source", "cdf").filter("_mix_count > 0"))
-    copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_mix_count")))).drop("_mix_count")
+    counted = (docs.join(rates, F.col(source_col).eqNullSafe(F.col(name)))
+               .withColumn(times, F.size(F.filter(cdf, lambda c: c <= u)))
+               .drop(name, cdf).filter(F.col(times) > 0))
+    copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times)
     key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "copy_no"))
     return copies.withColumn("shuffle_key", key).repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
 

@@ -36,12 +36,12 @@ _NATIONAL = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000
 _SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])")
 _DIGITS = re.compile(r"[0-9]")
 
-# Prior score of a confirmed span and the words that raise it when they stand before it.
+# Prior score of a confirmed span and the whole words that raise it when they stand near it.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7,
          "iban": 0.8, "short_card": 0.4, "national_id": 0.4, "secret": 0.3}
 CONTEXT = {
-    "email": ("mail", "contact", "@"), "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "credit", "payment"), "phone": ("phone", "tel", "call", "mobile"),
+    "email": ("mail", "email", "e-mail", "contact"), "ip": ("ip", "host", "server", "address"),
+    "card": ("card", "visa", "credit", "payment"), "phone": ("phone", "telephone", "tel", "call", "mobile"),
     "iban": ("iban", "account", "bank"), "short_card": ("card", "amex", "credit", "payment"),
     "national_id": ("ssn", "social", "security", "national"),
     "secret": ("token", "key", "secret", "password"),
@@ -112,17 +112,22 @@ def added_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def score(text: str, kind: str, start: int) -> float:
-    near = text[max(0, start - CONTEXT_CHARS):start].lower()
-    return min(1.0, PRIOR[kind] + (CONTEXT_GAIN if any(w in near for w in CONTEXT[kind]) else 0.0))
+_CONTEXT = {k: re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(words) + r")s?(?![A-Za-z0-9])") for k, words in CONTEXT.items()}
+
+
+def score(text: str, kind: str, start: int, end: int) -> float:
+    """The prior of the kind, raised where a whole context word (or its plural) stands within CONTEXT_CHARS before or
+    behind the span."""
+    near = f"{text[max(0, start - CONTEXT_CHARS):start]} {text[end:end + CONTEXT_CHARS]}".lower()
+    return min(1.0, PRIOR[kind] + (CONTEXT_GAIN if _CONTEXT[kind].search(near) else 0.0))
 
 
 def spans_of(text: str | None, min_score: float = MIN_SCORE) -> list[tuple[str, int, int, float]]:
     """All spans of a text by kind as listed, then start."""
     text = text or ""
-    out = [(k, s, e, score(text, k, s)) for k, s, e in base_spans(text)]
+    out = [(k, s, e, score(text, k, s, e)) for k, s, e in base_spans(text)]
     for k, s, e in added_spans(text):
-        if (x := score(text, k, s)) >= min_score:
+        if (x := score(text, k, s, e)) >= min_score:
             out.append((k, s, e, x))
     return out
 

@@ -31,7 +31,8 @@ def make_docs(seed=3, n=60):
 
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, n int, k1 string, rep string, part int, "
-          "spans string, score string, copy_no int, shuffle_key string, tie int, chunk string, id string, a int, label int, h int, t int, p int")
+          "spans string, score string, copy_no int, shuffle_key string, tie int, chunk string, id string, a int, label int, h int, t int, p int, "
+          "cdf string, _gone int, _again int, _mix_count int, _mix_source string, _mix_cdf int, _bad int")
 
 
 @pytest.fixture(scope="session")
@@ -41,7 +42,7 @@ def rows():
 
 def frame(spark, rows):
     """Documents with further columns whose names the operators use inside."""
-    data = [(i, t, LANGS[k % 3], None if k % 4 == 0 else f"s{k % 4}", None if t is None else len(t)) + (None,) * 16 for k, (i, t) in enumerate(rows)]
+    data = [(i, t, LANGS[k % 3], None if k % 4 == 0 else f"s{k % 4}", None if t is None else len(t)) + (None,) * 23 for k, (i, t) in enumerate(rows)]
     return spark.createDataFrame(data, SCHEMA)
 
 

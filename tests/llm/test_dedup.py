@@ -272,6 +272,15 @@ def test_embeddings(spark):
     assert embed_dedup.embedding_duplicates(df.limit(0)).count() == 0
 
 
+def test_an_id_with_several_vectors_links_nothing_by_itself(spark):
+    e = lambda k, x=0.0: [1.0 if i == k else x * (i == 7) for i in range(8)]
+    rows = [(1, e(0), 0), (1, e(1), 0), (1, e(2), 1), (2, e(0, 0.1), 0), (3, e(1, 0.1), 0), (4, e(2, 0.1), 1), (5, e(3), 1), (0, e(1, 0.05), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = Counter(tuple(r) for r in embed_dedup.embedding_duplicates(df, 0.93).collect())
+    assert got == Counter([(1, 1, 1, True), (2, 1, 1, False), (1, 2, 0, False), (3, 2, 0, False), (0, 2, 0, True),
+                           (1, 1, 1, True), (4, 1, 1, False), (5, 0, 5, True)])
+
+
 def test_tile_bound_drops_nothing():
     rng = np.random.default_rng(8)
     a, b = rng.normal(size=(60, 12)), rng.normal(size=(50, 12))

@@ -54,3 +54,26 @@ def test_stages_keep_the_columns(spark, name):
     docs = read(spark, SF, "documents").limit(0)
     out = dict(P.STAGES)[name](spark, docs, SF)
     assert out.columns == docs.columns and out.count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, texts, languages and sources, repeated rows, a long text and columns with the names used inside."""
+    base = read(spark, SF, "documents")
+    first = base.orderBy("doc_id").limit(30).collect()
+    long = "".join(f"word{k % 977} " for k in range(160000))
+    rows = [tuple(r) for r in first] + [tuple(first[3])] * 5 + [(None, first[4]["text"], None, None, 3), (9001, None, None, None, None), (9002, "", "en", None, 0),
+                                                                (9003, long, "de", "src1", len(long)), (9003, long, "de", "src1", len(long)),
+                                                                (None, "mail bob@example.com alone here today friends", "xx", "src9", 1)]
+    names = ["cdf", "_gone", "_again", "_bad", "_mix_count", "_mix_source", "_mix_cdf", "rep", "seed", "score", "threshold", "upto", "h"]
+    docs = spark.createDataFrame(rows, base.schema).withColumns({n: F.lit(f"user {n}") for n in names})
+    before = docs
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns[:len(docs.columns)] == docs.columns
+        docs = P.staged(out, name)
+    got = docs.collect()
+    assert all(r[n] == f"user {n}" for r in got for n in names)
+    ids = {r["doc_id"] for r in got}
+    assert ids <= {r["doc_id"] for r in before.collect()}
+    texts = {(r["doc_id"], r["text"]) for r in got}
+    assert len({t for i, t in texts if i == 9003}) <= 1 and not any(t and "bob@example.com" in t for _, t in texts)

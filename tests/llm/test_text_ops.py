@@ -86,6 +86,29 @@ def test_toxicity_reads_only_the_text(labelled):
     assert a == Counter(round(r["score"], 12) for r in toxicity.score(other, model).collect())
 
 
+def test_toxicity_sample_is_bounded(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda data, y, *a: seen.append((len(data), sum(d.shape[1] for d in data))))
+    copies = docs.filter("doc_id = 9").crossJoin(spark.range(500).select("id")).drop("id")   # one labelled row in many rows
+    huge = docs.filter("doc_id = 9").withColumn("text", F.repeat(F.lit("word "), 50000))
+    toxicity.train(docs, labels)
+    toxicity.train(docs.unionByName(copies), labels)
+    assert seen[0] == seen[1]
+    toxicity.train(docs.unionByName(huge), labels, max_train=100, max_words=2000)
+    assert seen[2][0] <= 100 and 0 < seen[2][1] <= 2000
+
+
+def test_every_language_of_the_calibration_rows_has_a_threshold(spark, labelled):
+    docs, labels = labelled
+    few = docs.withColumn("lang", F.when(F.col("doc_id") % 40 == 0, "rare").otherwise(F.col("lang")))
+    model = toxicity.train(few, labels)
+    assert set(model.thresholds) == {"de", "en", "rare"}
+    odds = lambda t: np.log(t / (1 - t))
+    assert all(0 < t < 1 for t in model.thresholds.values())
+    assert abs(odds(model.thresholds["rare"]) - odds(model.threshold)) < 5
+
+
 def test_toxicity_without_labels(labelled):
     docs, labels = labelled
     assert {r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()} == {0.0}
@@ -345,6 +368,14 @@ def test_pii_base_spans():
         assert [x[:3] for x in pii.spans_of(t) if x[0] in pii.BASE_KINDS] == plain_spans(t)
 
 
+def test_context_words_are_whole_and_on_both_sides():
+    kinds = lambda t: [(x[0], round(x[3], 2)) for x in pii.spans_of(t)]
+    assert kinds("we discarded 378282246310005 boxes") == [] and kinds("recipe 1.2.3.4") == [("ip", 0.6)]
+    assert kinds("my card: 378282246310005") == kinds("378282246310005 is the card") == [("short_card", 0.75)]
+    assert kinds("cards 378282246310005") == [("short_card", 0.75)] and kinds("ip 1.2.3.4") == [("ip", 0.95)]
+    assert kinds("378282246310005" + "." * 60 + "card") == []
+
+
 def test_pii_query(spark):
     rows = [(i, t, 1, 2.0) for i, t in enumerate(PII_TEXTS)] + [(None, PII_TEXTS[0], 1, 2.0), (0, PII_TEXTS[0], 1, 2.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans int, score double")
