@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.llm import textpack as tp
-from demandlens.llm.stage import components, partitions, staged, unused
+from demandlens.llm.stage import by_part, components, partitions, small_batches, staged, unused
 
 U64 = np.uint64
 NO_ID = -(1 << 63)
@@ -225,9 +225,12 @@ def _buckets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     [pa.array(used.astype(np.int32)), pack(sig), pack(s.key[0][row])], ["part", "sig", "k1"])
 
     def meet(batches):
-        got = [(np.frombuffer(r[1].as_py(), U64), np.frombuffer(r[2].as_py(), np.int64)) for b in batches for r in zip(*b.columns)]
-        if not got:
-            return
+        for rows in by_part(batches):
+            yield from met([(np.frombuffer(sig, U64), np.frombuffer(k1, np.int64)) for sig, k1 in rows])
+            del rows
+            tp.released()
+
+    def met(got):
         sig, k1 = (np.concatenate(x) for x in zip(*got))
         order = np.argsort(sig, kind="stable")
         sig, k1 = sig[order], k1[order]
@@ -246,7 +249,7 @@ def _buckets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(sig[x].view(np.int64)), pa.array(k1[x])], ["bucket", "k1"])
 
     packed = docs.select("text").mapInArrow(emit, "part int, sig binary, k1 binary")
-    return packed.repartition(count, "part").mapInArrow(meet, "bucket bigint, k1 bigint")
+    return packed.repartition(count, "part").sortWithinPartitions("part").mapInArrow(meet, "bucket bigint, k1 bigint")
 
 
 def _allowed(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
@@ -368,6 +371,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
                        text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): documents link when 100 * intersection >=
     percent * union of their shingle sets; component_id is the smallest id reachable."""
+    small_batches(docs.sparkSession)
     lowest = docs.agg(F.min(F.col(id_col).cast("long"))).first()[0]
     room = max(1, min(1 << 62, (0 if lowest is None else lowest) - NO_ID))  # null ids get a node below all others by their text
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text_col), F.lit(room))).alias("doc_id"),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandlens.session import checkpoint_dir
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """df written once as Parquet under the shared checkpoint folder and read again: cuts the
@@ -23,6 +25,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, unless the session has a setting of its own: a batch of whole texts is held
+    several times, on both sides of a Python worker."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def by_part(batches) -> Iterator[list[tuple]]:
+    """The rows (without the first column, by which they are sorted) of one part at a time."""
+    rows: list[tuple] = []
+    now = None
+    for b in batches:
+        part = b.column(0).to_pylist()
+        for r in range(b.num_rows):
+            if part[r] != now and rows:
+                yield rows
+                rows = []
+            now = part[r]
+            rows.append(tuple(c[r].as_py() for c in b.columns[1:]))
+    if rows:
+        yield rows
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores put before it as it takes to be no column of df (whatever the case)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -7,26 +7,29 @@ range is hashed in constant time from prefix sums of a polynomial modulo 2**64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _X = 0x9E3779B97F4A7C15 | 1
 _XINV = pow(_X, -1, 1 << 64)
 _tables: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _tables or len(_tables["p"]) < n:
+    tables = _tables
+    if "p" not in tables or len(tables["p"]) < n:
         size = max(n, CHUNK_BYTES + 1)
+        tables = _tables if size == CHUNK_BYTES + 1 else {}  # those for a longer text go with it
         for key, base in (("p", _X), ("i", _XINV)):
             a = np.full(size, base, U64)
             a[0] = 1
-            _tables[key] = np.cumprod(a, dtype=U64)
-    return _tables["p"][:n], _tables["i"][:n]
+            tables[key] = np.cumprod(a, dtype=U64)
+    return tables["p"][:n], tables["i"][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -79,6 +82,15 @@ def chunks(col: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         hi = max(lo + 1, int(np.searchsorted(o, o[lo] + max_bytes, "right")) - 1)
         yield lo, hi, data[o[lo]:o[hi]], o[lo:hi + 1] - o[lo]
         lo = hi
+    released()
+
+
+def released() -> None:
+    """Gives freed memory back to the system: workers stay alive for the stages that follow."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only an allocator that keeps none needs no such call
 
 
 class Words:
