@@ -121,14 +121,20 @@ def _segment_fold(t, ttl_us: int, a_in):
     return hit, entry
 
 
-def _out_entries(t, ttl_us: int):
-    """out[s] = the entry time after folding t[s:] when t[s] is a miss (reverse DP)."""
+def _out_entries(t, ttl_us: int, upto: int):
+    """out[s] = the entry time after folding t[s:] when t[s] is a miss, for s < upto.
+
+    Every restart jumps to the first event beyond its lifetime; all heads follow their chains at once, by
+    doubling: a jump table is composed with itself until every chain has ended."""
     n = len(t)
-    nxt = np.searchsorted(t, t + ttl_us, side="right")
-    out = np.empty(n, dtype=np.int64)
-    for s in range(n - 1, -1, -1):
-        out[s] = t[s] if nxt[s] >= n else out[nxt[s]]
-    return out
+    jump = np.searchsorted(t, t + ttl_us, side="right")
+    # last miss reached from each event by 1, 2, 4, ... misses; n stands for "past the end"
+    last = np.append(np.arange(n), n)
+    jump = np.append(jump, n)
+    while (jump[:upto] < n).any():
+        last = np.where(jump < n, last[jump], last)
+        jump = jump[jump]
+    return t[last[:upto]]
 
 
 def _segments(pdf: pd.DataFrame):
@@ -151,9 +157,9 @@ def _summaries(ttl_us: int):
             t = t_all[a:b]
             head = int(np.searchsorted(t, t[0] + ttl_us, side="right"))
             upto = min(len(t), head + 1)   # the head plus the first event after it
-            out = _out_entries(t, ttl_us)
+            out = _out_entries(t, ttl_us, upto)
             yield pd.DataFrame({"_pid": [pid], "key": [pdf["key"].iloc[a]],
-                                "head_t": [t[:upto].tolist()], "head_out": [out[:upto].tolist()],
+                                "head_t": [t[:upto].tolist()], "head_out": [out.tolist()],
                                 "n": [len(t)], "last_t": [int(t[-1])]})
     return run
 

@@ -22,7 +22,8 @@ def answer_reuse_stream(stream: DataFrame, ttl_seconds: int = ANSWER_TTL_SECONDS
     (tested equal to the batch fold).
 
     Events later than the watermark are dropped by Spark before the state
-    update, which is the streaming definition of "late".
+    update, which is the streaming definition of "late".  A key's entry is removed by an event-time timer
+    once the watermark has passed its lifetime: no later event can hit it, so state holds live entries only.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
     from pyspark.sql.types import (BooleanType, LongType, StringType, StructField, StructType,
@@ -35,8 +36,14 @@ def answer_reuse_stream(stream: DataFrame, ttl_seconds: int = ANSWER_TTL_SECONDS
 
     class Reuse(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.entry = handle.getValueState("entry", StructType([StructField("t", LongType())]))
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.entry.exists() and (self.entry.get()[0] + ttl_us) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+                self.entry.clear()
+            yield from ()
+
         def handleInputRows(self, key, rows, timerValues):
             pdf = pd.concat(list(rows), ignore_index=True)
             pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
@@ -51,6 +58,9 @@ def answer_reuse_stream(stream: DataFrame, ttl_seconds: int = ANSWER_TTL_SECONDS
                 hits[k:], entry[k:] = h, e
                 anchor = int(e[-1])
             self.entry.update((anchor,))
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer((anchor + ttl_us) // 1000 + 1)
             out = pdf[["key", "event_id", "ts"]].copy()
             out["hit"] = hits
             out["entry_ts"] = pd.to_datetime(pd.Series(entry, index=out.index) * 1000)
