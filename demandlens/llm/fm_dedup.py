@@ -104,8 +104,8 @@ def earlier_windows(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, len
 
 
 def remove_repeated_words(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
-                          batch_symbols: int = regions.BATCH_SYMBOLS) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept) for every row; kept: remaining words joined by a space."""
+                          batch_symbols: int = regions.BATCH_SYMBOLS, keep: bool = True) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept) for every row; kept (left out without ``keep``): remaining words joined by a space."""
     if length < GRAM + 1:
         raise ValueError(f"length must be at least {GRAM + 1}")
     docs = regions.identified(docs, id_col, text_col)
@@ -120,14 +120,15 @@ def remove_repeated_words(docs: DataFrame, length: int = LENGTH, id_col: str = "
         flat = np.full(int(width.sum()), 32, np.uint8)
         flat[regions.tp.segment_ranges(place, size)] = buf[regions.tp.segment_ranges(start, size)]
         bounds = np.append(place, len(flat))[np.searchsorted(row, np.arange(len(s.bounds)))]
-        texts = [flat[a:max(a, b - 1)].tobytes() for a, b in zip(bounds, bounds[1:])]
+        cut = [slice(a, max(a, b - 1)) for a, b in zip(bounds, bounds[1:])]
         n = np.diff(s.bounds)
         sums = np.concatenate([[0], np.cumsum(gone)])
         return [pa.array(n, pa.int64()), pa.array(sums[s.bounds[1:]] - sums[s.bounds[:-1]], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in texts]), pa.array([x.decode() for x in texts])]
+                pa.array([hashlib.sha256(flat[x]).hexdigest() for x in cut], pa.string()),
+                *([pa.array([flat[x].tobytes().decode() for x in cut], pa.string())] if keep else [])]
 
     return regions.judged(docs, length, GRAM, True, earlier_windows, finish,
-                          "n_words bigint, n_removed bigint, kept_sha256 string, kept string", batch_symbols)
+                          "n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep, batch_symbols)
 
 
 def oracle(table: str = "documents", length: int = LENGTH) -> str:

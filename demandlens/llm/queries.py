@@ -46,7 +46,7 @@ def op2_decontamination(spark, sf_dir):
 @query()
 def op3_suffix_dedup(spark, sf_dir):
     """Bytes of every document that repeat a 100-byte string, removed."""
-    return suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents"), keep=False)
 
 
 SPOKEN = "'</s>[INST] ok [/INST]'"
@@ -77,7 +77,7 @@ def op6_embedding_dedup(spark, sf_dir):
 @query(fm_dedup.oracle())
 def op7_substring_dedup(spark, sf_dir):
     """Words of every document that repeat a window of 20 words, removed."""
-    return fm_dedup.remove_repeated_words(read(spark, sf_dir, "documents")).drop("kept")
+    return fm_dedup.remove_repeated_words(read(spark, sf_dir, "documents"), keep=False)
 
 
 @query(lm_score.oracle())

@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from demandlens.llm import textpack as tp
 from demandlens.llm.lm_score import pack, unpack
-from demandlens.llm.stage import partitions, staged
+from demandlens.llm.stage import by_part, partitions, small_batches, staged
 
 U64 = np.uint64
 NO_ID = -(1 << 63)
@@ -41,7 +41,7 @@ MAX_BROADCAST_IDS = 1_000_000
 PIECE = 1 << 22
 LOW = U64((1 << 24) - 1)
 BATCH_SYMBOLS = 1 << 20
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 class Symbols:
@@ -93,6 +93,7 @@ def regions(s: Symbols, length: int, k: int) -> tuple[np.ndarray, ...]:
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, tie, text): tie is 0, or the text's hash where several rows have the id."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     again = staged(docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc").alias("again")), "again")
@@ -134,12 +135,14 @@ def shared_regions(docs: DataFrame, length: int, k: int, words: bool, batch: int
                 doc, tie, off, size, anchor, content, same = (x[~gone] for x in (doc, tie, off, size, anchor, content, same))
                 later = same
                 part = ((anchor >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
-                part[later] = lo % parts  # any part passes these on
+                # any part passes these on: each chunk has one of its own choice
+                own = int(tp.mix(doc_ids[lo:lo + 1].astype(np.int64).view(U64) + U64(hi))[0] % U64(parts))
+                part[later] = own
                 out = []
                 for is_later, pick in ((False, ~later), (True, later)):
                     at = np.flatnonzero(pick)
                     cut = np.searchsorted(part[at], np.arange(parts + 1)) if not is_later else None
-                    for p in (np.flatnonzero(np.diff(cut)) if not is_later else [lo % parts] if len(at) else []):
+                    for p in (np.flatnonzero(np.diff(cut)) if not is_later else [own] if len(at) else []):
                         x = at[cut[p]:cut[p + 1]] if not is_later else at
                         cols = [(np.diff(anchor[x], prepend=U64(0)) if not is_later else np.zeros(len(x), U64)), content[x] >> U64(16),
                                 doc[x].view(U64), tie[x].view(U64), off[x].astype(U64), size[x].astype(U64)]
@@ -150,8 +153,13 @@ def shared_regions(docs: DataFrame, length: int, k: int, words: bool, batch: int
                      pa.array([[d for _, d in c] for _, _, c in out], pa.list_(pa.binary()))], ["part", "later", "widths", "cols"])
 
     def meet(batches):
-        got = [(x, [unpack(w, d) for w, d in zip(ws, ds)])
-               for b in batches for x, ws, ds in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())]
+        for cells_of in by_part(batches):
+            got = [(x, [unpack(w, d) for w, d in zip(ws, ds)]) for x, ws, ds in cells_of]
+            yield from met(got)
+            del got, cells_of
+            tp.released()
+
+    def met(got):
         for is_later in (True, False):
             cells = [c for x, c in got if x == is_later]
             if not cells:
@@ -185,7 +193,7 @@ def shared_regions(docs: DataFrame, length: int, k: int, words: bool, batch: int
                     ["doc", "tie", "off", "len", "anchor", "open", "split"])
 
     packed = docs.mapInArrow(emit, "part int, later boolean, widths array<int>, cols array<binary>")
-    return packed.repartition(partitions(docs.sparkSession), "part").mapInArrow(
+    return packed.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(
         meet, "doc bigint, tie bigint, off bigint, len bigint, anchor bigint, open boolean, split boolean")
 
 
@@ -222,9 +230,12 @@ def solved(docs: DataFrame, found: DataFrame, length: int, words: bool, solve: S
                                                   pa.array([c for _, c in rows], pa.list_(pa.binary()))], ["part", "cols"])
 
     def judge(batches):
-        got = [c for b in batches for c in b.column(1).to_pylist()]
-        if not got:
-            return
+        for rows in by_part(batches):
+            yield from judged_part([c for c, in rows])
+            del rows
+            tp.released()
+
+    def judged_part(got):
         anchor, doc, tie, off, size = (np.concatenate([np.frombuffer(c[j], np.int64) for c in got]) for j in range(5))
         values = np.concatenate([np.frombuffer(c[5], U64 if words else np.uint8) for c in got])
         split = np.concatenate([np.frombuffer(c[6], bool) for c in got])
@@ -274,7 +285,7 @@ def solved(docs: DataFrame, found: DataFrame, length: int, words: bool, solve: S
 
     cut = (docs.join(asked, ["doc", "tie"]).select("doc", "tie", "text", "wanted")
            .mapInArrow(cut_out, "part int, cols array<binary>"))
-    return cut.repartition(partitions(spark), "part").mapInArrow(judge, "doc bigint, tie bigint, off bigint, len bigint, key bigint")
+    return cut.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(judge, "doc bigint, tie bigint, off bigint, len bigint, key bigint")
 
 
 def removed_spans(docs: DataFrame, length: int, k: int, words: bool, solve: Solve, batch: int = BATCH_SYMBOLS) -> DataFrame:

@@ -105,8 +105,8 @@ def earlier_windows(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, len
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
-                          batch_symbols: int = regions.BATCH_SYMBOLS) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row; kept: remaining bytes."""
+                          batch_symbols: int = regions.BATCH_SYMBOLS, keep: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row; kept (left out without ``keep``): remaining bytes."""
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     docs = regions.identified(docs, id_col, text_col)
@@ -121,10 +121,10 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "
         spans = np.concatenate([[0], np.cumsum(first)])
         kept = buf[~gone]
         cut = s.bounds - sums[s.bounds]
-        texts = [kept[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+        texts = [kept[a:b].tobytes() for a, b in zip(cut, cut[1:])] if keep else []
         count = lambda c: pa.array(c[s.bounds[1:]] - c[s.bounds[:-1]], pa.int64())
-        return [pa.array(n, pa.int64()), count(sums), count(spans), pa.array([hashlib.sha256(x).hexdigest() for x in texts]),
-                pa.array(texts, pa.binary())]
+        return [pa.array(n, pa.int64()), count(sums), count(spans), pa.array([hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(cut, cut[1:])], pa.string()),
+                *([pa.array(texts, pa.binary())] if keep else [])]
 
     return regions.judged(docs, length, GRAM, False, earlier_windows, finish,
-                          "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary", batch_symbols)
+                          "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep, batch_symbols)
