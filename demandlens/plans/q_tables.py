@@ -159,8 +159,10 @@ def distinct_estimates(spark, sf):
     for level, keys in (("item", ["item"]), ("year", ["year"]), ("all", [])):
         key = F.concat_ws("", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
         est = sk.estimates(cube, keys).select(F.lit(level).alias("level"), key.alias("key"), "estimate", F.col("rows").alias("n_rows"))
-        exact = triples.groupBy(*keys).agg(F.count_distinct("customer").alias("n_exact")).select(key.alias("key"), "n_exact")
-        both = est.join(exact, "key").select("level", "key", "n_rows", "n_exact", (
+        exact = triples.groupBy(*keys).agg(F.count_distinct("customer").alias("n_exact"))
+        both = (est.join(exact.select(key.alias("key"), "n_exact"), "key") if keys
+                else est.withColumn("n_exact", exact.scalar()))
+        both = both.select("level", "key", "n_rows", "n_exact", (
             F.abs(F.col("estimate") - F.col("n_exact")) <= F.ceil(4 * sk.relative_error() * F.col("n_exact"))).alias("within_bound"))
         out = both if out is None else out.unionByName(both)
     return out
