@@ -52,6 +52,7 @@ def item_cards(items: DataFrame, focal: str, n_companies: Column, n_providers: C
     name = _traj_name(trajectory_names)
     taught = F.when(F.col("is_covered") == 1, F.lit(f"currently taught at {focal.upper()}")) \
         .otherwise(F.lit(f"NOT taught at {focal.upper()} — curriculum gap"))
+    # fixed values: the sentences of an item card, in their order
     base = F.concat(
         F.lit("Skill: "), F.col("item"), F.lit(". Trajectory: "), name, F.lit(". Status: "), taught,
         F.lit(". Demanded by "), F.col("company_spread").cast("string"), F.lit(" of "),
@@ -97,6 +98,7 @@ def trajectory_cards(items: DataFrame, focal: str,
                                  .alias("_top")))
     desc = F.create_map(*[F.lit(x) for kv in TRAJECTORY_DESCRIPTIONS.items() for x in kv])
     j = stats.join(top, "_name", "left")
+    # fixed values: the sentences of a trajectory card
     text = F.concat(
         F.lit("Trajectory group: "), F.col("_name"), F.lit(". "),
         F.coalesce(F.element_at(desc, F.col("_name")), F.lit("")), F.lit(" "),
@@ -119,6 +121,7 @@ def watch_card(items: DataFrame, focal: str, trajectory_names: dict[str, str] |
                 F.array_join(F.transform(F.array_sort(F.collect_list(
                     F.struct((-F.col("watch_urgency")).alias("u"), F.col("item").alias("i"),
                              entry.alias("e")))), lambda x: x["e"]), " | ").alias("_e"))
+    # fixed values: the sentences of the watch-list card
     text = F.concat(
         F.lit(f"Early Warning Watch List for {focal.upper()} — "), F.col("_n").cast("string"),
         F.lit(" emerging skills not yet mainstream but rising fast. Faculty should plan additions now. "
@@ -133,6 +136,7 @@ def coverage_cards(coverage: DataFrame) -> DataFrame:
     g = coverage.groupBy("provider", "course").agg(
         F.array_sort(F.collect_list(F.struct("item", "semester"))).alias("_l"),
         F.count(F.lit(1)).alias("_n"))
+    # fixed values: the sentences of a coverage card
     text = F.concat(
         F.lit("Institute: "), F.upper("provider"), F.lit(". Course: "), F.col("course"),
         F.lit(" (Semester "), F.col("_l")[0]["semester"].cast("string"), F.lit("). Skills taught: "),
@@ -162,6 +166,7 @@ def gap_summary_card(items: DataFrame, focal: str, n_companies: Column, year_lo:
                  F.sum("debt_score").alias("_debt"))
     n_all = items.select(F.count(F.lit(1))).scalar()
     tp, td, tr = top("priority_score").scalar(), top("debt_score").scalar(), trans.scalar()
+    # fixed values: the sentences of the gap summary
     text = F.concat(
         F.lit(f"{focal.upper()} curriculum gap summary. "), F.col("_g").cast("string"), F.lit(" of "),
         n_all.cast("string"), F.lit(f" industry skills are not taught at {focal.upper()}. Data from "),

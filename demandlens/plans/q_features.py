@@ -11,7 +11,7 @@ from demandlens.plans.common import FEATURE_COLS, FOCAL, coverage, demand, featu
 from demandlens.plans.common import cube as cube_of
 from demandlens.plans.common import sql_typed, typed
 from demandlens.plans.q_text import NORMALISED, coverage_normalised
-from demandlens.plans.registry import register
+from demandlens.plans.registry import ORACLE, register
 from demandlens.session import materialize
 from demandlens.sources import tables
 
@@ -82,6 +82,12 @@ def coverage_summary(spark, sf):
     return cov.coverage_summary(tables.demand_items(spark, sf), coverage(spark, sf))
 
 
+@register("coverage_summary_all_semesters", ORACLE["coverage_summary"].replace("FROM part WHERE p_size <= 12", "FROM part"))
+def coverage_summary_all_semesters(spark, sf):
+    """D1-D4 over the whole catalogue, without the bound on the semester."""
+    return cov.coverage_summary(tables.demand_items(spark, sf), tables.coverage_catalogue(spark, sf, max_semester=None))
+
+
 @register("provider_item_counts", S.with_(S.COVERAGE[1:]) + """
 SELECT provider, count(DISTINCT item) AS n_items FROM coverage GROUP BY provider""")
 def provider_item_counts(spark, sf):
