@@ -12,12 +12,21 @@ is scored by the others, and the model does back off:
 with c and N counted over the other documents.  Words are lower-cased runs of letters, digits
 and non-ASCII characters.
 
-To keep the shuffle small, n-grams travel packed: documents are dealt into chunks of about
-``chunk_bytes`` by a hash of id and text; a chunk sends each part of the table the sorted
-hashes of its distinct n-grams with their counts, as one row with byte-packed differences (of
-the counts only those above 1); the part adds the counts up and answers each row with what the other
-chunks have, in the same order; the chunk's texts (dealt out once, compressed) meet the answers
-in a cogroup by chunk.  A frequent n-gram is one entry for each chunk.  An n-gram is known by two
+To keep the shuffle small, n-grams travel packed:
+
+1. Documents are dealt into chunks of about ``chunk_bytes`` by the smallest hash of their three-word runs, so
+   near copies mostly share a chunk and their n-grams travel once.  A chunk over 1.5 times that size is dealt
+   over several (packages of rows by their place in the input, so repeated rows spread too; the input's rows
+   must come in the same order when a lost task is repeated, as they do from a written table).
+2. A chunk sends each part of the pair table the sorted fingerprints of its distinct word pairs and is told which of
+   them another chunk has (one bit).  An n-gram can only be elsewhere if all its pairs are, so the rest has its counts
+   at home.  A fingerprint has 6 bits more than the number of words takes; a false "elsewhere" costs bytes, never a count.
+3. Of single words and of n-grams that may be elsewhere it sends each part of the count table the sorted hashes with their
+   counts, as one row with byte-packed differences (of the counts only those above 1); the part adds the counts up and
+   answers each row with what the other chunks have, in the same order.
+4. The chunk's texts (dealt out once, compressed) meet the answers in a cogroup by chunk.
+
+A frequent n-gram is one entry for each chunk.  An n-gram is known by two
 hashes over its words, 64 and 32 bits at every size: of n distinct n-grams n ** 2 / 2 ** 97 pairs share
 a count (5e9 of them: 1.6e-10).  Words enter by their 64-bit hash, so two words of one hash would be one word
 (among 1e8 words with a chance of 3e-4).  Should an n-gram get more counts than its history all the
@@ -36,11 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.llm import textpack as tp
-from demandlens.llm.stage import partitions
+from demandlens.llm.stage import partitions, staged
 
 U64 = np.uint64
 BITS = (64, 32)
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
+PART_BYTES = 32 << 20  # of text for each part of the tables, where the session has fewer partitions
+ROW_BYTES = 16  # what a row without text counts
+PIECES = 1 << 24
 SECOND = U64(0x9E3779B97F4A7C15)
 
 
@@ -109,17 +121,54 @@ class Grams:
             at = tp.segment_ranges(w.bounds[:-1], np.maximum(self.words - n + 1, 0))
             self.at.append(at + n - 1)
             self.high.append(tp.range_hash(first, at, at + n) & keep)
-            self.low.append((tp.range_hash(second, at, at + n) >> U64(32) >> U64(32 - bits[1])).astype(np.uint32))
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Both hashes of the distinct n-grams of all orders, sorted, their counts, and for each
+            self.low.append((tp.range_hash(second, at, at + n) >> U64(32) >> U64(32 - bits[1])).astype(np.uint32) if bits[1]
+                            else np.zeros(len(at), np.uint32))
+
+    def pairs(self, shift: int) -> np.ndarray:
+        """Sorted distinct fingerprints of the word pairs: first hashes without their last ``shift`` bits."""
+        return np.unique(self.high[1] >> U64(shift)) if len(self.high) > 1 else np.zeros(0, U64)
+
+    def elsewhere(self, pairs: np.ndarray, marks: np.ndarray, shift: int) -> list[np.ndarray]:
+        """For each order which n-grams may be in another chunk: single words, marked pairs, and longer ones of marked pairs."""
+        out = [np.ones(len(self.at[0]), bool)]
+        for n in range(1, len(self.at)):
+            if n == 1:
+                out.append(marks[np.searchsorted(pairs, self.high[1] >> U64(shift))] if len(pairs) else np.zeros(0, bool))
+                continue
+            ends = np.zeros(len(self.row), bool)
+            ends[self.at[n - 1]] = out[-1]
+            out.append(ends[self.at[n]] & ends[self.at[n] - 1])
+        return out
+
+    def distinct(self, keep: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Both hashes of the distinct n-grams of all orders (of those to keep), sorted, their counts, and for each
         order which of them its n-grams are."""
-        high, low = np.concatenate(self.high), np.concatenate(self.low)
+        highs, lows = self.high, self.low
+        if keep is not None:
+            highs, lows = ([x[k] for x, k in zip(y, keep)] for y in (highs, lows))
+        high, low = np.concatenate(highs), np.concatenate(lows)
         by, first = in_order(high, low)
         counts = np.diff(np.append(first, len(by)))
         which = np.empty(len(by), np.int64)
         which[by] = np.repeat(np.arange(len(first)), counts)
-        return high[by][first], low[by][first], counts, np.split(which, np.cumsum([len(x) for x in self.high])[:-1])
+        return high[by][first], low[by][first], counts, np.split(which, np.cumsum([len(x) for x in highs])[:-1])
+
+
+def homes(w: tp.Words, chunks: int) -> np.ndarray:
+    """Chunk of every text: the smallest hash of its runs of three words (shorter texts: of all their words)."""
+    h, n = w.hash, np.diff(w.bounds)
+    out = np.zeros(len(n), U64)
+    runs = h.copy()
+    if len(h) > 2:
+        three = w.row[:-2] == w.row[2:]
+        runs[:-2] = np.where(three, tp.mix(h[:-2] + (h[1:-1] << U64(1)) + h[2:] * SECOND), h[:-2])
+        long = n > 2
+        last = np.concatenate([w.bounds[1:][long] - 2, w.bounds[1:][long] - 1])
+        runs[last] = U64((1 << 64) - 1)
+    some = n > 0
+    if some.any():
+        out[some] = np.minimum.reduceat(runs, w.bounds[:-1][some])
+    return ((tp.mix(out) >> U64(32)) * U64(chunks) >> U64(32)).astype(np.int64)
 
 
 def part_bounds(distinct: np.ndarray, number: int) -> np.ndarray:
@@ -165,22 +214,40 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    size = rows.agg(F.sum(F.octet_length("text") + ROW_BYTES)).first()[0] or 0
+    chunks = max(1, -(-size // chunk_bytes))
+    number = max(2 * partitions(docs.sparkSession), size // PART_BYTES)
+
+    def placed(col):
+        """Chunk, words and bytes of every text, a slice of the column at a time."""
+        for _, _, buf, offs in tp.chunks(col):
+            w = tp.Words(buf, offs, tp.letter_table())
+            yield homes(w, chunks), np.diff(w.bounds), np.diff(offs) + ROW_BYTES
+
     def measure(batches):
         for b in batches:
-            n = sum(int(len(tp.Words(buf, offs, tp.letter_table()).start)) for _, _, buf, offs in tp.chunks(b.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([int(b.column(0).nbytes)])], ["n", "size"])
+            for chunk, n, nbytes in placed(b.column(0)):
+                at, inverse = np.unique(chunk, return_inverse=True)
+                sums = [np.bincount(inverse, x).astype(np.int64) for x in (n, nbytes)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, *sums)], ["home", "n", "size"])
 
-    whole = rows.select("text").mapInArrow(measure, "n bigint, size bigint").agg(F.sum("n"), F.sum("size")).first()
-    n_total, size = whole[0] or 0, whole[1] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    number = 2 * partitions(docs.sparkSession)
-    keyed = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    sizes = staged(rows.select("text").mapInArrow(measure, "home bigint, n bigint, size bigint")
+                   .groupBy("home").agg(F.sum("n").alias("n"), F.sum("size").alias("size")), "lm")
+    n_total = sizes.agg(F.sum("n")).first()[0] or 0
+    shift = max(0, 64 - 6 - n_total.bit_length())
+    large = sizes.filter(F.col("size") > int(1.5 * chunk_bytes)).select("home", F.ceil(F.col("size") / chunk_bytes).alias("pieces"))
 
     def deal(batches):
         for b in batches:
-            chunk = b.column(2).to_numpy()
+            if not b.num_rows:
+                continue
+            chunk, _, nbytes = (np.concatenate(x) for x in zip(*placed(b.column(1))))
             by = np.argsort(chunk, kind="stable")
-            cut = np.flatnonzero(np.append(True, chunk[by][1:] != chunk[by][:-1])) if len(by) else []
+            before = np.cumsum(nbytes[by]) - nbytes[by]
+            first = np.flatnonzero(np.append(True, chunk[by][1:] != chunk[by][:-1]))
+            inside = before - np.repeat(before[first], np.diff(np.append(first, len(by))))
+            package = inside // max(1, chunk_bytes // 8)  # a large chunk is dealt out in packages
+            cut = np.flatnonzero(np.append(True, (chunk[by][1:] != chunk[by][:-1]) | (package[1:] != package[:-1])))
             out = []
             for lo, hi in zip(cut, np.append(cut[1:], len(by))):
                 sink = pa.BufferOutputStream()
@@ -189,7 +256,7 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str =
                     writer.write_batch(own)
                 out.append((int(chunk[by[lo]]), sink.getvalue().to_pybytes()))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())],
-                                             ["chunk", "rows"])
+                                             ["home", "rows"])
 
     def texts(table: pa.Table) -> pa.Table:
         return pa.concat_tables(pa.ipc.open_stream(d.as_py()).read_all() for d in table["rows"]).combine_chunks()
@@ -198,47 +265,92 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str =
         col = table["text"].cast(pa.large_string()).combine_chunks()
         return col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
 
-    def send(table: pa.Table) -> pa.Table:
-        h, low, c, _ = Grams(column(texts(table)), order, bits).distinct()
-        cut, out = part_bounds(h, number), []
+    def grams(table: pa.Table, orders: int = order, widths: tuple[int, int] = bits) -> Grams:
+        return Grams(column(texts(table)), orders, widths)
+
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary())
+    names = ["part", "chunk", "widths", "cells", "marks"]
+    form = "part bigint, chunk bigint, widths array<int>, cells array<binary>, marks binary"
+
+    def packed_rows(out: list[tuple]) -> pa.Table:
+        cols = [[p, c, [w for w, _ in cells], [d for _, d in cells], m] for p, c, cells, m in out]
+        cols = list(zip(*cols)) if out else [[]] * 5
+        return pa.table([pa.array(x, k) for x, k in zip(cols, kinds)], names)
+
+    def cells_of(table: pa.Table) -> list[list[tuple[int, bytes]]]:
+        return [list(zip(w, d)) for w, d in zip(table["widths"].to_pylist(), table["cells"].to_pylist())]
+
+    def ask(table: pa.Table) -> pa.Table:
+        """A chunk's distinct pair fingerprints for each part."""
+        pairs = grams(table, min(order, 2), (bits[0], 0)).pairs(shift)
+        cut, chunk = part_bounds(pairs << U64(shift), number), table["chunk"][0].as_py()
+        return packed_rows([(int(p), chunk, pack_patched(np.diff(pairs[cut[p]:cut[p + 1]], prepend=U64(0))), None)
+                            for p in np.flatnonzero(np.diff(cut))])
+
+    def mark(table: pa.Table) -> pa.Table:
+        """Which fingerprints several chunks have."""
+        part, chunk = table["part"][0].as_py(), table["chunk"].to_pylist()
+        f = [np.cumsum(unpack_patched(x), dtype=U64) for x in cells_of(table)]
+        every = np.sort(np.concatenate(f))
+        several = np.append(every[1:][every[1:] == every[:-1]], U64((1 << 64) - 1))  # the last: an end, in no search's way
+        out = [(part, c, [], np.packbits(several[np.searchsorted(several[:-1], x)] == x).tobytes()) for c, x in zip(chunk, f)]
+        return packed_rows(out)
+
+    def send(table: pa.Table, marked: pa.Table) -> pa.Table:
+        """Words and the n-grams that may be elsewhere, for each part; the first row carries the pairs' marks."""
+        g = grams(table)
+        pairs = g.pairs(shift)
+        cut, marks = part_bounds(pairs << U64(shift), number), np.zeros(len(pairs), bool)
+        for p, m in zip(marked["part"].to_pylist(), marked["marks"].to_pylist()):
+            marks[cut[p]:cut[p + 1]] = np.unpackbits(np.frombuffer(m, np.uint8), count=cut[p + 1] - cut[p])
+        h, low, c, _ = g.distinct(g.elsewhere(pairs, marks, shift))
+        del g
+        cut, chunk, out = part_bounds(h, number), table["chunk"][0].as_py(), []
         for p in np.flatnonzero(np.diff(cut)):
             x = h[cut[p]:cut[p + 1]]
             cells = [*pack_patched(np.diff(x, prepend=U64(0))), *pack_sparse(c[cut[p]:cut[p + 1]] - 1), pack(low[cut[p]:cut[p + 1]], -(-bits[1] // 8) or 1)]
-            out.append((int(p), table["chunk"][0].as_py(), [w for w, _ in cells], [d for _, d in cells]))
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()))
-        cols = list(zip(*out)) if out else [[]] * 4
-        return pa.table([pa.array(x, k) for x, k in zip(cols, kinds)], ["part", "chunk", "widths", "cells"])
+            out.append((int(p), chunk, cells, None if out else np.packbits(marks).tobytes()))
+        return packed_rows(out)
 
     def add_up(table: pa.Table) -> pa.Table:
-        part, chunk = table["part"][0].as_py(), table["chunk"].to_pylist()
-        cells = [list(zip(w, d)) for w, d in zip(table["widths"].to_pylist(), table["cells"].to_pylist())]
+        part, chunk, marks = table["part"][0].as_py(), table["chunk"].to_pylist(), table["marks"].to_pylist()
+        cells = cells_of(table)
         h = [np.cumsum(unpack_patched(x[:3]), dtype=U64) for x in cells]
         c = [1 + unpack_sparse(x[3:5], len(y)) for x, y in zip(cells, h)]
         low = np.concatenate([unpack(*x[5]).astype(np.uint32) for x in cells])
+        del cells
         every, counts = np.concatenate(h), np.concatenate(c)
         by, first = in_order(every, low, "stable")
         total = np.add.reduceat(counts[by], first)
         answer = np.empty(len(every), np.int64)
         answer[by] = np.repeat(total, np.diff(np.append(first, len(every))))
+        answer -= counts  # what the other chunks have
         cuts = np.cumsum([0, *map(len, h)])
-        packed = [pack((answer - counts)[a:b]) for a, b in zip(cuts, cuts[1:])]  # what the other chunks have
-        return pa.table([pa.array(chunk, pa.int64()), pa.array([part] * len(chunk), pa.int64()),
-                         pa.array([w for w, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())],
-                        ["chunk", "part", "width", "totals"])
+        return packed_rows([(part, k, pack_patched(answer[a:b].astype(U64)), m) for k, a, b, m in zip(chunk, cuts, cuts[1:], marks)])
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         own = texts(table)
         g = Grams(column(own), order, bits)
-        _, _, counts, which = g.distinct()
+        _, _, total, which = g.distinct()
         a = answers.sort_by("part")
-        others = [unpack(w, x) for w, x in zip(a["width"].to_pylist(), a["totals"].to_pylist())]
-        total = counts + np.concatenate(others).astype(np.int64) if others else counts
+        others = [unpack_patched(x).astype(np.int64) for x in cells_of(a)]
+        if others:
+            pairs = g.pairs(shift)
+            marks = next((m for m in a["marks"].to_pylist() if m is not None), b"")
+            marks = np.unpackbits(np.frombuffer(marks, np.uint8), count=len(pairs)).astype(bool)
+            sent = np.zeros(len(total), bool)
+            for w, k in zip(which, g.elsewhere(pairs, marks, shift)):
+                sent[w[k]] = True
+            total[sent] += np.concatenate(others)
         s = score_chunk(g, which, total, n_total, alpha)
         return pa.table([own["doc_id"], pa.array(g.words.astype(np.int64)), pa.array(s)], ["doc_id", "n_words", "log_score"])
 
-    dealt = keyed.mapInArrow(deal, "chunk bigint, rows binary")
-    sent = dealt.groupBy("chunk").applyInArrow(send, "part bigint, chunk bigint, widths array<int>, cells array<binary>")
-    answers = sent.groupBy("part").applyInArrow(add_up, "chunk bigint, part bigint, width int, totals binary")
+    packages = rows.mapInArrow(deal, "home bigint, rows binary").withColumn("place", F.monotonically_increasing_id())
+    piece = F.pmod(F.xxhash64("place"), F.coalesce("pieces", F.lit(1)))
+    dealt = packages.join(large, "home", "left").select((F.col("home") * PIECES + piece).alias("chunk"), "rows")
+    marked = dealt.groupBy("chunk").applyInArrow(ask, form).groupBy("part").applyInArrow(mark, form)
+    sent = dealt.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(send, form)
+    answers = sent.groupBy("part").applyInArrow(add_up, form)
     scored = (dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
               .applyInArrow(finish, f"doc_id {kind}, n_words bigint, log_score double"))
     return scored.withColumn("mean_log_score", F.coalesce(F.try_divide("log_score", "n_words"), F.lit(0.0)))

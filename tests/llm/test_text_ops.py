@@ -295,6 +295,31 @@ def test_lm_false_count_of_unseen_history():
     assert np.allclose(lm_score.score_chunk(g, which, total, 4, 0.4), [2 * math.log(0.5 / 2) + math.log(0.4)] * 2)
 
 
+def test_lm_repeated_rows_spread(spark):
+    import pandas as pd
+    rows = [(i % 7 if i % 3 else 5, "the same short row again and again" if i % 3 else f"row {i} has words {i * 7 % 11} of its own and again") for i in range(600)]
+    src = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    out = lm_score.lm_scores(src, chunk_bytes=1000)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    key = lambda r: (r[0], r[1], round(r[2], 2))
+    assert sorted(key(r) for r in out.collect()) == sorted(key(r) for r in con.execute(lm_score.oracle()).fetchall())
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow deal") == 1  # the texts are dealt out once, their exchange is used three times
+
+
+def test_lm_homes():
+    """Near copies share a chunk, short texts don't all share one, a text's chunk is its own matter."""
+    words = [" ".join(f"w{(i * 31 + j * j) % 97}" for j in range(60)) for i in range(40)]
+    texts = pa.array([*words, *(w.replace("w5 ", "x ") for w in words), *(f"a{i}" for i in range(40)), "", "..."], pa.large_string())
+    data, offs = lm_score.tp.buffers(texts)
+    at = lm_score.homes(lm_score.tp.Words(data, offs, lm_score.tp.letter_table()), 1000)
+    assert (at[:40] == at[40:80]).mean() > 0.8 and len(set(at[80:120].tolist())) > 30
+    for i in (0, 45, 100, 120):
+        data, offs = lm_score.tp.buffers(texts.slice(i, 1).take(pa.array([0])))
+        assert lm_score.homes(lm_score.tp.Words(data, offs, lm_score.tp.letter_table()), 1000)[0] == at[i]
+
+
 def test_lm_pack_round_trip():
     for a in ([], [0], [255, 256, 0], [1 << 55, 3]):
         x = np.array(a, np.uint64)
