@@ -53,7 +53,9 @@ CHUNK_BYTES = 4 << 20
 PART_BYTES = 32 << 20  # of text for each part of the tables, where the session has fewer partitions
 ROW_BYTES = 16  # what a row without text counts
 PIECES = 1 << 24
+ZSTD_LEVEL = 1
 SECOND = U64(0x9E3779B97F4A7C15)
+FACTORS = U64(0xD1342543DE82EF95), U64(0xAF251AF3B0F025B5)
 
 
 def pack(a: np.ndarray, width: int = 0) -> tuple[int, bytes]:
@@ -97,6 +99,15 @@ def unpack_patched(cells: list[tuple[int, bytes]]) -> np.ndarray:
     return low + (unpack_sparse(cells[1:], len(low)).astype(U64) << U64(8 * cells[0][0]))
 
 
+def squeeze(cells: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """Cells compressed one by one, each with its length before it."""
+    return [(w, len(d).to_bytes(8, "little") + pa.Codec("zstd", ZSTD_LEVEL).compress(d, asbytes=True)) for w, d in cells]
+
+
+def unsqueeze(cells: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    return [(w, pa.Codec("zstd").decompress(d[8:], int.from_bytes(d[:8], "little"), asbytes=True)) for w, d in cells]
+
+
 def in_order(high: np.ndarray, low: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(order by both hashes, where another n-gram begins in it); kind as in np.argsort."""
     by = np.argsort(high, kind=kind)
@@ -114,26 +125,39 @@ class Grams:
         data, offs = tp.buffers(col)
         w = tp.Words(data[offs[0]:offs[-1]], offs - offs[0], tp.letter_table())
         self.words, self.row = np.diff(w.bounds), w.row
-        first, second = tp.sequence_prefix(w.hash), tp.sequence_prefix(tp.mix(w.hash ^ SECOND))
+        place = np.arange(len(w.row)) - w.bounds[:-1][w.row]  # of a word in its text
         keep = U64((1 << 64) - (1 << (64 - bits[0])))
+        # polynomials over the words' hashes: those of an order are one step from those of the order before
+        other = tp.mix(w.hash ^ SECOND) if bits[1] else None
+        first, second = w.hash, other
         self.at, self.high, self.low = [], [], []
         for n in range(1, order + 1):
-            at = tp.segment_ranges(w.bounds[:-1], np.maximum(self.words - n + 1, 0))
-            self.at.append(at + n - 1)
-            self.high.append(tp.range_hash(first, at, at + n) & keep)
-            self.low.append((tp.range_hash(second, at, at + n) >> U64(32) >> U64(32 - bits[1])).astype(np.uint32) if bits[1]
-                            else np.zeros(len(at), np.uint32))
+            if n > 1:
+                first = np.append(U64(0), first[:-1]) * FACTORS[0] + w.hash if len(first) else first
+                second = np.append(U64(0), second[:-1]) * FACTORS[1] + other if bits[1] and len(first) else second
+            at = np.flatnonzero(place >= n - 1)
+            self.at.append(at)
+            self.high.append(tp.mix(first[at] + U64(n)) & keep)
+            self.low.append((second[at] >> U64(32) >> U64(32 - bits[1])).astype(np.uint32) if bits[1] else np.zeros(len(at), np.uint32))
 
     def pairs(self, shift: int) -> np.ndarray:
         """Sorted distinct fingerprints of the word pairs: first hashes without their last ``shift`` bits."""
-        return np.unique(self.high[1] >> U64(shift)) if len(self.high) > 1 else np.zeros(0, U64)
+        if len(self.high) < 2 or not len(self.high[1]):
+            return np.zeros(0, U64)
+        f = np.sort(self.high[1] >> U64(shift))
+        return f[np.append(True, f[1:] != f[:-1])]
 
     def elsewhere(self, pairs: np.ndarray, marks: np.ndarray, shift: int) -> list[np.ndarray]:
-        """For each order which n-grams may be in another chunk: single words, marked pairs, and longer ones of marked pairs."""
+        """For each order which n-grams may be in another chunk: single words, marked pairs, and longer ones of marked pairs.
+        Pairs are looked up by their fingerprints' last bits, in a table 64 times as long as the marked ones."""
         out = [np.ones(len(self.at[0]), bool)]
+        marked = pairs[marks]
+        last = U64((1 << (64 * len(marked)).bit_length()) - 1)
+        table = np.zeros(int(last) + 1, bool)
+        table[marked & last] = True
         for n in range(1, len(self.at)):
             if n == 1:
-                out.append(marks[np.searchsorted(pairs, self.high[1] >> U64(shift))] if len(pairs) else np.zeros(0, bool))
+                out.append(table[(self.high[1] >> U64(shift)) & last])
                 continue
             ends = np.zeros(len(self.row), bool)
             ends[self.at[n - 1]] = out[-1]
@@ -182,7 +206,7 @@ def score_chunk(g: Grams, which: list[np.ndarray], total: np.ndarray, n_total: i
     def others(n: int) -> np.ndarray:  # corpus count less the text's own, per n-gram of this order
         at = which[n]
         key = g.row[g.at[n]] * len(total) + at
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
         own = np.empty(len(key), np.int64)
         own[order] = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key))))
@@ -326,14 +350,14 @@ def lm_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str =
         answer[by] = np.repeat(total, np.diff(np.append(first, len(every))))
         answer -= counts  # what the other chunks have
         cuts = np.cumsum([0, *map(len, h)])
-        return packed_rows([(part, k, pack_patched(answer[a:b].astype(U64)), m) for k, a, b, m in zip(chunk, cuts, cuts[1:], marks)])
+        return packed_rows([(part, k, squeeze(pack_patched(answer[a:b].astype(U64))), m) for k, a, b, m in zip(chunk, cuts, cuts[1:], marks)])
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         own = texts(table)
         g = Grams(column(own), order, bits)
         _, _, total, which = g.distinct()
         a = answers.sort_by("part")
-        others = [unpack_patched(x).astype(np.int64) for x in cells_of(a)]
+        others = [unpack_patched(unsqueeze(x)).astype(np.int64) for x in cells_of(a)]
         if others:
             pairs = g.pairs(shift)
             marks = next((m for m in a["marks"].to_pylist() if m is not None), b"")

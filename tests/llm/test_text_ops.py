@@ -328,6 +328,7 @@ def test_lm_pack_round_trip():
     for a in ([], [0], [(1 << 64) - 1, 0], [1 << 55, 3, 2], rng.exponential(1e9, 500), [*rng.integers(0, 200, 99), 1 << 40]):
         x = np.array(a, np.uint64)
         assert lm_score.unpack_patched(lm_score.pack_patched(x)).tolist() == x.tolist()
+        assert lm_score.unpack_patched(lm_score.unsqueeze(lm_score.squeeze(lm_score.pack_patched(x)))).tolist() == x.tolist()
     for a in ([], [0], [0, 0, 7, 0, 300], [5]):
         assert lm_score.unpack_sparse(lm_score.pack_sparse(np.array(a, np.int64)), len(a)).tolist() == a
 
