@@ -53,6 +53,48 @@ def test_wavelet_tree_counts():
         assert got.tolist() == [int((s[:i] == c).sum()) for i in at]
 
 
+def test_nearest_lower_value():
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 8, 61, 200):
+        v = rng.integers(0, 6, n).astype(np.uint8)
+        v[0] = v[-1] = 0
+        at, bound = np.repeat(np.arange(n), 6), np.tile(np.arange(1, 7), n)
+        lows = fm_dedup.Lows(v)
+        assert lows.nearest(at, bound, 1).tolist() == [min(j for j in range(i, n) if v[j] < b) for i, b in zip(at, bound)]
+        assert lows.nearest(at, bound, -1).tolist() == [max(j for j in range(i + 1) if v[j] < b) for i, b in zip(at, bound)]
+
+
+@pytest.mark.parametrize("symbols, source", [(2, 30), (3, 80), (40, 300)])
+def test_matching_statistics_at_the_threshold(symbols, source):
+    rng = np.random.default_rng(symbols)
+    base = rng.integers(1, symbols + 1, source)
+    stretches = [base[o:o + n].copy() for o, n in zip(rng.integers(0, source // 2, 120), rng.integers(5, 25, 120))]
+    for x in stretches[::2]:
+        x[rng.integers(0, len(x))] = rng.integers(1, symbols + 1)
+    stretches = [x for x in stretches if len(x) >= 5]
+    sizes = np.array([len(x) for x in stretches])
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    text = np.concatenate([np.append(x, 0) for x in stretches])
+    windows = [(int(i), tuple(text[i:i + 5])) for a, n in zip(starts, sizes) for i in range(a, a + n - 4)]
+    n_of = Counter(w for _, w in windows)
+    at, lo = fm_dedup.FMIndex(text, 5).statistics(text, starts, sizes)
+    assert sorted(at.tolist()) == [i for i, w in windows if n_of[w] > 1]
+    of = dict(zip(at.tolist(), lo.tolist()))
+    assert len({(of[i], w) for i, w in windows if i in of}) == len(set(of.values())) == sum(n > 1 for n in n_of.values())
+    first = {}
+    want = [i for i, w in windows if first.setdefault(w, i) != i]
+    assert np.flatnonzero(fm_dedup.earlier_windows(text, starts, sizes, 5)).tolist() == want
+
+
+def test_bits_keep_equal_words_once():
+    rng = np.random.default_rng(5)
+    runs = np.repeat(rng.integers(0, 2, 60).astype(bool), 700)
+    bits = fm_dedup.Bits(runs)
+    at = np.arange(len(runs) + 1)
+    assert bits.ones(at).tolist() == [0, *np.cumsum(runs).tolist()]
+    assert bits.nbytes < len(runs) / 8
+
+
 def test_leftmost_minima():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 5, 300).astype(np.uint64) << np.uint64(40)
