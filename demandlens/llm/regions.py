@@ -5,8 +5,8 @@ leftmost smallest k-gram hash inside it (winnowing).  Equal windows have equal a
 on windows can be dealt out by anchor hash and no match is lost.  Consecutive windows with one
 anchor position form a region, the symbols that they cover; every window is in one region.
 
-``shared_regions`` deals the regions by anchor (packed rows: hashes, positions, lengths, no
-text) and finds which anchors occur twice.  Identical regions are collapsed, first inside a chunk, then
+``shared_regions`` deals the regions by anchor into parts (their number follows the bytes of all texts; packed rows:
+hashes, positions, lengths, no text) and finds which anchors occur twice.  Identical regions are collapsed, first inside a chunk, then
 in a part: the first occurrence of every distinct region goes to the operator that judges windows
 (its ``solve`` sees the symbols, shard by shard), and further copies, whose windows all start earlier
 in the first, are removed as a whole.  ``judged`` brings everything back to the documents.  A larger k means more regions but fewer whose
@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from demandlens.llm import textpack as tp
 from demandlens.llm.lm_score import pack, unpack
-from demandlens.llm.stage import by_part, partitions, small_batches, staged
+from demandlens.llm.stage import by_part, dealt, small_batches, staged, tasks_for
 
 U64 = np.uint64
 NO_ID = -(1 << 63)
@@ -109,11 +109,11 @@ def _earlier_first(*keys: np.ndarray) -> np.ndarray:
     return np.lexsort(keys[::-1])
 
 
-def shared_regions(docs: DataFrame, length: int, k: int, words: bool, batch: int) -> DataFrame:
+def shared_regions(docs: DataFrame, length: int, k: int, words: bool, batch: int, tasks: int) -> DataFrame:
     """(doc, tie, off, len, anchor, open, split): regions whose anchor occurs twice; open False: a
     further copy of a region, removed as a whole; open True: to be judged; split: with a piece of
     its anchor's group only, and anchor then stands for the piece."""
-    parts = 2 * partitions(docs.sparkSession)
+    parts = 2 * tasks
 
     def emit(batches):
         for b in batches:
@@ -193,18 +193,17 @@ def shared_regions(docs: DataFrame, length: int, k: int, words: bool, batch: int
                     ["doc", "tie", "off", "len", "anchor", "open", "split"])
 
     packed = docs.mapInArrow(emit, "part int, later boolean, widths array<int>, cols array<binary>")
-    return packed.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(
+    return dealt(packed, tasks).mapInArrow(
         meet, "doc bigint, tie bigint, off bigint, len bigint, anchor bigint, open boolean, split boolean")
 
 
 Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
-def solved(docs: DataFrame, found: DataFrame, length: int, words: bool, solve: Solve, batch: int) -> DataFrame:
+def solved(docs: DataFrame, found: DataFrame, length: int, words: bool, solve: Solve, batch: int, tasks: int) -> DataFrame:
     """(doc, tie, off, len, key): key null: a span covered by windows that start earlier in a region of
     the same anchor; else a window of a split region that doesn't, with the hash of its content."""
-    spark = docs.sparkSession
-    parts = 4 * partitions(spark)
+    parts = 4 * tasks
     asked = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("off", "len", "anchor", "split")).alias("wanted"))
 
     def cut_out(batches):
@@ -285,7 +284,7 @@ def solved(docs: DataFrame, found: DataFrame, length: int, words: bool, solve: S
 
     cut = (docs.join(asked, ["doc", "tie"]).select("doc", "tie", "text", "wanted")
            .mapInArrow(cut_out, "part int, cols array<binary>"))
-    return cut.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(judge, "doc bigint, tie bigint, off bigint, len bigint, key bigint")
+    return dealt(cut, tasks).mapInArrow(judge, "doc bigint, tie bigint, off bigint, len bigint, key bigint")
 
 
 def removed_spans(docs: DataFrame, length: int, k: int, words: bool, solve: Solve, batch: int = BATCH_SYMBOLS) -> DataFrame:
@@ -295,13 +294,14 @@ def removed_spans(docs: DataFrame, length: int, k: int, words: bool, solve: Solv
     with a 0 behind each, and returns for every symbol whether the window that starts there
     occurs at a smaller position.  It gets about ``batch`` symbols at once."""
     cols = ["doc", "tie", "off", "len"]
-    found = staged(shared_regions(docs, length, k, words, batch), "regions")
-    every = solved(docs, found.filter("open"), length, words, solve, batch)
+    tasks = tasks_for(docs)
+    found = staged(shared_regions(docs, length, k, words, batch, tasks), "regions")
+    every = solved(docs, found.filter("open"), length, words, solve, batch, tasks)
     if not found.filter("split").isEmpty():
         every = staged(every, "pieces")
         again = (every.filter("key is not null").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
                  .select(*cols, F.col("key").alias("anchor"), F.lit(False).alias("split")))
-        every = every.filter("key is null").select(cols).unionAll(solved(docs, again, length, words, solve, batch).select(cols))
+        every = every.filter("key is null").select(cols).unionAll(solved(docs, again, length, words, solve, batch, tasks).select(cols))
     every = every.select(cols).unionAll(found.filter("not open").select(cols))
     return every.groupBy("doc", "tie").agg(F.collect_list(F.struct("off", "len")).alias("spans"))
 
