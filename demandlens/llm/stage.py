@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from demandlens.session import checkpoint_dir
 
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
-TASK_BYTES = 64 << 20
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """df written once as Parquet under the shared checkpoint folder and read again: cuts the
@@ -26,18 +25,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def tasks_for(texts: DataFrame, text_col: str = "text") -> int:
-    """How many tasks a shuffle of packed parts takes: spark.sql.shuffle.partitions, or more, so that a task has
-    at most TASK_BYTES of text on average."""
-    size = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(partitions(texts.sparkSession), -(-size // TASK_BYTES))
-
-
-def dealt(packed: DataFrame, tasks: int) -> DataFrame:
-    """Rows sorted by part, part p in task p mod ``tasks``: every task has as many parts as any other."""
-    return packed.repartitionById(tasks, "part").sortWithinPartitions("part")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_BYTES, unless the session has a setting of its own: a batch of whole texts is held
     several times, on both sides of a Python worker."""
