@@ -18,10 +18,19 @@ CORR_COLS = ["freq", "trend_slope", "recency_weight", "velocity", "volatility",
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every column pair, long form (one aggregation)."""
+    """Pearson correlation of every column pair, long form (one aggregation).
+
+    From covariance and deviations, as ``corr`` divides by zero in ANSI mode: NaN where one of the two columns
+    is constant over the rows that have both, null where no row has both."""
     pairs = list(combinations(cols, 2))
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}")
-                   for a, b in pairs])
+
+    def pearson(a: str, b: str):
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+        return F.when(F.count(x) > 0, F.coalesce(r, F.lit(float("nan"))))
+
+    row = df.agg(*[pearson(a, b).alias(f"{a}|{b}") for a, b in pairs])
     stacked = ", ".join(f"'{a}', '{b}', `{a}|{b}`" for a, b in pairs)
     return row.selectExpr(f"stack({len(pairs)}, {stacked}) AS (col_a, col_b, corr)")
 

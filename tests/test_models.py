@@ -124,3 +124,13 @@ def test_change_points_match_every_partition(spark, penalty, min_size, jump):
     for i, year in got.items():
         first = brute_change(series[i], penalty, min_size, jump)
         assert year == (2000 + first - 1 if first else threshold[i]), i
+
+
+def test_correlations_of_constant_columns(spark):
+    from demandlens.plans.q_profile import correlations
+
+    rows = [(1.0, 0.1, None, 3.0), (2.0, 0.1, None, 1.0), (4.0, 0.1, None, 2.0), (9.0, 0.1, None, None)]
+    df = spark.createDataFrame(rows, "a double, k double, nothing double, b double")
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in correlations(df, ["a", "k", "nothing", "b"]).collect()}
+    assert np.isnan(got["a", "k"]) and np.isnan(got["k", "b"]) and got["a", "nothing"] is None
+    assert got["a", "b"] == pytest.approx(np.corrcoef([1, 2, 4], [3, 1, 2])[0, 1], abs=1e-12)
