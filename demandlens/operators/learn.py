@@ -122,11 +122,11 @@ def fit_gbt(train: DataFrame, features: list[str], label: str = "label", seed: i
 
 
 def positive_probability(model, df: DataFrame, features: list[str], out: str = "prob") -> DataFrame:
-    """Score rows; ``out`` = P(class 1)."""
+    """Score rows; ``out`` = P(class 1), 0 by a model that has seen class 0 only (its vector has one entry)."""
     from pyspark.ml.functions import vector_to_array
 
     scored = model.transform(assemble(df, features))
-    return scored.withColumn(out, vector_to_array("probability")[1]).drop(
+    return scored.withColumn(out, F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))).drop(
         "features", "rawPrediction", "probability", "prediction")
 
 

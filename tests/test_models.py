@@ -134,3 +134,14 @@ def test_correlations_of_constant_columns(spark):
     got = {(r["col_a"], r["col_b"]): r["corr"] for r in correlations(df, ["a", "k", "nothing", "b"]).collect()}
     assert np.isnan(got["a", "k"]) and np.isnan(got["k", "b"]) and got["a", "nothing"] is None
     assert got["a", "b"] == pytest.approx(np.corrcoef([1, 2, 4], [3, 1, 2])[0, 1], abs=1e-12)
+
+
+def one_class(spark, label=0):
+    return frame(spark, 40, 10).withColumn("label", F.lit(label))
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_out_of_fold_with_one_class(spark, monkeypatch, label):
+    monkeypatch.setitem(ln.RF_PARAMS, "numTrees", 3)
+    got = ln.out_of_fold(one_class(spark, label), "item", ["a", "b"]).collect()
+    assert len(got) == 40 and {r["prob"] for r in got} == {float(label)}
