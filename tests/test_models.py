@@ -145,3 +145,8 @@ def test_out_of_fold_with_one_class(spark, monkeypatch, label):
     monkeypatch.setitem(ln.RF_PARAMS, "numTrees", 3)
     got = ln.out_of_fold(one_class(spark, label), "item", ["a", "b"]).collect()
     assert len(got) == 40 and {r["prob"] for r in got} == {float(label)}
+
+
+def test_model_comparison_with_one_class(spark):
+    got = ln.compare_models(one_class(spark), one_class(spark), {"a": ["a"], "ab": ["a", "b"]}, numTrees=3).collect()
+    assert [(r["feature_set"], r["auc"], r["best_f1"]) for r in got] == [("a", None, 0.0), ("ab", None, 0.0)]
