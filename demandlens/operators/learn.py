@@ -107,14 +107,15 @@ def fit_forest(train: DataFrame, features: list[str], label: str = "label", seed
 
 
 def fit_gbt(train: DataFrame, features: list[str], label: str = "label", seed: int = SEED, **params):
-    """Gradient-boosted trees, positive rows weighted n0/n1."""
+    """Gradient-boosted trees, positive rows weighted n0/n1 (1 where one of the classes has no rows)."""
     from pyspark.ml.classification import GBTClassifier
 
     p = dict(GBT_PARAMS)
     p.update(params)
     counts = train.groupBy().agg(F.count_if(F.col(label) == 0).alias("n0"),
                                  F.count_if(F.col(label) == 1).alias("n1"))
-    ratio = counts.select((F.col("n0") / F.col("n1")).alias("r")).scalar()
+    both = (F.col("n0") > 0) & (F.col("n1") > 0)
+    ratio = counts.select(F.when(both, F.col("n0") / F.col("n1")).otherwise(F.lit(1.0)).alias("r")).scalar()
     data = assemble(train.withColumn("weight", F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0))),
                     features)
     gbt = GBTClassifier(featuresCol="features", labelCol=label, seed=seed, weightCol="weight", **p)

@@ -150,3 +150,12 @@ def test_out_of_fold_with_one_class(spark, monkeypatch, label):
 def test_model_comparison_with_one_class(spark):
     got = ln.compare_models(one_class(spark), one_class(spark), {"a": ["a"], "ab": ["a", "b"]}, numTrees=3).collect()
     assert [(r["feature_set"], r["auc"], r["best_f1"]) for r in got] == [("a", None, 0.0), ("ab", None, 0.0)]
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_model_selection_with_one_class(spark, label):
+    f = one_class(spark, label)
+    models, predictions = ln.select_model(f, f, "item", ["a", "b"], **SMALL)
+    assert all(r["auc"] is None and r["n_synthetic"] == 0 and r["n_train"] == 40 for r in models.collect())
+    for r in model_properties(models, predictions, f).collect():
+        assert r["each_row_once"] and r["probabilities"] and r["metrics_agree"]
