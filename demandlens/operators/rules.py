@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.operators.text import DEFAULT_DOMAIN, canonical
+from demandlens.session import materialize
 
 GRAM = 3
+MAX_RULE_BYTES = 32 << 20   # keywords and domains that every task may hold
 # fixed values: English suffix rules (suffix, what takes its place), longest first
 SUFFIXES = [("sses", "ss"), ("ies", "y"), ("ing", ""), ("ed", ""), ("es", ""), ("s", "")]
 MIN_STEM = 3
@@ -51,14 +53,20 @@ def match_rules(texts: DataFrame, rules: DataFrame, id_col: str, text_col: str)
     sizes = sorted(x[0] for x in r.select(F.least(F.length("keyword"), F.lit(GRAM))).distinct().collect())  # at most GRAM numbers
     if not sizes:
         return t.select(F.col("_id").alias(id_col), F.lit("").alias("domain"), F.lit(0).cast("long").alias("rank"), F.lit("").alias("keyword")).limit(0)
-    held = t.select("_id", F.explode(F.concat(*[_grams(F.col("_t"), n) for n in sizes])).alias("_g"))
-    seen = held.join(filed.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    held = t.select("_id", "_t", F.explode(F.concat(*[_grams(F.col("_t"), n) for n in sizes])).alias("_g"))
+    # counted where the texts lie: what is shuffled is a row per distinct gram and task
+    seen = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     # the rarest of a keyword's grams; a gram that no text holds rules the keyword out
     rarest = (filed.join(seen, "_g", "left").groupBy("domain", "rank", "keyword")
               .agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_g"),
                    F.min(F.coalesce("_n", F.lit(0))).alias("_least"))
               .where("_least > 0").drop("_least"))
-    hits = held.join(rarest, "_g").join(t, "_id").where(F.contains("_t", "keyword"))
+    rarest = materialize(rarest)
+    if rarest.agg(F.coalesce(F.sum(F.octet_length("keyword") + F.octet_length(F.col("domain").cast("string")) + 64), F.lit(0))).first()[0] <= MAX_RULE_BYTES:
+        # the rules go to the texts: neither texts nor candidates are shuffled
+        hits = held.where(F.col("_id").isNotNull()).join(F.broadcast(rarest), "_g").where(F.contains("_t", "keyword"))
+    else:
+        hits = held.drop("_t").join(rarest, "_g").join(t, "_id").where(F.contains("_t", "keyword"))
     best = F.struct("rank", "domain", "keyword")
     return (hits.groupBy("_id").agg(F.min(best).alias("b"))
             .select(F.col("_id").alias(id_col), "b.domain", "b.rank", "b.keyword"))

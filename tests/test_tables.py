@@ -159,3 +159,12 @@ def test_dictionary_mentions_match_brute_force(spark, broadcast, monkeypatch):
     assert ex.dictionary_mentions(df, d.limit(0)).count() == 0
     once = df.where("doc_id < 53")
     assert sorted(map(tuple, ex.dictionary_mentions(once, d, unique=True).collect())) == sorted(x for x in want if x[0] < 53)
+
+
+def test_rules_that_travel_and_rules_that_are_dealt_agree(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"alpha{i % 7} beta {'gamma' * (i % 3)} x") for i in range(40)] + [(None, "alpha1"), (3, "beta alpha6")], "id long, t string")
+    rules = spark.createDataFrame([("d1", 2, "alpha1"), ("d2", 1, "magam"), ("d3", 3, "a"), ("d4", 0, "alpha6"), ("d5", 0, "zz")], "domain string, rank long, keyword string")
+    got = ru.match_rules(texts, rules, "id", "t")
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ru, "MAX_RULE_BYTES", 0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ru.match_rules(texts, rules, "id", "t").collect()))
