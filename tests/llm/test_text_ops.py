@@ -418,3 +418,17 @@ def test_pii_query(spark):
     assert clean[0].startswith("mail [EMAIL] or [EMAIL]") and clean[10] is None and clean[9] == ""
     assert not any(plain_spans(t) for t in clean.values() if t)
     assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def test_sample_of_the_driver_is_held_once():
+    import numpy as np
+    import pyarrow as pa
+
+    from demandlens.llm import toxicity
+
+    cells = [np.arange(toxicity.PARTS * n, dtype=np.int32) + n for n in (2, 0, 5)]
+    col = pa.chunked_array([pa.array([c.tobytes() for c in cells], pa.binary()).slice(1), pa.array([], pa.binary()),
+                            pa.array([cells[0].tobytes()], pa.binary())])
+    got = toxicity.in_place(col)
+    assert [g.tolist() for g in got] == [c.reshape(toxicity.PARTS, -1).tolist() for c in (cells[1], cells[2], cells[0])]
+    assert np.shares_memory(got[1], np.frombuffer(col.chunks[0].buffers()[2], np.uint8))
