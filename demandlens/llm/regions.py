@@ -88,7 +88,8 @@ def regions(s: Symbols, length: int, k: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     start, end = at[first], at[last] + length
-    return start, end, row[first], grams[anchor[first]], tp.range_hash(s.prefix, start, end)
+    # smallest hashes are small: mixed again, they fall evenly into parts
+    return start, end, row[first], tp.mix(grams[anchor[first]]), tp.range_hash(s.prefix, start, end)
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -102,6 +102,17 @@ def test_leftmost_minima():
         assert regions.leftmost_minima(h, width).tolist() == [i + int(np.argmin(h[i:i + width])) for i in range(len(h) - width + 1)]
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_regions_fall_evenly_into_parts(words):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(75_000)).encode()
+    op = fm_dedup if words else suffix_dedup
+    symbols = regions.Symbols(np.frombuffer(text, np.uint8), np.array([0, len(text)]), words)
+    anchor = regions.regions(symbols, op.LENGTH, op.GRAM)[3]
+    count = np.bincount((anchor >> np.uint64(58)).astype(np.int64), minlength=64)
+    assert len(anchor) > 6400 and count.max() < 2 * len(anchor) / 64
+
+
 def test_suffix_dedup(spark, rows):
     from tests.llm.conftest import frame
     rows = single(rows)
