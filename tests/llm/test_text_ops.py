@@ -99,6 +99,39 @@ def test_toxicity_sample_is_bounded(spark, labelled, monkeypatch):
     assert seen[2][0] <= 100 and 0 < seen[2][1] <= 2000
 
 
+def test_toxicity_trains_on_every_labelled_document(spark, monkeypatch):
+    docs = spark.range(13600).selectExpr("id AS doc_id", "concat('word ', id % 7, if(id % 7 = 0, ' vile', '')) AS text", "'en' AS lang")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 7 = 0 as int) AS toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_shards", lambda rows: seen.append(rows.select("id").distinct().count()))
+    monkeypatch.setattr(toxicity, "fit", lambda data, *a: seen.append(len(data)))
+    toxicity.train(docs.unionByName(docs.filter("doc_id < 100")), labels)
+    assert seen == [docs.filter(~toxicity.held_out()).count()] and seen[0] > 10000
+
+
+def test_toxicity_in_shards(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    begun, start = [], toxicity.start
+    monkeypatch.setattr(toxicity, "start", lambda df, n, rng: (begun.append((np.stack(df), n)), start(df, n, rng))[1])
+    toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "SHARD_DOCS", 300)
+    model, again = toxicity.train(docs, labels), toxicity.train(docs.repartition(7), labels)
+    assert len(begun) == 3 and all((df == begun[0][0]).all() and n == begun[0][1] for df, n in begun)
+    assert model.scale == again.scale and model.thresholds == again.thresholds and set(model.thresholds) == {"de", "en"}
+    assert all((a == b).all() for a, b in zip(model.emb, again.emb))
+    y = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    out = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).filter(toxicity.held_out()).collect() if r["doc_id"] in y}
+    pos, neg = ([s for i, s in out.items() if y[i] == c] for c in (1, 0))
+    assert len(out) > 150 and np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) > 0.97
+
+
+def test_toxicity_in_shards_with_one_class(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    monkeypatch.setattr(toxicity, "SHARD_DOCS", 100)
+    one = toxicity.train(docs, labels.filter("toxic = 1"))
+    assert one.base == 1.0
+
+
 def test_every_language_of_the_calibration_rows_has_a_threshold(spark, labelled):
     docs, labels = labelled
     few = docs.withColumn("lang", F.when(F.col("doc_id") % 40 == 0, "rare").otherwise(F.col("lang")))
