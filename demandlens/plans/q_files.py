@@ -12,8 +12,6 @@ from demandlens.plans.registry import register
 from demandlens.session import checkpoint_dir
 from demandlens.sources import files, tables
 
-# every task moves its own files into place; otherwise the driver moves all of them one after the other
-COMMIT_BY_TASK = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
 END = "\x1e\x1d"   # what the writer puts behind a text, in place of a line end
 
 # The md5 of a row's key decides what is wrong with its line: its first digit 0 spoils the number, 1 blanks the item.
@@ -69,10 +67,8 @@ def folder_pages(spark, sf):
     """S3: one file per document, written to a folder and read back by name: whole texts."""
     folder = f"{checkpoint_dir(spark)}/texts-{uuid.uuid4().hex}"
     docs = tables.table(spark, sf, "documents").where(F.col("text").isNotNull())
-    # a partition folder for each document; the writer ends every text with the given separator
-    docs.select(F.col("doc_id").cast("string").alias("name"), "text").repartition("name").sortWithinPartitions("name") \
-        .write.option("lineSep", END).option(*COMMIT_BY_TASK).partitionBy("name").text(folder)
-    read = files.read_text_files(spark, folder, "*.txt", recursive=True)
-    name = F.regexp_extract("path", "name=([^/]+)/", 1)
+    # the writer ends every text with the given separator
+    written = files.write_text_files(docs.select(F.col("doc_id").cast("string").alias("name"), "text"), folder, END)
+    read = files.read_text_files(spark, written, "*.txt", recursive=True)
     whole = F.get(F.split("text", END), F.lit(0))   # behind its end nothing is left
-    return read.select(name.alias("name"), F.length(whole).cast("long").alias("n_chars"), F.md5(whole).alias("text_md5"))
+    return read.select(files.file_name("path").alias("name"), F.length(whole).cast("long").alias("n_chars"), F.md5(whole).alias("text_md5"))

@@ -338,6 +338,30 @@ def test_text_files_become_pages(spark):
     assert pages.count() == 2
 
 
+@pytest.mark.parametrize("scheme", ["file:", "other:"])
+def test_text_files_written_and_read_back(spark, scheme):
+    import os
+    import tempfile
+
+    from demandlens.plans.q_files import END
+    from demandlens.sources import files
+
+    d = tempfile.mkdtemp(prefix="dl-txt-") + "/out"
+    rows = [("1", "a\nb\r\n"), ("2", ""), ("2", "again"), ("30", "\u00fc" * 500), (None, "nameless")]
+    odd = [("a/b c", "x"), ("%41+\u00fc", "y")] if scheme == "file:" else []
+    df = spark.createDataFrame(rows + odd, "name string, text string")
+    written = files.write_text_files(df, f"file:{d}" if scheme == "file:" else d, END)
+    read = files.read_text_files(spark, written, "*.txt", recursive=True).select(files.file_name("path").alias("name"), "text")
+    got = {r["name"]: sorted(r["text"].split(END)[:-1]) for r in read.collect()}
+    assert got == {"1": ["a\nb\r\n"], "2": ["", "again"], "30": ["\u00fc" * 500], files.NO_NAME: ["nameless"], **{n: [t] for n, t in odd}}
+    if scheme == "file:":   # a folder for each task, not for each name, and no files beside those with the texts
+        assert len(written) <= 4 and sum(len(f) for _, _, f in os.walk(d)) == 6
+        once = files.write_text_files(df.where("name <> '2'").repartition(3), f"file:{d}-once", END)
+        assert {r["name"] for r in files.read_text_files(spark, once, "*.txt", recursive=True).select(files.file_name("path").alias("name")).collect()} \
+            == {"1", "30", *(n for n, _ in odd)}
+        assert files.read_text_files(spark, files.write_text_files(df.limit(0), f"file:{d}-none", END), "*.txt", recursive=True).count() == 0
+
+
 def test_dead_letter_split_and_overlay(spark):
     chunks = spark.createDataFrame([(1, 0, ex.PAGE_BREAK.join(["p one", "p two", "p three"]))],
                                    "doc_id long, chunk_no int, text string")
