@@ -577,3 +577,34 @@ def test_few_tile_columns_for_many_neighbours(monkeypatch):
 
 def test_block_sides_stay_few():
     assert [vx._few_blocks(n, 2048) for n in (100, 10_000, 100_000, 2_000_000, 4_000_000)] == [1, 5, 16, 16, 31]
+
+
+def test_all_neighbours_without_copies_of_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 4)).round(1).astype(np.float32)
+    v[7] = v[3] = v[50]        # ties go to the smaller id
+    v[11] = 0
+    rows = [(f"i{k:02d}", x.tolist()) for k, x in enumerate(v)] + [("i01", v[20].tolist())]   # an id with two vectors
+    side = spark.createDataFrame(rows, "_id string, _v array<float>")
+    want = vx.blocked_topk(side, side, 3, 1, 1, exclude_self=True)
+    odd = side.unionByName(spark.createDataFrame([("null", None), ("none", []), ("a", [1.0, 2.0]), ("b", [2.0, 4.0])], side.schema))
+    key = lambda df: sorted((r["lid"], r["rank"], r["rid"], round(r["sim"], 9)) for r in df.collect())
+    for size in (1 << 20, 300):   # one chunk, and four
+        got = vx.all_neighbours(odd, 3, max_bytes=size)
+        assert key(got.where("length(lid) = 3")) == key(want)
+        assert key(got.where("lid IN ('a', 'b', 'null', 'none')")) == [("a", 1, "b", 1.0), ("b", 1, "a", 1.0)]
+
+    from demandlens.plans import q_vectors as qv
+
+    monkeypatch.setattr(vx, "blocked_topk", None)   # whose blocks copy every vector once for each block of the other side
+    monkeypatch.setattr(qv, "_emb", lambda *a: side.where("_id <> 'i01'").withColumnsRenamed({"_id": "vec_id", "_v": "embedding"}))
+    (r,) = qv.neighbour_recall(spark, "").collect()
+    assert r["n_pairs"] == r["n_returned"] == 3 * 59 and r["recall_at_least_090"] and r["similarities_exact"]
+
+
+def test_approximate_neighbours_keep_the_width_of_floats(spark):
+    one = spark.createDataFrame([(k, [float(k % 5), 1.0]) for k in range(20)], "vec_id long, embedding array<float>")
+    wide = one.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    plans = [vx.approx_pairs(f, "vec_id") for f in (one, wide)]
+    assert sorted(map(tuple, plans[0].collect())) == sorted(map(tuple, plans[1].collect()))
+    assert "array<double>" not in plans[0]._jdf.queryExecution().analyzed().treeString()
